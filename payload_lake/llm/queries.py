@@ -1,9 +1,10 @@
 """Registered queries of the llm operators and their DuckDB counterparts."""
 
-from . import line_dedup, shards, url_filter
+from . import line_dedup, perplexity, shards, url_filter
 
 QUERIES = {
     "op2_url_rules": url_filter.op2_url_rules,
+    "op5_ngram_perplexity": perplexity.op5_ngram_perplexity,
     "op6_minimax_shards": shards.op6_minimax_shards,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
