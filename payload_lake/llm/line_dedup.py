@@ -106,7 +106,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
         per_doc.join(common, ["high", "low"]).where("doc_id <> keeper")
         .groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("__drops"))
     )
-    joined = docs.join(staged(drops, "dropped-lines"), "doc_id", "left")
+    # one strategy at every size: the list of drops grows with the corpus, so it is never broadcast
+    joined = docs.hint("merge").join(staged(drops, "dropped-lines"), "doc_id", "left")
     schema = T.StructType([*joined.drop("__drops").schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_reassemble(min_chars, to_arrow_schema(schema)), schema)
 
