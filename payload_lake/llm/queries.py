@@ -1,11 +1,13 @@
 """Registered queries of the llm operators and their DuckDB counterparts."""
 
-from . import line_dedup, perplexity, shards, url_filter
+from . import knn_quality, language_id, line_dedup, perplexity, shards, url_filter
 
 QUERIES = {
+    "op1_knn_quality": knn_quality.op1_knn_quality,
     "op2_url_rules": url_filter.op2_url_rules,
     "op5_ngram_perplexity": perplexity.op5_ngram_perplexity,
     "op6_minimax_shards": shards.op6_minimax_shards,
+    "op7_language_id": language_id.op7_language_id,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 ORACLES = {
