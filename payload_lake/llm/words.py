@@ -18,6 +18,8 @@ import pyarrow.compute as pc
 U64 = np.uint64
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: white space, controls and ASCII signs
+SIGNS_AND_SPACE = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _RNG = np.random.default_rng(20_240_607)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64)
 _BYTE_LOWER = _BYTE.copy()
@@ -95,12 +97,13 @@ class Words(NamedTuple):
     rows: np.ndarray
 
 
-def words(chunk: Chunk) -> Words:
+def words(chunk: Chunk, separators: np.ndarray = SPACE) -> Words:
+    """Words between separators; ``separators`` says of each byte whether it is one."""
     data, offsets = chunk.data, chunk.offsets
     n = len(data)
     if not n:
         return Words(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(offsets), np.int64))
-    inside = ~SPACE[data]
+    inside = ~separators[data]
     first = np.zeros(n + 1, bool)
     first[offsets] = True
     starts = inside.copy()
@@ -111,8 +114,8 @@ def words(chunk: Chunk) -> Words:
     return Words(at, np.flatnonzero(ends) + 1, np.searchsorted(at, offsets))
 
 
-def word_hashes(chunk: Chunk, lower: bool = False) -> tuple[np.ndarray, Words]:
-    w = words(chunk)
+def word_hashes(chunk: Chunk, lower: bool = False, separators: np.ndarray = SPACE) -> tuple[np.ndarray, Words]:
+    w = words(chunk, separators)
     sums, down = prefix_sums(chunk.data, lower)
     return span_hashes(sums, down, w.starts, w.ends), w
 
