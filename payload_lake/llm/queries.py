@@ -1,6 +1,6 @@
 """Registered queries of the llm operators and their DuckDB counterparts."""
 
-from . import decontaminate, knn_quality, language_id, line_dedup, perplexity, shards, url_filter
+from . import decontaminate, knn_quality, language_id, line_dedup, perplexity, sentencepieces, shards, url_filter
 
 QUERIES = {
     "op1_knn_quality": knn_quality.op1_knn_quality,
@@ -8,6 +8,7 @@ QUERIES = {
     "op5_ngram_perplexity": perplexity.op5_ngram_perplexity,
     "op6_minimax_shards": shards.op6_minimax_shards,
     "op7_language_id": language_id.op7_language_id,
+    "op8_sentencepiece": sentencepieces.op8_sentencepiece,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_bm25_decontamination": decontaminate.op10_bm25_decontamination,
 }
