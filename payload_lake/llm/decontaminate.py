@@ -45,6 +45,8 @@ from .words import SIGNS_AND_SPACE, Chunk, binary_column, chunks, gram_hashes, w
 
 SHARD_POSTINGS = 2_000_000
 BLOCK = 8
+#: blocks scored, and words searched, at once: bounds the memory of a task
+SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
 THRESHOLD = 0.5
 OVERLAP = 0.8
@@ -168,14 +170,18 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     pair, where = np.unique(group[chosen][origin] * n_blocks + index.blocks[entry], return_inverse=True)
     bound = np.bincount(where, index.block_impact[entry], len(pair)) + unexpanded[pair // n_blocks]
     group_left, block_left = np.divmod(pair[bound >= threshold - 1e-9], n_blocks)
-    item, origin = _expand(block_left * BLOCK, np.minimum((block_left + 1) * BLOCK, len(index.ids)))
-    passage_of = passage[begins][group_left[origin]]
-    entry, origin = _expand(index.item_from[item], index.item_from[item + 1])
-    wanted = passage_of[origin] * len(index.vocabulary) + index.item_terms[entry]
-    spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-    score = np.bincount(origin, np.where(key[spot] == wanted, index.item_impact[entry], 0.0), len(item))
-    hit = score >= threshold - 1e-9
-    return np.searchsorted(first, passage_of[hit], side="right") - 1, item[hit], score[hit]
+    out = []
+    for cut in range(0, len(block_left), SLICE):
+        blocks = block_left[cut : cut + SLICE]
+        item, origin = _expand(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(index.ids)))
+        passage_of = passage[begins][group_left[cut : cut + SLICE][origin]]
+        entry, origin = _expand(index.item_from[item], index.item_from[item + 1])
+        wanted = passage_of[origin] * len(index.vocabulary) + index.item_terms[entry]
+        spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
+        score = np.bincount(origin, np.where(key[spot] == wanted, index.item_impact[entry], 0.0), len(item))
+        hit = score >= threshold - 1e-9
+        out.append((np.searchsorted(first, passage_of[hit], side="right") - 1, item[hit], score[hit]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0))
 
 
 def part_overlap(part: np.ndarray, document: np.ndarray, cache: dict[int, np.ndarray]) -> tuple[int, int]:
@@ -189,12 +195,27 @@ def part_overlap(part: np.ndarray, document: np.ndarray, cache: dict[int, np.nda
     return len(own), int(np.isin(own, cache[n], assume_unique=True).sum())
 
 
+def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of rows of at most ``STRETCH`` words: the first row and the borders. A longer row comes in
+    stretches of its own that overlap by two spans, so that no passage is lost."""
+    i, n = 0, len(rows) - 1
+    while i < n:
+        j = max(i + 1, int(np.searchsorted(rows, rows[i] + STRETCH, side="right")) - 1)
+        if rows[j] - rows[i] <= STRETCH:
+            yield i, rows[i : j + 1]
+        else:
+            for start in range(int(rows[i]), int(rows[j]), STRETCH):
+                yield i, np.array([start, min(start + STRETCH + 2 * span, int(rows[j]))])
+        i = j
+
+
 def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """Row, item number, score, question overlap and answer overlap of verified leaks, best score first seen once."""
-    row, item, score = retrieve(index, hashes, rows)
     best: dict[tuple[int, int], float] = {}
-    for r, i, s in zip(row.tolist(), item.tolist(), score.tolist(), strict=True):
-        best[r, i] = max(s, best.get((r, i), 0.0))
+    for first, borders in _stretches(rows, index.span):
+        row, item, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0])
+        for r, i, s in zip((row + first).tolist(), item.tolist(), score.tolist(), strict=True):
+            best[r, i] = max(s, best.get((r, i), 0.0))
     cache: dict[int, np.ndarray] = {}
     last = -1
     for (r, i), s in sorted(best.items()):
