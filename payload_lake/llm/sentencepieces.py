@@ -38,7 +38,7 @@ from .stage import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
-REMEMBER, LONGEST = 300_000, 48
+REMEMBER, LONGEST, ROWS = 200_000, 48, 500
 UNIT = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
 
 
@@ -76,7 +76,7 @@ class Encoder:
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
         self.unknown = min(vocabulary.scores) - 10
         self.byte_ids = vocabulary.byte_ids
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, tuple[int, ...]] = {}
 
     def best_path(self, unit: str) -> list[int]:
         n = len(unit)
@@ -109,12 +109,12 @@ class Encoder:
                 best[k], back[k], number[k] = best[k - 1] + self.unknown, k - 1, -1
         return max(done, to)
 
-    def _units(self, text: str) -> Iterator[list[int]]:
+    def _units(self, text: str) -> Iterator[tuple[int, ...]]:
         known = self.known
         for unit in UNIT.findall(text):
             ids = known.get(unit)
             if ids is None:
-                ids = self.best_path(unit)
+                ids = tuple(self.best_path(unit))
                 if len(unit) <= LONGEST:
                     if len(known) >= REMEMBER:
                         known.clear()
@@ -152,6 +152,13 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
+def _pieces(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most ``ROWS`` rows, so that a worker holds few texts and ids at once."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, ROWS):
+            yield batch.slice(start, ROWS)
+
+
 def encode(docs: DataFrame, model: str = MODEL, column: str = "text", to: str = "ids") -> DataFrame:
     """``docs`` plus ``to``, the piece ids of ``column``; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(load(model))
@@ -159,7 +166,7 @@ def encode(docs: DataFrame, model: str = MODEL, column: str = "text", to: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shared.value)
-        for batch in batches:
+        for batch in _pieces(batches):
             at = batch.schema.get_field_index
             found = [np.array(encoder.encode(x.as_py()), np.int32) for x in batch.column(at(column))]
             yield pa.RecordBatch.from_arrays([*(batch.column(at(f.name)) for f in kept), pa.array(found, pa.list_(pa.int32()))], [*(f.name for f in kept), to])
@@ -174,7 +181,7 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "ids", to: str = "
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(shared.value)
-        for batch in batches:
+        for batch in _pieces(batches):
             at = batch.schema.get_field_index
             found = [decoder.decode(x.values.to_pylist() if x.is_valid else ()) for x in batch.column(at(column))]
             yield pa.RecordBatch.from_arrays([*(batch.column(at(f.name)) for f in kept), pa.array(found, pa.string())], [*(f.name for f in kept), to])
