@@ -256,6 +256,7 @@ def _links_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, sets: D
     members = region.select("key", "id", "root", place("members").alias("mine"), span("outside").alias("theirs")).join(full, "id")
     outside = region.where("root <> top").select("key", "id", "root", span("members").alias("mine"), place("outside").alias("theirs")).join(full, "id")
     grid = ["key", "mine", "theirs"]
+    outside = outside.select(*(F.col(c).alias(c) for c in outside.columns))  # both sides come from the same tables
     found = members.groupBy(*grid).cogroup(outside.groupBy(*grid)).applyInPandas(_outside_links(percent), "a long, b long")
     more = staged(found.distinct(), "links-outside")
     return None if more.isEmpty() else more
