@@ -8,7 +8,8 @@ is a query, and all items are retrieved whose BM25 score reaches ``threshold``
 times the score of the item for its own text:
 
 * the terms of a passage are ordered by their largest impact anywhere; those at
-  the low end that cannot reach the threshold together are not expanded;
+  the low end that can only give a fraction of the threshold together are not
+  expanded, and a passage whose terms cannot reach it at all is left out;
 * the others are expanded to blocks, and a block is left out if its largest
   impacts plus all that was not expanded stay below the threshold;
 * the items of the blocks that are left get their exact score.
@@ -44,7 +45,9 @@ from .stage import staged, table
 from .words import SIGNS_AND_SPACE, Chunk, binary_column, chunks, gram_hashes, word_hashes
 
 SHARD_POSTINGS = 2_000_000
-BLOCK = 8
+BLOCK = 4
+#: share of the threshold that the terms which are not expanded may give together
+UNEXPANDED = 0.3
 #: blocks scored, and words searched, at once: bounds the memory of a task
 SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
@@ -159,10 +162,12 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     group = np.cumsum(np.concatenate([[True], passage[1:] != passage[:-1]])) - 1
     base = np.concatenate([[0.0], gained])[begins]
     reach = gained - base[group]  # of the terms so far, the most that they can give together
-    essential = reach >= threshold - 1e-9
+    essential = reach >= threshold * UNEXPANDED
+    ends = np.append(begins[1:], len(key)) - 1
+    hopeful = reach[ends] >= threshold - 1e-9
     unexpanded = np.zeros(len(begins))
     np.maximum.at(unexpanded, group[~essential], reach[~essential])
-    chosen = np.flatnonzero(essential)
+    chosen = np.flatnonzero(essential & hopeful[group])
     if not len(chosen):
         return none, none, np.zeros(0)
     entry, origin = _expand(index.block_from[term[chosen]], index.block_from[term[chosen] + 1])
