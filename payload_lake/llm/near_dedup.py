@@ -32,7 +32,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -157,23 +156,26 @@ def _neighbours(percent: int, reach: int = 3):
 def _outside_links(percent: int):
     """Of a block of a region and a block of what is outside its largest component: one link for each pair of components."""
 
-    def run(members: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple[int, int]] = []
-        if len(members) and len(queries):
-            signs = np.frombuffer(b"".join(members["sign"]), np.uint8).reshape(-1, SLOTS)
-            sets, ids, n, roots = members["shingles"].to_list(), members["id"].to_numpy(), members["n"].to_numpy(), members["root"].to_numpy()
-            for q in queries.itertuples():
-                own = np.frombuffer(q.sign, np.uint8)
-                near = np.flatnonzero(_possible(signs, own[None], n, q.n, percent) & (roots != q.root))
-                near = near[np.argsort(-(signs[near] == own).sum(axis=1), kind="stable")]
-                linked: set[int] = set()
-                for k in near:
+        if members.num_rows and queries.num_rows:
+            get = lambda table, name: table[name].combine_chunks()
+            numbers = lambda table, name: table[name].to_numpy()
+            signs, sets = _bytes(get(members, "sign")), get(members, "shingles")
+            ids, n, roots = (numbers(members, c) for c in ("id", "n", "root"))
+            own_signs, own_sets = _bytes(get(queries, "sign")), get(queries, "shingles")
+            for i, (own_id, own_n, own_root) in enumerate(zip(*(numbers(queries, c).tolist() for c in ("id", "n", "root")), strict=True)):
+                near = np.flatnonzero(_possible(signs, own_signs[i : i + 1], n, own_n, percent) & (roots != own_root))
+                near = near[np.argsort(-(signs[near] == own_signs[i]).sum(axis=1), kind="stable")]
+                own, linked = own_sets[i].values.to_numpy(), set()
+                for k in near.tolist():
                     if roots[k] not in linked:
-                        common = len(np.intersect1d(sets[k], q.shingles, assume_unique=True))
-                        if 100 * common >= percent * (n[k] + q.n - common):
+                        common = len(np.intersect1d(sets[k].values.to_numpy(), own, assume_unique=True))
+                        if 100 * common >= percent * (n[k] + own_n - common):
                             linked.add(roots[k])
-                            out.append((min(ids[k], q.id), max(ids[k], q.id)))
-        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+                            out.append((min(ids[k], own_id), max(ids[k], own_id)))
+        a, b = zip(*out, strict=True) if out else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -257,7 +259,7 @@ def _links_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, sets: D
     outside = region.where("root <> top").select("key", "id", "root", span("members").alias("mine"), place("outside").alias("theirs")).join(full, "id")
     grid = ["key", "mine", "theirs"]
     outside = outside.select(*(F.col(c).alias(c) for c in outside.columns))  # both sides come from the same tables
-    found = members.groupBy(*grid).cogroup(outside.groupBy(*grid)).applyInPandas(_outside_links(percent), "a long, b long")
+    found = members.groupBy(*grid).cogroup(outside.groupBy(*grid)).applyInArrow(_outside_links(percent), "a long, b long")
     more = staged(found.distinct(), "links-outside")
     return None if more.isEmpty() else more
 

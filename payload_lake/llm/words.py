@@ -44,7 +44,7 @@ def binary_column(batch: pa.RecordBatch, column: str) -> pa.Array:
     return pc.fill_null(values.cast(pa.large_binary()), b"")
 
 
-def chunks(values: pa.Array, limit: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(values: pa.Array, limit: int = 1 << 19) -> Iterator[Chunk]:
     """Consecutive rows of about ``limit`` bytes; a longer row stands alone."""
     n = len(values)
     offsets = np.frombuffer(values.buffers()[1], dtype=np.int64)[values.offset : values.offset + n + 1]
