@@ -1,11 +1,12 @@
 """Registered queries of the llm operators and their DuckDB counterparts."""
 
-from . import decontaminate, knn_quality, language_id, line_dedup, near_dedup, perplexity, sentencepieces, shards, url_filter
+from . import decontaminate, knn_quality, language_id, line_dedup, near_dedup, perplexity, sentencepieces, shards, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_knn_quality": knn_quality.op1_knn_quality,
     "op2_url_rules": url_filter.op2_url_rules,
     "op3_minhash_forest": near_dedup.op3_minhash_forest,
+    "op4_suffix_array": suffix_dedup.op4_suffix_array,
     "op5_ngram_perplexity": perplexity.op5_ngram_perplexity,
     "op6_minimax_shards": shards.op6_minimax_shards,
     "op7_language_id": language_id.op7_language_id,
