@@ -8,8 +8,8 @@ without a piece becomes its UTF-8 bytes, at a cost below every piece.
 
 As in SentencePiece, spaces become ``U+2581`` and one is put before the text. No
 piece has that sign after another character, so a text falls into units (signs,
-then other characters) whose best paths are independent; frequent units are
-remembered. A literal ``U+2581`` in a text is written as bytes, so that decoding
+then other characters), and these into parts between characters that no piece
+joins. Their best paths are independent; frequent units and parts are remembered. A literal ``U+2581`` in a text is written as bytes, so that decoding
 gives back every text exactly.
 
 Scores come from the model file. For a model trained by merges the best path is
@@ -38,7 +38,7 @@ from .stage import table
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SIGN = "▁"
-REMEMBER, LONGEST, ROWS = 200_000, 48, 500
+REMEMBER, LONGEST, ROWS = 400_000, 48, 500
 UNIT = re.compile(f"{SIGN}*[^{SIGN}]+|{SIGN}+")
 
 
@@ -74,6 +74,7 @@ class Encoder:
             self.automaton.add_word(piece, (len(piece), score, number))
         self.automaton.make_automaton()
         self.single = {p for p in vocabulary.pieces if len(p) == 1}
+        self.pairs = {p[k : k + 2] for p in vocabulary.pieces for k in range(len(p) - 1)}
         self.unknown = min(vocabulary.scores) - 10
         self.byte_ids = vocabulary.byte_ids
         self.known: dict[str, tuple[int, ...]] = {}
@@ -82,16 +83,20 @@ class Encoder:
         n = len(unit)
         best = [0.0] + [float("-inf")] * n
         back, number = [0] * (n + 1), [-1] * (n + 1)
-        foreign = [not self.single.issuperset(c) for c in unit] if not self.single.issuperset(unit) else None
-        done = 0
-        for end, (length, score, piece) in self.automaton.iter(unit):
-            end += 1
-            if foreign is not None:
-                done = self._unknowns(done, end - 1, foreign, best, back, number)
-            score += best[end - length]
-            if score > best[end]:
-                best[end], back[end], number[end] = score, end - length, piece
-        if foreign is not None:
+        if self.single.issuperset(unit):
+            for end, (length, score, piece) in self.automaton.iter(unit):
+                begin = end + 1 - length
+                score += best[begin]
+                if score > best[end + 1]:
+                    best[end + 1], back[end + 1], number[end + 1] = score, begin, piece
+        else:
+            foreign, done = [c not in self.single for c in unit], 0
+            for end, (length, score, piece) in self.automaton.iter(unit):
+                done = self._unknowns(done, end, foreign, best, back, number)
+                begin = end + 1 - length
+                score += best[begin]
+                if score > best[end + 1]:
+                    best[end + 1], back[end + 1], number[end + 1] = score, begin, piece
             self._unknowns(done, n, foreign, best, back, number)
         out: list[int] = []
         while n:
@@ -109,28 +114,44 @@ class Encoder:
                 best[k], back[k], number[k] = best[k - 1] + self.unknown, k - 1, -1
         return max(done, to)
 
-    def _units(self, text: str) -> Iterator[tuple[int, ...]]:
-        known = self.known
-        for unit in UNIT.findall(text):
-            ids = known.get(unit)
-            if ids is None:
-                ids = tuple(self.best_path(unit))
-                if len(unit) <= LONGEST:
-                    if len(known) >= REMEMBER:
-                        known.clear()
-                    known[unit] = ids
-            yield ids
+    def _unit(self, unit: str) -> tuple[int, ...]:
+        """The pieces of a unit that is not remembered."""
+        known, ids = self.known, ()
+        for part in self._parts(unit):
+            found = known.get(part)
+            ids += self._remembered(part) if found is None else found
+        if len(unit) <= LONGEST:
+            known[unit] = ids
+        return ids
+
+    def _parts(self, unit: str) -> Iterator[str]:
+        """The unit, cut between characters that stand side by side in no piece: no path crosses there."""
+        start, pairs = 0, self.pairs
+        for k in range(1, len(unit)):
+            if unit[k - 1 : k + 1] not in pairs:
+                yield unit[start:k]
+                start = k
+        yield unit[start:]
+
+    def _remembered(self, part: str) -> tuple[int, ...]:
+        ids = tuple(self.best_path(part))
+        if len(part) <= LONGEST:
+            if len(self.known) >= REMEMBER:
+                self.known.clear()
+            self.known[part] = ids
+        return ids
 
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
         out: list[int] = []
-        sign = [self.byte_ids[b] for b in SIGN.encode()]
+        known, sign = self.known.get, [self.byte_ids[b] for b in SIGN.encode()]
         for k, part in enumerate(text.split(SIGN)):
             if k:
                 out += sign
-            for ids in self._units((SIGN if not k else "") + part.replace(" ", SIGN)):
-                out += ids
+            for unit in UNIT.findall((SIGN if not k else "") + part.replace(" ", SIGN)):
+                ids = known(unit)
+                out += self._unit(unit) if ids is None else ids
         return out
 
 
