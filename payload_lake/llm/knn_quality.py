@@ -120,7 +120,7 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS, power:
     share = np.array([1 - model.prior, model.prior])
     weight *= (1 / np.maximum(share, 1e-9) ** BALANCE)[model.labels.astype(np.int64)]
     total = weight.sum(axis=1)
-    return np.where(total > 1e-12, weight @ model.labels / np.maximum(total, 1e-12), model.prior)
+    return np.clip(np.where(total > 1e-12, weight @ model.labels / np.maximum(total, 1e-12), model.prior), 0, 1)
 
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:

@@ -202,7 +202,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     # a doc_id that stands on rows with different texts heads several classes; its rows are one node
     roots = _forest_components(docs, heads, size, percent)
     placed = signed.drop("keys", "sign").join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
-    component = F.when(F.col("n") > 0, F.coalesce("root", "id")).otherwise(F.col("doc_id"))
+    component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     )
