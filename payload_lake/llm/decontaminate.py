@@ -291,4 +291,22 @@ def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("score")
+
+
+#: the verified overlaps alone, of every document with every item
+ORACLE = r"""
+WITH cut AS (SELECT item_id, trim(text) AS text, regexp_extract(trim(text), '^(?s:.*)(?:[.!?]\s+|\n+)') AS question FROM benchmark),
+halves AS (SELECT item_id, 'q' AS part, CASE WHEN question = '' THEN text ELSE question END AS text FROM cut UNION ALL SELECT item_id, 'a', substr(text, length(question) + 1) FROM cut WHERE question <> ''),
+parts AS (SELECT item_id, part, w, least(5, len(w)) AS n FROM (
+  SELECT item_id, part, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM halves) WHERE len(w) > 0),
+own AS (SELECT DISTINCT item_id, part, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - n + 2)) AS i FROM parts)),
+total AS (SELECT item_id, part, count(*) AS t FROM own GROUP BY ALL),
+docs AS (SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+') AS w FROM documents WHERE text IS NOT NULL),
+grams AS (SELECT DISTINCT doc_id, n, array_to_string(w[i : i + n - 1], ' ') AS g FROM (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM docs, (SELECT DISTINCT n FROM parts) WHERE len(w) >= n)),
+hits AS (SELECT doc_id, item_id, part, count(*) AS h FROM grams JOIN own USING (n, g) GROUP BY ALL),
+shares AS (SELECT doc_id, item_id, part, h / t AS share FROM hits JOIN total USING (item_id, part))
+SELECT q.doc_id, q.item_id, q.share AS question_overlap, coalesce(a.share, 1.0) AS answer_overlap
+FROM (SELECT * FROM shares WHERE part = 'q') q LEFT JOIN (SELECT * FROM shares WHERE part = 'a') a USING (doc_id, item_id)
+WHERE q.share >= 0.8 AND (a.share >= 0.8 OR NOT EXISTS (SELECT 1 FROM total t WHERE t.item_id = q.item_id AND t.part = 'a'))
+"""

@@ -17,4 +17,5 @@ QUERIES = {
 ORACLES = {
     "op2_url_rules": url_filter.ORACLE,
     "op9_line_dedup": line_dedup.ORACLE,
+    "op10_bm25_decontamination": decontaminate.ORACLE,
 }
