@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
+from ..sources.views import LISTINGS, OF_ENDPOINT, SINGLE, parse_fields
 
 KEYS = ["uid", "item_id"]
 
@@ -48,34 +49,19 @@ def subtitle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cues.select(*KEYS, "page_index", "lan", "cue", get("from", "double").alias("from_s"), get("to", "double").alias("to_s"), get("content", "string").alias("content")), named.where("error is not null").select(*KEYS, "page_index", "lan", "error")
 
 
-#: fixed values: fields of the typed views, as name: (paths, type); the first path that has a value counts
-VIEWS: dict[str, dict[str, tuple[tuple[str, ...], str]]] = {
-    "video_detail": {"bvid": (("info.bvid",), "string"), "title": (("info.title",), "string"), "duration_s": (("info.duration",), "bigint"), "published_s": (("info.pubdate",), "bigint"), "owner_mid": (("info.owner.mid",), "bigint"), "owner_name": (("info.owner.name",), "string"), "views": (("info.stat.view",), "bigint")},
-    "user_info": {"mid": (("mid",), "bigint"), "name": (("name",), "string"), "sign": (("sign",), "string"), "level": (("level",), "bigint")},
-    "relation_info": {"mid": (("mid",), "bigint"), "following": (("following",), "bigint"), "follower": (("follower",), "bigint")},
-    "up_stat": {"archive_views": (("archive.view", "archive"), "bigint"), "article_views": (("article.view", "article"), "bigint"), "likes": (("likes",), "bigint")},
-    "overview_stat": {"videos": (("video", "video_count"), "bigint"), "opus": (("opus",), "bigint"), "articles": (("article",), "bigint")},
-}
-#: fixed values: listings as (path of their rows, fields)
-LISTINGS: dict[str, tuple[str, dict[str, tuple[tuple[str, ...], str]]]] = {
-    "videos": ("list.vlist", {"bvid": (("bvid",), "string"), "title": (("title",), "string"), "created_s": (("created",), "bigint")}),
-    "articles": ("articles", {"id": (("id",), "bigint"), "title": (("title",), "string"), "published_s": (("publish_time",), "bigint")}),
-    "dynamics": ("items", {"id": (("id_str",), "string"), "kind": (("type",), "string"), "author_mid": (("modules.module_author.mid",), "bigint")}),
-    "opus": ("items", {"id": (("opus_id",), "string"), "content": (("content",), "string")}),
-    "upower_qa": ("list", {"id": (("qa_id",), "string")}),
-}
-
-
-def _fields(value, fields: dict[str, tuple[tuple[str, ...], str]]) -> list:
-    return [F.coalesce(*(jsonx.at(value, p, to) for p in paths)).alias(name) for name, (paths, to) in fields.items()]
-
-
-def typed_view(payloads: DataFrame, endpoint: str) -> DataFrame:
-    """Typed columns of an endpoint's payloads; listings give one row per entry. Unknown fields stay in the payload."""
-    own = payloads.where(F.col("endpoint") == endpoint).select(*KEYS, jsonx.parsed(F.col("payload")).alias("v"))
-    if endpoint in VIEWS:
-        return own.select(*KEYS, *_fields(F.col("v"), VIEWS[endpoint]))
-    path, fields = LISTINGS[endpoint]
-    pages = own.select(*KEYS, F.posexplode(jsonx.array_at(F.col("v"), "pages")).alias("page", "p"))
-    rows = pages.select(*KEYS, "page", F.posexplode(jsonx.array_at(F.col("p"), path)).alias("pos", "r"))
-    return rows.select(*KEYS, "page", "pos", *_fields(F.col("r"), fields))
+def _fields(value: Column, fields: str) -> list[Column]:
+    return [F.coalesce(*(jsonx.at(value, p, to) for p in paths)).alias(name) for name, paths, to in parse_fields(fields)]
+
+
+def typed_view(payloads: DataFrame, view: str) -> DataFrame:
+    """Typed columns of an endpoint's payloads; listings give one row per entry, with page and pos.
+
+    A path of the wrong shape gives null or no row; unknown fields stay in the payload.
+    """
+    own = payloads.where(F.col("endpoint") == OF_ENDPOINT.get(view, view)).select(*KEYS, jsonx.parsed(F.col("payload")).alias("v"))
+    if view in SINGLE:
+        return own.select(*KEYS, *_fields(F.col("v"), SINGLE[view]))
+    listing = LISTINGS[view]
+    pages = F.posexplode(jsonx.array_at(F.col("v"), "pages")) if listing.paged else F.posexplode(F.array("v"))
+    rows = own.select(*KEYS, pages.alias("page", "p")).select(*KEYS, "page", F.posexplode(jsonx.array_at(F.col("p"), listing.path)).alias("pos", "r"))
+    return rows.select(*KEYS, "page", "pos", *_fields(F.col("r"), listing.fields))

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, scalars
-from ..operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts, work_items
+from ..operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts
+from ..operators import work_items as nested
 from ..sources import tables
 from .stand_ins import oracle, stand_in
 
@@ -730,13 +731,13 @@ ITEMS = "SELECT uid, item_id, page_index, cid, duration_s, part FROM fx_page UNI
 
 
 @query("fx_page fx_detail", ITEMS)
-def work_item_rows(t):
-    return work_items.work_items(detail_payloads(t))
+def work_items(t):
+    return nested.work_items(detail_payloads(t))
 
 
 @query("fx_page fx_detail", "SELECT uid, item_id, 0 AS page_index, uid AS cid, duration_s FROM fx_detail d WHERE NOT EXISTS (SELECT 1 FROM fx_page p WHERE p.uid = d.uid AND p.item_id = d.item_id)")
 def work_items_fallback(t):
-    rows = work_items.work_items(detail_payloads(t))
+    rows = nested.work_items(detail_payloads(t))
     return rows.join(t("fx_page").select("uid", "item_id"), ["uid", "item_id"], "left_anti").drop("part")
 
 
@@ -767,7 +768,7 @@ def materialise_segments(t):
 def subresource_rows(t):
     entry = F.struct("page_index", "cid", "part", F.struct(F.col("duration_s").alias("duration")).alias("result"))
     rows = t("fx_page").groupBy("uid", "item_id").agg(F.array_sort(F.collect_list(F.struct("page_index", entry.alias("e")))).alias("x"))
-    return work_items.explode_subresource(rows.select("uid", "item_id", F.to_json(F.struct(F.transform("x", lambda y: y.e).alias("online"))).alias("payload")), "online")
+    return nested.explode_subresource(rows.select("uid", "item_id", F.to_json(F.struct(F.transform("x", lambda y: y.e).alias("online"))).alias("payload")), "online")
 
 
 @query("fx_segment", "SELECT item AS uid, CAST(item AS VARCHAR) AS item_id, 0 AS page_index, role AS lan, row_number() OVER (PARTITION BY item, role ORDER BY pos, text) - 1 AS cue, CAST(pos AS DOUBLE) AS from_s, CAST(pos + 1 AS DOUBLE) AS to_s, text AS content FROM fx_segment WHERE role <> 'system'")
@@ -777,17 +778,33 @@ def subtitle_rows(t):
     body = F.when(F.col("role") == "system", F.struct(F.col("role").alias("lan"), F.lit(None).cast(bodies.schema["body"].dataType).alias("body"), F.lit("HTTP 404").alias("_fetch_error"))).otherwise(F.struct(F.col("role").alias("lan"), "body", F.lit(None).cast("string").alias("_fetch_error")))
     items = bodies.select("item", body.alias("c")).groupBy("item").agg(F.collect_list("c").alias("content"))
     page = F.array(F.struct(F.lit(0).alias("page_index"), "content"))
-    return work_items.subtitle_rows(items.select(F.col("item").alias("uid"), F.col("item").cast("string").alias("item_id"), F.to_json(F.struct(page.alias("subtitle"))).alias("payload")))[0]
+    return nested.subtitle_rows(items.select(F.col("item").alias("uid"), F.col("item").cast("string").alias("item_id"), F.to_json(F.struct(page.alias("subtitle"))).alias("payload")))[0]
 
 
 @query("fx_detail", "SELECT uid, item_id, item_id AS bvid, title, duration_s, (epoch_us(published_at) // 1000) // 1000 AS published_s, uid AS owner_mid, CAST(NULL AS VARCHAR) AS owner_name, CAST(NULL AS BIGINT) AS views FROM fx_detail")
 def typed_video_detail(t):
-    return work_items.typed_view(all_payloads(t), "video_detail")
+    return nested.typed_view(all_payloads(t), "video_detail")
 
 
-@query("fx_listing", "SELECT uid, '' AS item_id, CAST(page_no - 1 AS INTEGER) AS page, CAST((pos - 1) % 5 AS INTEGER) AS pos, item_id AS bvid, CAST(NULL AS VARCHAR) AS title, pos AS created_s FROM fx_listing")
+@query("fx_listing", "SELECT uid, '' AS item_id, CAST(page_no - 1 AS INTEGER) AS page, CAST((pos - 1) % 5 AS INTEGER) AS pos, item_id AS bvid, pos AS created_s FROM fx_listing")
 def typed_videos(t):
-    return work_items.typed_view(all_payloads(t), "videos")
+    return nested.typed_view(all_payloads(t), "videos").select("uid", "item_id", "page", "pos", "bvid", "created_s")
+
+
+@query("", """SELECT c_custkey AS uid, '' AS item_id, c_nationkey AS archive_views, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 1 END AS article_views, c_custkey AS likes FROM customer""")
+def typed_up_stat(t):
+    """Views come as a number or as an object, by version."""
+    views = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.struct(F.col("c_nationkey").alias("view")).alias("archive"), (F.col("c_nationkey") + 1).alias("article"), F.col("c_custkey").alias("likes"))))
+    other = F.to_json(F.struct(F.col("c_nationkey").alias("archive"), F.array("c_nationkey").alias("article"), F.col("c_custkey").alias("likes")))
+    return nested.typed_view(t("customer").select(F.col("c_custkey").alias("uid"), F.lit("up_stat").alias("endpoint"), F.lit("").alias("item_id"), F.coalesce(views, other).alias("payload")), "up_stat")
+
+
+@query("", "SELECT o_custkey AS uid, '' AS item_id, o_orderkey AS mid, o_orderpriority AS name FROM orders")
+def typed_all_followings(t):
+    """The payload is a list, not an object."""
+    entry = F.struct(F.col("o_orderkey").alias("mid"), F.col("o_orderpriority").alias("uname"))
+    rows = t("orders").groupBy(F.col("o_custkey").alias("uid")).agg(F.to_json(F.collect_list(entry)).alias("payload"))
+    return nested.typed_view(rows.select("uid", F.lit("all_followings").alias("endpoint"), F.lit("").alias("item_id"), "payload"), "all_followings").select("uid", "item_id", "mid", "name")
 
 
 @query("", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN props ELSE '{}' END AS value FROM events")

@@ -277,3 +277,31 @@ def test_table_round_trip_replaces_one_account(spark, tmp_path):
 def test_mock_recogniser(spark):
     rows = spark.createDataFrame([(1, bytearray(32000)), (2, None)], "id long, content binary")
     assert {r.id: (r.duration, r.language, r.tokens) for r in sequences.transcribe(rows).collect()} == {1: (2.0, "zh", 0), 2: (0.0, "zh", 0)}
+
+
+VIEW_CASES = [
+    ("overview_stat", '{"video": {"video_count": 3}, "article": 2, "opus_count": 1}', {"videos": 3, "articles": 2, "opus": 1}),
+    ("space_notice", '"hello"', {"text": "hello"}),
+    ("user_info", '{"mid": 1, "vip": {"label": "old"}}', {"mid": 1, "vip_label": "old", "name": None}),
+    ("dynamics", '{"pages": [{"items": [{"id_str": "9", "modules": [{"module_author": {"mid": 4, "pub_ts": "77"}}]}]}]}', {"id": "9", "author_mid": 4, "published_s": 77}),
+    ("channel_list_series", '{"pages": [{"items_lists": {"series_list": [{"meta": {"series_id": 5, "name": "s"}}]}}]}', {"series_id": "5", "name": "s"}),
+    ("article_list", '{"lists": [{"id": 8, "words": 10}]}', {"id": 8, "words": 10}),
+    ("channel_videos_season", '{"archives": [{"bvid": "B", "play": 2}]}', {"bvid": "B", "play": 2}),
+    ("opus_detail", '{"info": {"item": {"basic": {"rid_str": "r"}}}, "markdown": "m"}', {"rid": "r", "markdown": "m"}),
+]
+
+
+@pytest.mark.parametrize(("view", "payload", "expected"), VIEW_CASES)
+def test_typed_views(spark, view, payload, expected):
+    from payload_lake.sources.views import OF_ENDPOINT
+
+    rows = spark.createDataFrame([(1, "", OF_ENDPOINT.get(view, view), p) for p in (payload, "[", "{}", "3", None)], "uid long, item_id string, endpoint string, payload string")
+    found = [r.asDict() for r in work_items.typed_view(rows, view).collect()]
+    assert any(all(f[k] == v for k, v in expected.items()) for f in found)
+
+
+def test_every_view_parses(spark):
+    from payload_lake.sources.views import LISTINGS, SINGLE
+
+    rows = spark.createDataFrame([], "uid long, item_id string, endpoint string, payload string")
+    assert all(work_items.typed_view(rows, view).columns[:2] == ["uid", "item_id"] for view in [*SINGLE, *LISTINGS])
