@@ -233,7 +233,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     heads = marked.where("not is_copy")
     firsts = staged(heads.groupBy("gram", "run").agg(F.min(F.struct("doc_id", "start", "windows", "place")).alias("first")), "suffix-firsts")
     across = heads.join(firsts, ["gram", "run"]).where("doc_id <> first.doc_id or start <> first.start")
-    rivals = firsts.groupBy("gram").agg(F.count("*").alias("rivals")).where("rivals > 1")
+    rivals = staged(firsts.groupBy("gram").agg(F.count("*").alias("rivals")).where("rivals > 1"), "suffix-rivals")
     contested = firsts.join(rivals, "gram").select("first.*", "rivals")
     runs = contested.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "place", "rivals")).alias("runs"))
     contexts = docs.hint("merge").join(runs, "doc_id").mapInArrow(_contexts, "lead binary, doc_id long, start long, windows short, body binary, rivals long")
