@@ -557,9 +557,9 @@ def candidate_count(t):
 @query("fx_frame", """WITH s AS (SELECT clip, frame, frame - lag(frame) OVER (PARTITION BY clip ORDER BY frame) - 1 AS gap FROM fx_frame WHERE is_speech = 1),
 i AS (SELECT clip, frame, sum(CASE WHEN gap IS NULL OR gap >= 2 THEN 1 ELSE 0 END) OVER (PARTITION BY clip ORDER BY frame) AS island FROM s),
 r AS (SELECT clip, min(frame) AS first, max(frame) AS last FROM i GROUP BY clip, island)
-SELECT clip, first, last, round(first * 0.1, 6) AS start_s, round((last + 1) * 0.1, 6) AS end_s FROM r WHERE last - first + 1 >= 3""")
+SELECT clip, first, last, round(first * 0.1::DOUBLE, 6) AS start_s, round((last + 1) * 0.1::DOUBLE, 6) AS end_s FROM r WHERE last - first + 1 >= 3""")
 def islands_bridge(t):
-    return sequences.speech_regions(t("fx_frame"), 0.1, 0.2, 0.3)
+    return sequences.speech_regions(t("fx_frame").withColumn("frame", F.col("frame").cast("bigint")), 0.1, 0.2, 0.3)
 
 
 REGIONS = "regions AS (SELECT item AS clip, start_s, least(end_s - 5, 1000.0) AS end_s FROM fx_cached), clips AS (SELECT DISTINCT item AS clip, CAST(120 AS DOUBLE) AS duration_s FROM fx_cached)"
@@ -599,7 +599,7 @@ ATTEMPTS = "(SELECT user_id AS uid, CAST(CAST(ts AS DATE) AS VARCHAR) AS item, e
   SELECT *, row_number() OVER (PARTITION BY uid, item ORDER BY seq) AS number FROM {ATTEMPTS}) WINDOW w AS (PARTITION BY uid, item ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING))""")
 def attempt_ledger(t):
     rows = t("events").select(F.col("user_id").alias("uid"), F.to_date("ts").cast("string").alias("item"), F.col("event_id").alias("seq"), (F.col("event_type") != "error").alias("ok"), (F.col("value") < 20).alias("retryable"), F.when(F.col("event_id") % 3 == 0, F.col("value")).alias("advised_s"))
-    return runs.attempt_ledger(rows, ["uid", "item"], 4, [1, 5, 15]).drop("ok", "retryable", "advised_s")
+    return runs.attempt_ledger(rows, ["uid", "item"], 4, [1, 5, 15]).drop("ok", "retryable", "advised_s").withColumn("number", F.col("number").cast("bigint"))
 
 
 GUARD_NOW = 1_704_067_200_000 + 15 * 86_400_000  # 2024-01-16
@@ -735,7 +735,7 @@ def work_items(t):
     return nested.work_items(detail_payloads(t))
 
 
-@query("fx_page fx_detail", "SELECT uid, item_id, 0 AS page_index, uid AS cid, duration_s FROM fx_detail d WHERE NOT EXISTS (SELECT 1 FROM fx_page p WHERE p.uid = d.uid AND p.item_id = d.item_id)")
+@query("fx_page fx_detail", "SELECT uid, item_id, CAST(0 AS BIGINT) AS page_index, uid AS cid, duration_s FROM fx_detail d WHERE NOT EXISTS (SELECT 1 FROM fx_page p WHERE p.uid = d.uid AND p.item_id = d.item_id)")
 def work_items_fallback(t):
     rows = nested.work_items(detail_payloads(t))
     return rows.join(t("fx_page").select("uid", "item_id"), ["uid", "item_id"], "left_anti").drop("part")
@@ -751,7 +751,7 @@ def _item_results(t) -> DataFrame:
     return items.select(F.col("item").alias("uid"), F.col("item").cast("string").alias("item_id"), status.alias("status"), F.to_json(F.struct(F.struct("pages").alias("result"))).alias("payload"))
 
 
-@query("fx_segment", """SELECT uid, item_id, page_no, page_no - 1 AS page_index, cid, 2.5 AS duration_s, 'zh' AS language, CAST(NULL AS VARCHAR) AS asr_model, role AS transcript_text, cid AS transcript_char_count, n AS segment_count FROM (
+@query("fx_segment", """SELECT uid, item_id, page_no, page_no - 1 AS page_index, cid, 2.5::DOUBLE AS duration_s, 'zh' AS language, CAST(NULL AS VARCHAR) AS asr_model, role AS transcript_text, cid AS transcript_char_count, n AS segment_count FROM (
  SELECT item AS uid, CAST(item AS VARCHAR) AS item_id, role, length(role) AS cid, count(*) AS n, row_number() OVER (PARTITION BY item ORDER BY role) AS page_no FROM fx_segment GROUP BY item, role) WHERE uid % 4 <> 3""")
 def materialise_pages(t):
     return upserts.materialise_pages(_item_results(t))
@@ -771,7 +771,7 @@ def subresource_rows(t):
     return nested.explode_subresource(rows.select("uid", "item_id", F.to_json(F.struct(F.transform("x", lambda y: y.e).alias("online"))).alias("payload")), "online")
 
 
-@query("fx_segment", "SELECT item AS uid, CAST(item AS VARCHAR) AS item_id, 0 AS page_index, role AS lan, row_number() OVER (PARTITION BY item, role ORDER BY pos, text) - 1 AS cue, CAST(pos AS DOUBLE) AS from_s, CAST(pos + 1 AS DOUBLE) AS to_s, text AS content FROM fx_segment WHERE role <> 'system'")
+@query("fx_segment", "SELECT item AS uid, CAST(item AS VARCHAR) AS item_id, CAST(0 AS BIGINT) AS page_index, role AS lan, CAST(row_number() OVER (PARTITION BY item, role ORDER BY pos, text) - 1 AS INTEGER) AS cue, CAST(pos AS DOUBLE) AS from_s, CAST(pos + 1 AS DOUBLE) AS to_s, text AS content FROM fx_segment WHERE role <> 'system'")
 def subtitle_rows(t):
     cue = F.struct("pos", F.struct(F.col("pos").cast("double").alias("from"), (F.col("pos") + 1).cast("double").alias("to"), F.col("text").alias("content")).alias("b"))
     bodies = t("fx_segment").groupBy("item", "role").agg(F.transform(F.array_sort(F.collect_list(cue)), lambda x: x.b).alias("body"))
@@ -791,7 +791,7 @@ def typed_videos(t):
     return nested.typed_view(all_payloads(t), "videos").select("uid", "item_id", "page", "pos", "bvid", "created_s")
 
 
-@query("", """SELECT c_custkey AS uid, '' AS item_id, c_nationkey AS archive_views, CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 1 END AS article_views, c_custkey AS likes FROM customer""")
+@query("", """SELECT c_custkey AS uid, '' AS item_id, CAST(c_nationkey AS BIGINT) AS archive_views, CAST(CASE WHEN c_custkey % 2 = 0 THEN c_nationkey + 1 END AS BIGINT) AS article_views, c_custkey AS likes FROM customer""")
 def typed_up_stat(t):
     """Views come as a number or as an object, by version."""
     views = F.when(F.col("c_custkey") % 2 == 0, F.to_json(F.struct(F.struct(F.col("c_nationkey").alias("view")).alias("archive"), (F.col("c_nationkey") + 1).alias("article"), F.col("c_custkey").alias("likes"))))
@@ -912,8 +912,8 @@ def parse_responses(t):
     content = F.when(F.col("role") == "system", F.lit(" ")).otherwise(F.col("text"))
     body = F.to_json(F.struct(F.array(F.struct(reason.alias("finish_reason"), F.struct(content.alias("content")).alias("message"))).alias("choices")))
     good, bad = sequences.parse_responses(t("conversations").select("conv_id", "turn", "role", body.alias("payload")), scalars.REFUSAL)
-    good = good.select("conv_id", "turn", "role", F.lit("ok").alias("outcome"), F.length("text").alias("n_chars"))
-    return good.unionByName(bad.select("conv_id", "turn", "role", F.col("error_class").alias("outcome"), F.lit(None).cast("int").alias("n_chars")))
+    good = good.select("conv_id", "turn", "role", F.lit("ok").alias("outcome"), F.length("text").cast("bigint").alias("n_chars"))
+    return good.unionByName(bad.select("conv_id", "turn", "role", F.col("error_class").alias("outcome"), F.lit(None).cast("bigint").alias("n_chars")))
 
 
 # ---------------------------------------------------------------- sequences and recogniser
@@ -928,7 +928,7 @@ def stitch(t):
 c AS (SELECT *, b - a AS len, CASE WHEN outcome = 'ok' THEN 'keep' WHEN outcome = 'empty' AND b - a <= 5 THEN 'skip' WHEN outcome IN ('high_risk', 'truncated') AND b - a > 10 THEN 'split' WHEN outcome IN ('high_risk', 'truncated') THEN 'skip_error' ELSE 'fail' END AS action FROM s),
 d AS (SELECT *, least(30.0, greatest(10.0, len / 2)) AS step FROM c)
 SELECT item, pos, outcome, action, 0 AS part, a AS start_s, b AS end_s FROM d WHERE action <> 'split' UNION ALL
-SELECT item, pos, outcome, action, i AS part, a + i * step, least(a + (i + 1) * step, b) FROM (SELECT *, unnest(generate_series(0, CAST(ceil(len / step) AS BIGINT) - 1)) AS i FROM d WHERE action = 'split')""")
+SELECT item, pos, outcome, action, CAST(i AS INTEGER) AS part, a + i * step, least(a + (i + 1) * step, b) FROM (SELECT *, unnest(generate_series(0, CAST(ceil(len / step) AS BIGINT) - 1)) AS i FROM d WHERE action = 'split')""")
 def refine_round(t):
     k = F.col("pos") % 4
     outcome = F.when(k == 0, "ok").when(k == 1, "empty").when(k == 2, "high_risk").otherwise("truncated")
