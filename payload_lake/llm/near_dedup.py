@@ -9,8 +9,8 @@ the first ``DEPTH`` slots. The depth adapts to the region:
   each other;
 * in crowded regions the order goes on through all slots, and the neighbours by
   longest common prefix are candidates. Verified links then join most of a
-  region to one component. What is left outside the region's largest component
-  is compared with the whole region, block by block, so that no link that the
+  region to one component. Regions around the same largest component are taken
+  together, and what is outside it is compared with all of them, block by block, so that no link that the
   trees can see is lost and the members of one component are never paired off
   with each other.
 
@@ -247,16 +247,19 @@ def _links_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, sets: D
     placed = staged(crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "members", "id", F.coalesce("root", "id").alias("root")), "crowd")
     shares = placed.groupBy("key", "root").agg(F.count("*").alias("share"), F.first("members").alias("members"))
     largest = shares.groupBy("key").agg(F.max(F.struct("share", "root")).alias("top"), F.first("members").alias("members"))
-    open_keys = staged(largest.where("top.share < members").select("key", F.col("top.root").alias("top"), (F.col("members") - F.col("top.share")).alias("outside")), "open-regions")
+    open_keys = staged(largest.where("top.share < members").select("key", F.col("top.root").alias("top")), "open-regions")
     if open_keys.isEmpty():
         return None
+    # the same members meet in many trees: regions around one component are one region, compared once
+    once = staged(placed.join(open_keys, "key").select(F.col("top").alias("key"), "id", "root").distinct(), "regions")
+    counts = staged(once.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("root") != F.col("key")).alias("outside")), "region-sizes")
     full = heads.select("id", "n", "sign").join(sets, "id")
-    region = placed.join(open_keys, "key")
+    region = once.join(counts, "key")
     block = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK)).cast("int")
     place = lambda count: F.pmod(F.xxhash64("id"), block(count)).cast("int")
     span = lambda count: F.explode(F.sequence(F.lit(0), block(count) - 1))
     members = region.select("key", "id", "root", place("members").alias("mine"), span("outside").alias("theirs")).join(full, "id")
-    outside = region.where("root <> top").select("key", "id", "root", span("members").alias("mine"), place("outside").alias("theirs")).join(full, "id")
+    outside = region.where("root <> key").select("key", "id", "root", span("members").alias("mine"), place("outside").alias("theirs")).join(full, "id")
     grid = ["key", "mine", "theirs"]
     outside = outside.select(*(F.col(c).alias(c) for c in outside.columns))  # both sides come from the same tables
     found = members.groupBy(*grid).cogroup(outside.groupBy(*grid)).applyInArrow(_outside_links(percent), "a long, b long")
