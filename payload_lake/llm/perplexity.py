@@ -1,28 +1,43 @@
 """Quality rules by n-gram perplexity.
 
-Spark counts n-grams over all documents, a modified Kneser-Ney model is built
-from the counts, kept in sorted arrays of n-gram codes, and every document gets
-its perplexity. Documents outside a band of their language, below or above, are
-rejected.
-
-The units are characters folded to 64 symbols, so a model of order 4 has at most
-2^24 n-grams whatever the size of the corpus; that is the bound on what is
-collected and broadcast (in practice a few hundred thousand n-grams). Counts are
-summed in each task before the shuffle. The band of a language is the median of
-the log-perplexity of its documents, plus and minus ``width`` times their
-interquartile range (``floor`` at least), over all documents that pass the base
-rules, as exact percentiles of a fine histogram. A mean over few words varies
-more, so the band of a document is widened by sqrt(1 + ``short`` / n_words).
+Every document gets its perplexity under a model of word bigrams of its language
+(modified Kneser-Ney, interpolated); documents outside a band of their language,
+below or above, are rejected.
+
+The model is trained on the documents that pass the base rules, and no document
+is judged by itself: documents fall into two folds by their smallest hash of
+five words, so copies and most near copies are in one fold, and each fold is
+judged by the counts of the other. Words are 64-bit hashes without ASCII case.
+
+The bigrams grow with the corpus and never reach the driver. They are dealt by
+their hash to buckets of about ``BUCKET`` words of text and kept in Parquet as
+sorted arrays. Each task counts before the shuffle, and a bigram is sent once
+for a document, so a frequent bigram or word does not gather in one task. What a
+word adds to its bigrams (share of continuations, total and back-off weight as a
+context) is summed over the buckets by an aggregate and goes back to the buckets
+that have the word. Only counts of counts of each language are collected.
+
+The band of a language is the median of the log-perplexity of its documents,
+plus and minus ``width`` times their interquartile range (``floor`` at least),
+over all documents that pass the base rules, as exact percentiles of a fine
+histogram; ``below`` widens the lower side, where near copies stand, and
+``short`` the band of documents with few words.
 
 Defined cases: a null text has no words; documents without text have no
-perplexity and fail the base rules; a null lang is a language of its own;
-repeated rows are counted and judged one by one; an empty table stays empty;
-further columns are passed on by ``keep_good``.
+perplexity and fail the base rules; a null lang is a language of its own; where
+the other fold has no text of a language, its words are equally likely; repeated
+rows are counted and judged one by one; an empty table stays empty; further
+columns are passed on by ``keep_good``.
 """
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
@@ -33,66 +48,28 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .stage import small_side, staged, table
-from .words import Chunk, binary_column, chunks, gram_hashes, span_hashes, prefix_sums, words
+from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes, words
 
-ORDER = 4
-BITS = 6
-SPACE_SYMBOL = 26
-#: bytes looked at together; large, as each chunk looks up its distinct n-grams once
+#: bytes looked at together
 CHUNK = 2 << 20
-
-
-def _symbols() -> np.ndarray:
-    """The symbol of each byte: letters without case, white space, digits, 21 kinds of signs, 16 kinds of other bytes."""
-    out = np.zeros(256, np.int32)
-    for b in range(256):
-        c = chr(b)
-        if b >= 128:
-            out[b] = 48 + b % 16
-        elif c.isalpha():
-            out[b] = ord(c.lower()) - 97
-        elif c in " \t\n\r\x0b\x0c":
-            out[b] = SPACE_SYMBOL
-        elif c.isdigit():
-            out[b] = 27
-        else:
-            out[b] = 28 + b % 20
-    return out
-
-
-SYMBOL = _symbols()
-
-
-def codes(chunk: Chunk, order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """The n-gram code that ends at each byte, and the row borders. Each text is led by spaces."""
-    lead = order - 1
-    n, rows = len(chunk.data), len(chunk.offsets) - 1
-    row = np.repeat(np.arange(rows), np.diff(chunk.offsets))
-    at = np.arange(n) + (row + 1) * lead
-    padded = np.full(n + rows * lead + lead, SPACE_SYMBOL, np.int32)
-    padded[at] = SYMBOL[chunk.data]
-    total = np.zeros(n, np.int32)
-    for j in range(order):
-        total |= padded[at - j] << (BITS * j)
-    return total, chunk.offsets
-
-
-def _count(order: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << (BITS * order), np.int64)
-        for batch in batches:
-            for chunk in chunks(binary_column(batch, "text"), CHUNK):
-                np.add.at(counts, *_tally(codes(chunk, order)[0]))
-        seen = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int32)), pa.array(counts[seen])], ["code", "n"])
-
-    return run
-
-
-def _tally(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    values = np.sort(values)
-    first = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]])) if len(values) else np.zeros(0, np.int64)
-    return values[first], np.diff(np.append(first, len(values)))
+#: words that a task packs at once, and words of text for each bucket of bigrams
+PACK, BUCKET = 4 << 20, 4 << 20
+#: bigrams in a row of the table of bigrams
+SLICE = 1 << 20
+#: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their bigrams
+ROUNDS = 4
+#: band of the registered query and the pipeline
+BAND = {"width": 3.5}
+SIDES = {"below": 1.0, "short": 200}
+BLOB = "lang string, bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
+IDS, GRAMS, PAIRS = range(3)
+ZSTD = pa.Codec("zstd", compression_level=1)
+
+
+def discounts(of: list[float]) -> np.ndarray:
+    """Modified Kneser-Ney discounts of the counts 0, 1, 2 and 3 or more, from the numbers of entries counted 1 to 4 times."""
+    y = of[0] / max(1.0, of[0] + 2 * of[1])
+    return np.array([0.0] + [min(k, max(0.0, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.5 for k in (1, 2, 3)])
 
 
 class Level(NamedTuple):
@@ -105,9 +82,12 @@ class Level(NamedTuple):
 
 
 class KneserNey:
-    """Interpolated modified Kneser-Ney over n-gram codes; lower orders use continuation counts."""
+    """Interpolated modified Kneser-Ney over n-gram codes in memory: the plain form of the method, for comparison.
+
+    Lower orders use continuation counts.
+    """
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int = ORDER, bits: int = BITS):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, order: int, bits: int):
         self.order, self.bits = order, bits
         by = np.argsort(grams, kind="stable")
         grams, counts = grams[by].astype(np.int64), counts[by].astype(np.float64)
@@ -119,9 +99,7 @@ class KneserNey:
                 counts = counts.astype(np.float64)
 
     def _level(self, grams: np.ndarray, counts: np.ndarray) -> Level:
-        of = np.array([(counts == k).sum() for k in (1, 2, 3, 4)], np.float64)
-        y = of[0] / max(1.0, of[0] + 2 * of[1])
-        discount = np.array([0.0] + [min(k, max(0.0, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.5 for k in (1, 2, 3)])
+        discount = discounts([float((counts == k).sum()) for k in (1, 2, 3, 4)])
         cut = discount[np.minimum(counts, 3).astype(np.int64)]
         contexts, inverse = np.unique(grams >> self.bits, return_inverse=True)
         total = np.bincount(inverse, counts, len(contexts))
@@ -140,24 +118,325 @@ class KneserNey:
             p = self._find(level.grams, level.share, own, 0.0) + self._find(level.contexts, level.backoff, own >> self.bits, 1.0) * p
         return p
 
-    def log_perplexity(self, chunk: Chunk) -> np.ndarray:
-        """Mean negative log-probability of each row's characters; nan without text."""
-        ends, borders = codes(chunk, self.order)
-        if not len(ends):
-            return np.full(len(borders) - 1, np.nan)
-        kinds, _ = _tally(ends)
-        cost = np.zeros(int(kinds[-1]) + 1)
-        cost[kinds] = -np.log(np.maximum(self.probability(kinds.astype(np.int64)), 1e-12))
-        sums = np.concatenate([[0.0], np.cumsum(cost[ends])])
-        size = np.diff(borders)
-        return np.where(size > 0, (sums[borders[1:]] - sums[borders[:-1]]) / np.maximum(size, 1), np.nan)
+
+def _lang_hash(lang: str | None) -> int:
+    return 0 if lang is None else int.from_bytes(hashlib.blake2b(lang.encode(), digest_size=8).digest(), "big")
+
+
+class Read(NamedTuple):
+    """Words of a chunk as hashes, and of each row its language and key; the last bit of a key is the fold."""
+
+    hashes: np.ndarray
+    words: Words
+    langs: list
+    keys: np.ndarray
+
+
+def read(chunk: Chunk, langs: list) -> Read:
+    hashes, w = word_hashes(chunk, lower=True)
+    rows, size = len(w.rows) - 1, np.diff(w.rows)
+    row = np.repeat(np.arange(rows), size)
+    five = np.full(len(hashes), 2**64 - 1, np.uint64)
+    if len(hashes) > 4:
+        five[:-4] = gram_hashes(hashes, 5)
+    five = np.where(np.arange(len(hashes)) + 5 <= w.rows[1:][row], five, mix(hashes) | U64(1 << 63))
+    least = np.zeros(rows, np.uint64)
+    if len(hashes):
+        least[size > 0] = np.minimum.reduceat(five, w.rows[:-1][size > 0])
+    sums, down = prefix_sums(chunk.data)
+    whole = span_hashes(sums, down, chunk.offsets[:-1], chunk.offsets[1:])
+    named = {x: _lang_hash(x) for x in set(langs)}
+    keys = mix(whole + np.array([named[x] for x in langs], np.uint64)) & ~U64(1) | mix(least) & U64(1)
+    return Read(hashes, w, langs, keys)
+
+
+def _bigrams(r: Read) -> tuple[np.ndarray, np.ndarray]:
+    """The word before each word (0 before the first of a row) and the hash of both."""
+    before = np.zeros(len(r.hashes), np.uint64)
+    before[1:] = r.hashes[:-1]
+    before[r.words.rows[:-1][np.diff(r.words.rows) > 0]] = 0
+    return before, _joined(before, r.hashes)
+
+
+def _starts(*columns: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted columns."""
+    n = len(columns[0])
+    new = np.ones(n, bool)
+    if n:
+        new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return np.flatnonzero(new)
+
+
+def _squeeze(x: np.ndarray, ascending: bool = False) -> bytes:
+    """The array in few bytes: differences if it ascends, bytes of the same place together, compressed."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
+    raw = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+
+
+def _unsqueeze(body: bytes, kind: type, ascending: bool = False) -> np.ndarray:
+    size = int.from_bytes(body[:8], "little")
+    raw = np.frombuffer(ZSTD.decompress(body[8:], size, asbytes=True), np.uint8)
+    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x
+
+
+def _grams(before: np.ndarray, word: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> list[bytes]:
+    """Distinct bigrams as their sorted words, places of both words in them, and counts."""
+    ids, place = np.unique(np.concatenate([before, word]), return_inverse=True)
+    first, second = place[: len(before)], place[len(before) :]
+    by = np.argsort(first << 32 | second)
+    return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(n0[by].astype(np.int32)), _squeeze(n1[by].astype(np.int32))]
+
+
+def _ungrams(r: dict) -> tuple[np.ndarray, ...]:
+    """ids, places of the first and second words, and the counts of both folds."""
+    return _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int32, True), _unsqueeze(r["c"], np.int32), _unsqueeze(r["d"], np.int32), _unsqueeze(r["e"], np.int32)
+
+
+def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return mix(before * U64(0x9E3779B97F4A7C15) + word)
+
+
+def _blob(schema_rows: list) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist([dict(zip("lang bucket kind a b c d e".split(), r, strict=True)) for r in schema_rows], schema=ARROW_BLOB)
 
 
-def train(docs: DataFrame, order: int = ORDER) -> KneserNey:
-    """A model of all texts of ``docs``; at most 2 ** (6 * order) counts reach the driver."""
-    counts = docs.select("text").mapInArrow(_count(order), "code int, n long").groupBy("code").agg(F.sum("n").alias("n"))
-    found = counts.toArrow()
-    return KneserNey(found["code"].to_numpy(), found["n"].to_numpy(), order)
+ARROW_BLOB = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
+
+
+def _packed(buckets: int, kind: int, low: int, high: int):
+    """Bigrams of texts by language and bucket, from ``low`` to before ``high``: with the training counts of both folds (GRAMS) or their documents (PAIRS)."""
+
+    def pack(lang, parts: list) -> Iterator[pa.RecordBatch]:
+        before, word, gram, doc, n0, n1 = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
+        keys = np.concatenate([p[6] for p in parts])
+        by = np.argsort(gram, kind="stable")
+        gram, doc = gram[by], doc[by]
+        if kind == GRAMS:
+            at = _starts(gram)
+            columns = [before[by][at], word[by][at], *(np.add.reduceat(n[by], at).astype(np.int32) for n in (n0, n1))]
+        else:
+            pair = _starts(gram, doc)
+            at = _starts(gram[pair])
+            many = np.diff(np.append(pair, len(gram))).astype(np.int32)
+            ends = np.append(at, len(pair))
+        grams = gram[_starts(gram)]
+        cuts = np.searchsorted((grams >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(np.uint64))
+        for b in np.flatnonzero(np.diff(cuts)):
+            i, j = cuts[b], cuts[b + 1]
+            if kind == GRAMS:
+                yield _blob([(lang, int(b), kind, *_grams(*(c[i:j] for c in columns)))])
+            else:
+                own = doc[pair[ends[i] : ends[j]]]
+                seen, local = np.unique(own, return_inverse=True)
+                yield _blob([(lang, int(b), kind, _squeeze(grams[i:j], True), _squeeze(np.diff(ends[i : j + 1]).astype(np.int32)), _squeeze(local.astype(np.int32)), _squeeze(many[ends[i] : ends[j]]), _squeeze(keys[seen]))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, waiting, docs = defaultdict(list), 0, defaultdict(int)
+        for batch in batches:
+            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+            for chunk in chunks(binary_column(batch, "text"), CHUNK):
+                r = read(chunk, langs[chunk.start : chunk.stop])
+                before, gram = _bigrams(r)
+                size = np.diff(r.words.rows)
+                if kind == GRAMS:
+                    f = base_features(chunk)
+                    learned = ~base_failed(f["n_words"], f["n_repeat_words"])
+                else:
+                    learned = np.zeros(len(size), bool)
+                bucket = (gram >> U64(32)) * U64(buckets) >> U64(32)
+                wanted = (bucket >= U64(low)) & (bucket < U64(high))
+                number_of = {x: i for i, x in enumerate(dict.fromkeys(r.langs))}
+                names = np.array([number_of[x] for x in r.langs])
+                for lang, i in number_of.items():
+                    rows = names == i
+                    own = np.repeat(rows, size) & wanted
+                    number = np.cumsum(rows) - 1 + docs[lang]
+                    n = [np.repeat(learned & (r.keys & U64(1) == f), size)[own].astype(np.int32) for f in (0, 1)]
+                    parts[lang].append((before[own], r.hashes[own], gram[own], np.repeat(number, size)[own], *n, r.keys[rows]))
+                    docs[lang] += int(rows.sum())
+                waiting += int(wanted.sum())
+                if waiting >= PACK:
+                    for lang, found in parts.items():
+                        yield from pack(lang, found)
+                    parts, waiting, docs = defaultdict(list), 0, defaultdict(int)
+        for lang, found in parts.items():
+            yield from pack(lang, found)
+
+    return run
+
+
+def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+
+
+def _all_grams(rows: list[dict]) -> list[np.ndarray]:
+    """First and second words and counts of all slices, sorted by the hash of both words, which comes first."""
+    found = [(ids[first], ids[second], n0, n1) for ids, first, second, n0, n1 in map(_ungrams, rows)]
+    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+    gram = _joined(*columns[:2])
+    by = np.argsort(gram)
+    return [gram[by], *(c[by] for c in columns)]
+
+
+def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bigrams of each bucket once, in slices, and how many have each small count."""
+    for (lang, bucket), rows in groupby(_blobs(batches), lambda r: (r["lang"], r["bucket"])):
+        gram, before, word, n0, n1 = _all_grams(list(rows))
+        at = _starts(gram)
+        columns = [before[at], word[at], *(np.add.reduceat(n, at).astype(np.int32) for n in (n0, n1))]
+        for i in range(0, len(at), SLICE):
+            own = [c[i : i + SLICE] for c in columns]
+            of = [int((n == k).sum()) for n in own[2:] for k in (1, 2, 3, 4)]
+            part = _blob([(lang, bucket, GRAMS, *_grams(*own))])
+            yield part.append_column("of", pa.array([of], pa.list_(pa.int64())))
+
+
+def _by_lang(counted: DataFrame, at: int) -> dict:
+    """Discounts of both folds of each language, from columns of counts of counts."""
+    return {r["lang"]: [discounts([float(x) for x in r[at + 4 * f : at + 4 * f + 4]]) for f in (0, 1)] for r in counted.collect()}
+
+
+class Model(NamedTuple):
+    """Bigrams of each language and bucket, what their words add (both BLOB), discounts of each language, number of buckets."""
+
+    grams: DataFrame
+    ids: DataFrame
+    discounts: dict
+    buckets: int
+
+
+def _parts_of_words(cut: dict):
+    """Of each word of a slice of bigrams: continuations, and as a context the total and what is discounted, in both folds."""
+    names = ["m0", "m1", "t0", "t1", "k0", "k1"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for r in _blobs(batches):
+            ids, first, second, *n = _ungrams(r)
+            sums = [np.bincount(second, x > 0, len(ids)) for x in n]
+            sums += [np.bincount(first, x, len(ids)) for x in n]
+            sums += [np.bincount(first, d[np.minimum(x, 3)], len(ids)) for x, d in zip(n, cut[r["lang"]], strict=True)]
+            size = len(ids)
+            for i in range(0, size, 1 << 16):
+                own = slice(i, i + (1 << 16))
+                length = len(ids[own])
+                yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * length, pa.string()), pa.array([r["bucket"]] * length, pa.int32()), pa.array(ids[own].view(np.int64)), *(pa.array(x[own].astype(np.float64)) for x in sums)], ["lang", "bucket", "id", *names])
+
+    return run
+
+
+def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (lang, bucket, id, six numbers) as blobs."""
+    held: list[pa.RecordBatch] = []
+
+    def flush() -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(held).to_pandas()
+        for (lang, bucket), own in rows.groupby(["lang", "bucket"], dropna=False, sort=False):
+            ids = own["id"].to_numpy(np.int64).view(np.uint64)
+            by = np.argsort(ids)
+            numbers = np.ascontiguousarray(own[["p0", "p1", "t0", "t1", "b0", "b1"]].to_numpy(np.float64)[by].T)
+            yield _blob([(lang if isinstance(lang, str) else None, int(bucket), IDS, _squeeze(ids[by], True), _squeeze(numbers.ravel()), b"", b"", b"")])
+
+    for batch in batches:
+        held.append(batch)
+        if sum(x.num_rows for x in held) >= 1 << 20:
+            yield from flush()
+            held = []
+    if held:
+        yield from flush()
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """``staged``, after which the shuffle files of that write are removed."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return staged(df, name)
+    finally:
+        conf.set(key, before)
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
+
+
+def train(docs: DataFrame, bucket: int = BUCKET) -> Model:
+    """A model of the texts of ``docs`` that pass the base rules; it has the bigrams of all texts, to judge them."""
+    total = docs.select(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(1, math.ceil(total / 6 / bucket))
+    packed = docs.select("text", "lang").mapInArrow(_packed(buckets, GRAMS, 0, buckets), BLOB)
+    grams = _written(_dealt(packed, buckets).mapInArrow(_merge, f"{BLOB}, of array<long>"), "bigrams")
+    cut = _by_lang(grams.groupBy("lang").agg(*(F.sum(F.col("of")[k]) for k in range(8))), 1)
+    names = ["m0", "m1", "t0", "t1", "k0", "k1"]
+    rows = grams.select(*"lang bucket kind a b c d e".split()).mapInArrow(_parts_of_words(cut), "lang string, bucket int, id long, " + ", ".join(f"{c} double" for c in names))
+    ids = _written(rows.groupBy("lang", "id").agg(*(F.sum(c).alias(c) for c in names), F.collect_set("bucket").alias("buckets")), "words")
+    counted = ids.groupBy("lang").agg(*(F.count_if(F.col(f"m{f}") == k) for f in (0, 1) for k in (1, 2, 3, 4)), F.sum("m0"), F.sum("m1"), F.count("*"), *(F.count_if(F.col(f"m{f}") >= 3) for f in (0, 1))).collect()
+    sides = []
+    for r in counted:
+        d = [discounts([float(x) for x in r[1 + 4 * f : 5 + 4 * f]]).tolist() for f in (0, 1)]
+        rest = [float(np.dot(d[f][1:], [r[1 + 4 * f], r[2 + 4 * f], r[12 + f]]) / r[9 + f]) if r[9 + f] else 1.0 for f in (0, 1)]
+        sides.append((r["lang"], d[0], d[1], *(max(1.0, r[9 + f]) for f in (0, 1)), *(x / (r[11] + 1) for x in rest)))
+    limits = docs.sparkSession.createDataFrame(sides, "__lang string, d0 array<double>, d1 array<double>, all0 double, all1 double, u0 double, u1 double")
+    joined = ids.join(small_side(limits), F.col("lang").eqNullSafe(F.col("__lang")))
+    p = [((F.col(f"m{f}") - F.col(f"d{f}")[F.least(F.col(f"m{f}"), F.lit(3)).cast("int")]) / F.col(f"all{f}") + F.col(f"u{f}")).alias(f"p{f}") for f in (0, 1)]
+    back = [F.when(F.col(f"t{f}") > 0, F.col(f"k{f}") / F.col(f"t{f}")).otherwise(1.0).alias(f"b{f}") for f in (0, 1)]
+    sent = joined.select("lang", F.explode("buckets").alias("bucket"), "id", *p, "t0", "t1", *back).mapInArrow(_pack_ids, BLOB)
+    return Model(grams.select(*"lang bucket kind a b c d e".split()), _written(sent, "word-parts"), cut, buckets)
+
+
+def _costs(rows: list[dict], cut: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted bigrams of a bucket and their negative log-probabilities for the documents of fold 0 and 1."""
+    parts = [r for r in rows if r["kind"] == IDS]
+    ids = np.concatenate([_unsqueeze(r["a"], np.uint64, True) for r in parts])
+    numbers = np.concatenate([_unsqueeze(r["b"], np.float64).reshape(6, -1) for r in parts], axis=1)
+    by = np.argsort(ids)
+    ids, numbers = ids[by], numbers[:, by]
+    gram, before, word, *counts = _all_grams([r for r in rows if r["kind"] == GRAMS])
+    context, last = np.searchsorted(ids, before), np.searchsorted(ids, word)
+    costs = []
+    for f in (1, 0):  # the other fold
+        share = (counts[f] - cut[f][np.minimum(counts[f], 3)]) / np.maximum(numbers[2 + f, context], 1)
+        costs.append(-np.log(share + numbers[4 + f, context] * numbers[f, last]))
+    return gram, np.stack(costs, axis=1)
+
+
+def _sums(cut: dict):
+    """Key of each document, sum of negative log-probabilities and number of its words in each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (lang, _), rows in groupby(_blobs(batches), lambda r: (r["lang"], r["bucket"])):
+            model, costs = [], None
+            for r in rows:
+                if r["kind"] != PAIRS:
+                    model.append(r)
+                    continue
+                if costs is None:
+                    gram, costs = _costs(model, cut[lang])
+                    model = []
+                keys = _unsqueeze(r["e"], np.uint64)
+                at = np.repeat(np.searchsorted(gram, _unsqueeze(r["a"], np.uint64, True)), _unsqueeze(r["b"], np.int32))
+                doc, n = _unsqueeze(r["c"], np.int32), _unsqueeze(r["d"], np.int32)
+                cost = costs[at, (keys & U64(1)).astype(np.int64)[doc]] * n
+                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(doc, cost, len(keys))), pa.array(np.bincount(doc, n, len(keys)))], ["__own", "cost", "n"])
+
+    return run
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """__own (key of a text and its language) and log_perplexity; ``docs`` must be those of the model. Copies add to both sums alike."""
+    rounds, sums = min(ROUNDS, model.buckets), []
+    for i in range(rounds):
+        low, high = i * model.buckets // rounds, (i + 1) * model.buckets // rounds
+        pairs = docs.select("text", "lang").mapInArrow(_packed(model.buckets, PAIRS, low, high), BLOB)
+        own = model.ids.unionByName(model.grams).where(F.col("bucket").between(low, high - 1))
+        found = _dealt(own.unionByName(pairs), max(1, high - low)).mapInArrow(_sums(model.discounts), "__own long, cost double, n double")
+        sums.append(_written(found.groupBy("__own").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")), "document-sums"))
+    whole = reduce(DataFrame.unionByName, sums).groupBy("__own")
+    return _written(whole.agg((F.sum("cost") / F.sum("n")).alias("log_perplexity")), "document-perplexities")
 
 
 SIGN = np.zeros(256, bool)
@@ -202,31 +481,42 @@ def base_features(chunk: Chunk) -> dict[str, np.ndarray]:
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
-def score(docs: DataFrame, model: KneserNey, keep_text: bool = False) -> DataFrame:
-    """``docs`` plus the base features, base_failed and log_perplexity; without text unless ``keep_text``."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    own = [*(T.StructField(c, T.LongType()) for c in FEATURES), T.StructField("base_failed", T.BooleanType()), T.StructField("log_perplexity", T.DoubleType())]
-    passed = [f for f in docs.schema.fields if f.name not in {f.name for f in own}]
+def base_failed(n_words: np.ndarray, n_repeat_words: np.ndarray) -> np.ndarray:
+    return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
+
+
+def features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
+    """``docs`` plus the base features, base_failed and __key; without text unless ``keep_text``."""
+    own = [*(T.StructField(c, T.LongType()) for c in FEATURES), T.StructField("base_failed", T.BooleanType()), T.StructField("__key", T.LongType())]
+    passed = [f for f in docs.schema.fields if f.name not in {*(f.name for f in own), "log_perplexity"}]
     shown = [f for f in passed if keep_text or f.name != "text"]
     schema = T.StructType([*shown, *own])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {c: [] for c in (*FEATURES, "log_perplexity")}
+            parts: dict[str, list[np.ndarray]] = {c: [] for c in (*FEATURES, "__key")}
+            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             for chunk in chunks(binary_column(batch, "text"), CHUNK):
-                for c, values in (base_features(chunk) | {"log_perplexity": shared.value.log_perplexity(chunk)}).items():
+                keys = read(chunk, langs[chunk.start : chunk.stop]).keys.view(np.int64)
+                for c, values in (base_features(chunk) | {"__key": keys}).items():
                     parts[c].append(values)
-            found = {c: np.concatenate(v) if v else np.zeros(0) for c, v in parts.items()}
-            n = found["n_words"]
-            found["base_failed"] = (n < 50) | (100 * found["n_repeat_words"] > 50 * n)
+            found = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in parts.items()}
+            found["base_failed"] = base_failed(found["n_words"], found["n_repeat_words"])
             columns = [batch.column(batch.schema.get_field_index(f.name)) for f in shown]
-            made = [pa.array(found[f.name], from_pandas=True).cast(arrow.field(f.name).type) for f in own]
+            made = [pa.array(found[f.name]).cast(arrow.field(f.name).type) for f in own]
             yield pa.RecordBatch.from_arrays(columns + made, schema=arrow)
 
     return docs.select(*(F.col(f"`{f.name}`") for f in passed)).mapInArrow(run, schema)
 
 
+def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
+    """``docs`` (those of the model) plus the base features, base_failed and log_perplexity; without text unless ``keep_text``."""
+    own = perplexities(docs, model)
+    found = staged(features(docs, keep_text), "features")
+    return found.join(own, F.col("__key") == F.col("__own"), "left").drop("__key", "__own")
+
+
 def bands(scored: DataFrame, width: float = 3.5, floor: float = 0.02, bins: int = 1000) -> DataFrame:
     """lang, middle and spread: middle +- spread is the band of log-perplexity of a long text.
 
@@ -245,24 +535,27 @@ def bands(scored: DataFrame, width: float = 3.5, floor: float = 0.02, bins: int
     return quartiles.select("lang", middle.alias("middle"), spread.alias("spread"))
 
 
-def with_verdict(scored: DataFrame, limits: DataFrame, short: int = 200) -> DataFrame:
-    """``scored`` plus kept: false if the base rules fail or the perplexity is outside the band of its language."""
+def with_verdict(scored: DataFrame, limits: DataFrame, short: int = 200, below: float = 1.0) -> DataFrame:
+    """``scored`` plus kept: false if the base rules fail or the perplexity is outside the band of its language, ``below`` times as wide on the lower side."""
     sides = small_side(staged(limits.select(F.col("lang").alias("__lang"), F.col("middle").alias("__middle"), F.col("spread").alias("__spread")), "bands"))
     wide = F.col("__spread") * F.sqrt(1 + short / F.greatest(F.col("n_words"), F.lit(1)))
-    inside = F.abs(F.col("log_perplexity") - F.col("__middle")) <= wide
+    off = F.col("log_perplexity") - F.col("__middle")
+    inside = (off <= wide) & (-off <= below * wide)
     joined = scored.drop("kept").join(sides, F.col("lang").eqNullSafe(F.col("__lang")), "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__middle", "__spread")
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` (text, lang and any others) that pass base rules and perplexity bands."""
-    model = train(docs)
-    limits = bands(staged(score(docs.select("text", "lang"), model), "perplexities"))
+    own = perplexities(docs, train(docs))
+    found = staged(features(docs.select("text", "lang")), "features")
+    scored = found.join(own, F.col("__key") == F.col("__own"), "left")
+    kept = staged(with_verdict(scored, bands(scored, **BAND), **SIDES).where("kept").select(F.col("__key").alias("__good")).distinct(), "kept")
     whole = docs.select("text", "lang", F.struct(*(f"`{c}`" for c in docs.columns)).alias("__row"))
-    return with_verdict(score(whole, model), limits).where("kept").select("__row.*")
+    return features(whole).join(kept, F.col("__key") == F.col("__good"), "left_semi").select("__row.*")
 
 
 def op5_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = staged(score(docs, train(docs)), "perplexities")
-    return with_verdict(scored, bands(scored)).select("doc_id", *FEATURES, "base_failed", "kept", "log_perplexity")
+    scored = _written(score(docs, train(docs)), "perplexities")
+    return with_verdict(scored, bands(scored, **BAND), **SIDES).select("doc_id", *FEATURES, "base_failed", "kept", "log_perplexity")

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -252,6 +253,61 @@ def test_kneser_ney_is_a_distribution():
         assert p.sum() == pytest.approx(1, abs=1e-6) and (p > 0).all()
 
 
+def plain_perplexities(rows):
+    """Log-perplexity of each (text, lang) by word bigrams of the other fold, with dictionaries."""
+    cut = lambda of, n: perplexity.discounts([float(sum(v == k for v in of)) for k in (1, 2, 3, 4)])[min(n, 3)]
+    out = {}
+    for lang in {x for _, x in rows}:
+        own = [(t or "", words_of(t)) for t, x in rows if x == lang]
+        fold = {t: key_of(t, lang) & 1 for t, _ in own}
+        pairs = lambda w: list(zip([None, *w], w))
+        vocabulary = {None} | {x for _, w in own for x in w} if any(w for _, w in own) else set()
+        for f in (0, 1):
+            count = Counter(p for t, w in own if fold[t] != f and not failed(w) for p in pairs(w))
+            total, ends = Counter(), Counter(b for _, b in count)
+            back = Counter()
+            for (a, _), n in count.items():
+                total[a] += n
+                back[a] += cut(count.values(), n)
+            rest = sum(cut(ends.values(), n) for n in ends.values()) / max(1, sum(ends.values())) if ends else 1.0
+            for t, w in own:
+                if fold[t] == f and w:
+                    cost = 0.0
+                    for a, b in pairs(w):
+                        low = (ends[b] - cut(ends.values(), ends[b])) / max(1, sum(ends.values())) + rest / (len(vocabulary) + 1)
+                        share = (count[a, b] - cut(count.values(), count[a, b])) / max(1, total[a])
+                        cost -= np.log(share + (back[a] / total[a] if total[a] else 1.0) * low)
+                    out[t, lang] = cost / len(w)
+    return out
+
+
+def words_of(text):
+    return WORD.findall(lower(text or ""))
+
+
+def failed(w):
+    count = Counter(zip(w, w[1:], w[2:]))
+    return len(w) < 50 or 2 * len({k + j for k, g in enumerate(zip(w, w[1:], w[2:])) if count[g] > 1 for j in range(3)}) > len(w)
+
+
+def key_of(text, lang):
+    chunk = next(words.chunks(pa.array([(text or "").encode()], pa.large_binary())))
+    return int(perplexity.read(chunk, [lang]).keys[0])
+
+
+def test_word_bigrams_equal_a_plain_model_of_the_other_fold(spark):
+    rows = [(prose(70 + i, 300 + i), "en" if i % 3 else None) for i in range(24)] + [("x y x", "en"), ("ab " * 80, "en"), (prose(90, 1), "xx"), (prose(70, 301), "en"), (None, "en"), ("#### **** %%% " + prose(60, 5), "en")]
+    frame = spark.createDataFrame([(i, t, x, 0) for i, (t, x) in enumerate(rows)], SCHEMA).repartition(3)
+    model = perplexity.train(frame)
+    assert model.buckets == 1
+    expected = plain_perplexities(rows)
+    for m in (model, perplexity.train(frame, bucket=200)):
+        found = {(r.text or "", r.lang): r.log_perplexity for r in perplexity.score(frame, m, keep_text=True).collect()}
+        assert {k for k, v in found.items() if v is not None} == set(expected)
+        assert all(found[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
+    assert m.buckets > 5
+
+
 def test_bands_are_quartiles_of_each_language(spark):
     rng = np.random.default_rng(4)
     rows = [(i, ["en", "de", None][i % 3], 400, False, float(2 + (i % 3) + 0.03 * rng.standard_normal())) for i in range(300)]
