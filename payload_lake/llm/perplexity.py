@@ -59,8 +59,8 @@ SLICE = 1 << 20
 #: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their bigrams
 ROUNDS = 4
 #: band of the registered query and the pipeline
-BAND = {"width": 3.5}
-SIDES = {"below": 1.0, "short": 200}
+BAND = {"width": 2.0}
+SIDES = {"below": 1.5, "short": 0}
 BLOB = "lang string, bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
 IDS, GRAMS, PAIRS = range(3)
 ZSTD = pa.Codec("zstd", compression_level=1)

@@ -333,6 +333,20 @@ def test_good_documents_keep_their_columns(spark, docs, empty):
     assert set(perplexity.keep_good(docs).columns) == set(docs.columns)
 
 
+def test_documents_of_signs_go_in_every_language(spark):
+    rows = []
+    for k, lang in enumerate(("en", "de", None)):
+        rng = np.random.default_rng(50 + k)
+        weight = 1 / np.arange(1, 401)
+        text = lambda n: rng.choice(VOCABULARY, n, p=weight / weight.sum())  # noqa: E731, B023
+        rows += [(1000 * k + i, " ".join(text(150)), lang, 0) for i in range(120)]
+        rows += [(1000 * k + 500 + i, " ".join(f"{x}{rng.choice(list('#*$%&'))}{rng.choice(list('#*$%&'))}" for x in text(150)), lang, 0) for i in range(6)]
+    kept = {r.doc_id for r in perplexity.keep_good(spark.createDataFrame(rows, SCHEMA)).collect()}
+    for k in range(3):
+        assert not {1000 * k + 500 + i for i in range(6)} & kept
+        assert len({1000 * k + i for i in range(120)} & kept) >= 110
+
+
 # ---------------------------------------------------------------- 6 shards
 
 
