@@ -5,8 +5,8 @@ rates and elastic-net penalties, so weights that do not pay stay exactly 0; the
 scores are then calibrated by one temperature on rows kept out of the training.
 
 The model learns from a bounded sample: at most ``PER_LANGUAGE`` rows of each
-language and ``MAX_ROWS`` rows in all, chosen by a hash of their id. What is
-collected is their hashed counts, at most ``MAX_ROWS`` times ``BUCKETS``.
+language and ``MAX_ROWS`` rows in all, chosen by a hash of their id,
+shared out over the languages. What is collected is their hashed counts, at most ``MAX_ROWS`` times ``BUCKETS``.
 Predicting is a map without a shuffle over whole texts.
 
 Defined cases: a null text or one without a letter gets ``und`` and score 0;
@@ -24,6 +24,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .ngram_features import bounded_sample, counts, dense, remainder, row_blocks, sparse_rows
@@ -109,7 +110,9 @@ def train(docs: DataFrame) -> Model | None:
     share = small_side(staged(sizes.select("lang", F.least(F.lit(1.0), F.lit(1.2 * PER_LANGUAGE) / F.col("n")).alias("share")), "languages"))
     spread = (F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / (1 << 30)).alias("place")
     chosen = known.select("doc_id", "lang", spread).join(share, "lang").where("place < share").select("doc_id", "lang", "place")
-    bounded = staged(bounded_sample(chosen, MAX_ROWS, F.struct("place", "doc_id", "lang")).select("doc_id", F.col("lang").alias("name")), "language-sample")
+    # by rank in the language, so that the rows are shared out over languages and those of few rows come whole
+    ranked = chosen.withColumn("rank", F.row_number().over(W.partitionBy("lang").orderBy("place", "doc_id")))
+    bounded = staged(bounded_sample(ranked, MAX_ROWS, F.struct("rank", "place", "doc_id", "lang")).select("doc_id", F.col("lang").alias("name")), "language-sample")
     rows = known.select("doc_id", "lang", "text").join(F.broadcast(bounded.distinct()), "doc_id").where("lang = name").select("doc_id", "lang", "text")
     found = sparse_rows(rows, lambda chunk: counts(chunk, SIZES, BUCKETS)).toArrow().sort_by([("doc_id", "ascending"), ("lang", "ascending")]).slice(0, MAX_ROWS)
     return fit(dense(found, BUCKETS), found["lang"].to_pylist())

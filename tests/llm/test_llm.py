@@ -395,6 +395,14 @@ def test_shards_hold_their_law(docs, empty):
 # ---------------------------------------------------------------- 7 languages
 
 
+def test_a_rare_language_is_learned_beside_large_ones(spark, monkeypatch):
+    monkeypatch.setattr(language_id, "PER_LANGUAGE", 10)
+    monkeypatch.setattr(language_id, "MAX_ROWS", 40)
+    rows = [(1000 * k + i, prose(30, k), f"l{k}", 30) for k in range(8) for i in range(200)] + [(9000 + i, "zzyx qqwv zyxq " * 9, "rare", 27) for i in range(3)]
+    model = language_id.train(spark.createDataFrame(rows, SCHEMA))
+    assert model.languages == [*(f"l{k}" for k in range(8)), "rare"]
+
+
 def test_language_id(spark, docs, empty):
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
     make = lambda name, seed: " ".join("".join(np.random.default_rng(seed * 100 + k).choice(list(alphabets[name]), 4)) for k in range(30))
