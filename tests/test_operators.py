@@ -305,3 +305,17 @@ def test_every_view_parses(spark):
 
     rows = spark.createDataFrame([], "uid long, item_id string, endpoint string, payload string")
     assert all(work_items.typed_view(rows, view).columns[:2] == ["uid", "item_id"] for view in [*SINGLE, *LISTINGS])
+
+
+def test_stale_runs_follow_the_exact_threshold(spark, tmp_path):
+    from payload_lake.streaming import events as streams
+
+    minutes = {"old": -2000, "two days": -2879, "just stale": -16, "just alive": -14, "ended": -500, "closing": 0}
+    rows = [(run, "run.completed" if run == "ended" else "item.saved", 1_700_000_000 + 60 * m) for run, m in minutes.items()]
+    frame = spark.createDataFrame(rows, "run_id string, event string, s long").selectExpr("run_id", "event", "timestamp_seconds(s) AS ts")
+    frame.write.parquet(f"{tmp_path}/in")
+    alerts = streams.stream_stale_runs(spark.readStream.schema(frame.schema).parquet(f"{tmp_path}/in"))
+    started = alerts.writeStream.format("parquet").option("path", f"{tmp_path}/out").option("checkpointLocation", f"{tmp_path}/checkpoint").trigger(availableNow=True).start()
+    started.awaitTermination(60)
+    found = {r.run_id: r.last_ts_ms for r in spark.read.schema(alerts.schema).parquet(f"{tmp_path}/out").collect()}
+    assert found == {run: (1_700_000_000 + 60 * minutes[run]) * 1000 for run in ("old", "two days", "just stale")}
