@@ -52,12 +52,12 @@ def path_values(value: Column, path: str) -> Column:
         return F.filter(F.when(kind(at(value, last)) == "array", many).otherwise(one), lambda x: x.isNotNull())
     found = array_at(value, lists[0].strip("."))
     for part in lists[1:]:
-        found = F.flatten(F.transform(found, _at_each(part.strip("."))))
+        found = F.flatten(F.transform(found, at_each(part.strip("."))))
     texts = F.transform(found, lambda x: at(x, last, "string") if last else x.cast("string"))
     return F.filter(texts, lambda x: x.isNotNull())
 
 
-def _at_each(path: str) -> Callable[[Column], Column]:
+def at_each(path: str) -> Callable[[Column], Column]:
     return lambda x: array_at(x, path)
 
 
@@ -89,6 +89,10 @@ LIST_KEYS = ("list", "items", "archives", "data", "media_list")
 TOTAL_PATHS = ("page.count", "page.total", "items_lists.page.total", "total", "count", "total_count", "totalSize")
 
 
+#: fixed values: where the page strategy looks for a total when the first one is 0
+PAGE_TOTALS = ("page.count", "totalSize", "items_lists.page.total", "count", "total_count")
+
+
 def find_items(value: Column, path: str | None = None) -> Column:
     """The list of a response as array<variant>, by its path or by the usual keys; empty if there is none."""
     none = F.array().cast("array<variant>")
@@ -126,10 +130,14 @@ def wrap_result(value: Column, key: str = "data") -> Column:
 
 def next_page(value: Column, strategy: str, page: Column, size: Column, items_path: str | None = None) -> tuple[Column, Column]:
     """(is_last, next parameter as text) of a response under a paging strategy."""
-    more = F.coalesce(at(value, "has_more", "bigint") == 1, at(value, "has_more", "boolean"), F.lit(False))
+    flag = kind(at(value, "has_more"))
+    more = F.coalesce(F.when(flag.isin("integer", "number"), at(value, "has_more", "double") == 1).when(flag == "boolean", at(value, "has_more", "boolean")), F.lit(False))
     items, total = find_items(value, items_path), find_total(value)
     n = F.size(items)
     if strategy == "page":
+        whole = lambda path: F.when(kind(at(value, path)) == "integer", at(value, path, "bigint"))
+        # a total of 0 gives way to the totals of other shapes of a response
+        total = F.coalesce(F.when(total != 0, total), *(F.when(whole(p) != 0, whole(p)) for p in PAGE_TOTALS), F.lit(0).cast("bigint"))
         last = (n == 0) | (total > 0) & (page * size >= total)
         following = (page + 1).cast("string")
     elif strategy == "cursor":
@@ -151,6 +159,17 @@ def next_page(value: Column, strategy: str, page: Column, size: Column, items_pa
     return last, F.when(~last, following)
 
 
+def truthy(value: Column) -> Column:
+    """Whether a value counts as given: true, a number but 0, a text, list or object that is not empty."""
+    here = kind(value)
+    size = F.coalesce(F.size(at(value, "", "array<variant>")), F.lit(0))
+    found = (
+        F.when(here == "boolean", at(value, "", "boolean")).when(here.isin("integer", "number"), at(value, "", "double") != 0)
+        .when(here == "string", at(value, "", "string") != "").when(here == "array", size > 0).when(here == "object", F.to_json(value) != "{}")
+    )
+    return F.coalesce(found, F.lit(False))
+
+
 def decode_cursor(text: Column) -> tuple[Column, Column]:
     """(JSON value, plain text): text that starts with a brace or bracket is JSON if it parses, else plain."""
     value = F.when(F.substring(text, 1, 1).isin("{", "["), parsed(text))

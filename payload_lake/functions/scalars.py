@@ -83,17 +83,19 @@ def next_step(length: Column, step: Column | float, least: Column | float) -> Co
 
 
 def doubling(start: Column, cap: Column) -> Column:
-    """start, 2 start, 4 start, ... below the cap, then the cap."""
-    n = F.when(start < cap, F.ceil(F.log2(cap / start))).otherwise(0).cast("int")
-    return F.concat(F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (start * F.pow(F.lit(2), i)).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), F.array(cap.cast("bigint")))
+    """start, 2 start, 4 start, ... below the cap, then the cap; nothing if start or cap is not positive."""
+    none = F.array().cast("array<bigint>")
+    n = F.when((start > 0) & (start < cap), F.ceil(F.log2(F.try_divide(cap, start)))).otherwise(0).cast("int")
+    steps = F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: (start * F.pow(F.lit(2), i)).cast("bigint"))).otherwise(none)
+    return F.when((start > 0) & (cap > 0), F.concat(steps, F.array(cap.cast("bigint")))).otherwise(none)
 
 
-def parse_delays(text: Column, default: tuple[float, ...] = (1.0, 2.0, 4.0)) -> Column:
-    """Comma list of seconds, sorted; the default if it is empty or any entry is bad."""
+def parse_delays(text: Column, default: tuple[int, ...] = (30, 60, 120)) -> Column:
+    """Comma list of whole seconds, sorted; the default if it is empty or any entry is no whole number."""
     parts = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ","), lambda x: F.trim(x)), lambda x: x != "")
-    values = F.transform(parts, lambda x: x.try_cast("double"))
+    values = F.transform(parts, lambda x: F.when(x.rlike("^[+-]?[0-9]+$"), x.try_cast("bigint")))
     fine = (F.size(parts) > 0) & ~F.exists(values, lambda x: x.isNull())
-    return F.when(fine, F.array_sort(values)).otherwise(F.array(*(F.lit(d) for d in default)))
+    return F.when(fine, F.array_sort(values)).otherwise(F.array(*(F.lit(d).cast("bigint") for d in default)))
 
 
 def is_stale(fetched_ms: Column, now_ms: Column | int, days: int = 7) -> Column:
@@ -121,7 +123,8 @@ def is_failure(status: Column) -> Column:
 
 
 def is_attention(level: Column, event: Column) -> Column:
-    named = event.like("%.retry_scheduled") | event.like("%.rate_limited") | event.like("%.high_risk_%") | event.like("%.failed")
+    """Levels as written; names in any case."""
+    named = event.ilike("%.retry_scheduled") | event.ilike("%.rate_limited") | event.ilike("%.high_risk_%") | event.ilike("%.failed")
     return level.isin("WARNING", "ERROR", "CRITICAL") | named
 
 

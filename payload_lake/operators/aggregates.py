@@ -75,29 +75,41 @@ def derive_task_status(states: DataFrame, by: list[str]) -> DataFrame:
 
 
 def pipeline_rollup(outcomes: DataFrame, by: list[str]) -> DataFrame:
-    """Sums of total, completed, failed and skipped over buckets, and the status."""
-    sums = outcomes.groupBy(*by).agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("total", "completed", "failed", "skipped")))
-    rest = F.col("total") - F.col("completed") - F.col("failed") - F.col("skipped")
+    """Sums of total, completed, failed and skipped over buckets (rows), and the status: each bucket is asked for an open rest."""
+    columns = ("total", "completed", "failed", "skipped")
+    n = {c: F.coalesce(F.col(c), F.lit(0)) for c in columns}
+    some = lambda c: F.bool_or(c)
+    failed, done = some(n["failed"] > 0), some((n["completed"] > 0) | (n["skipped"] > 0))
     status = (
-        F.when(F.col("total") == 0, "SUCCESS").when(rest > 0, "RUNNING")
-        .when((F.col("failed") > 0) & (F.col("completed") + F.col("skipped") > 0), "PARTIAL").when(F.col("failed") > 0, "FAILED_PERMANENT").otherwise("SUCCESS")
+        F.when(some(n["total"] - n["completed"] - n["failed"] - n["skipped"] > 0), "RUNNING")
+        .when(failed & done, "PARTIAL").when(failed, "FAILED_PERMANENT").otherwise("SUCCESS")
     )
-    return sums.withColumn("status", status)
+    return outcomes.groupBy(*by).agg(*(F.sum(n[c]).alias(c) for c in columns), status.alias("status"))
 
 
 def derive_stage_status(pipelines: DataFrame, coverage: DataFrame, by: list[str]) -> DataFrame:
-    """Stage status over pipelines, lowered to PARTIAL where coverage (``complete``) is not, and the run status."""
-    s = F.col("status")
+    """Stage status over pipelines, lowered to PARTIAL where coverage (``complete``) is not, and the run status.
+
+    A pipeline status that is not known counts as PENDING; a group that only
+    coverage has is without pipelines, which is SUCCESS.
+    """
+    s = F.when(F.col("status").isin("RUNNING", "SUCCESS", "PARTIAL", "FAILED_PERMANENT"), F.col("status")).otherwise("PENDING")
     stage = (
         F.when(F.bool_and(s == "SUCCESS"), "SUCCESS").when(F.bool_or(s == "RUNNING"), "RUNNING")
-        .when(F.bool_and(s == "FAILED_PERMANENT"), "FAILED_PERMANENT").otherwise("PARTIAL")
+        .when(F.bool_or(s == "FAILED_PERMANENT") & ~F.bool_or(s == "SUCCESS"), "FAILED_PERMANENT").otherwise("PARTIAL")
     )
-    rows = pipelines.groupBy(*by).agg(stage.alias("stage_status")).join(coverage.select(*by, "complete"), by, "left")
-    lowered = F.when((F.col("stage_status") == "SUCCESS") & ~F.coalesce("complete", F.lit(True)), "PARTIAL").otherwise(F.col("stage_status"))
-    run = F.when(lowered.isin("SUCCESS", "PARTIAL"), lowered).otherwise("FAILED")
+    rows = pipelines.groupBy(*by).agg(stage.alias("stage_status")).join(coverage.select(*by, "complete"), by, "full")
+    found = F.coalesce("stage_status", F.lit("SUCCESS"))
+    lowered = F.when((found == "SUCCESS") & ~F.coalesce("complete", F.lit(True)), "PARTIAL").otherwise(found)
+    run = run_status(lowered)
     return rows.select(*by, lowered.alias("stage_status"), run.alias("run_status"))
 
 
+def run_status(task_status: Column) -> Column:
+    """Status of a run whose task ended with ``task_status``: failures of any kind are FAILED."""
+    return F.when(task_status.isin("SUCCESS", "DRY_RUN", "PARTIAL", "RUNNING", "PENDING"), task_status).otherwise("FAILED")
+
+
 def fanout_result(outcomes: DataFrame, by: list[str]) -> DataFrame:
     """Endpoint result of item outcomes (completed, failed, unavailable, forbidden)."""
     n = lambda *o: F.count_if(F.col("outcome").isin(*o))

@@ -78,7 +78,7 @@ def resolve_dependencies(requested: DataFrame, registry: DataFrame, states: Data
     ``requested`` and ``states`` have uid and endpoint; ``registry`` name and source_endpoint.
     """
     sources = registry.select(F.col("name").alias("endpoint"), F.col("source_endpoint").alias("source"))
-    rows = requested.select("uid", "endpoint").join(F.broadcast(sources), "endpoint", "left")
+    rows = requested.select("uid", "endpoint").join(sources, "endpoint", "left")
     asked = requested.select("uid", F.col("endpoint").alias("source"), F.lit(True).alias("is_asked"))
     status = states.select("uid", F.col("endpoint").alias("source"), F.col("status").alias("source_status"))
     rows = rows.join(asked, ["uid", "source"], "left").join(status, ["uid", "source"], "left")

@@ -12,16 +12,38 @@ RULES: dict[str, dict[str, str]] = {
     "raw_payload": {"fetched_at": "fetched_at_ms >= 0"},
     "fetch_progress": {"total": "total >= 0", "fetched": "fetched >= 0", "fetched_in_total": "fetched <= total", "updated_at": "updated_at_ms >= 0"},
     "audio_transcription": {"status": "status in ('pending', 'running', 'success', 'failed', 'skipped')", "tokens": "audio_tokens >= 0", "seconds": "seconds >= 0", "cache_hits": "cache_hits >= 0", "processed_at": "processed_at_ms >= 0"},
-    "audio_transcription_page": {"page_no": "page_no >= 1", "page_index": "page_index >= 0", "duration": "duration_s >= 0", "chars": "transcript_char_count >= 0", "segments": "segment_count >= 0"},
+    "audio_transcription_page": {"page_no": "page_no >= 1", "page_index": "page_index >= 0", "cid": "cid >= 0", "duration": "duration_s >= 0", "chars": "transcript_char_count >= 0", "segments": "segment_count >= 0"},
     "audio_transcription_segment": {"segment_no": "segment_no >= 1", "start": "start_seconds >= 0", "end_after_start": "end_seconds >= start_seconds", "duration": "duration_s >= 0", "empty_flag": "is_empty_transcript_skip in (0, 1)", "risk_flag": "is_high_risk_audio_skip in (0, 1)"},
-    "stage_task": {"stage": "stage in ('fetching', 'asr')", "times": "updated_at_ms >= created_at_ms"},
-    "fetch_endpoint_state": {"retry_count": "retry_count >= 0"},
-    "stage_error": {"stage": "stage in ('fetching', 'asr')", "retryable": "retryable in (0, 1)"},
-    "stage_run": {"status": "status in ('PENDING', 'RUNNING', 'SUCCESS', 'PARTIAL', 'FAILED', 'CANCELLED', 'DRY_RUN')", "times": "ended_at_ms >= started_at_ms"},
-    "stage_event": {"level": "level in ('DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL')"},
+    "stage_task": {
+        "stage": "stage in ('fetching', 'asr')", "status": "status in ('PENDING', 'RUNNING', 'SUCCESS', 'PARTIAL', 'FAILED', 'FAILED_RETRYABLE', 'FAILED_EXHAUSTED', 'FAILED_PERMANENT')",
+        "created_at": "created_at_ms >= 0", "times": "updated_at_ms >= created_at_ms",
+    },
+    "fetch_endpoint_state": {"status": "status in ('PENDING', 'RUNNING', 'SUCCESS', 'PARTIAL_ITEM', 'FAILED_RETRYABLE', 'FAILED_EXHAUSTED', 'FAILED_PERMANENT')", "retry_count": "retry_count >= 0", "updated_at": "updated_at_ms >= 0"},
+    "stage_error": {"stage": "stage in ('fetching', 'asr')", "retryable": "retryable in (0, 1)", "occurred_at": "occurred_at_ms >= 0"},
+    "stage_run": {"status": "status in ('PENDING', 'RUNNING', 'SUCCESS', 'PARTIAL', 'FAILED', 'CANCELLED', 'DRY_RUN')", "started_at": "started_at_ms >= 0", "times": "ended_at_ms >= started_at_ms"},
+    "stage_event": {"level": "level in ('DEBUG', 'INFO', 'WARNING', 'ERROR', 'CRITICAL')", "ts": "ts_ms >= 0"},
+}
+#: fixed values: columns that must have a value
+REQUIRED: dict[str, tuple[str, ...]] = {
+    "meta": ("value",),
+    "raw_payload": ("endpoint", "item_id", "payload", "fetched_at_ms"),
+    "fetch_progress": ("updated_at_ms",),
+    "audio_transcription": ("status", "payload", "processed_at_ms"),
+    "audio_transcription_page": ("item_id", "page_no", "page_index", "transcript_text", "transcript_char_count", "segment_count"),
+    "audio_transcription_segment": ("item_id", "page_no", "segment_no", "transcript_text", "is_empty_transcript_skip", "is_high_risk_audio_skip"),
+    "stage_task": ("status", "payload", "created_at_ms", "updated_at_ms"),
+    "fetch_endpoint_state": ("status", "retry_count", "updated_at_ms"),
+    "stage_error": ("stage", "error_type", "message", "occurred_at_ms"),
+    "stage_run": ("uid", "command", "status", "started_at_ms", "args_json"),
+    "stage_event": ("run_id", "ts_ms", "level", "stage", "event"),
 }
 
 
+def table_rules(table: str) -> dict[str, str]:
+    """All rules of a table: its conditions, and one for each column that must have a value."""
+    return RULES.get(table, {}) | {f"{c}_given": f"`{c}` is not null" for c in REQUIRED[table]}
+
+
 def check_rules(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """rule and number of violations, all rules in one pass; null passes as in a CHECK."""
     counts = rows.agg(*(F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name) for name, rule in rules.items()))

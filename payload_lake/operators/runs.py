@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions import jsonx
 from .joins import latest_per_key
 from .selects import attention_events
 
@@ -21,7 +24,10 @@ def latest_run(runs: DataFrame, run_id: str | None = None) -> DataFrame:
 
 
 def recent_events(events: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
-    """The last n events by id, of each group of ``by`` or of all; none if n is not positive."""
+    """The last n events by id, of each group of ``by`` or of all; none if n is not positive.
+
+    Spark keeps n rows of a group in each task before it shuffles, so a hot group sends little.
+    """
     if n <= 0:
         return events.limit(0)
     if not by:
@@ -90,21 +96,43 @@ def endpoint_reset(wanted: DataFrame, states: DataFrame, mode: str, fresh: bool
     return rows.select("uid", "endpoint", F.when(anew | again, "PENDING").otherwise(F.col("status")).alias("status"), F.when(anew, 0).otherwise(F.col("retry_count")).alias("retry_count"))
 
 
-def run_summary(runs: DataFrame, events: DataFrame, states: DataFrame, coverage: DataFrame, n: int = 5) -> DataFrame:
-    """One row per account: newest run, endpoint states by status, coverage, candidates and numbers of recent events.
+def coverage_applies(command: Column, args_json: Column, summary_json: Column) -> Column:
+    """Whether coverage of all items says something about a run: not about a partial recogniser run or one that ran out of its budget."""
+    args, summary = jsonx.parsed(args_json), jsonx.parsed(summary_json)
+    given = lambda key: F.coalesce(jsonx.kind(jsonx.at(args, key)) != "null", F.lit(False))
+    set_to = lambda key: jsonx.truthy(jsonx.at(args, key))
+    partial = set_to("dry_run") | given("limit") | given("only_bvids") | given("exclude_bvids") | set_to("retry_failed_only")
+    return F.coalesce(command != "asr", F.lit(True)) | ~(partial | jsonx.truthy(jsonx.at(summary, "budget_exceeded")))
 
-    ``coverage`` has uid, expected, success and complete; ``states`` uid and status.
+
+def run_summary(
+    runs: DataFrame, events: DataFrame, tasks: DataFrame, states: DataFrame, coverage: DataFrame, n: int = 5, uid: int | None = None, run_id: str | None = None, only_run: bool = True, count_key: str = "candidate_count",
+) -> DataFrame:
+    """One row per account, also for those without a run: the chosen run, tasks, endpoint states, coverage, candidates and events.
+
+    The run is the newest of the account or the named one; events and candidates
+    are those of the run, or of all runs of the account unless ``only_run``.
+    ``runs`` has run_id, uid, command, status, started_at, seq, args_json and
+    summary_json; ``tasks`` uid, stage and status; ``states`` uid, endpoint and
+    status; ``coverage`` uid, expected, success and complete.
     """
-    latest = latest_run(runs).select("uid", "run_id", "command")
-    own = events.drop("uid").join(latest.select("uid", "run_id"), "run_id")
-    shown = recent_events(own, n, ["uid"]).groupBy("uid").agg(F.array_sort(F.collect_list("id")).alias("recent_ids"))
-    alert = recent_attention(own, n, ["uid"]).groupBy("uid").agg(F.array_sort(F.collect_list("id")).alias("attention_ids"))
+    if uid is not None:
+        runs, tasks, states, coverage = (df.where(F.col("uid") == uid) for df in (runs, tasks, states, coverage))
+    chosen = latest_run(runs, run_id).select("uid", "run_id", "command", F.col("status").alias("run_status"), coverage_applies(F.col("command"), F.col("args_json"), F.col("summary_json")).alias("coverage_applicable"))
+    known = [df.select("uid") for df in ((chosen,) if run_id is not None else (runs, tasks, states, coverage))]
+    out = reduce(DataFrame.unionByName, known).distinct().join(chosen, "uid", "left")
+    own = events.drop("uid").join((chosen if only_run else runs).select("uid", "run_id"), "run_id")
+    listed = lambda df, name: df.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("id", "level", "event"))).alias(name))
+    statuses = lambda df, key, name: df.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct(key, "status"))).alias(name))
     counted = states.groupBy("uid").agg(F.count("*").alias("endpoints"), F.count_if(F.col("status") == "SUCCESS").alias("endpoints_done"))
-    out = latest
-    for part in (counted, coverage, candidate_count(own, ["uid"]), shown, alert):
+    parts = (
+        statuses(tasks, "stage", "tasks"), counted, coverage, candidate_count(own, ["uid"], count_key),
+        listed(recent_events(own, n, ["uid"]), "recent_events"), listed(recent_attention(own, n, ["uid"]), "attention_events"),
+    )
+    for part in parts:
         out = out.join(part, "uid", "left")
-    none = F.array().cast("array<bigint>")
-    return out.withColumn("recent_ids", F.coalesce("recent_ids", none)).withColumn("attention_ids", F.coalesce("attention_ids", none))
+    nothing = {name: F.coalesce(name, F.array().cast(out.schema[name].dataType)) for name in ("tasks", "recent_events", "attention_events")}
+    return out.withColumns(nothing | {"coverage_applicable": F.coalesce("coverage_applicable", F.lit(True))})
 
 
 def dashboard(manifest: DataFrame, summary: DataFrame, active: DataFrame, broken: DataFrame) -> DataFrame:

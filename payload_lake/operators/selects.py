@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,6 +12,10 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions.scalars import is_attention
 
+#: fixed values: named subsets of the endpoints; None stands for all
+PROFILES: dict[str, tuple[str, ...] | None] = {"all": None, "minimal": ("user_info", "videos", "articles", "opus", "dynamics")}
+#: fixed values
+KNOWN_TASKS = ("PENDING", "RUNNING", "SUCCESS", "PARTIAL", "FAILED", "FAILED_RETRYABLE", "FAILED_EXHAUSTED", "FAILED_PERMANENT")
 KNOWN_STATES = ("PENDING", "RUNNING", "SUCCESS", "PARTIAL_ITEM", "FAILED_RETRYABLE", "FAILED_EXHAUSTED", "FAILED_PERMANENT")
 
 
@@ -46,10 +53,15 @@ def items_by_status(results: DataFrame, status: str | None = None) -> DataFrame:
     return (results if status is None else results.where(F.col("status") == status)).select("uid", "item_id", "status")
 
 
-def resolve_subset(registry: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """(chosen rows with ``place``, unknown names). Include keeps the given order (name, place), exclude the registry's."""
-    if include is not None and exclude is not None:
-        raise ValueError("give include or exclude, not both")
+def resolve_subset(registry: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, profile: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """(chosen rows with ``place``, unknown names). Include keeps the given order (name, place), exclude and a profile the registry's."""
+    if sum(x is not None for x in (include, exclude, profile)) > 1:
+        raise ValueError("give include, exclude or profile, not several")
+    if profile is not None:
+        if profile not in PROFILES:
+            raise ValueError(f"unknown profile: {profile}")
+        members = PROFILES[profile]
+        return registry if members is None else registry.where(F.col("name").isin(*members)), registry.select("name").limit(0)
     given = include if include is not None else exclude
     if given is None:
         return registry, registry.select("name").limit(0)
@@ -59,6 +71,17 @@ def resolve_subset(registry: DataFrame, include: DataFrame | None = None, exclud
     return registry.join(exclude.select("name"), "name", "left_anti"), unknown
 
 
+def checked_subset(registry: DataFrame, include: DataFrame | None = None, exclude: DataFrame | None = None, profile: str | None = None) -> DataFrame:
+    """The chosen rows of ``resolve_subset``; unknown names and an empty rest are errors. Names are configuration."""
+    chosen, unknown = resolve_subset(registry, include, exclude, profile)
+    odd = sorted(r["name"] for r in unknown.collect())
+    if odd:
+        raise ValueError(f"unknown names: {', '.join(odd)}")
+    if chosen.isEmpty():
+        raise ValueError("nothing is left to run")
+    return chosen
+
+
 def discover_candidates(items: DataFrame, status: DataFrame, mode: str = "incremental", only: DataFrame | None = None, exclude: DataFrame | None = None, limit: int | None = None) -> DataFrame:
     """Items (uid, item_id) of each account that are ready, with ``skipped``: how many of its items were done before.
 
@@ -96,9 +119,35 @@ NOT_ARTICLES = {"template_id": (4,), "origin_template_id": (5,), "category_id":
 
 
 def skip_reason(template_id: Column, origin_template_id: Column, category_id: Column, kind: Column) -> Column:
-    """The first reason why a listed item is not fetched as an article, else null."""
+    """Why a listed item is not fetched as an article: all four kinds fit; else null."""
     columns = {"template_id": template_id, "origin_template_id": origin_template_id, "category_id": category_id, "type": kind}
-    return F.coalesce(*(F.when(columns[name].isin(*values), F.concat(F.lit(f"{name}="), columns[name].cast("string"))) for name, values in NOT_ARTICLES.items()))
+    fits = reduce(lambda a, b: a & b, [columns[name].isin(*values) for name, values in NOT_ARTICLES.items()])
+    return F.when(fits, F.lit("a note or an opus, not an article"))
+
+
+def article_skip(item: Column) -> Column:
+    """Why an entry of an article listing is not fetched, or null."""
+    get = lambda path: jsonx.at(item, path, "bigint")
+    return skip_reason(get("template_id"), get("origin_template_id"), get("category.id"), get("type"))
+
+
+#: for each item endpoint that has one, the rule by which entries of its listing are skipped
+SKIP_RULES: dict[str, Callable[[Column], Column]] = {"article_detail": article_skip}
+
+
+def fanout_items(payloads: DataFrame, endpoint: str, source: str) -> DataFrame:
+    """uid, pos, item_id and skip reason of each entry of the listing ``source`` for an item endpoint.
+
+    The listing's path of items and the endpoint's skip rule are looked up; an
+    endpoint without a rule skips nothing.
+    """
+    *lists, key = jsonx.ITEM_PATHS[source][0].split("[*].")
+    found = jsonx.array_at(jsonx.parsed(F.col("payload")), lists[0])
+    for path in lists[1:]:
+        found = F.flatten(F.transform(found, jsonx.at_each(path)))
+    rows = payloads.where((F.col("endpoint") == source) & (F.col("item_id") == "")).select("uid", F.posexplode(found).alias("pos", "item"))
+    reason = SKIP_RULES[endpoint](F.col("item")) if endpoint in SKIP_RULES else F.lit(None).cast("string")
+    return rows.select("uid", "pos", jsonx.at(F.col("item"), key, "string").alias("item_id"), reason.alias("reason")).where("item_id is not null")
 
 
 def skip_filtered(items: DataFrame, reason: Column) -> DataFrame:
@@ -113,6 +162,12 @@ def endpoint_states(states: DataFrame, names: list[str] | None = None) -> DataFr
     return shown if names is None else shown.where(F.col("endpoint").isin(*names))
 
 
+def task_states(tasks: DataFrame, stage: str | None = None) -> DataFrame:
+    """uid, stage, status and updated_at_ms of the tasks; a status that is not known is shown as PENDING."""
+    shown = F.when(F.col("status").isin(*KNOWN_TASKS), F.col("status")).otherwise("PENDING").alias("status")
+    return (tasks if stage is None else tasks.where(F.col("stage") == stage)).select("uid", "stage", shown, "updated_at_ms")
+
+
 def meta_value(meta: DataFrame, key: str) -> DataFrame:
     return meta.where(F.col("key") == key).select("uid", "value")
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -64,29 +66,55 @@ def plan_splits(clips: DataFrame, regions: DataFrame, max_seg: float, min_seg: f
     return rows.where("duration_s > 0").select("clip", F.posexplode(folded).alias("part", "span")).select("clip", "part", "span.start_s", "span.end_s")
 
 
+def joint(left: str, right: str, probe: int = 200, min_overlap: int = 20) -> str:
+    """What follows the transcript ``left`` when ``right`` is joined: right without all up to the end of the longest text that both share there, else a space and right."""
+    tail, head = left[-probe:], right[:probe]
+    best = SequenceMatcher(None, tail, head, autojunk=False).find_longest_match()
+    return right[best.b + best.size :] if best.size >= min_overlap else f" {right}"
+
+
 def join_texts(left: str, right: str, probe: int = 200, min_overlap: int = 20) -> str:
-    """Two transcripts as one: cut at the longest text that the end of one and the start of the other share."""
+    """Two transcripts as one; the left one stays whole."""
     if not left or not right:
         return (left or right).strip()
-    tail, head = left[-probe:], right[:probe]
-    best = SequenceMatcher(None, tail, head, autojunk=False).find_longest_match()
-    if best.size >= min_overlap:
-        return left[: len(left) - len(tail) + best.a + best.size] + right[best.b + best.size :]
-    return f"{left} {right}".strip()
+    return (left + joint(left, right, probe, min_overlap)).strip()
 
 
 def stitch(segments: DataFrame, by: list[str], probe: int = 200, min_overlap: int = 20) -> DataFrame:
-    """The texts of each page (bounded by the length of a clip) stitched in the order of ``pos``."""
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in segments.schema.fields if f.name in by)
+    """The texts of each page stitched in the order of ``pos``.
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = ""
-        for text in pdf.sort_values("pos")["text"]:
-            if text and text.strip():
-                out = join_texts(out, text.strip(), probe, min_overlap) if out else text.strip()
-        return pdf[by].head(1).assign(text=out)
+    Spark sorts the segments of each partition by page and place; a task folds them
+    as they come and holds the parts of one page, which are its output row.
+    """
+    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for name in by for f in segments.schema.fields if f.name == name)
 
-    return segments.select(*by, "pos", "text").groupBy(*by).applyInPandas(one, f"{keys}, text string").select(*by, "text")
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        page, parts = None, []
+        for pdf in batches:
+            done = []
+            for *key, text in pdf[[*by, "text"]].itertuples(index=False, name=None):
+                key = [None if k != k else k for k in key]
+                if key != page:
+                    if page is not None:
+                        done.append((*page, "".join(parts)))
+                    page, parts = key, []
+                text = (text or "").strip()
+                if text:
+                    _append(parts, text, probe, min_overlap)
+            yield pd.DataFrame(done, columns=[*by, "text"])
+        if page is not None:
+            yield pd.DataFrame([(*page, "".join(parts))], columns=[*by, "text"])
+
+    return segments.select(*by, "pos", "text").repartition(*by).sortWithinPartitions(*by, "pos", "text").mapInPandas(run, f"{keys}, text string")
+
+
+def _append(parts: list[str], text: str, probe: int, min_overlap: int) -> None:
+    """Join ``text`` to the parts; only their last ``probe`` characters are looked at."""
+    tail, at = "", len(parts)
+    while at and len(tail) < probe:
+        at -= 1
+        tail = parts[at] + tail
+    parts.append(joint(tail, text, probe, min_overlap) if parts else text)
 
 
 def refine_round(outcomes: DataFrame, split_s: float = 30.0, min_s: float = 10.0, empty_s: float = 5.0) -> DataFrame:
@@ -110,21 +138,19 @@ def refine_round(outcomes: DataFrame, split_s: float = 30.0, min_s: float = 10.0
 def cache_merge(cached: DataFrame, new: DataFrame, by: list[str], tol: float = TOLERANCE) -> DataFrame:
     """Cached segments after new ones (in order of ``seq``): each replaces all that are within the tolerance in its name-space.
 
-    The relation is not transitive, so a page is folded in order; a page is
-    bounded by the length of a clip. Rows: start_s, end_s, ns, text.
+    A new row removes what it is near to even if it is removed itself later, so a
+    row stays unless a new row with a larger ``seq`` is near to it: an anti join on
+    buckets of starts. Rows: start_s, end_s, ns, text.
     """
-    prepared = lambda df, seq: df.select(*by, "start_s", "end_s", norm_ns(F.col("ns")).alias("ns"), "text", seq.alias("seq"))
     columns = [*by, "start_s", "end_s", "ns", "text"]
-
-    def fold(old: pd.DataFrame, add: pd.DataFrame) -> pd.DataFrame:
-        kept = old[columns].to_dict("records")
-        for row in add.sort_values("seq")[columns].to_dict("records"):
-            near = lambda k, r=row: k["ns"] == r["ns"] and abs(k["start_s"] - r["start_s"]) <= tol and abs(k["end_s"] - r["end_s"]) <= tol
-            kept = [k for k in kept if not near(k)] + [row]
-        return pd.DataFrame(sorted(kept, key=lambda k: (k["start_s"], k["end_s"])), columns=columns)
-
-    old, add = prepared(cached, F.lit(0)), prepared(new, F.col("seq"))
-    return old.groupBy(*by).cogroup(add.groupBy(*by)).applyInPandas(fold, old.select(*columns).schema)
+    named = lambda df, seq: df.select(*by, "start_s", "end_s", norm_ns(F.col("ns")).alias("ns"), "text", seq.cast("bigint").alias("seq"))
+    add = named(new, F.col("seq"))
+    every = named(cached, F.lit(None)).unionByName(add).withColumn("bucket", F.floor(F.col("start_s") / (2 * tol)))
+    bucket = F.floor(F.col("start_s") / (2 * tol))
+    later = add.select(*by, "ns", F.col("start_s").alias("l_start"), F.col("end_s").alias("l_end"), F.col("seq").alias("l_seq"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("bucket"))
+    same = reduce(lambda a, b: a & b, [every[c].eqNullSafe(later[c]) for c in (*by, "ns", "bucket")])
+    near = (F.abs(F.col("l_start") - F.col("start_s")) <= tol) & (F.abs(F.col("l_end") - F.col("end_s")) <= tol)
+    return every.join(later, same & near & (every["seq"].isNull() | (F.col("l_seq") > every["seq"])), "left_anti").select(*columns)
 
 
 def cache_evict(cache: DataFrame, results: DataFrame, version: int = 1) -> DataFrame:

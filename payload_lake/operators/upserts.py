@@ -105,6 +105,17 @@ def meta_touch(changes: DataFrame) -> DataFrame:
     return done.groupBy("uid", key.alias("key")).agg(F.max("at_ms").cast("string").alias("value"))
 
 
+def update_task_status(tasks: DataFrame, meta: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(tasks, meta) after status changes (uid, stage, status, at_ms, seq): the last one of each stored task counts, and each that ends a task sets its mark."""
+    last = changes.groupBy("uid", "stage").agg(F.max_by(F.struct(F.col("status").alias("new_status"), F.col("at_ms").alias("new_at_ms")), "seq").alias("last"))
+    joined = tasks.join(last.select("uid", "stage", "last.*"), ["uid", "stage"], "left")
+    updated = {"status": F.coalesce("new_status", "status"), "updated_at_ms": F.coalesce("new_at_ms", "updated_at_ms")}
+    # the mark follows a change also where the task is not stored
+    ended = changes.where(~F.col("status").isin("PENDING", "RUNNING")).groupBy("uid", "stage").agg(F.max_by("at_ms", "seq").alias("at_ms"))
+    marks = meta_touch(ended.withColumn("status", F.lit("SUCCESS")))
+    return joined.withColumns(updated).select(*tasks.columns), meta.join(marks, ["uid", "key"], "left_anti").unionByName(marks)
+
+
 def purge_uid(tables: dict[str, DataFrame], uid: int) -> tuple[dict[str, DataFrame], DataFrame]:
     """The tables without an account, and what went as (table, removed)."""
     kept = {name: df.where(F.col("uid") != uid) for name, df in tables.items()}
@@ -117,6 +128,29 @@ def merge_legacy(current: DataFrame, legacy: DataFrame, keys: list[str], keep: C
     return current.unionByName(legacy.where(keep).join(current, keys, "left_anti"), allowMissingColumns=True)
 
 
+#: fixed values: schema versions that a merge knows, and the marks that it carries over
+VERSION, OLDER_VERSION, LEGACY_VERSION = "3", "2", "4"
+CARRIED = ("last_fetched_at_ms", "last_processed_at_ms")
+
+
+def merge_blockers(meta: DataFrame, legacy_meta: DataFrame) -> DataFrame:
+    """uid and ``blocked``, why an account is not merged: its own version, or that of its legacy store if it has one, is not known; null if it is merged."""
+    version = lambda df, name: df.groupBy("uid").agg(F.max(F.when(F.col("key") == "schema_version", F.col("value"))).alias(name), F.lit(True).alias(f"has_{name}"))
+    both = version(meta, "own").join(version(legacy_meta, "legacy"), "uid", "full")
+    odd = lambda name, *known: ~F.coalesce(F.col(name).isin(*known), F.lit(False))
+    why = F.when(F.col("has_own").isNull(), "no current store").when(odd("own", VERSION, OLDER_VERSION), "current version").when(F.col("has_legacy") & odd("legacy", LEGACY_VERSION), "legacy version")
+    return both.select("uid", why.alias("blocked"))
+
+
+def merge_meta(meta: DataFrame, legacy_meta: DataFrame) -> DataFrame:
+    """Marks after a merge: the legacy ones are carried over, the version is the newest; blocked accounts stay as they are."""
+    fine = merge_blockers(meta, legacy_meta).where("blocked is null").select("uid")
+    carried = legacy_meta.where(F.col("key").isin(*CARRIED)).join(fine, "uid", "left_semi").select("uid", "key", "value")
+    bumped = fine.select("uid", F.lit("schema_version").alias("key"), F.lit(VERSION).alias("value"))
+    new = carried.unionByName(bumped)
+    return meta.select("uid", "key", "value").join(new, ["uid", "key"], "left_anti").unionByName(new)
+
+
 def merge_report(current: DataFrame, legacy: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """copied, existing and dropped counts of a legacy merge."""
     marked = legacy.withColumn("__keep", keep).join(current.select(*keys, F.lit(True).alias("__there")).distinct(), keys, "left")

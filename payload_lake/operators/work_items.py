@@ -50,7 +50,13 @@ def subtitle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _fields(value: Column, fields: str) -> list[Column]:
-    return [F.coalesce(*(jsonx.at(value, p, to) for p in paths)).alias(name) for name, paths, to in parse_fields(fields)]
+    return [F.coalesce(*(_scalar(value, p, to) for p in paths)).alias(name) for name, paths, to in parse_fields(fields)]
+
+
+def _scalar(value: Column, path: str, to: str) -> Column:
+    """The value at a path; an object or list is no text."""
+    found = jsonx.at(value, path, to)
+    return F.when(~jsonx.kind(jsonx.at(value, path)).isin("object", "array"), found) if to == "string" else found
 
 
 def typed_view(payloads: DataFrame, view: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, scalars
 from ..operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts
 from ..operators import work_items as nested
-from ..sources import tables
+from ..sources import registry, tables
 from .stand_ins import oracle, stand_in
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -163,12 +164,17 @@ def discover_limit(t):
     return selects.discover_candidates(t("fx_detail"), t("fx_result"), limit=3)
 
 
-ATTENTION = "(level IN ('WARNING', 'ERROR', 'CRITICAL') OR event LIKE '%.retry_scheduled' OR event LIKE '%.rate_limited' OR event LIKE '%.high_risk_%' OR event LIKE '%.failed')"
+ATTENTION = "(level IN ('WARNING', 'ERROR', 'CRITICAL') OR event ILIKE '%.retry_scheduled' OR event ILIKE '%.rate_limited' OR event ILIKE '%.high_risk_%' OR event ILIKE '%.failed')"
 
 
-@query("fx_event", f"SELECT id, level, event FROM fx_event WHERE {ATTENTION}")
+LOUD = "(SELECT id, level, CASE WHEN id % 3 = 0 THEN upper(event) ELSE event END AS event FROM fx_event)"
+
+
+@query("fx_event", f"SELECT id, level, event FROM {LOUD} e WHERE {ATTENTION}")
 def attention_events(t):
-    return selects.attention_events(t("fx_event")).select("id", "level", "event")
+    """Names in any case."""
+    loud = F.when(F.col("id") % 3 == 0, F.upper("event")).otherwise(F.col("event"))
+    return selects.attention_events(t("fx_event").withColumn("event", loud)).select("id", "level", "event")
 
 
 @query("fx_event fx_run", "SELECT e.id, e.run_id, r.uid FROM fx_event e JOIN fx_run r ON e.run_id = r.run_id WHERE r.uid = 7")
@@ -176,13 +182,53 @@ def events_in_scope(t):
     return selects.scope_events(t("fx_event"), t("fx_run"), uid=7).select("id", "run_id", "uid")
 
 
-@query("", """SELECT o_custkey AS uid, CAST(o_orderkey AS VARCHAR) AS item_id FROM orders
-WHERE NOT (coalesce(o_orderkey % 6 = 4, false) OR o_orderkey % 11 = 5 OR o_orderkey % 50 IN (41, 42) OR o_orderkey % 13 IN (0, 2, 3, 4))""")
+SKIPPED = "o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 AND o_orderkey % 5 IN (1, 2) AND o_orderkey % 7 IN (0, 2, 3, 4)"
+
+
+def _article_fields() -> list:
+    """Kind fields of an order as an entry of a listing: some are notes in all four fields, most in some of them."""
+    k = F.col("o_orderkey")
+    return [(4 + k % 2).alias("template_id"), (5 - k % 3).alias("origin_template_id"), (40 + k % 5).alias("category_id"), (k % 7).alias("type")]
+
+
+@query("", f"SELECT o_custkey AS uid, CAST(o_orderkey AS VARCHAR) AS item_id FROM orders WHERE NOT ({SKIPPED})")
 def skip_filtered(t):
-    key = F.col("o_orderkey")
-    items = t("orders").select(F.col("o_custkey").alias("uid"), key.cast("string").alias("item_id"), key.alias("pos"))
-    k = F.col("pos")
-    return selects.skip_filtered(items, selects.skip_reason(k % 6, k % 11, k % 50, k % 13)).select("uid", "item_id")
+    items = t("orders").select(F.col("o_custkey").alias("uid"), F.col("o_orderkey").cast("string").alias("item_id"), F.col("o_orderkey").alias("pos"), *_article_fields())
+    return selects.skip_filtered(items, selects.skip_reason(*(F.col(c) for c in ("template_id", "origin_template_id", "category_id", "type")))).select("uid", "item_id")
+
+
+@query("", f"""SELECT endpoint, o_custkey AS uid, CAST(o_orderkey AS VARCHAR) AS item_id, endpoint = 'article_detail' AND {SKIPPED} AS skipped FROM orders, (VALUES ('article_detail'), ('opus_detail')) e(endpoint)""")
+def fanout_skips(t):
+    """Entries of two listings, with the skip rule of their item endpoints."""
+    rows = t("orders").select(F.col("o_custkey").alias("uid"), "o_orderkey", *_article_fields())
+    kinds = [F.struct(F.col("category_id").alias("id")).alias("category"), "template_id", "origin_template_id", "type"]
+    out = []
+    for endpoint, source, key, path in (("article_detail", "articles", "id", "articles"), ("opus_detail", "opus", "opus_id", "items")):
+        entries = rows.groupBy("uid").agg(F.collect_list(F.struct(F.col("o_orderkey").alias(key), *kinds)).alias("entries"))
+        payload = F.to_json(F.struct(F.array(F.struct(F.col("entries").alias(path))).alias("pages")))
+        found = selects.fanout_items(entries.select("uid", F.lit(source).alias("endpoint"), F.lit("").alias("item_id"), payload.alias("payload")), endpoint, source)
+        out.append(found.select(F.lit(endpoint).alias("endpoint"), "uid", "item_id", F.col("reason").isNotNull().alias("skipped")))
+    return out[0].unionByName(out[1])
+
+
+@query("", """WITH r AS (SELECT *, row_number() OVER () - 1 AS place FROM (VALUES {rows}) v(name, scope, source)),
+n AS (SELECT name, scope, source, place FROM r), o AS (SELECT CAST(o_orderkey % 63 AS INTEGER) AS place, count(*) AS rows FROM orders GROUP BY 1)
+SELECT n.name, n.scope, n.source AS source_endpoint, CAST(n.place AS INTEGER) AS place, coalesce(o.rows, 0) AS rows FROM n LEFT JOIN o ON o.place = n.place""".format(
+    rows=", ".join(f"('{r[0]}', '{r[1]}', {repr(r[3]) if r[3] else 'NULL'})" for r in registry.endpoint_rows())))
+def endpoint_registry(t):
+    """The catalogue in its order, with how many of the stored rows fall to each endpoint."""
+    orders = t("orders")
+    rows = orders.groupBy((F.col("o_orderkey") % 63).cast("int").alias("place")).agg(F.count("*").alias("rows"))
+    return registry.endpoint_registry(orders.sparkSession).select("name", "scope", "source_endpoint", "place").join(rows, "place", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+
+
+@query("", """SELECT endpoint, count(*) AS rows FROM (SELECT CASE o_orderkey % 7 WHEN 0 THEN 'user_info' WHEN 1 THEN 'videos' WHEN 2 THEN 'articles' WHEN 3 THEN 'opus' WHEN 4 THEN 'dynamics' END AS endpoint FROM orders) WHERE endpoint IS NOT NULL GROUP BY endpoint""")
+def subset_profile(t):
+    """Rows of the endpoints of the smallest profile; the others of the catalogue stay out."""
+    orders = t("orders")
+    names = F.element_at(F.array(*(F.lit(n) for n in ("user_info", "videos", "articles", "opus", "dynamics", "up_stat", "audios"))), (F.col("o_orderkey") % 7 + 1).cast("int"))
+    chosen = selects.checked_subset(registry.endpoint_registry(orders.sparkSession), profile="minimal").select("name")
+    return orders.select(names.alias("name")).join(chosen, "name").groupBy(F.col("name").alias("endpoint")).agg(F.count("*").alias("rows"))
 
 
 @query("fx_result", "SELECT uid, item_id, upper(status) AS status FROM fx_result WHERE status IN ('failed')")
@@ -397,14 +443,19 @@ def task_status(t):
 
 
 def _pipelines(t) -> DataFrame:
-    s = F.col("status")
+    """Pipelines of buckets; some buckets report more or fewer items than they were given."""
+    s, k = F.col("status"), F.col("seconds") % 5
     n = lambda c: F.when(c, 1).otherwise(0)
-    rows = t("fx_result").select("uid", F.col("cache_hits").alias("pipeline"), F.lit(1).alias("total"), n(s == "success").alias("completed"), n(s == "failed").alias("failed"), n(s == "skipped").alias("skipped"))
+    total = F.when(k == 0, 0).when((k == 1) & (s != "success"), 2).otherwise(1)
+    open_rest = s.isin("pending", "running") & (F.col("seconds") % 3 != 0)
+    rows = t("fx_result").select("uid", F.col("cache_hits").alias("pipeline"), total.alias("total"), n(s == "success").alias("completed"), n(s == "failed").alias("failed"), n(~s.isin("success", "failed") & ~open_rest).alias("skipped"))
     return aggregates.pipeline_rollup(rows, ["uid", "pipeline"])
 
 
-PIPELINE = """p AS (SELECT uid, cache_hits AS pipeline, count(*) AS total, count(*) FILTER (WHERE status = 'success') AS completed, count(*) FILTER (WHERE status = 'failed') AS failed, count(*) FILTER (WHERE status = 'skipped') AS skipped FROM fx_result GROUP BY ALL),
-q AS (SELECT *, CASE WHEN total > completed + failed + skipped THEN 'RUNNING' WHEN failed > 0 AND completed + skipped > 0 THEN 'PARTIAL' WHEN failed > 0 THEN 'FAILED_PERMANENT' ELSE 'SUCCESS' END AS status FROM p)"""
+PIPELINE = """b AS (SELECT uid, cache_hits AS pipeline, CASE WHEN seconds % 5 = 0 THEN 0 WHEN seconds % 5 = 1 AND status <> 'success' THEN 2 ELSE 1 END AS total, CAST(status = 'success' AS INTEGER) AS completed, CAST(status = 'failed' AS INTEGER) AS failed,
+ CAST(status = 'skipped' OR status IN ('pending', 'running') AND seconds % 3 = 0 AS INTEGER) AS skipped FROM fx_result),
+q AS (SELECT uid, pipeline, CAST(sum(total) AS BIGINT) AS total, CAST(sum(completed) AS BIGINT) AS completed, CAST(sum(failed) AS BIGINT) AS failed, CAST(sum(skipped) AS BIGINT) AS skipped,
+ CASE WHEN max(total - completed - failed - skipped) > 0 THEN 'RUNNING' WHEN max(failed) > 0 AND max(completed + skipped) > 0 THEN 'PARTIAL' WHEN max(failed) > 0 THEN 'FAILED_PERMANENT' ELSE 'SUCCESS' END AS status FROM b GROUP BY uid, pipeline)"""
 
 
 @query("fx_result", f"WITH {PIPELINE} SELECT * FROM q")
@@ -412,12 +463,15 @@ def pipeline_status(t):
     return _pipelines(t)
 
 
-@query("fx_result fx_detail", f"""WITH {PIPELINE}, s AS (SELECT uid, CASE WHEN min(status = 'SUCCESS') THEN 'SUCCESS' WHEN max(status = 'RUNNING') THEN 'RUNNING' WHEN min(status = 'FAILED_PERMANENT') THEN 'FAILED_PERMANENT' ELSE 'PARTIAL' END AS st FROM q GROUP BY uid),
+@query("fx_result fx_detail", f"""WITH {PIPELINE}, p AS (SELECT uid, CASE WHEN uid % 11 = 0 AND status <> 'SUCCESS' THEN 'ODD' ELSE status END AS status FROM q WHERE uid % 13 <> 0),
+s AS (SELECT uid, CASE WHEN min(status = 'SUCCESS') THEN 'SUCCESS' WHEN max(status = 'RUNNING') THEN 'RUNNING' WHEN max(status = 'FAILED_PERMANENT') AND NOT max(status = 'SUCCESS') THEN 'FAILED_PERMANENT' ELSE 'PARTIAL' END AS st FROM p GROUP BY uid),
 c AS (SELECT d.uid, count(*) FILTER (WHERE r.status = 'success') = count(*) AS complete FROM fx_detail d LEFT JOIN fx_result r ON d.uid = r.uid AND d.item_id = r.item_id GROUP BY d.uid),
-l AS (SELECT s.uid, CASE WHEN st = 'SUCCESS' AND NOT coalesce(complete, true) THEN 'PARTIAL' ELSE st END AS stage_status FROM s LEFT JOIN c ON c.uid = s.uid)
-SELECT uid, stage_status, CASE WHEN stage_status IN ('SUCCESS', 'PARTIAL') THEN stage_status ELSE 'FAILED' END AS run_status FROM l""")
+l AS (SELECT uid, CASE WHEN coalesce(st, 'SUCCESS') = 'SUCCESS' AND NOT coalesce(complete, true) THEN 'PARTIAL' ELSE coalesce(st, 'SUCCESS') END AS stage_status FROM s FULL JOIN c USING (uid))
+SELECT uid, stage_status, CASE WHEN stage_status = 'FAILED_PERMANENT' THEN 'FAILED' ELSE stage_status END AS run_status FROM l""")
 def stage_status(t):
-    return aggregates.derive_stage_status(_pipelines(t), _coverage(t), ["uid"])
+    """Some accounts have a status that is not known, some no pipelines at all."""
+    odd = F.when((F.col("uid") % 11 == 0) & (F.col("status") != "SUCCESS"), "ODD").otherwise(F.col("status"))
+    return aggregates.derive_stage_status(_pipelines(t).where("uid % 13 <> 0").withColumn("status", odd), _coverage(t), ["uid"])
 
 
 OUTCOME = "CASE event_type WHEN 'error' THEN CASE WHEN value > 60 THEN 'forbidden' ELSE 'failed' END WHEN 'click' THEN 'unavailable' ELSE 'completed' END"
@@ -527,8 +581,12 @@ def new_ids(t):
 # ---------------------------------------------------------------- windows and runs
 
 
+RUN_ARGS = """case uid % 6 when 0 then '{"dry_run": true}' when 1 then '{"limit": null, "dry_run": false}' when 2 then '{"limit": 3}' when 3 then '{"only_bvids": []}' when 4 then '{"retry_failed_only": 1}' else '{' end"""
+RUN_END = """case when uid % 4 = 1 then '{"budget_exceeded": ["seconds"]}' when uid % 4 = 2 then '{"budget_exceeded": []}' end"""
+
+
 def _runs(t) -> DataFrame:
-    return t("fx_run").withColumn("seq", F.xxhash64("run_id"))
+    return t("fx_run").withColumns({"seq": F.xxhash64("run_id"), "status": F.lit("SUCCESS"), "args_json": F.expr(RUN_ARGS), "summary_json": F.expr(RUN_END)})
 
 
 LATEST = "(SELECT run_id, uid, command FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY started_at DESC) AS n FROM fx_run) WHERE n = 1)"
@@ -634,23 +692,41 @@ def endpoint_reset(t):
 def _summary(t) -> DataFrame:
     # accounts of the run history are users, those of the items customers; both are plain numbers
     states = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("endpoint")).agg(F.min(F.expr(STATE)).alias("status"))
-    return runs.run_summary(_runs(t), t("fx_event"), states, _coverage(t).select("uid", "expected", "success", "complete"))
+    tasks = _tasks(t).withColumn("stage", F.when(F.col("stage") == "fetch", "fetching").otherwise("asr"))
+    return runs.run_summary(_runs(t), t("fx_event"), tasks, states, _coverage(t).select("uid", "expected", "success", "complete"), count_key="k")
 
 
 SUMMARY = f"""latest AS {LATEST}, own AS (SELECT e.*, l.uid AS luid FROM fx_event e JOIN latest l ON l.run_id = e.run_id),
 st AS (SELECT uid, count(*) AS endpoints, count(*) FILTER (WHERE s = 'SUCCESS') AS endpoints_done FROM (SELECT o_custkey AS uid, o_orderpriority, min({STATE}) AS s FROM orders GROUP BY ALL) GROUP BY uid),
 cov AS (SELECT d.uid, count(*) AS expected, count(*) FILTER (WHERE r.status = 'success') AS success, count(*) FILTER (WHERE r.status = 'success') = count(*) AS complete FROM fx_detail d LEFT JOIN fx_result r ON d.uid = r.uid AND d.item_id = r.item_id GROUP BY d.uid),
-cand AS (SELECT luid, arg_max(CAST(json_extract(data_json, '$.candidate_count') AS BIGINT), id) AS candidate_count FROM own WHERE event = 'asr.discovery.completed' GROUP BY luid),
-rec AS (SELECT luid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM own) WHERE n <= 5 GROUP BY luid),
-att AS (SELECT luid, string_agg(CAST(id AS VARCHAR), ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM own WHERE {ATTENTION}) WHERE n <= 5 GROUP BY luid),
-summary AS (SELECT l.uid, l.run_id, l.command, st.endpoints, st.endpoints_done, cov.expected, cov.success, cov.complete, cand.candidate_count, coalesce(rec.ids, '') AS recent_ids, coalesce(att.ids, '') AS attention_ids
-FROM latest l LEFT JOIN st ON st.uid = l.uid LEFT JOIN cov ON cov.uid = l.uid LEFT JOIN cand ON cand.luid = l.uid LEFT JOIN rec ON rec.luid = l.uid LEFT JOIN att ON att.luid = l.uid)"""
+cand AS (SELECT luid, arg_max(CAST(json_extract(data_json, '$.k') AS BIGINT), id) AS candidate_count FROM own WHERE event = 'asr.discovery.completed' GROUP BY luid),
+tk AS (SELECT uid, string_agg(ts, ',' ORDER BY ts) AS tasks FROM (SELECT DISTINCT uid, CASE stage WHEN 'fetch' THEN 'fetching' ELSE 'asr' END || '=' || status AS ts FROM tasks) GROUP BY uid),
+every AS (SELECT uid FROM latest UNION SELECT uid FROM st UNION SELECT uid FROM cov UNION SELECT uid FROM tk),
+rec AS (SELECT luid, string_agg(CAST(id AS VARCHAR) || ' ' || level || ' ' || event, ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM own) WHERE n <= 5 GROUP BY luid),
+att AS (SELECT luid, string_agg(CAST(id AS VARCHAR) || ' ' || level || ' ' || event, ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM own WHERE {ATTENTION}) WHERE n <= 5 GROUP BY luid),
+summary AS (SELECT y.uid, l.run_id, l.command, CASE WHEN l.run_id IS NOT NULL THEN 'SUCCESS' END AS run_status,
+ l.command IS NULL OR l.command <> 'asr' OR NOT (y.uid % 6 IN (0, 2, 3, 4) OR y.uid % 4 = 1) AS coverage_applicable, coalesce(tk.tasks, '') AS tasks,
+ st.endpoints, st.endpoints_done, cov.expected, cov.success, cov.complete, cand.candidate_count, coalesce(rec.ids, '') AS recent_events, coalesce(att.ids, '') AS attention_events
+FROM every y LEFT JOIN latest l ON l.uid = y.uid LEFT JOIN tk ON tk.uid = y.uid LEFT JOIN st ON st.uid = y.uid LEFT JOIN cov ON cov.uid = y.uid LEFT JOIN cand ON cand.luid = l.uid LEFT JOIN rec ON rec.luid = l.uid LEFT JOIN att ON att.luid = l.uid)"""
+
+
+@query("fx_run fx_event fx_detail fx_result", f"WITH {TASKS}, {SUMMARY} SELECT * FROM summary")
+def run_summary(t):
+    texts = {c: F.array_join(F.transform(c, lambda x: F.concat_ws(" ", x["id"].cast("string"), x["level"], x["event"])), ",") for c in ("recent_events", "attention_events")}
+    return _summary(t).withColumns(texts | {"tasks": F.array_join(F.transform("tasks", lambda x: F.concat_ws("=", x["stage"], x["status"])), ",")})
 
 
-@query("fx_run fx_event fx_detail fx_result", f"WITH {SUMMARY} SELECT * FROM summary")
-def run_summary(t):
-    texts = {c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",") for c in ("recent_ids", "attention_ids")}
-    return _summary(t).withColumns(texts)
+@query("fx_run fx_event", f"""WITH newest AS {LATEST}, one AS (SELECT max(run_id) AS run_id FROM fx_run)
+SELECT r.uid, r.run_id, r.command, count(e.id) AS events FROM fx_run r JOIN one USING (run_id) LEFT JOIN fx_event e ON e.run_id = r.run_id GROUP BY ALL""")
+def run_summary_of_run(t):
+    """The summary of one named run, with all of its events."""
+    found, events = _runs(t), t("fx_event")
+    named = found.agg(F.max("run_id")).first()[0] or ""
+    none = found.limit(0)
+    states = none.select("uid", F.lit("").alias("endpoint"), "status")
+    coverage = none.select("uid", F.lit(0).alias("expected"), F.lit(0).alias("success"), F.lit(True).alias("complete"))
+    out = runs.run_summary(found, events, none.select("uid", F.col("command").alias("stage"), "status"), states, coverage, n=1_000_000, run_id=named)
+    return out.select("uid", "run_id", "command", F.size("recent_events").cast("bigint").alias("events"))
 
 
 @query("fx_detail fx_result fx_error fx_run fx_event", f"""WITH {MANIFEST}, {TASKS}, latest AS {LATEST},
@@ -712,6 +788,34 @@ def find_total(t):
     return t("events").select("event_id", jsonx.find_total(jsonx.parsed(text)).alias("total"))
 
 
+def _responses() -> dict[str, str]:
+    """A response of each event for each paging strategy, as SQL text of both engines."""
+    k = "event_id"
+    return {
+        "page": f"""case {k} % 4 when 0 then concat('{{"page":{{"count":0}},"total_count":', {k} % 90, ',"list":[1]}}') when 1 then concat('{{"total":', {k} % 90, ',"list":[1]}}') when 2 then '{{"list":[]}}' else '{{"list":[1],"total":"9"}}' end""",
+        "cursor": f"""concat('{{"has_more":', case {k} % 5 when 0 then '1' when 1 then 'true' when 2 then '"1"' when 3 then '0' else '2' end, ',"offset":"o', {k}, '"}}')""",
+        "anchor": f"""case when {k} % 3 = 0 then '{{}}' else concat('{{"anchor":', {k} % 4, '}}') end""",
+        "legacy_offset": f"""concat('{{"has_more":', case when {k} % 3 = 0 then 'false' else '1' end, ',"next_offset":', {k} % 5, '}}')""",
+        "oid": f"""concat('{{"list":[{{"aid":1}},{{"aid":', {k} % 3, ',"id":', {k} % 2, ',"param":"p', {k}, '"}}]', case when {k} % 7 = 0 then ',"total":2' else '' end, '}}')""",
+        "none": "'{\"list\":[1]}'",
+    }
+
+
+@query("", """SELECT event_id, 'page' AS strategy, is_last, CASE WHEN NOT is_last THEN '3' END AS following FROM (SELECT event_id, CASE event_id % 4 WHEN 0 THEN event_id % 90 > 0 AND event_id % 90 <= 60 WHEN 1 THEN event_id % 90 > 0 AND event_id % 90 <= 60 WHEN 2 THEN true ELSE false END AS is_last FROM events)
+UNION ALL SELECT event_id, 'cursor', event_id % 5 > 1, CASE WHEN event_id % 5 <= 1 THEN 'o' || event_id END FROM events
+UNION ALL SELECT event_id, 'anchor', event_id % 3 = 0 OR event_id % 4 = 0, CASE WHEN event_id % 3 <> 0 AND event_id % 4 <> 0 THEN CAST(event_id % 4 AS VARCHAR) END FROM events
+UNION ALL SELECT event_id, 'legacy_offset', event_id % 3 = 0 OR event_id % 5 = 0, CASE WHEN event_id % 3 <> 0 AND event_id % 5 <> 0 THEN CAST(event_id % 5 AS VARCHAR) END FROM events
+UNION ALL SELECT event_id, 'oid', event_id % 7 = 0, CASE WHEN event_id % 7 <> 0 THEN CASE WHEN event_id % 3 <> 0 THEN CAST(event_id % 3 AS VARCHAR) WHEN event_id % 2 <> 0 THEN '1' ELSE 'p' || event_id END END FROM events
+UNION ALL SELECT event_id, 'none', true, NULL FROM events""")
+def next_page_rules(t):
+    """The next page under each of the six strategies."""
+    out = []
+    for strategy, text in _responses().items():
+        last, following = jsonx.next_page(F.col("v"), strategy, F.lit(2), F.lit(30 if strategy == "page" else 2))
+        out.append(t("events").select("event_id", jsonx.parsed(F.expr(text)).alias("v")).select("event_id", F.lit(strategy).alias("strategy"), last.alias("is_last"), following.alias("following")))
+    return reduce(DataFrame.unionByName, out)
+
+
 @query("fx_listing", """SELECT uid, page_no, page_no * 5 >= count(*) OVER (PARTITION BY uid) AS is_last, CASE WHEN page_no * 5 < count(*) OVER (PARTITION BY uid) THEN CAST(page_no + 1 AS VARCHAR) END AS next_page
 FROM fx_listing QUALIFY row_number() OVER (PARTITION BY uid, page_no ORDER BY pos) = 1""")
 def next_page(t):
@@ -881,16 +985,17 @@ def split_ranges(t):
     return t("fx_detail").select("item_id", F.explode(scalars.split_ranges(F.lit(10.0), 10 + F.col("duration_s"), F.lit(45))).alias("r")).select("item_id", "r.*")
 
 
-@query("fx_detail", "WITH RECURSIVE d AS (SELECT item_id, 3 AS v, greatest(duration_s, 1) AS cap FROM fx_detail UNION ALL SELECT item_id, v * 2, cap FROM d WHERE v < cap) SELECT item_id, string_agg(CAST(least(v, cap) AS VARCHAR), ',' ORDER BY v) AS steps FROM d GROUP BY item_id")
+@query("fx_detail", "WITH RECURSIVE d AS (SELECT item_id, duration_s % 4 AS v, duration_s - 20 AS cap FROM fx_detail WHERE duration_s % 4 > 0 AND duration_s > 20 UNION ALL SELECT item_id, v * 2, cap FROM d WHERE v < cap) SELECT f.item_id, coalesce(s.steps, '') AS steps FROM fx_detail f LEFT JOIN (SELECT item_id, string_agg(CAST(least(v, cap) AS VARCHAR), ',' ORDER BY v) AS steps FROM d GROUP BY item_id) s USING (item_id)")
 def doubling(t):
-    steps = scalars.doubling(F.lit(3), F.greatest("duration_s", F.lit(1)))
+    """Starts and caps that are not positive give nothing."""
+    steps = scalars.doubling(F.col("duration_s") % 4, F.col("duration_s") - 20)
     return t("fx_detail").select("item_id", F.array_join(F.transform(steps, lambda x: x.cast("string")), ",").alias("steps"))
 
 
-@query("", "SELECT event_id, CASE event_id % 3 WHEN 0 THEN '1.0,2.0,4.0' WHEN 1 THEN '2.0,' || CAST(user_id + 3 AS VARCHAR) || '.0' ELSE '1.0,2.0,4.0' END AS delays FROM events")
+@query("", "SELECT event_id, CASE WHEN event_id % 4 = 1 THEN '2,' || CAST(user_id + 3 AS VARCHAR) ELSE '30,60,120' END AS delays FROM events")
 def parse_delays(t):
-    k = F.col("event_id") % 3
-    text = F.when(k == 0, F.lit("")).when(k == 1, F.concat((F.col("user_id") + 3).cast("string"), F.lit(", 2"))).otherwise("1,x")
+    k = F.col("event_id") % 4
+    text = F.when(k == 0, F.lit("")).when(k == 1, F.concat((F.col("user_id") + 3).cast("string"), F.lit(", 2"))).when(k == 2, F.lit("1.5,3")).otherwise("1,x")
     return t("events").select("event_id", F.array_join(F.transform(scalars.parse_delays(text), lambda x: x.cast("string")), ",").alias("delays"))
 
 
@@ -936,7 +1041,11 @@ def refine_round(t):
     return sequences.refine_round(rows)
 
 
-@query()
+MERGED = """r AS (SELECT item, start_s, end_s, lower(trim(coalesce(ns, ''))) AS ns, CAST(id AS VARCHAR) AS text, NULL AS seq FROM fx_cached UNION ALL SELECT item, start_s, end_s, lower(trim(coalesce(ns, ''))), CAST(id AS VARCHAR), id FROM fx_wanted)"""
+
+
+@query("fx_cached fx_wanted", f"""WITH {MERGED} SELECT item, start_s, end_s, ns, text FROM r WHERE NOT EXISTS (SELECT 1 FROM r l WHERE l.item = r.item AND l.ns = r.ns AND l.seq IS NOT NULL
+ AND abs(l.start_s - r.start_s) <= 0.1 AND abs(l.end_s - r.end_s) <= 0.1 AND (r.seq IS NULL OR l.seq > r.seq))""")
 def cache_merge(t):
     new = t("fx_wanted").select("item", "start_s", "end_s", "ns", F.col("id").cast("string").alias("text"), F.col("id").alias("seq"))
     return sequences.cache_merge(t("fx_cached").select("item", "start_s", "end_s", "ns", F.col("id").cast("string").alias("text")), new, ["item"])
@@ -960,7 +1069,7 @@ LAST = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY k1, k2 ORDER B
 
 @query("fx_change", f"SELECT k1, k2, v, status, maybe_null, seq FROM {LAST}")
 def upsert_last_wins(t):
-    changes = t("fx_change").cache()
+    changes = t("fx_change")
     return upserts.upsert(changes.where("seq <= 1000"), changes.where("seq > 1000"), ["k1", "k2"])
 
 
@@ -1011,6 +1120,51 @@ def meta_touch(t):
     return upserts.meta_touch(changes)
 
 
+@query("fx_run", """WITH c AS (SELECT uid, CASE WHEN command = 'fetch' THEN 'fetching' ELSE 'asr' END AS stage, arg_max(CASE WHEN n_events >= 3 THEN 'RUNNING' ELSE 'FAILED' END, epoch_us(started_at)) AS status, arg_max(epoch_us(ended_at) // 1000, epoch_us(started_at)) AS at_ms FROM fx_run GROUP BY ALL)
+SELECT uid, stage, CASE WHEN uid % 2 = 0 THEN status ELSE 'PENDING' END AS status, CASE WHEN uid % 2 = 0 THEN at_ms ELSE 5 END AS updated_at_ms FROM c""")
+def task_status_updates(t):
+    """Stored tasks after the last status change of each; odd accounts have none."""
+    rows = t("fx_run").select("uid", F.when(F.col("command") == "fetch", "fetching").otherwise("asr").alias("stage"), F.when(F.col("n_events") >= 3, "RUNNING").otherwise("FAILED").alias("status"), F.unix_millis(F.col("ended_at").cast("timestamp")).alias("at_ms"), F.unix_micros(F.col("started_at").cast("timestamp")).alias("seq"))
+    stored = rows.select("uid", "stage").distinct().select("uid", "stage", F.lit("PENDING").alias("status"), F.lit(5).cast("bigint").alias("updated_at_ms"))
+    return selects.task_states(upserts.update_task_status(stored, _meta(t), rows.where("uid % 2 = 0"))[0])
+
+
+@query("fx_run", """WITH c AS (SELECT uid, command, arg_max(epoch_us(ended_at) // 1000, epoch_us(started_at)) FILTER (WHERE n_events < 3) AS at_ms FROM fx_run GROUP BY ALL),
+n AS (SELECT uid, CASE command WHEN 'fetch' THEN 'last_fetched_at_ms' ELSE 'last_processed_at_ms' END AS key, CAST(at_ms AS VARCHAR) AS value FROM c WHERE at_ms IS NOT NULL),
+m AS (SELECT c_custkey AS uid, 'last_fetched_at_ms' AS key, CAST(c_nationkey AS VARCHAR) AS value FROM customer UNION ALL SELECT c_custkey, 'schema_version', CASE WHEN c_custkey % 10 = 0 THEN '2' ELSE '3' END FROM customer)
+SELECT uid, key, value FROM n UNION ALL SELECT uid, key, value FROM m WHERE NOT EXISTS (SELECT 1 FROM n WHERE n.uid = m.uid AND n.key = m.key)""")
+def task_status_marks(t):
+    """Marks after the same changes: those of ended tasks replace the stored ones."""
+    rows = t("fx_run").select("uid", F.when(F.col("command") == "fetch", "fetching").otherwise("asr").alias("stage"), F.when(F.col("n_events") >= 3, "RUNNING").otherwise("FAILED").alias("status"), F.unix_millis(F.col("ended_at").cast("timestamp")).alias("at_ms"), F.unix_micros(F.col("started_at").cast("timestamp")).alias("seq"))
+    tasks = rows.select("uid", "stage", "status", F.col("at_ms").alias("updated_at_ms")).limit(0)
+    return upserts.update_task_status(tasks, _meta(t), rows)[1]
+
+
+def _stores(t) -> tuple[DataFrame, DataFrame]:
+    """Marks of the current and the legacy store; some versions are not known, some accounts have one store only."""
+    rows = t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").cast("string").alias("mark"))
+    k = F.col("uid")
+    store = lambda df, version: df.select("uid", F.lit("schema_version").alias("key"), version.alias("value")).unionByName(df.select("uid", F.lit("last_fetched_at_ms").alias("key"), F.concat(F.lit("x"), "mark").alias("value")).where("uid % 4 = 0"))
+    own = store(rows.where("uid % 7 <> 0"), F.when(k % 5 == 0, "2").when(k % 5 == 1, "1").otherwise("3"))
+    legacy = store(rows.where("uid % 2 = 0"), F.when(k % 6 == 0, "3").otherwise("4"))
+    return own, legacy.withColumn("value", F.when(F.col("key") == "schema_version", F.col("value")).otherwise(F.concat(F.lit("l"), "value")))
+
+
+BLOCKED = "CASE WHEN c_custkey % 7 = 0 THEN CASE WHEN c_custkey % 2 = 0 THEN 'no current store' ELSE 'absent' END WHEN c_custkey % 5 = 1 THEN 'current version' WHEN c_custkey % 2 = 0 AND c_custkey % 6 = 0 THEN 'legacy version' END"
+
+
+@query("", f"SELECT c_custkey AS uid, {BLOCKED} AS blocked FROM customer WHERE coalesce({BLOCKED}, '') <> 'absent'")
+def merge_blockers(t):
+    return upserts.merge_blockers(*_stores(t))
+
+
+@query("", f"""WITH b AS (SELECT c_custkey AS k, c_nationkey AS n, {BLOCKED} AS blocked FROM customer)
+SELECT k AS uid, 'schema_version' AS key, CASE WHEN blocked IS NULL THEN '3' WHEN k % 5 = 0 THEN '2' WHEN k % 5 = 1 THEN '1' ELSE '3' END AS value FROM b WHERE k % 7 <> 0
+UNION ALL SELECT k, 'last_fetched_at_ms', CASE WHEN blocked IS NULL THEN 'lx' ELSE 'x' END || n FROM b WHERE k % 7 <> 0 AND k % 4 = 0""")
+def merge_meta(t):
+    return upserts.merge_meta(*_stores(t))
+
+
 @query("fx_detail fx_result fx_page", "SELECT 'detail' AS \"table\", count(*) AS removed FROM fx_detail WHERE uid = 7 UNION ALL SELECT 'result', count(*) FROM fx_result WHERE uid = 7 UNION ALL SELECT 'page', count(*) FROM fx_page WHERE uid = 7")
 def purge_uid(t):
     return upserts.purge_uid({"detail": t("fx_detail"), "result": t("fx_result"), "page": t("fx_page")}, 7)[1]
@@ -1039,6 +1193,30 @@ def check_rules(t):
     return rules.check_rules(t("fx_change"), CHANGE_RULES)
 
 
+def _declared(t) -> dict[str, DataFrame]:
+    """Three declared tables made of given ones; some rows break rules or lack values."""
+    results = t("fx_result").select(
+        "uid", F.when(F.col("seconds") % 50 == 0, F.lit(None)).when(F.col("seconds") % 50 == 1, "odd").otherwise(F.col("status")).alias("status"), (F.col("seconds") - 5).cast("double").alias("seconds"),
+        F.col("seconds").alias("audio_tokens"), (F.col("cache_hits") - 1).alias("cache_hits"), F.lit("{}").alias("payload"), F.lit(1).cast("bigint").alias("processed_at_ms"))
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    found = t("fx_run").select("run_id", "uid", "command", F.when(F.col("uid") % 3 == 0, "ODD").otherwise("SUCCESS").alias("status"), ms("started_at").alias("started_at_ms"), F.when(F.col("uid") % 4 == 0, ms("started_at") - 1).otherwise(ms("ended_at")).alias("ended_at_ms"), F.when(F.col("uid") % 5 != 0, F.lit("{}")).alias("args_json"))
+    log = t("fx_event").select("run_id", (F.col("id") - 3).alias("ts_ms"), F.when(F.col("id") % 9 == 0, "LOUD").otherwise(F.col("level")).alias("level"), F.when(F.col("id") % 4 != 0, F.lit("asr")).alias("stage"), "event")
+    return {"audio_transcription": results, "stage_run": found, "stage_event": log}
+
+
+@query("fx_result fx_run fx_event", """WITH a AS (SELECT seconds % 50 AS k, seconds, cache_hits FROM fx_result), r AS (SELECT uid FROM fx_run), e AS (SELECT id, level FROM fx_event),
+c AS (SELECT 'audio_transcription.status' AS rule, (SELECT count(*) FROM a WHERE k = 1) AS violations
+ UNION ALL SELECT 'audio_transcription.status_given', (SELECT count(*) FROM a WHERE k = 0) UNION ALL SELECT 'audio_transcription.seconds', (SELECT count(*) FROM a WHERE seconds < 5)
+ UNION ALL SELECT 'audio_transcription.cache_hits', (SELECT count(*) FROM a WHERE cache_hits = 0) UNION ALL SELECT 'stage_run.status', (SELECT count(*) FROM r WHERE uid % 3 = 0)
+ UNION ALL SELECT 'stage_run.times', (SELECT count(*) FROM r WHERE uid % 4 = 0) UNION ALL SELECT 'stage_run.args_json_given', (SELECT count(*) FROM r WHERE uid % 5 = 0)
+ UNION ALL SELECT 'stage_event.level', (SELECT count(*) FROM e WHERE id % 9 = 0) UNION ALL SELECT 'stage_event.stage_given', (SELECT count(*) FROM e WHERE id % 4 = 0) UNION ALL SELECT 'stage_event.ts', (SELECT count(*) FROM e WHERE id < 3))
+SELECT rule, violations FROM c WHERE violations > 0""")
+def check_tables(t):
+    """Broken rules of the declared tables, all rules of a table in one pass."""
+    found = [rules.check_rules(df, rules.table_rules(name)).withColumn("rule", F.concat(F.lit(f"{name}."), "rule")) for name, df in _declared(t).items()]
+    return reduce(DataFrame.unionByName, found).where("violations > 0")
+
+
 @query("fx_change", "SELECT k1, k2, count(*) AS n FROM fx_change GROUP BY k1, k2 HAVING count(*) > 1")
 def check_pk(t):
     return rules.check_primary_key(t("fx_change"), ["k1", "k2"])

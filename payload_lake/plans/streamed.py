@@ -60,34 +60,45 @@ def stream_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "upsert")
     rows = event_stream(spark, sf_dir).select("uid", "event", "id", "level", F.col("id").alias("seq"))
-    started = streams.stream_upsert(rows, f"{out}/data", ["uid", "event"], f"{out}/checkpoint")
-    finished(started)
-    return spark.read.parquet(f"{out}/data/v={max(p['batchId'] for p in started.recentProgress if p['numInputRows'])}")
+    finished(streams.stream_upsert(rows, f"{out}/data", ["uid", "event"], f"{out}/checkpoint"))
+    return streams.read_upserts(spark, f"{out}/data", ["uid", "event"])
 
 
-@query("fx_event", "SELECT run_id, count(*) AS total, count(*) FILTER (WHERE event LIKE '%.saved') AS saved, count(*) FILTER (WHERE event LIKE '%.failed') AS failed, count(*) FILTER (WHERE event LIKE '%.rate_limited') AS rate_limited FROM fx_event GROUP BY run_id")
+@query("fx_event", """SELECT run_id, endpoint, CAST(day AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (WHERE event LIKE '%.saved' OR event LIKE '%.completed') AS completed, count(*) FILTER (WHERE event LIKE '%.failed') AS failed, count(*) FILTER (WHERE event LIKE '%.skipped') AS skipped
+FROM (SELECT split_part(run_id, '-', 1) AS run_id, split_part(event, '.', 1) AS endpoint, CAST(ts AS DATE) AS day, CASE WHEN event = 'asr.segment.rate_limited' THEN 'asr.segment.skipped' ELSE event END AS event FROM fx_event) GROUP BY ALL""")
 def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each micro-batch writes the counts that it changed; the last of each run stands."""
+    """Counts of each user's run, endpoint and day. Each micro-batch writes the counts that it changed; the last of each stands.
+
+    The runs here go over many days, each of which is a row of its own.
+    """
     out = scratch(spark, "progress")
-    counts = streams.stream_progress(event_stream(spark, sf_dir), watermark="3650 days")
+    events = event_stream(spark, sf_dir).withColumn("endpoint", F.substring_index("event", ".", 1)).withColumn("run_id", F.substring_index("run_id", "-", 1))
+    counts = streams.stream_progress(events.withColumn("event", F.when(F.col("event") == "asr.segment.rate_limited", "asr.segment.skipped").otherwise(F.col("event"))))
 
     def write(batch: DataFrame, number: int) -> None:
         batch.withColumn("seq", F.lit(number)).write.mode("overwrite").parquet(f"{out}/data/v={number}")
 
     finished(counts.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
-    last = upserts.merge_coalesce(spark.read.parquet(f"{out}/data"), ["run_id"], ["total", "saved", "failed", "rate_limited"], [])
-    return last
+    rows = spark.read.parquet(f"{out}/data").withColumn("day", F.to_date("day_start").cast("string"))
+    return upserts.merge_coalesce(rows, ["run_id", "endpoint", "day"], ["total", "completed", "failed", "skipped"], [])
+
+
+CLOSING = "closing"
 
 
-@query("fx_event", "SELECT run_id, max(epoch_us(ts)) // 1000 AS last_ts_ms FROM fx_event GROUP BY run_id HAVING max(epoch_us(ts)) // 1000 < (SELECT max(epoch_us(ts)) // 1000 FROM fx_event) - 172800000")
+@query("fx_event", "SELECT run_id, max(epoch_us(ts)) // 1000 AS last_ts_ms FROM fx_event GROUP BY run_id")
 def stream_stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Runs without an event for a while, but for those of the last two days, whose alert may still be due."""
+    """Every run is stale in the end: a closing event a day after the last one, read after all others, makes all alerts due."""
     out = scratch(spark, "stale")
-    alerts = streams.stream_stale_runs(event_stream(spark, sf_dir))
+    columns = ("run_id", "event", "ts")
+    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
+    closing = newest.where("ts is not null").select(F.lit(CLOSING).alias("run_id"), F.lit("run.completed").alias("event"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"))
+    closing.write.parquet(f"{out}/closing")
+    rows = event_stream(spark, sf_dir).select(*columns).unionByName(spark.readStream.schema(closing.schema).parquet(f"{out}/closing"))
+    alerts = streams.stream_stale_runs(rows)
     finished(alerts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
-    found = spark.read.schema(alerts.schema).parquet(f"{out}/data").groupBy("run_id").agg(F.max("last_ts_ms").alias("last_ts_ms"))
-    newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.unix_millis(F.col("ts").cast("timestamp")))).first()[0]
-    return found.where(F.col("last_ts_ms") < newest - 2 * 86_400_000)
+    found = spark.read.schema(alerts.schema).parquet(f"{out}/data").where(F.col("run_id") != CLOSING)
+    return found.groupBy("run_id").agg(F.max("last_ts_ms").alias("last_ts_ms"))
 
 
 @query("fx_event", f"SELECT 'all' AS sink, count(*) AS n FROM fx_event UNION ALL SELECT 'attention', count(*) FROM fx_event WHERE {ATTENTION}")

@@ -6,55 +6,83 @@ from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "name string, scope string, paging string, source_endpoint string, needs_credential boolean, id_paths array<string>, items_path string, place int"
 
-#: fixed values: account-level endpoints without paging
-PLAIN = (
-    "user_info", "access_id", "relation_info", "up_stat", "overview_stat", "channels", "user_medal", "live_info", "user_relation", "reservation",
-    "uplikeimg", "top_followers", "space_notice", "all_followings", "top_videos", "masterpiece", "article_list", "cheese", "elec_monthly",
-)
-#: fixed values: account-level endpoints with paging, as name: (strategy, id paths, items path)
-PAGED = {
-    "videos": ("page", ["list.vlist[*].bvid"], "list.vlist"),
-    "articles": ("page", ["articles[*].id"], "articles"),
-    "subscribed_bangumi": ("page", ["list[*].season_id"], "list"),
-    "opus": ("cursor", ["items[*].opus_id"], "items"),
-    "dynamics": ("cursor", ["items[*].id_str"], "items"),
-    "audios": ("page", ["data[*].id"], "data"),
-    "channel_list": ("page", ["items_lists.seasons_list[*].meta.season_id", "items_lists.series_list[*].meta.series_id"], "items_lists"),
-    "media_list": ("oid", ["media_list[*].bvid", "list[*].bvid", "items[*].bvid"], "media_list"),
-    "followings": ("page", ["list[*].mid"], "list"),
-    "followers": ("page", ["list[*].mid"], "list"),
-    "same_followers": ("page", ["list[*].mid"], "list"),
-    "user_fav_tag": ("page", [], None),
-    "album": ("page", [], "biz_list"),
-    "upower_qa": ("anchor", ["list[*].qa_id"], "list"),
-}
-#: fixed values: item-level endpoints by the listing that gives their items
-ITEMS = {
-    "videos": (
-        "video_detail", "video_pages", "video_detail_full", "video_ai_conclusion", "video_danmaku_snapshot", "video_danmaku_view", "video_danmaku_xml", "video_danmakus",
-        "video_online", "video_pay_coins", "video_pbp", "video_player_info", "video_private_notes", "video_public_notes", "video_related", "video_relation",
-        "video_special_dms", "video_subtitle", "video_up_mid", "video_snapshot", "video_download_url", "video_is_episode", "video_is_forbid_note", "video_chargers",
-    ),
-    "articles": ("article_detail",),
-    "opus": ("opus_detail",),
-    "article_list": ("article_list_detail",),
-    "channel_list": ("channel_videos_season", "channel_videos_series"),
-    "upower_qa": ("upower_qa_detail",),
-}
-#: fixed values
-NEED_CREDENTIAL = {
-    "user_medal", "user_relation", "uplikeimg", "all_followings", "followings", "followers", "same_followers", "elec_monthly", "upower_qa", "upower_qa_detail",
-    "video_pay_coins", "video_player_info", "video_private_notes", "video_public_notes", "video_relation", "video_subtitle", "video_is_forbid_note",
-}
+#: fixed values in catalogue order: name, scope, paging strategy, endpoint that gives the items, credential, path of the list, id paths
+CATALOGUE = """
+user_info account none - - - -
+videos account page - - list.vlist list.vlist[*].bvid
+access_id account none - - - -
+relation_info account none - - - -
+up_stat account none - - - -
+overview_stat account none - - - -
+articles account page - - articles articles[*].id
+subscribed_bangumi account page - - list list[*].season_id
+opus account cursor - - items items[*].opus_id
+dynamics account cursor - - items items[*].id_str
+audios account page - - data data[*].id
+channel_list account page - - items_lists items_lists.seasons_list[*].meta.season_id,items_lists.series_list[*].meta.series_id
+channels account none - - - -
+media_list account oid - - media_list media_list[*].bvid,list[*].bvid,items[*].bvid
+video_detail item none videos - - -
+video_pages item none videos - - -
+video_detail_full item none videos - - -
+video_ai_conclusion item none videos - - -
+video_danmaku_snapshot item none videos - - -
+video_danmaku_view item none videos - - -
+video_danmaku_xml item none videos - - -
+video_danmakus item none videos - - -
+video_online item none videos - - -
+video_pay_coins item none videos credential - -
+video_pbp item none videos - - -
+video_player_info item none videos credential - -
+video_private_notes item none videos credential - -
+video_public_notes item none videos credential - -
+video_related item none videos - - -
+video_relation item none videos credential - -
+video_special_dms item none videos - - -
+video_subtitle item none videos credential - -
+video_up_mid item none videos - - -
+video_snapshot item none videos - - -
+video_download_url item none videos - - -
+video_is_episode item none videos - - -
+video_is_forbid_note item none videos credential - -
+video_chargers item none videos - - -
+article_detail item none articles - - -
+opus_detail item none opus - - -
+article_list_detail item none article_list - - -
+user_medal account none - credential - -
+live_info account none - - - -
+user_relation account none - credential - -
+reservation account none - - - -
+uplikeimg account none - credential - -
+top_followers account none - - - -
+space_notice account none - - - -
+all_followings account none - credential - -
+followings account page - credential list list[*].mid
+followers account page - credential list list[*].mid
+same_followers account page - credential list list[*].mid
+top_videos account none - - - -
+masterpiece account none - - - -
+article_list account none - - - -
+cheese account none - - - -
+elec_monthly account none - credential - -
+user_fav_tag account page - - - -
+album account page - - biz_list -
+channel_videos_season item none channel_list - - -
+channel_videos_series item none channel_list - - -
+upower_qa account anchor - credential list list[*].qa_id
+upower_qa_detail item none upower_qa credential - -
+"""
 
 
 def endpoint_rows() -> list[tuple]:
-    rows: list[tuple] = [(name, "account", "none", None, name in NEED_CREDENTIAL, [], None) for name in PLAIN]
-    rows += [(name, "account", strategy, None, name in NEED_CREDENTIAL, paths, items) for name, (strategy, paths, items) in PAGED.items()]
-    rows += [(name, "item", "none", source, name in NEED_CREDENTIAL, [], None) for source, names in ITEMS.items() for name in names]
-    return [(*row, place) for place, row in enumerate(rows)]
+    given = lambda x: None if x == "-" else x
+    rows = []
+    for place, line in enumerate(CATALOGUE.split("\n")[1:-1]):
+        name, scope, paging, source, credential, items, paths = line.split()
+        rows.append((name, scope, paging, given(source), credential == "credential", paths.split(",") if given(paths) else [], given(items), place))
+    return rows
 
 
 def endpoint_registry(spark: SparkSession) -> DataFrame:
-    """One row per endpoint; small enough to be broadcast."""
+    """One row per endpoint; ``place`` is its place in the catalogue."""
     return spark.createDataFrame(endpoint_rows(), SCHEMA)

@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path under ``spark.checkpoint.dir``; where that is unset (tests), under a temporary folder that becomes it."""
+    """A new path under ``spark.checkpoint.dir``; where that is unset on one machine (tests), under a temporary folder that becomes it."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="payload-lake-")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/payload-lake/{name}-{uuid.uuid4().hex}"

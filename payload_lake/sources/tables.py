@@ -34,9 +34,12 @@ def scoped(df: DataFrame, uid: int | None) -> DataFrame:
 
 
 def write_table(df: DataFrame, root: str, table: str) -> None:
-    """Replace the accounts that ``df`` has, and only those; rows are sorted for row-group pruning."""
+    """Replace the accounts that ``df`` has, and only those; rows are sorted for row-group pruning.
+
+    Tasks take sampled ranges of account and key, so a large account is written by several of them.
+    """
     order = [c for c in ("endpoint", "item_id", "run_id", "id", "key") if c in df.columns]
-    df.repartition("uid").sortWithinPartitions("uid", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("uid").parquet(f"{root}/{table}")
+    df.repartitionByRange("uid", *order).sortWithinPartitions("uid", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("uid").parquet(f"{root}/{table}")
 
 
 def list_uids(df: DataFrame, name: str = "uid") -> DataFrame:

@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_attention
@@ -19,19 +20,39 @@ def ingest_events(events: DataFrame, path: str, checkpoint: str):
 
 
 def stream_upsert(changes: DataFrame, root: str, keys: list[str], checkpoint: str):
-    """Keep the last row per key by ``seq`` as snapshots ``root/v=<batch>``; a batch that is run again writes the same one."""
+    """Append the last row per key and batch under ``root/v=<batch>``; a batch that is run again writes the same one.
+
+    A batch writes what it changed, whatever the table holds; ``read_upserts`` and
+    ``compact_upserts`` take the last row per key over the batches.
+    """
 
     def merge(batch: DataFrame, number: int) -> None:
-        base = batch.sparkSession.read.parquet(f"{root}/v={number - 1}") if number else batch.limit(0)
-        upsert(base, batch, keys).write.mode("overwrite").parquet(f"{root}/v={number}")
+        upsert(batch.limit(0), batch, keys).write.mode("overwrite").parquet(f"{root}/v={number}")
 
     return changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def read_upserts(spark: SparkSession, root: str, keys: list[str]) -> DataFrame:
+    """The last row per key over all batches of ``stream_upsert``."""
+    rows = spark.read.parquet(root).drop("v")
+    return upsert(rows.limit(0), rows, keys)
+
+
+def compact_upserts(spark: SparkSession, root: str, keys: list[str], to: str) -> None:
+    """Write the table of ``root`` as the first batch of a new folder; later batches go on there."""
+    read_upserts(spark, root, keys).write.mode("overwrite").parquet(f"{to}/v=-1")
+
+
 def stream_progress(events: DataFrame, watermark: str = "1 day") -> DataFrame:
-    """Running item counts per run and day; the watermark bounds the state."""
-    n = lambda name: F.count_if(F.col("event").like(f"%.{name}")).alias(name)
-    return events.withWatermark("ts", watermark).groupBy("run_id", F.window("ts", "1 day")).agg(F.count("*").alias("total"), n("saved"), n("failed"), n("rate_limited")).drop("window")
+    """Running item counts of each run, endpoint and day (``day_start``): the watermark ends a day and frees its state.
+
+    ``events`` has run_id, endpoint, event and ts; an event ends an item as
+    completed (``.saved`` or ``.completed``), failed or skipped, or does not.
+    """
+    n = lambda alias, *names: F.count_if(reduce(lambda a, b: a | b, [F.col("event").ilike(f"%.{x}") for x in names])).alias(alias)
+    counts = n("completed", "saved", "completed"), n("failed", "failed"), n("skipped", "skipped")
+    rows = events.withWatermark("ts", watermark).groupBy("run_id", "endpoint", F.window("ts", "1 day")).agg(F.count("*").alias("total"), *counts)
+    return rows.withColumn("day_start", F.col("window.start")).drop("window")
 
 
 def stream_attention(events: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Edge cases of the operators, against plain expectations."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,6 +9,8 @@ from payload_lake.functions import jsonx, scalars
 from payload_lake.operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts, work_items
 from payload_lake.sources import registry, tables
 
+ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
 
 def one(spark, column, **values):
     schema = ", ".join(f"{k} {'string' if v is None or isinstance(v, str) else 'double' if isinstance(v, float) else 'long'}" for k, v in values.items())
@@ -50,6 +54,9 @@ def test_find_items_and_total(spark):
         ('{"list": [1], "total": 61}', "page", 2, 30, False, "3"),
         ('{"list": [1], "total": 60}', "page", 2, 30, True, None),
         ('{"list": []}', "page", 1, 30, True, None),
+        ('{"list": [1], "page": {"count": 0}, "total_count": 30}', "page", 1, 30, True, None),
+        ('{"list": [1], "page": {"count": 0}, "total_count": "30"}', "page", 1, 30, False, "2"),
+        ('{"has_more": "1", "offset": "z"}', "cursor", 1, 30, True, None),
         ('{"has_more": true, "offset": "z"}', "cursor", 1, 30, False, "z"),
         ('{"has_more": 0, "offset": "z"}', "cursor", 1, 30, True, None),
         ('{"anchor": 0}', "anchor", 1, 30, True, None),
@@ -81,8 +88,11 @@ def test_scalars(spark):
     assert one(spark, scalars.segment_seconds(F.col("d"), 650), d=101) == 100
     assert one(spark, scalars.doubling(F.lit(3), F.col("d")), d=20) == [3, 6, 12, 20]
     assert one(spark, scalars.doubling(F.lit(3), F.col("d")), d=2) == [2]
-    assert one(spark, scalars.parse_delays(F.col("t")), t="10, 2") == [2.0, 10.0]
-    assert one(spark, scalars.parse_delays(F.col("t")), t="1,x") == [1.0, 2.0, 4.0]
+    for text, delays in [("30,60,120", [30, 60, 120]), ("60,30,120", [30, 60, 120]), ("", [30, 60, 120]), ("a,b", [30, 60, 120]), ("1.5,3", [30, 60, 120]), (" 10, 2 ,", [2, 10])]:
+        assert one(spark, scalars.parse_delays(F.col("t")), t=text) == delays
+    assert one(spark, scalars.parse_delays(F.col("t"), (1, 2)), t="") == [1, 2]
+    assert one(spark, scalars.doubling(F.col("d"), F.lit(9)), d=0) == [] and one(spark, scalars.doubling(F.lit(1), F.col("d")), d=0) == []
+    assert one(spark, scalars.is_attention(F.lit("INFO"), F.col("t")), t="x.FAILED") is True
     assert one(spark, scalars.is_stale(F.col("d"), 8 * scalars.DAY_MS, 7), d=scalars.DAY_MS) is True
     assert one(spark, F.size(scalars.fixed_ranges(F.col("d"), F.lit(60))), d=0) == 0
     assert one(spark, scalars.event_detail(F.col("t")), t='{"error": "", "retry": 2, "failed": 1}') == "retry=2 failed=1"
@@ -127,6 +137,29 @@ def test_stitch_overlap(size, joined):
     assert out == (f"left {shared} right" if joined else f"left {shared} {shared} right")
 
 
+def test_stitch_keeps_all_of_the_left_text():
+    shared = "LEFT END of twenty and more"
+    assert sequences.join_texts(f"start {shared}, tail", f"noise {shared}; right rest") == f"start {shared}, tail; right rest"
+    assert sequences.join_texts("", " b ") == "b" and sequences.join_texts("a", "") == "a"
+
+
+def test_stitch_is_a_fold_of_pairs(spark):
+    import random
+
+    rng, rows, expected = random.Random(3), [], {}
+    for item in range(12):
+        body = "".join(rng.choice("abcdef ") for _ in range(900))
+        cuts = sorted(rng.sample(range(1, 899), 5))
+        parts = [body[max(0, a - rng.randint(0, 60)) : b] for a, b in zip([0, *cuts], [*cuts, 900])] + ["", "x"]
+        rows += [(item if item else None, pos, text) for pos, text in enumerate(parts)]
+        out = ""
+        for text in (p.strip() for p in parts):
+            out = sequences.join_texts(out, text) if text else out
+        expected[item if item else None] = out
+    frame = spark.createDataFrame(rows, "item long, pos long, text string").repartition(5)
+    assert {r.item: r.text for r in sequences.stitch(frame, ["item"]).collect()} == expected
+
+
 def test_stitch_skips_blank(spark):
     rows = spark.createDataFrame([(1, 0, "a"), (1, 1, " "), (1, 2, "b"), (2, 0, None)], "item long, pos long, text string")
     assert {r.item: r.text for r in sequences.stitch(rows, ["item"]).collect()} == {1: "a b", 2: ""}
@@ -138,6 +171,21 @@ def test_cache_merge_is_a_fold(spark):
     assert [(r.start_s, r.ns, r.text) for r in sequences.cache_merge(old, new, ["item"]).orderBy("start_s").collect()] == [(0.0, "m", "r"), (0.16, "n", "q")]
 
 
+def test_cache_merge_equals_the_fold(spark):
+    import random
+
+    rng = random.Random(8)
+    row = lambda: (rng.randint(0, 1), round(rng.uniform(0, 1.5), 2), round(rng.uniform(0, 0.4), 2), rng.choice(["a", "B ", None]), str(rng.random()))
+    old, new = [row() for _ in range(60)], [(*row(), i) for i in range(80)]
+    kept = list(old)
+    near = lambda x, y: x[0] == y[0] and (x[3] or "").strip().lower() == (y[3] or "").strip().lower() and abs(x[1] - y[1]) <= 0.1 and abs(x[2] - y[2]) <= 0.1
+    for r in new:
+        kept = [k for k in kept if not near(k, r)] + [r[:5]]
+    schema = "item long, start_s double, end_s double, ns string, text string"
+    found = sequences.cache_merge(spark.createDataFrame(old, schema), spark.createDataFrame(new, schema + ", seq long"), ["item"]).collect()
+    assert sorted(r.text for r in found) == sorted(k[4] for k in kept)
+
+
 def test_cache_lookup_at_the_tolerance(spark):
     schema = "uid long, id long, start_s double, end_s double, ns string"
     wanted = spark.createDataFrame([(1, 1, 10.0, 20.0, " A"), (1, 2, 10.5, 20.0, "a")], schema)
@@ -200,6 +248,85 @@ def test_task_status(spark, states, status):
     assert aggregates.derive_task_status(rows, ["uid"]).first().task_status == status
 
 
+@pytest.mark.parametrize(
+    ("states", "stage", "run"),
+    [
+        (["SUCCESS", "SUCCESS"], "SUCCESS", "SUCCESS"), (["FAILED_PERMANENT", "PARTIAL"], "FAILED_PERMANENT", "FAILED"), (["FAILED_PERMANENT", "SUCCESS"], "PARTIAL", "PARTIAL"),
+        (["RUNNING", "FAILED_PERMANENT"], "RUNNING", "RUNNING"), (["odd", "SUCCESS"], "PARTIAL", "PARTIAL"), ([], "SUCCESS", "SUCCESS"),
+    ],
+)
+def test_stage_status(spark, states, stage, run):
+    rows = spark.createDataFrame([(1, s) for s in states], "uid long, status string")
+    row = aggregates.derive_stage_status(rows, spark.createDataFrame([(1, True)], "uid long, complete boolean"), ["uid"]).first()
+    assert (row.stage_status, row.run_status) == (stage, run)
+
+
+@pytest.mark.parametrize(("buckets", "status"), [([(2, 1, 1, 0)], "PARTIAL"), ([(3, 1, 0, 0), (0, 2, 0, 0)], "RUNNING"), ([(0, 0, 1, 0)], "FAILED_PERMANENT"), ([(0, 0, 0, 0)], "SUCCESS"), ([(1, 0, 0, 1)], "SUCCESS")])
+def test_pipeline_rollup_asks_each_bucket(spark, buckets, status):
+    rows = spark.createDataFrame([(1, *b) for b in buckets], "uid long, total long, completed long, failed long, skipped long")
+    assert aggregates.pipeline_rollup(rows, ["uid"]).first().status == status
+
+
+@pytest.mark.parametrize(("kinds", "skipped"), [((4, 5, 41, 2), True), ((4, 5, 42, 0), True), ((4, 5, 41, 1), False), ((0, 0, 0, 0), False), ((4, 5, None, 2), False), ((4, 6, 41, 2), False)])
+def test_skip_needs_all_four_kinds(spark, kinds, skipped):
+    row = spark.createDataFrame([kinds], "a long, b long, c long, d long").select(selects.skip_reason(*map(F.col, "abcd")).isNotNull().alias("x")).first()
+    assert row.x is skipped
+
+
+def test_run_summary_without_runs_and_of_a_named_run(spark):
+    schema = "run_id string, uid long, command string, status string, started_at long, seq long, args_json string, summary_json string"
+    found = spark.createDataFrame([("old", 66, "fetch", "SUCCESS", 1, 1, "{}", None), ("new", 66, "asr", "PARTIAL", 2, 2, '{"limit": 3}', "{}")], schema)
+    events = spark.createDataFrame([(1, "old", "INFO", "fetch.endpoint.completed", "{}"), (2, "new", "INFO", "asr.discovery.completed", '{"candidate_count": 3}'), (3, "new", "WARNING", "asr.coverage.partial", "{}")], "id long, run_id string, level string, event string, data_json string")
+    tasks = spark.createDataFrame([(77, "asr", "PARTIAL")], "uid long, stage string, status string")
+    states = spark.createDataFrame([(66, "videos", "SUCCESS")], "uid long, endpoint string, status string")
+    coverage = spark.createDataFrame([(77, 2, 1, False)], "uid long, expected long, success long, complete boolean")
+    summary = lambda **rest: {r.uid: r for r in runs.run_summary(found, events, tasks, states, coverage, **rest).collect()}
+    both = summary(n=1)
+    assert set(both) == {66, 77} and both[77].run_id is None and both[77].coverage_applicable and both[77].expected == 2 and [tuple(x) for x in both[77].tasks] == [("asr", "PARTIAL")]
+    assert (both[66].run_id, both[66].candidate_count, both[66].coverage_applicable) == ("new", 3, False) and [e.event for e in both[66].recent_events] == ["asr.coverage.partial"]
+    named = summary(run_id="old")
+    assert set(named) == {66} and [e.event for e in named[66].recent_events] == ["fetch.endpoint.completed"]
+    assert len(summary(only_run=False)[66].recent_events) == 3 and set(summary(uid=77)) == {77}
+
+
+def test_task_status_and_marks(spark):
+    tasks = spark.createDataFrame([(1, "asr", "RUNNING", 3), (2, "asr", "odd", 3)], "uid long, stage string, status string, updated_at_ms long")
+    meta = spark.createDataFrame([(1, "last_processed_at_ms", "2"), (1, "x", "y")], "uid long, key string, value string")
+    changes = spark.createDataFrame([(1, "asr", "RUNNING", 7, 1), (1, "asr", "FAILED", 8, 2), (1, "asr", "RUNNING", 9, 3)], "uid long, stage string, status string, at_ms long, seq long")
+    new_tasks, new_meta = upserts.update_task_status(tasks, meta, changes)
+    assert {(r.uid, r.status, r.updated_at_ms) for r in selects.task_states(new_tasks, "asr").collect()} == {(1, "RUNNING", 9), (2, "PENDING", 3)}
+    assert {(r.key, r.value) for r in new_meta.collect()} == {("last_processed_at_ms", "8"), ("x", "y")}
+    assert [r.value for r in selects.meta_value(new_meta, "x").collect()] == ["y"]
+
+
+def test_subset_errors_and_profiles(spark):
+    rows = registry.endpoint_registry(spark)
+    assert [r.name for r in selects.checked_subset(rows, profile="minimal").orderBy("place").collect()] == ["user_info", "videos", "articles", "opus", "dynamics"]
+    with pytest.raises(ValueError, match="unknown names: nope"):
+        selects.checked_subset(rows, exclude=spark.createDataFrame([("nope",)], "name string"))
+    with pytest.raises(ValueError, match="nothing is left"):
+        selects.checked_subset(rows, exclude=rows.select("name"))
+    with pytest.raises(ValueError, match="unknown profile"):
+        selects.resolve_subset(rows, profile="nope")
+
+
+def test_declared_rules_ask_for_values(spark):
+    rows = spark.createDataFrame([(None, "{}", 1), ("odd", "{}", 1), ("success", None, -1)], "status string, payload string, processed_at_ms long")
+    own = {k: v for k, v in rules.table_rules("audio_transcription").items() if k in ("status", "status_given", "payload_given", "processed_at", "processed_at_ms_given")}
+    assert {r.rule: r.violations for r in rules.check_rules(rows, own).collect()} == {"status": 1, "status_given": 1, "payload_given": 1, "processed_at": 1, "processed_at_ms_given": 0}
+    for table in rules.REQUIRED:
+        frame = spark.createDataFrame([], f"uid long, {tables.SCHEMAS[table]}")
+        assert all(r.violations == 0 for r in rules.check_rules(frame, rules.table_rules(table)).collect())
+
+
+def test_entry_works_without_the_packages_of_the_llm_operators():
+    import subprocess
+    import sys
+
+    code = "import sys; sys.modules['ahocorasick'] = None; import __spark_entry__ as e; q = e.queries(); assert 'coverage_report' in q and 'op8_sentencepiece' not in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=ROOT)
+
+
 def test_run_guard_at_the_threshold(spark):
     rows = spark.createDataFrame([(1, "asr", "RUNNING", 100), (2, "asr", "RUNNING", 101), (3, "asr", "RUNNING", None), (4, "asr", "SUCCESS", 101)], "uid long, stage string, status string, updated_at_ms long")
     assert {r.uid: r.guard for r in runs.run_guard(rows, 200, 100).collect()} == {1: "takeover", 2: "blocked", 3: "takeover", 4: "free"}
