@@ -2,28 +2,19 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scratch import scratch
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
+#: for each ``settled`` call that is open, the paths staged in it
+_open: list[list[str]] = []
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is
-    set once for the session.
-    """
-    path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="payload-lake-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -33,11 +24,40 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     a plain scan, so a join over it keeps skew-join splitting.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/payload-lake/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
+    if _open:
+        _open[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
+    """``staged(build(), name)``; what ``build`` staged on the way is removed once the result is written."""
+    _open.append([])
+    try:
+        df = build()
+        out = staged(df, name)
+    finally:
+        inner = _open.pop()
+    remove(df.sparkSession, inner[:-1])
+    if _open:
+        _open[-1].append(inner[-1])
+    return out
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete staged tables that nothing reads any more."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for path in paths:
+        p = jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(conf).delete(p, True)
+
+
 def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``max_rows`` rows, else as it is."""
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
+
+
+def ids_as_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
+    """``df`` with its integer id as long; what is no integer becomes null."""
+    return df.withColumn(name, F.col(name).cast("string").try_cast("bigint"))
