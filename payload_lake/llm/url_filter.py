@@ -17,7 +17,8 @@ path starts with the rule's. The longest rule that fits wins; of equally long
 ones the first. Without a rule the verdict is ``default``.
 
 The scan is a map: no shuffle, whatever share of the rows one host holds. Rules
-are configuration, bounded by ``MAX_RULES``.
+are configuration; their masks hold at most ``MAX_BITS`` bits, and a task moves at
+most ``MAX_STATE`` words of state at once.
 """
 
 from __future__ import annotations
@@ -27,13 +28,14 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .stage import table
 
-MAX_RULES = 100_000
+#: bits of all rules together (two tables of 256 such rows, 64 MB), and words of state that are moved at once
+MAX_BITS, MAX_STATE = 1 << 20, 1 << 20
 
 
 class Rule(NamedTuple):
@@ -57,21 +59,22 @@ class Automaton:
     def __init__(self, globs: Sequence[str]):
         parsed = [self._symbols(g.encode()) for g in globs]
         bits = sum(len(symbols) + 1 for symbols, _ in parsed)
+        if bits > MAX_BITS:
+            raise ValueError(f"{bits} bits of rules; the automaton is broadcast and holds at most {MAX_BITS}")
         self.words = max(1, -(-bits // 64))
-        step = np.zeros((256, self.words * 64), bool)
-        wait = np.zeros((256, self.words * 64), bool)
-        start = np.zeros(self.words * 64, bool)
+        self.step, self.wait = np.zeros((256, self.words), np.uint64), np.zeros((256, self.words), np.uint64)
+        self.start = np.zeros(self.words, np.uint64)
         self.finals = np.zeros(len(globs), np.int64)
         at = 0
+        bit = lambda k: np.uint64(1 << (k & 63))
         for i, (symbols, stars) in enumerate(parsed):
-            start[at] = True
+            self.start[at >> 6] |= bit(at)
             for j, accepted in enumerate(symbols):
-                step[accepted, at + j + 1] = True
+                self.step[accepted, at + j + 1 >> 6] |= bit(at + j + 1)
             for j, accepted in stars.items():
-                wait[accepted, at + j] = True
+                self.wait[accepted, at + j >> 6] |= bit(at + j)
             at += len(symbols) + 1
             self.finals[i] = at - 1
-        self.step, self.wait, self.start = self._packed(step), self._packed(wait), self._packed(start[None])[0]
 
     @staticmethod
     def _symbols(glob: bytes) -> tuple[list[np.ndarray], dict[int, np.ndarray]]:
@@ -92,12 +95,13 @@ class Automaton:
             i += 1
         return symbols, stars
 
-    @staticmethod
-    def _packed(bits: np.ndarray) -> np.ndarray:
-        return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
-
     def matches(self, texts: Sequence[bytes]) -> np.ndarray:
         """For each text and glob, whether the glob fits the whole text."""
+        most = max(1, MAX_STATE // self.words)
+        parts = [self._matches(texts[i : i + most]) for i in range(0, len(texts), most)]
+        return np.concatenate(parts) if parts else np.zeros((0, len(self.finals)), bool)
+
+    def _matches(self, texts: Sequence[bytes]) -> np.ndarray:
         lengths = np.array([len(t) for t in texts], np.int64)
         order = np.argsort(-lengths, kind="stable")
         lengths = lengths[order]
@@ -119,15 +123,14 @@ class Automaton:
         return out
 
 
-def host_and_path(url: str | None) -> tuple[str, str]:
-    if url is None or (at := url.find("://")) < 0:
-        return "", ""
-    rest = url[at + 3 :]
-    cut = min((i for i in (rest.find("?"), rest.find("#")) if i >= 0), default=len(rest))
-    rest = rest[:cut]
-    slash = rest.find("/")
-    host, path = (rest, "") if slash < 0 else (rest[:slash], rest[slash:])
-    return host.encode("utf-8", "surrogatepass").lower().decode("utf-8", "surrogatepass"), path
+def host_and_path(url: Column) -> tuple[Column, Column]:
+    """Host and path of a canonical URL; both empty for null or without ``://``."""
+    at = F.instr(url, "://")
+    rest = F.when(at > 0, F.substring_index(F.substring_index(url.substr(at + 3, F.length(url)), "?", 1), "#", 1)).otherwise(F.lit(""))
+    rest = F.coalesce(rest, F.lit(""))
+    host = F.substring_index(rest, "/", 1)
+    upper = "".join(map(chr, range(65, 91)))
+    return F.translate(host, upper, upper.lower()), rest.substr(F.length(host) + 1, F.length(rest))
 
 
 def escaped(text: str) -> str:
@@ -137,32 +140,34 @@ def escaped(text: str) -> str:
 
 
 def judge_urls(pages: DataFrame, rules: Sequence[Rule] = RULES, default: str = "allow", url: str = "url") -> DataFrame:
-    """``pages`` plus host, path, rule and verdict; columns of these names are replaced.
+    """``pages`` plus host, path, rule and verdict; columns of these names are replaced, others, whatever their names, are passed on.
 
     Null and odd URLs have an empty host and path, no rule and the default
-    verdict; repeated rows are judged alike; an empty table stays empty.
+    verdict; a very long URL costs a step for each of its bytes; repeated rows are
+    judged alike; an empty table stays empty.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the automaton is broadcast and holds at most {MAX_RULES}")
     rules = sorted(rules, key=lambda r: -len(r.host + r.path))
     names = [r.host + r.path for r in rules]
     automaton = Automaton([f"*.{escaped(r.host)}{escaped(r.path)}**" for r in rules])
-    kept = [f for f in pages.schema.fields if f.name not in ("host", "path", "rule", "verdict")]
-    schema = T.StructType([*kept, *(T.StructField(c, T.StringType()) for c in ("host", "path", "rule", "verdict"))])
+    made = ("host", "path", "rule", "verdict")
+    kept = [f for f in pages.schema.fields if f.name not in made]
+    host, path = host_and_path(F.col(f"`{url}`"))
+    row = F.struct(*(F.col(f"`{f.name}`") for f in kept)) if kept else F.struct(F.lit(None).alias("none"))
+    split = pages.select(host.alias("host"), path.alias("path"), row.alias("row"))
+    schema = T.StructType([*split.schema.fields, *(T.StructField(c, T.StringType()) for c in ("rule", "verdict"))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [host_and_path(x) for x in batch.column(batch.schema.get_field_index(url)).to_pylist()]
-            hits = automaton.matches([f".{host}{path}".encode() for host, path in parts])
-            found = hits.any(axis=1) & np.array([bool(h or p) for h, p in parts], bool)
+            urls = [b"." + h + p for h, p in zip(*(batch.column(k).cast(pa.large_binary()).to_pylist() for k in (0, 1)), strict=True)]
+            hits = automaton.matches(urls)
+            found = hits.any(axis=1) & np.array([len(u) > 1 for u in urls], bool)
             first = hits.argmax(axis=1)
             rule = [names[k] if ok else None for k, ok in zip(first, found, strict=True)]
             verdict = [rules[k].verdict if ok else default for k, ok in zip(first, found, strict=True)]
-            own = [[h for h, _ in parts], [p for _, p in parts], rule, verdict]
-            columns = [batch.column(batch.schema.get_field_index(f.name)) for f in kept]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(x, pa.string()) for x in own], [f.name for f in schema.fields])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rule, pa.string()), pa.array(verdict, pa.string())], [f.name for f in schema.fields])
 
-    return pages.select(*(F.col(f"`{f.name}`") for f in kept)).mapInArrow(run, schema)
+    judged = split.mapInArrow(run, schema)
+    return judged.select(*(F.col(f"row.`{f.name}`").alias(f.name) for f in kept), *made)
 
 
 def op2_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
