@@ -11,8 +11,9 @@ that holds it.
 
 Defined cases: a null or empty text is one empty line and stays (a null text
 becomes ``""``); rows that share a doc_id count as one document; a row with a
-null doc_id is passed on untouched and is not counted; an empty table gives an
-empty table; further columns are passed on.
+null doc_id is passed on untouched and is not counted; bytes that are no UTF-8
+stay as they are, and each counts as one code point; an empty table gives an empty
+table; further columns, whatever their names, are passed on.
 
 Only hashes are shuffled for the count, aggregated before the shuffle, so a line
 in a third of all documents costs each task one row. Both joins are plain
@@ -25,12 +26,12 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import staged, table
+from .stage import ids_as_long, staged, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -83,7 +84,7 @@ def _reassemble(min_chars: int, out_schema: pa.Schema):
                     lines = [x for x in lines if (key := line_key(x, min_chars)) is None or _halves(key) not in gone]
                 dropped.append(totals[-1] - len(lines))
                 texts.append(b"\n".join(lines))
-            own = {"text": pa.array(texts, pa.binary()).cast(pa.string()), "n_lines": pa.array(totals, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
+            own = {"text": pa.array(texts, pa.binary()).view(pa.string()), "n_lines": pa.array(totals, pa.int64()), "n_dropped": pa.array(dropped, pa.int64())}
             yield pa.RecordBatch.from_arrays([own[f.name] if f.name in own else batch.column(at(f.name)) for f in out_schema], schema=out_schema)
 
     return run
@@ -95,31 +96,44 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Data
     ``docs`` has doc_id (integer) and text; its other columns are passed on, and
     columns named n_lines or n_dropped are replaced.
     """
-    docs = docs.withColumn("doc_id", F.col("doc_id").cast("bigint")).drop("n_lines", "n_dropped", "__drops")
+    rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
+    judged = lines_judged(docs.select("doc_id", "text", _row(rest)), min_chars, min_docs)
+    kept = [F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`").alias(c) for c in docs.columns if c not in ("n_lines", "n_dropped")]
+    return judged.select(*kept, "n_lines", "n_dropped")
+
+
+def dedup_texts(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
+    """``docs`` with ``text`` rebuilt from the lines that stay; all other columns are passed on."""
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    judged = lines_judged(docs.select("doc_id", "text", _row(rest)), min_chars, min_docs)
+    return judged.select(*(F.col(c) if c in ("doc_id", "text") else F.col(f"__row.`{c}`").alias(c) for c in docs.columns))
+
+
+def _row(columns: list[str]) -> Column:
+    """Columns carried along in one struct, so that their names do not matter."""
+    return (F.struct(*(f"`{c}`" for c in columns)) if columns else F.struct(F.lit(None).alias("none"))).alias("__row")
+
+
+def lines_judged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
+    """doc_id, text, __row, n_lines and n_dropped of ``docs`` (doc_id, text, __row)."""
+    docs = ids_as_long(docs)
     lines = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_line_hashes(min_chars), "doc_id long, high long, low long")
-    per_doc = staged(lines.distinct(), "lines") if _repeats_ids(docs) else staged(lines, "lines")
-    common = staged(
-        per_doc.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("high", "low", "keeper"),
-        "common-lines",
-    )
+    per_doc = staged(lines.distinct(), "lines")
+    counted = per_doc.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
+    common = staged(counted.where(F.col("n") >= min_docs).select("high", "low", "keeper"), "common-lines")
     drops = (
         per_doc.join(common, ["high", "low"]).where("doc_id <> keeper")
         .groupBy("doc_id").agg(F.collect_list(F.struct("high", "low")).alias("__drops"))
     )
     # one strategy at every size: the list of drops grows with the corpus, so it is never broadcast
-    joined = docs.hint("merge").join(staged(drops, "dropped-lines"), "doc_id", "left")
+    joined = docs.hint("merge").join(staged(drops, "dropped-lines"), "doc_id", "left").select("doc_id", "text", "__row", "__drops")
     schema = T.StructType([*joined.drop("__drops").schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())])
     return joined.mapInArrow(_reassemble(min_chars, to_arrow_schema(schema)), schema)
 
 
-def _repeats_ids(docs: DataFrame) -> bool:
-    """Whether any doc_id stands on more than one row."""
-    return bool(docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count())
-
-
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.encode("text", "utf-8"), 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 ORACLE = r"""
