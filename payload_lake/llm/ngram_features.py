@@ -1,4 +1,4 @@
-"""Hashed byte n-gram counts of whole texts, for the trained text models."""
+"""Hashed byte and character n-gram counts of whole texts, for the trained text models."""
 
 from __future__ import annotations
 
@@ -19,12 +19,11 @@ SOFT[[9, 10, 11, 12, 13]] = 32
 SOFT[48:58] = 48
 
 
-def gram_buckets(data: np.ndarray, sizes: tuple[int, ...], buckets: int, fold: np.ndarray) -> list[np.ndarray]:
-    """For each n-gram size, the hash bucket of the n-gram that starts at each byte."""
-    symbols = fold[data]
+def gram_buckets(symbols: np.ndarray, sizes: tuple[int, ...], buckets: int) -> list[np.ndarray]:
+    """For each n-gram size, the hash bucket of the n-gram that starts at each symbol (32 bits)."""
     out = []
     for n in sizes:
-        m = len(data) - n + 1
+        m = len(symbols) - n + 1
         if m <= 0:
             out.append(np.zeros(0, np.int64))
             continue
@@ -38,12 +37,29 @@ def gram_buckets(data: np.ndarray, sizes: tuple[int, ...], buckets: int, fold: n
 
 
 def counts(chunk: Chunk, sizes: tuple[int, ...], buckets: int, fold: np.ndarray = SOFT) -> np.ndarray:
-    """Counts per row and bucket; ``buckets`` is a power of two. n-grams never cross rows."""
-    rows = len(chunk.offsets) - 1
+    """Counts of byte n-grams per row and bucket; ``buckets`` is a power of two. n-grams never cross rows."""
+    return _counted(fold[chunk.data], chunk.offsets, sizes, buckets)
+
+
+def char_counts(chunk: Chunk, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
+    """Counts of character n-grams (code points, lower-cased) per row and bucket.
+
+    White space of any kind is one symbol, and so are ASCII digits; bytes that are
+    no UTF-8 are symbols of their own.
+    """
+    texts = [bytes(chunk.data[a:b]).decode("utf-8", "surrogateescape").lower() for a, b in zip(chunk.offsets[:-1], chunk.offsets[1:], strict=True)]
+    symbols = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    low = symbols < 128
+    symbols = np.where(low, SOFT[np.where(low, symbols, 0)], symbols)
+    return _counted(symbols, np.cumsum([0, *map(len, texts)]), sizes, buckets)
+
+
+def _counted(symbols: np.ndarray, offsets: np.ndarray, sizes: tuple[int, ...], buckets: int) -> np.ndarray:
+    rows = len(offsets) - 1
     out = np.zeros((rows, buckets), np.float32)
-    grams = gram_buckets(chunk.data, sizes, buckets, fold)
+    grams = gram_buckets(symbols, sizes, buckets)
     for i in range(rows):
-        a, b = chunk.offsets[i], chunk.offsets[i + 1]
+        a, b = offsets[i], offsets[i + 1]
         for n, found in zip(sizes, grams, strict=True):
             if b - a >= n:
                 out[i] += np.bincount(found[a : b - n + 1], minlength=buckets)
