@@ -1,23 +1,26 @@
 """Benchmark decontamination: BM25 over the test items, searched with block-max pruning.
 
-The test items are the indexed side: postings by term, cut into blocks of items
-with the largest impact of the term in each block. Every document is cut into
-passages of ``2 L`` words every ``L`` words, L being the longest item, so that
-each item that stands in a document stands wholly in some passage. Every passage
-is a query, and all items are retrieved whose BM25 score reaches ``threshold``
-times the score of the item for its own text:
+The test items are the indexed side, question and answer as entries of their own:
+postings by term, cut into blocks of entries with the largest impact of the term
+in each block. Every document is cut into passages of ``2 L`` words every ``L``
+words, L being the longest entry, so that each entry that stands in a document
+stands wholly in some passage. Every passage is a query, and all entries are
+retrieved whose BM25 score reaches ``threshold`` times the score of the entry for
+its own text:
 
 * the terms of a passage are ordered by their largest impact anywhere; those at
   the low end that can only give a fraction of the threshold together are not
   expanded, and a passage whose terms cannot reach it at all is left out;
 * the others are expanded to blocks, and a block is left out if its largest
   impacts plus all that was not expanded stay below the threshold;
-* the items of the blocks that are left get their exact score.
+* the entries of the blocks that are left get their exact score.
 
-A retrieved item counts as leaked into a document if at least ``overlap`` of the
-five-word shingles of its question and of its answer stand in the document. The
-answer is the last sentence of an item, the question what comes before; an item
-of one sentence is all question. A part of fewer than five words is one shingle.
+An item of which every part was retrieved, wherever in the document, counts as
+leaked if at least ``overlap`` of the five-word shingles of its question and of
+its answer stand in the document. The answer is the last sentence of an item, the
+question what comes before; an item of one sentence is all question. A part of
+fewer than five words is one shingle, a part without words counts as found. The
+score of a leak is the least share of a part.
 
 Words are split at white space and ASCII signs, A-Z lower-cased. The index is
 made by Spark and broadcast in shards of at most ``SHARD_POSTINGS`` postings;
@@ -25,8 +28,9 @@ each shard scans the documents once. Nothing about documents is shuffled.
 
 Defined cases: null and empty texts hold nothing and leak nothing; items without
 words are never retrieved; equal items are each reported; repeated rows are
-reported once for each (doc_id, item_id); empty tables give no rows; further
-columns are ignored by ``leaks`` and passed on by ``without_leaks``.
+reported once for each (doc_id, item_id); a row with a null doc_id is searched and
+reported under it; empty tables give no rows; further columns, whatever their
+names, are ignored by ``leaks`` and passed on by ``without_leaks``.
 """
 
 from __future__ import annotations
@@ -41,7 +45,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .stage import staged, table
+from .stage import ids_as_long, staged, table
 from .words import SIGNS_AND_SPACE, Chunk, binary_column, chunks, gram_hashes, word_hashes
 
 SHARD_POSTINGS = 2_000_000
@@ -51,7 +55,7 @@ UNEXPANDED = 0.3
 #: blocks scored, and words searched, at once: bounds the memory of a task
 SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
-THRESHOLD = 0.5
+THRESHOLD = 0.4
 OVERLAP = 0.8
 SHINGLE = 5
 SENTENCE_END = re.compile(r"[.!?]\s+|\n+")
@@ -71,29 +75,33 @@ def _hashes(text: str) -> np.ndarray:
 
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, terms, tfs, sizes, parts = [], [], [], [], []
-        for item, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            question, answer = split_item(text or "")
-            halves = _hashes(question), _hashes(answer)
-            term, tf = np.unique(np.concatenate(halves), return_counts=True)
-            if not len(term):
-                continue
-            ids.append(item)
-            terms.append(term.view(np.int64))
-            tfs.append(tf)
-            sizes.append(int(tf.sum()))
-            parts.append([h.view(np.int64) for h in halves])
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(ids, pa.int64()), pa.array(terms, pa.list_(pa.int64())), pa.array(tfs, pa.list_(pa.int64())), pa.array(sizes, pa.int64()), pa.array([p[0] for p in parts], pa.list_(pa.int64())), pa.array([p[1] for p in parts], pa.list_(pa.int64()))],
-            ["item_id", "terms", "tfs", "size", "question", "answer"],
-        )
-
-
-ITEM_SCHEMA = "item_id long, terms array<long>, tfs array<long>, size long, question array<long>, answer array<long>"
+        rows, items, kinds, terms, tfs, words = [], [], [], [], [], []
+        for row, item, text in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+            for kind, part in enumerate(split_item(text or "")):
+                own = _hashes(part)
+                if len(own):
+                    term, tf = np.unique(own, return_counts=True)
+                    rows.append(row)
+                    items.append(item)
+                    kinds.append(kind)
+                    terms.append(term.view(np.int64))
+                    tfs.append(tf)
+                    words.append(own.view(np.int64))
+        lists = pa.list_(pa.int64())
+        columns = [pa.array(rows, pa.int64()), pa.array(items, pa.int64()), pa.array(kinds, pa.int32()), pa.array(terms, lists), pa.array(tfs, lists), pa.array(words, lists)]
+        yield pa.RecordBatch.from_arrays(columns, ["row", "item_id", "kind", "terms", "tfs", "words"])
+
+
+#: one row for each part of an item that has words; kind is 0 for the question and 1 for the answer
+PART_SCHEMA = "row long, item_id long, kind int, terms array<long>, tfs array<long>, words array<long>"
 
 
 class Index(NamedTuple):
-    """One shard. Terms are numbered by rising largest impact; impacts are shares of an item's score for its own text."""
+    """One shard. Terms are numbered by rising largest impact; impacts are shares of an entry's score for its own text.
+
+    Entries stand in the order of their items; ``items`` says of each to which it
+    belongs, ``first`` where the entries of an item begin.
+    """
 
     vocabulary: np.ndarray
     number: np.ndarray
@@ -101,16 +109,18 @@ class Index(NamedTuple):
     block_from: np.ndarray
     blocks: np.ndarray
     block_impact: np.ndarray
-    item_from: np.ndarray
-    item_terms: np.ndarray
-    item_impact: np.ndarray
+    entry_from: np.ndarray
+    entry_terms: np.ndarray
+    entry_impact: np.ndarray
+    items: np.ndarray
+    first: np.ndarray
     ids: np.ndarray
-    questions: list[np.ndarray]
-    answers: list[np.ndarray]
+    kinds: np.ndarray
+    words: list[np.ndarray]
     span: int
 
 
-def build_index(ids: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarray], questions: list[np.ndarray], answers: list[np.ndarray]) -> Index:
+def build_index(rows: np.ndarray, ids: np.ndarray, kinds: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarray], words: list[np.ndarray]) -> Index:
     sizes = np.array([len(t) for t in terms])
     flat, weight = np.concatenate(terms), np.concatenate(impacts)
     vocabulary, at = np.unique(flat, return_inverse=True)
@@ -120,14 +130,15 @@ def build_index(ids: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarr
     number = np.empty(len(order), np.int64)
     number[order] = np.arange(len(order))
     term = number[at]
-    block = np.repeat(np.arange(len(ids)) // BLOCK, sizes)
+    block = np.repeat(np.arange(len(rows)) // BLOCK, sizes)
     blocks_in_all = int(block[-1]) + 1
     pairs, where = np.unique(term * blocks_in_all + block, return_inverse=True)
     block_impact = np.zeros(len(pairs))
     np.maximum.at(block_impact, where, weight)
     block_from = np.searchsorted(pairs // blocks_in_all, np.arange(len(vocabulary) + 1))
-    span = max(len(q) + len(a) for q, a in zip(questions, answers, strict=True))
-    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, ids, questions, answers, span)
+    new = np.concatenate([[True], rows[1:] != rows[:-1]])
+    first = np.flatnonzero(new)
+    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, np.cumsum(new) - 1, np.append(first, len(rows)), ids[first], kinds, words, max(map(len, words)))
 
 
 def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +149,7 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, item and score of all passages of the rows that reach the threshold for an item.
+    """Row, entry and score of all passages of the rows that reach the threshold for an entry.
 
     ``hashes`` are the words of the rows, those of row i from ``rows[i]`` to ``rows[i + 1]``.
     """
@@ -178,14 +189,14 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     out = []
     for cut in range(0, len(block_left), SLICE):
         blocks = block_left[cut : cut + SLICE]
-        item, origin = _expand(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(index.ids)))
+        entry, origin = _expand(blocks * BLOCK, np.minimum((blocks + 1) * BLOCK, len(index.items)))
         passage_of = passage[begins][group_left[cut : cut + SLICE][origin]]
-        entry, origin = _expand(index.item_from[item], index.item_from[item + 1])
-        wanted = passage_of[origin] * len(index.vocabulary) + index.item_terms[entry]
+        post, origin = _expand(index.entry_from[entry], index.entry_from[entry + 1])
+        wanted = passage_of[origin] * len(index.vocabulary) + index.entry_terms[post]
         spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
-        score = np.bincount(origin, np.where(key[spot] == wanted, index.item_impact[entry], 0.0), len(item))
+        score = np.bincount(origin, np.where(key[spot] == wanted, index.entry_impact[post], 0.0), len(entry))
         hit = score >= threshold - 1e-9
-        out.append((np.searchsorted(first, passage_of[hit], side="right") - 1, item[hit], score[hit]))
+        out.append((np.searchsorted(first, passage_of[hit], side="right") - 1, entry[hit], score[hit]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0))
 
 
@@ -215,22 +226,28 @@ def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
-    """Row, item number, score, question overlap and answer overlap of verified leaks, best score first seen once."""
-    best: dict[tuple[int, int], float] = {}
+    """Row, item number, score, question overlap and answer overlap of verified leaks."""
+    best: dict[tuple[int, int], dict[int, float]] = {}
     for first, borders in _stretches(rows, index.span):
-        row, item, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0])
-        for r, i, s in zip((row + first).tolist(), item.tolist(), score.tolist(), strict=True):
-            best[r, i] = max(s, best.get((r, i), 0.0))
+        row, entry, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0])
+        for r, i, e, s in zip((row + first).tolist(), index.items[entry].tolist(), entry.tolist(), score.tolist(), strict=True):
+            parts = best.setdefault((r, i), {})
+            parts[e] = max(s, parts.get(e, 0.0))
     cache: dict[int, np.ndarray] = {}
     last = -1
-    for (r, i), s in sorted(best.items()):
+    for (r, i), parts in sorted(best.items()):
+        entries = range(index.first[i], index.first[i + 1])
+        if len(parts) < len(entries):
+            continue
         if r != last:
             cache, last = {}, r
         own = hashes[rows[r] : rows[r + 1]]
-        found = [part_overlap(p, own, cache) for p in (index.questions[i], index.answers[i])]
-        shares = [hit / n if n else 1.0 for n, hit in found]
+        shares = [1.0, 1.0]
+        for e in entries:
+            n, hit = part_overlap(index.words[e], own, cache)
+            shares[index.kinds[e]] = hit / n
         if min(shares) >= OVERLAP:
-            yield r, i, s, *shares
+            yield r, i, min(parts.values()), *shares
 
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
@@ -248,29 +265,31 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
             kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return ids_as_long(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
 
 
 def indexes(items: DataFrame, postings: int = SHARD_POSTINGS) -> Iterator[Index]:
-    """The items (item_id, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all items."""
-    rows = staged(items.select(F.col("item_id").cast("long"), "text").mapInArrow(_item_rows, ITEM_SCHEMA).withColumn("row", F.monotonically_increasing_id()), "items")
+    """The items (item_id, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all entries."""
+    numbered = staged(ids_as_long(items.select("item_id", "text"), "item_id").withColumn("row", F.monotonically_increasing_id()), "items")
+    rows = staged(numbered.select("row", "item_id", "text").mapInArrow(_item_rows, PART_SCHEMA).withColumn("size", F.size("words")), "item-parts")
     n, mean, total = rows.agg(F.count("*"), F.avg("size"), F.sum(F.size("terms"))).first()
     if not n:
         return
-    posts = rows.select("row", "item_id", "size", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("row", "item_id", "size", "p.terms", "p.tfs")
+    posts = rows.select("row", "kind", "size", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("row", "kind", "size", "p.terms", "p.tfs")
     df = posts.groupBy("terms").agg(F.count("*").alias("df"))
     tf = F.col("tfs") * (K1 + 1) / (F.col("tfs") + K1 * (1 - B + B * F.col("size") / mean))
-    weighed = posts.join(df, "terms").select("row", "terms", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf).alias("weight"))
-    share = weighed.select("row", "terms", (F.col("weight") / F.sum("weight").over(W.partitionBy("row"))).alias("impact"))
-    lists = share.groupBy("row").agg(F.sort_array(F.collect_list(F.struct("terms", "impact"))).alias("posts"))
-    full = staged(rows.select("row", "item_id", "question", "answer").join(lists, "row"), "index")
+    weighed = posts.join(df, "terms").select("row", "kind", "terms", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf).alias("weight"))
+    share = weighed.select("row", "kind", "terms", (F.col("weight") / F.sum("weight").over(W.partitionBy("row", "kind"))).alias("impact"))
+    lists = share.groupBy("row", "kind").agg(F.sort_array(F.collect_list(F.struct("terms", "impact"))).alias("posts"))
+    full = staged(rows.select("row", "kind", "item_id", "words").join(lists, ["row", "kind"]), "index")
     shards = max(1, -(-int(total) // postings))
     for k in range(shards):
-        found = full.where(F.pmod(F.xxhash64("row"), F.lit(shards)) == k).orderBy("item_id", "row").toArrow()
+        found = full.where(F.pmod(F.xxhash64("row"), F.lit(shards)) == k).toArrow().sort_by([("row", "ascending"), ("kind", "ascending")])
         if found.num_rows:
             posts_of = [x.values.flatten() for x in found["posts"]]
-            numbers = lambda name: [x.values.to_numpy().view(np.uint64) for x in found[name]]
-            yield build_index(found["item_id"].to_numpy(), [p[0].to_numpy().view(np.uint64) for p in posts_of], [p[1].to_numpy() for p in posts_of], numbers("question"), numbers("answer"))
+            words = [x.values.to_numpy().view(np.uint64) for x in found["words"]]
+            numbers = [found[c].fill_null(-1).to_numpy() for c in ("row", "item_id", "kind")]
+            yield build_index(*numbers, [p[0].to_numpy().view(np.uint64) for p in posts_of], [p[1].to_numpy() for p in posts_of], words)
 
 
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -286,8 +305,8 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents into which an item leaked; rows without a doc_id stay."""
-    marked = staged(leaks(docs, items).select("doc_id").distinct(), "leaked")
-    return docs.hint("merge").join(marked, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    marked = staged(leaks(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
+    return docs.hint("merge").join(marked, F.col("doc_id").cast("string").try_cast("bigint") == F.col("__leaked"), "left_anti")
 
 
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -109,12 +109,24 @@ def test_globs_equal_regular_expressions():
             assert got[i, j] == bool(to_re(g).fullmatch(t.encode())), (t, g)
 
 
+def test_many_rules_are_bounded(monkeypatch):
+    monkeypatch.setattr(url_filter, "MAX_STATE", 64)
+    globs = [f"*.h{k}.com/**" for k in range(300)]
+    texts = [f".a.h{k}.com/x".encode() for k in range(0, 400, 7)]
+    got = url_filter.Automaton(globs).matches(texts)
+    assert [row.nonzero()[0].tolist() for row in got] == [[k] if k < 300 else [] for k in range(0, 400, 7)]
+    monkeypatch.setattr(url_filter, "MAX_BITS", 1000)
+    with pytest.raises(ValueError, match="bits of rules"):
+        url_filter.Automaton(globs)
+
+
 def test_url_rules(spark):
     cases = {
         "http://Example.COM/en/x?q": ("example.com", "/en/x", "example.com/en/", "block"), "http://www.example.com/en/": ("www.example.com", "/en/", "www.example.com/en/", "allow"),
         "http://notexample.com/en/": ("notexample.com", "/en/", "com/", "allow"), "http://a.net/es/#x": ("a.net", "/es/", "net/es/", "block"), "http://a.net": ("a.net", "", None, "allow"),
         "http://a.org/x.example.com/en/": ("a.org", "/x.example.com/en/", None, "allow"), "nothing": ("", "", None, "allow"), "": ("", "", None, "allow"), None: ("", "", None, "allow"), "x://?a": ("", "", None, "allow"),
     }
+    cases["http://" + "A." * 3000 + "net/fr/" + "é" * 3000] = ("a." * 3000 + "net", "/fr/" + "é" * 3000, "net/fr/", "block")
     frame = spark.createDataFrame([(i, u, "old") for i, u in enumerate(cases)], "page_id long, url string, host string")
     got = {r.url: (r.host, r.path, r.rule, r.verdict) for r in url_filter.judge_urls(frame).collect()}
     assert got == cases
@@ -403,6 +415,42 @@ def test_a_rare_language_is_learned_beside_large_ones(spark, monkeypatch):
     assert model.languages == [*(f"l{k}" for k in range(8)), "rare"]
 
 
+def plain_bucket(gram, n, buckets):
+    code = 0
+    for c in gram:
+        code = (code * 0x01000193 + ord(c) + 1 + n) % 2**32
+    code ^= code >> 15
+    return (code * 0x2C1B3C6D % 2**32) >> (32 - (buckets.bit_length() - 1))
+
+
+def plain_characters(text, sizes, buckets):
+    soft = "".join(" " if c in "\t\n\x0b\x0c\r" else "0" if c in "0123456789" else c for c in text.lower())
+    count = np.zeros(buckets)
+    for n in sizes:
+        for k in range(len(soft) - n + 1):
+            count[plain_bucket(soft[k : k + n], n, buckets)] += 1
+    return count
+
+
+def test_language_scores_equal_brute_force(spark):
+    letters = {"ru": "абвгдежз", "zh": "的一是不了人我在", "en": "abcdefgh"}
+    make = lambda name, seed: " ".join("".join(np.random.default_rng(seed * 50 + k).choice(list(letters[name]), 3)) for k in range(12))
+    rows = [(i, make(name, i), name, 0) for i in range(90) for name in [list(letters)[i % 3]]] + [(200, "Ⅷ ² ½ 12", "en", 0), (201, "ПРИВЕТ", None, 0), (202, None, None, 0), (None, make("ru", 3), None, 0), (203, "x\ud83d\ude00 中", None, 0)]
+    rows[-1] = (203, "x😀 中\t7", None, 0)
+    frame = spark.createDataFrame(rows, SCHEMA)
+    model = language_id.train(frame.where("doc_id < 90"))
+    found = {r.doc_id: r for r in language_id.predict(frame, model).collect()}
+    for i, text, _, _ in rows:
+        if not text or not language_id.has_letter(text):
+            assert (found[i].lang_pred, found[i].score) == ("und", 0.0)
+            continue
+        x = np.log1p(plain_characters(text, language_id.SIZES, language_id.BUCKETS)) * model.idf
+        z = (x / np.linalg.norm(x) @ model.weights + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert found[i].lang_pred == model.languages[int(p.argmax())] and found[i].score == pytest.approx(p.max(), abs=2e-4)
+    assert {found[i].lang_pred for i in (200, 202)} == {"und"} and found[201].lang_pred == "ru" and all(found[i].lang_pred == rows[i][2] for i in range(90))
+
+
 def test_language_id(spark, docs, empty):
     alphabets = {"aa": "abcde", "bb": "fghij", "cc": "klmno"}
     make = lambda name, seed: " ".join("".join(np.random.default_rng(seed * 100 + k).choice(list(alphabets[name]), 4)) for k in range(30))
@@ -467,6 +515,35 @@ def test_best_path_is_never_worse_than_the_library(encoder):
     assert same >= 0.9 * len(texts)
 
 
+def test_remembered_units_are_bounded(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "REMEMBER", 1000)
+    encoder, fresh = sentencepieces.Encoder(sentencepieces.load()), sentencepieces.Encoder(sentencepieces.load())
+    for start in range(0, 20000, 500):
+        texts = [f"number {k} id{k * 7919}x ▁{k}  z" for k in range(start, start + 500)]
+        ids = encoder.encoded(texts)
+        assert len(encoder.units) <= 2000 and len(encoder.parts) <= 2000
+    assert ids == [fresh.encoded([t])[0] for t in texts]
+
+
+def test_other_models_are_refused(monkeypatch):
+    monkeypatch.setattr(sentencepieces, "PROBE", " a")
+    monkeypatch.setattr("sentencepiece.SentencePieceProcessor.normalize", lambda self, text: "a")
+    with pytest.raises(ValueError, match="normalises"):
+        sentencepieces.load.__wrapped__()
+
+
+def test_odd_bytes_and_names_pass_the_line_and_piece_operators(spark):
+    odd = spark.range(1).selectExpr("id as doc_id", "cast(concat(cast('ab ' as binary), X'ff80', cast(' é' as binary)) as string) as text", "5 as n_lines", "'x' as `a.b`", "7 as __drops")
+    lines = line_dedup.dedup_texts(odd)
+    assert lines.columns == odd.columns
+    row = lines.select("n_lines", "`a.b`", "__drops", F.hex("text").alias("h")).first()
+    assert tuple(row) == (5, "x", 7, "616220FF8020C3A9")
+    both = sentencepieces.decode(sentencepieces.encode(odd))
+    assert both.columns == [*odd.columns, "ids", "decoded"] and both.select(F.hex("decoded")).first()[0] == row.h
+    assert url_filter.judge_urls(odd.withColumn("url", F.lit("http://a.net/es/"))).select("`a.b`", "verdict").first() == ("x", "block")
+    assert line_dedup.dedup_lines(odd).select("n_lines").first()[0] == 1
+
+
 def test_round_trip(docs, empty, spark):
     both = sentencepieces.decode(sentencepieces.encode(docs))
     assert all(r.decoded == (r.text or "") for r in both.collect())
@@ -522,6 +599,48 @@ def brute_leaks(rows, items):
     return out
 
 
+def test_retrieved_entries_equal_plain_bm25(spark):
+    rng = np.random.default_rng(12)
+    term = [f"t{k}" for k in range(60)]
+    texts = [". ".join(" ".join(rng.choice(term, rng.integers(3, 12))) for _ in range(rng.integers(1, 3))) for _ in range(40)]
+    parts = [(i, decontaminate.split_item(t)[k].replace(".", "").split()) for i, t in enumerate(texts) for k in (0, 1)]
+    parts = [(i, w) for i, w in parts if w]
+    df, mean = Counter(x for _, w in parts for x in set(w)), np.mean([len(w) for _, w in parts])
+    k1, b = decontaminate.K1, decontaminate.B
+    weight = lambda w, x: np.log(1 + (len(parts) - df[x] + 0.5) / (df[x] + 0.5)) * w.count(x) * (k1 + 1) / (w.count(x) + k1 * (1 - b + b * len(w) / mean))
+    rows = [list(rng.choice(term, rng.integers(0, 80))) for _ in range(30)]
+    (index,) = decontaminate.indexes(spark.createDataFrame(list(enumerate(texts)), "item_id long, text string"))
+    assert len(index.items) == len(parts)
+    hashes = np.concatenate([decontaminate._hashes(" ".join(r)) for r in rows])
+    got = defaultdict(float)
+    for r, e, s in zip(*(x.tolist() for x in decontaminate.retrieve(index, hashes, np.cumsum([0, *map(len, rows)]), 0.4))):
+        got[r, tuple(index.words[e].tolist()), int(index.ids[index.items[e]])] = max(s, got[r, tuple(index.words[e].tolist()), int(index.ids[index.items[e]])])
+    expected = {}
+    for r, words_ in enumerate(rows):
+        for i, w in parts:
+            passages = [set(words_[k : k + 2 * index.span]) for k in range(0, max(1, len(words_)), index.span)]
+            share = max(sum(weight(w, x) for x in set(w) & p) / sum(weight(w, x) for x in set(w)) for p in passages)
+            if share >= 0.4:
+                expected[r, tuple(decontaminate._hashes(" ".join(w)).tolist()), i] = share
+    assert set(got) == set(expected) and all(got[k] == pytest.approx(v) for k, v in expected.items()) and len(got) > 20
+
+
+def test_parts_of_a_leak_may_stand_apart(spark):
+    import duckdb
+
+    question, answer = prose(20, 901), prose(20, 902)
+    near = lambda t, k: " ".join([*t.split(" ")[:17], *(f"zz{k}{i}" for i in range(3))])
+    docs = [(1, f"{near(question, 1)}. {near(answer, 2)}"), (2, f"{near(question, 3)}. {prose(400, 903)} {near(answer, 4)}"), (3, near(question, 5)), (4, f"{answer} {prose(900, 904)} {question}")]
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, f"{question}. {answer}")], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents_", documents.toPandas())
+    con.register("benchmark_", benchmark.toPandas())
+    con.execute("create view documents as select * from documents_; create view benchmark as select * from benchmark_")
+    theirs = {(r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in con.execute(decontaminate.ORACLE).fetchall()}
+    ours = {(r.doc_id, r.item_id, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in decontaminate.leaks(documents, benchmark).collect()}
+    assert ours == theirs and {r[0] for r in ours} == {1, 2, 4}
+
+
 def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "STRETCH", 200)
     leaked = [(101, prose(300, 7) + " THE QUICK brown fox, jumps over the lazy dog near the river! It was on a Monday " + prose(9, 8)), (102, "The quick brown fox jumps over the lazy dog near the river."), (103, "##one two three four five six seven eight nine ten##"), (103, "again: one two three four five six seven eight nine ten")]
@@ -533,7 +652,7 @@ def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
     assert {r.doc_id for r in decontaminate.without_leaks(frame, items).select("doc_id").distinct().collect()} == {r.doc_id for r in docs.select("doc_id").distinct().collect()} | {102}
     assert decontaminate.leaks(frame, items.limit(0)).count() == 0 and decontaminate.leaks(empty, items).count() == 0
     sharded = [index for index in decontaminate.indexes(items, postings=5)]
-    assert sum(len(i.ids) for i in sharded) == 3 and len(sharded) > 1
+    assert sum(len(i.ids) for i in sharded) == 3 and sum(len(i.items) for i in sharded) == 4 and len(sharded) > 1
 
 
 # ---------------------------------------------------------------- the pipeline
