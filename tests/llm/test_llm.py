@@ -69,9 +69,9 @@ def test_words_and_hashes():
 
 
 def test_knn_votes_equal_brute_force():
-    counted = RNG.poisson(0.3, (60, knn_quality.BUCKETS + 3)).astype(np.float32)
+    counted = RNG.poisson(0.3, (60, knn_quality.TERMS)).astype(np.float32)
     labels = RNG.integers(0, 2, 60)
-    model = knn_quality.fit(counted, labels)
+    model = knn_quality.fit(counted, labels, np.ones(knn_quality.TERMS))
     got = knn_quality.vote(model, model.vectors[:10], neighbours=7)
     share = [1 - labels.mean(), labels.mean()]
     for i in range(10):
@@ -81,6 +81,58 @@ def test_knn_votes_equal_brute_force():
         assert got[i] == pytest.approx(sum(weight[k] * labels[k] for k in near) / sum(weight.values()), abs=1e-4)
 
 
+def plain_terms(text):
+    """Counts of both groups of terms of a text, as dictionaries by bucket."""
+    body = text.encode()
+    soft = ["0" if 48 <= c < 58 else " " if c in (9, 11, 12, 13) else chr(c) for c in body]
+    out = np.zeros(knn_quality.TERMS)
+    for n in knn_quality.SIZES:
+        for k in range(len(soft) - n + 1):
+            out[plain_bucket(soft[k : k + n], n, knn_quality.BUCKETS)] += 1
+    kinds = lambda w: ["a" if c >= 128 or 97 <= c < 123 else "A" if 65 <= c < 91 else "0" if 48 <= c < 58 else chr(c) for c in w.encode()]
+    shapes = ["".join(c for c, _ in itertools.groupby(kinds(w))) for w in WORD.findall(text)]
+
+    def hashed(spans):
+        chunk = next(words.chunks(pa.array([" ".join(spans).encode()], pa.large_binary())))
+        return words.word_hashes(chunk)[0]
+
+    found = hashed(shapes) if shapes else np.zeros(0, np.uint64)
+    for h in [*found, *words.gram_hashes(found, 2)]:
+        out[knn_quality.BUCKETS + int(h) % knn_quality.SHAPES] += 1
+    return out
+
+
+def test_scores_of_texts_equal_brute_force(spark):
+    make = lambda i: prose(30, i) if i % 2 else " ".join(f"{w}{'#*$%'[i % 4] * 3}" for w in prose(30, i).split(" "))
+    rows = [(i, make(i), "en", 0) for i in range(80)] + [(500, None, "en", 0), (501, "é Ünd 12x\tA-b  c", "en", 0), (502, make(3), "en", 0), (None, make(3), "en", 0)]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(4)
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(60)], "doc_id long, quality int, toxic int")
+    model = knn_quality.train(frame, labels)
+    every = np.stack([plain_terms(t or "") for _, t, _, _ in rows])
+    idf = np.log((1 + len(rows)) / (1 + (every > 0).sum(axis=0))) + 1
+    assert np.allclose(idf, model.idf)
+
+    def vector(x):
+        parts = [np.log1p(x) * idf] * 2
+        halves = [w * p / max(np.linalg.norm(p), 1e-12) for w, p in zip(knn_quality.GROUP_WEIGHT, (parts[0][: knn_quality.BUCKETS], parts[1][knn_quality.BUCKETS :]))]
+        v = np.concatenate(halves) @ model.basis
+        return v / np.linalg.norm(v) if np.linalg.norm(v) > 1e-9 else v * 0
+
+    known = {i: vector(every[i]) for i in range(60)}
+    share = np.array([0.5, 0.5])
+    found = defaultdict(set)
+    for r in knn_quality.classify(frame, model).collect():
+        found[r.doc_id].add(r.score)
+    for k, (i, _, _, _) in enumerate(rows):
+        v = vector(every[k])
+        close = {j: round(float(v @ u), 7) for j, u in known.items()}
+        last = sorted(close.values())[-knn_quality.NEIGHBOURS]
+        weight = {j: max(c, 0) ** knn_quality.POWER / share[j % 2] ** knn_quality.BALANCE for j, c in close.items() if c >= last}
+        expected = sum(w for j, w in weight.items() if j % 2) / sum(weight.values()) if sum(weight.values()) > 1e-12 else model.prior
+        assert min(abs(s - expected) for s in found[i]) < 1e-4
+    assert found[3] == found[502] == found[None]
+
+
 def test_quality_separates_junk_and_takes_awkward_rows(spark, docs, empty):
     rows = [(i, prose(80, i) if i % 2 else "!! ## " * 40 + prose(5, i), "en", 0) for i in range(200)]
     frame = spark.createDataFrame(rows, SCHEMA)
