@@ -9,13 +9,20 @@ is judged by itself: documents fall into two folds by their smallest hash of
 five words, so copies and most near copies are in one fold, and each fold is
 judged by the counts of the other. Words are 64-bit hashes without ASCII case.
 
-The bigrams grow with the corpus and never reach the driver. They are dealt by
-their hash to buckets of about ``BUCKET`` words of text and kept in Parquet as
-sorted arrays. Each task counts before the shuffle, and a bigram is sent once
-for a document, so a frequent bigram or word does not gather in one task. What a
-word adds to its bigrams (share of continuations, total and back-off weight as a
-context) is summed over the buckets by an aggregate and goes back to the buckets
-that have the word. Only counts of counts of each language are collected.
+The model grows with the corpus. Bigrams are dealt by their hash to buckets of
+about ``BUCKET`` words of text and kept in Parquet as sorted arrays; each task
+counts before the shuffle. What a word adds to its bigrams (share of
+continuations, total and back-off weight as a context) is summed in the bucket of
+the word and goes back to the buckets that ask for it. A bigram or word stays in
+the model if one fold has learned it and a text of the other has it: the rest can
+meet no text.
+
+The log-probability of a text is that of as many unseen words, plus gains of the
+words and bigrams that the model has. Words and bigrams beyond 1 / ``HOT`` of all
+training words, of which there are fewer than ``HOT`` of each kind, are broadcast
+and scored where the texts are, so that no frequent one gathers in a task; the
+others meet their texts in their bucket. Beside these bounded tables only counts
+of counts of each language are collected.
 
 The band of a language is the median of the log-perplexity of its documents,
 plus and minus ``width`` times their interquartile range (``floor`` at least),
@@ -47,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import small_side, staged, table
+from .stage import settled, small_side, staged, table
 from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes, words
 
 #: bytes looked at together
@@ -56,20 +63,22 @@ CHUNK = 2 << 20
 PACK, BUCKET = 4 << 20, 4 << 20
 #: bigrams in a row of the table of bigrams
 SLICE = 1 << 20
-#: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their bigrams
-ROUNDS = 4
+#: words and bigrams that make up more than 1 / HOT of all training words, of which there are fewer than HOT, are broadcast
+HOT = 1 << 17
+#: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their rare bigrams
+ROUNDS = 2
 #: band of the registered query and the pipeline
 BAND = {"width": 2.0}
 SIDES = {"below": 1.5, "short": 0}
-BLOB = "lang string, bucket int, kind int, a binary, b binary, c binary, d binary, e binary"
-IDS, GRAMS, PAIRS = range(3)
+#: kinds of blobs, in the order in which a task wants them
+WORDS, IDS, PARTS, GRAMS, DOCS, PLACES, PAIRS = range(7)
 ZSTD = pa.Codec("zstd", compression_level=1)
 
 
 def discounts(of: list[float]) -> np.ndarray:
     """Modified Kneser-Ney discounts of the counts 0, 1, 2 and 3 or more, from the numbers of entries counted 1 to 4 times."""
     y = of[0] / max(1.0, of[0] + 2 * of[1])
-    return np.array([0.0] + [min(k, max(0.0, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.5 for k in (1, 2, 3)])
+    return np.array([0.0] + [min(k, max(0.01, k - (k + 1) * y * of[k] / of[k - 1])) if of[k - 1] else 0.5 for k in (1, 2, 3)])
 
 
 class Level(NamedTuple):
@@ -170,7 +179,7 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
 def _squeeze(x: np.ndarray, ascending: bool = False) -> bytes:
     """The array in few bytes: differences if it ascends, bytes of the same place together, compressed."""
     x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
-    raw = x.view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
+    raw = x.ravel().view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
     return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
 
 
@@ -181,90 +190,30 @@ def _unsqueeze(body: bytes, kind: type, ascending: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=kind) if ascending else x
 
 
-def _grams(before: np.ndarray, word: np.ndarray, n0: np.ndarray, n1: np.ndarray) -> list[bytes]:
-    """Distinct bigrams as their sorted words, places of both words in them, and counts."""
-    ids, place = np.unique(np.concatenate([before, word]), return_inverse=True)
-    first, second = place[: len(before)], place[len(before) :]
-    by = np.argsort(first << 32 | second)
-    return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(n0[by].astype(np.int32)), _squeeze(n1[by].astype(np.int32))]
-
-
-def _ungrams(r: dict) -> tuple[np.ndarray, ...]:
-    """ids, places of the first and second words, and the counts of both folds."""
-    return _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int32, True), _unsqueeze(r["c"], np.int32), _unsqueeze(r["d"], np.int32), _unsqueeze(r["e"], np.int32)
-
-
 def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return mix(before * U64(0x9E3779B97F4A7C15) + word)
 
 
-def _blob(schema_rows: list) -> pa.RecordBatch:
-    return pa.RecordBatch.from_pylist([dict(zip("lang bucket kind a b c d e".split(), r, strict=True)) for r in schema_rows], schema=ARROW_BLOB)
+def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets are ranges of hashes."""
+    return (hashes >> U64(32)) * U64(buckets) >> U64(32)
 
 
-ARROW_BLOB = pa.schema([("lang", pa.string()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in "abcde")])
+def _ranges(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
+    """Bucket and place of each range of sorted hashes."""
+    cuts = np.searchsorted(_bucket_of(hashes, buckets), np.arange(buckets + 1).astype(np.uint64))
+    for b in np.flatnonzero(np.diff(cuts)).tolist():
+        yield b, slice(int(cuts[b]), int(cuts[b + 1]))
 
 
-def _packed(buckets: int, kind: int, low: int, high: int):
-    """Bigrams of texts by language and bucket, from ``low`` to before ``high``: with the training counts of both folds (GRAMS) or their documents (PAIRS)."""
+#: columns of the blobs of all kinds; what they hold is said where they are made
+BLOB = "lang string, bucket int, kind int, source int, a binary, b binary, c binary, d binary, `of` array<long>"
+ARROW_BLOB = pa.schema([("lang", pa.string()), *((c, pa.int32()) for c in ("bucket", "kind", "source")), *((c, pa.binary()) for c in "abcd"), ("of", pa.list_(pa.int64()))])
 
-    def pack(lang, parts: list) -> Iterator[pa.RecordBatch]:
-        before, word, gram, doc, n0, n1 = (np.concatenate(x) for x in list(zip(*parts, strict=True))[:6])
-        keys = np.concatenate([p[6] for p in parts])
-        by = np.argsort(gram, kind="stable")
-        gram, doc = gram[by], doc[by]
-        if kind == GRAMS:
-            at = _starts(gram)
-            columns = [before[by][at], word[by][at], *(np.add.reduceat(n[by], at).astype(np.int32) for n in (n0, n1))]
-        else:
-            pair = _starts(gram, doc)
-            at = _starts(gram[pair])
-            many = np.diff(np.append(pair, len(gram))).astype(np.int32)
-            ends = np.append(at, len(pair))
-        grams = gram[_starts(gram)]
-        cuts = np.searchsorted((grams >> U64(32)) * U64(buckets) >> U64(32), np.arange(buckets + 1).astype(np.uint64))
-        for b in np.flatnonzero(np.diff(cuts)):
-            i, j = cuts[b], cuts[b + 1]
-            if kind == GRAMS:
-                yield _blob([(lang, int(b), kind, *_grams(*(c[i:j] for c in columns)))])
-            else:
-                own = doc[pair[ends[i] : ends[j]]]
-                seen, local = np.unique(own, return_inverse=True)
-                yield _blob([(lang, int(b), kind, _squeeze(grams[i:j], True), _squeeze(np.diff(ends[i : j + 1]).astype(np.int32)), _squeeze(local.astype(np.int32)), _squeeze(many[ends[i] : ends[j]]), _squeeze(keys[seen]))])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, waiting, docs = defaultdict(list), 0, defaultdict(int)
-        for batch in batches:
-            langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
-            for chunk in chunks(binary_column(batch, "text"), CHUNK):
-                r = read(chunk, langs[chunk.start : chunk.stop])
-                before, gram = _bigrams(r)
-                size = np.diff(r.words.rows)
-                if kind == GRAMS:
-                    f = base_features(chunk)
-                    learned = ~base_failed(f["n_words"], f["n_repeat_words"])
-                else:
-                    learned = np.zeros(len(size), bool)
-                bucket = (gram >> U64(32)) * U64(buckets) >> U64(32)
-                wanted = (bucket >= U64(low)) & (bucket < U64(high))
-                number_of = {x: i for i, x in enumerate(dict.fromkeys(r.langs))}
-                names = np.array([number_of[x] for x in r.langs])
-                for lang, i in number_of.items():
-                    rows = names == i
-                    own = np.repeat(rows, size) & wanted
-                    number = np.cumsum(rows) - 1 + docs[lang]
-                    n = [np.repeat(learned & (r.keys & U64(1) == f), size)[own].astype(np.int32) for f in (0, 1)]
-                    parts[lang].append((before[own], r.hashes[own], gram[own], np.repeat(number, size)[own], *n, r.keys[rows]))
-                    docs[lang] += int(rows.sum())
-                waiting += int(wanted.sum())
-                if waiting >= PACK:
-                    for lang, found in parts.items():
-                        yield from pack(lang, found)
-                    parts, waiting, docs = defaultdict(list), 0, defaultdict(int)
-        for lang, found in parts.items():
-            yield from pack(lang, found)
-
-    return run
+def _blob(lang: str | None, bucket: int, kind: int, bodies: list[bytes], source: int = 0, of: list[int] | None = None) -> pa.RecordBatch:
+    row = {"lang": lang, "bucket": bucket, "kind": kind, "source": source, "of": of} | dict(zip("abcd", bodies, strict=False))
+    return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOB)
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
@@ -273,80 +222,254 @@ def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
 
 
-def _all_grams(rows: list[dict]) -> list[np.ndarray]:
-    """First and second words and counts of all slices, sorted by the hash of both words, which comes first."""
-    found = [(ids[first], ids[second], n0, n1) for ids, first, second, n0, n1 in map(_ungrams, rows)]
-    columns = [np.concatenate(c) for c in zip(*found, strict=True)]
+def _of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, Iterator[dict]]]:
+    for (lang, bucket), rows in groupby(_blobs(batches), lambda r: (r["lang"], r["bucket"])):
+        yield lang, bucket, rows
+
+
+def _dealt(df: DataFrame, buckets: int) -> DataFrame:
+    return df.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
+
+
+def _grams(ids: np.ndarray, first: np.ndarray, second: np.ndarray, numbers: list[np.ndarray]) -> list[bytes]:
+    """Bigrams of sorted words: the words, places of both words in them, and numbers of each."""
+    by = np.argsort(first << 32 | second)
+    return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(np.stack([x[by] for x in numbers]).astype(np.int64))]
+
+
+def _ungrams(rows: list[dict], numbers: int) -> list[np.ndarray]:
+    """First and second words of all blobs and their numbers, sorted by the hash of both words, which comes first."""
+    parts = []
+    for r in rows:
+        ids, first, second = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int32, True), _unsqueeze(r["c"], np.int32)
+        parts.append((ids[first], ids[second], *_unsqueeze(r["d"], np.int64).reshape(numbers, -1)))
+    columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     gram = _joined(*columns[:2])
     by = np.argsort(gram)
     return [gram[by], *(c[by] for c in columns)]
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bigrams of each bucket once, in slices, and how many have each small count."""
-    for (lang, bucket), rows in groupby(_blobs(batches), lambda r: (r["lang"], r["bucket"])):
-        gram, before, word, n0, n1 = _all_grams(list(rows))
+def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator[pa.RecordBatch]:
+    """``flush`` of what ``of_chunk`` gives for the rows of each language, once about ``PACK`` words have come together."""
+    parts, waiting = defaultdict(list), 0
+    for batch in batches:
+        langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+        for chunk in chunks(binary_column(batch, "text"), CHUNK):
+            r = read(chunk, langs[chunk.start : chunk.stop])
+            number_of = {x: i for i, x in enumerate(dict.fromkeys(r.langs))}
+            names = np.array([number_of[x] for x in r.langs])
+            found = of_chunk(chunk, r)
+            for lang, i in number_of.items():
+                own = found(lang, names == i)
+                parts[lang].append(own)
+                waiting += len(own[0])
+            if waiting >= PACK:
+                for lang, own in parts.items():
+                    yield from flush(lang, own)
+                parts, waiting = defaultdict(list), 0
+    for lang, own in parts.items():
+        yield from flush(lang, own)
+
+
+def _counts(buckets: int):
+    """Bigrams of texts by language and bucket, with training counts of both folds and whether a text of each fold has it."""
+
+    def of_chunk(chunk: Chunk, r: Read):
+        before, gram = _bigrams(r)
+        f = base_features(chunk)
+        learned = ~base_failed(f["n_words"], f["n_repeat_words"])
+        size = np.diff(r.words.rows)
+        fold = (r.keys & U64(1)).astype(np.uint8)
+        code = np.repeat(fold << 1 | learned.astype(np.uint8), size)
+
+        def own(_, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+            at = np.repeat(rows, size)
+            return before[at], r.hashes[at], gram[at], code[at]
+
+        return own
+
+    def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
+        before, word, gram, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        by = np.argsort(gram)
+        gram, code = gram[by], code[by]
         at = _starts(gram)
-        columns = [before[at], word[at], *(np.add.reduceat(n, at).astype(np.int32) for n in (n0, n1))]
-        for i in range(0, len(at), SLICE):
-            own = [c[i : i + SLICE] for c in columns]
-            of = [int((n == k).sum()) for n in own[2:] for k in (1, 2, 3, 4)]
-            part = _blob([(lang, bucket, GRAMS, *_grams(*own))])
-            yield part.append_column("of", pa.array([of], pa.list_(pa.int64())))
+        if not len(at):
+            return
+        numbers = [np.add.reduceat((code == k).astype(np.int64), at) for k in (1, 3)] + [np.maximum.reduceat((code >> 1 == f).astype(np.uint8), at) for f in (0, 1)]
+        before, word = before[by][at], word[by][at]
+        for b, own in _ranges(gram[at], buckets):
+            ids, place = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
+            half = own.stop - own.start
+            yield _blob(lang, b, GRAMS, _grams(ids, place[:half], place[half:], [x[own] for x in numbers]))
 
+    return lambda batches: _by_language(batches, of_chunk, flush)
 
-def _by_lang(counted: DataFrame, at: int) -> dict:
-    """Discounts of both folds of each language, from columns of counts of counts."""
-    return {r["lang"]: [discounts([float(x) for x in r[at + 4 * f : at + 4 * f + 4]]) for f in (0, 1)] for r in counted.collect()}
 
+def _merge(buckets: int):
+    """Of each bucket of bigrams: those that some text can meet (GRAMS), counts of counts, and what all of them say about their words (WORDS).
 
-class Model(NamedTuple):
-    """Bigrams of each language and bucket, what their words add (both BLOB), discounts of each language, number of buckets."""
+    A bigram is of use where one fold has learned it and a text of the other has it.
+    WORDS go to the buckets of the words: continuations, totals and numbers of small
+    counts as a context for both folds, folds seen, and whether the bucket asks back.
+    """
 
-    grams: DataFrame
-    ids: DataFrame
-    discounts: dict
-    buckets: int
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for lang, bucket, rows in _of_bucket(batches):
+            gram, before, word, *numbers = _ungrams(list(rows), 4)
+            at = _starts(gram)
+            before, word = before[at], word[at]
+            n = [np.add.reduceat(x, at) for x in numbers[:2]]
+            seen = [np.maximum.reduceat(x, at) > 0 for x in numbers[2:]]
+            used = (n[0] > 0) & seen[1] | (n[1] > 0) & seen[0]
+            ids, place = np.unique(np.concatenate([before, word]), return_inverse=True)
+            first, second = place[: len(before)], place[len(before) :]
+            asked = np.zeros(len(ids), bool)
+            asked[first[used]] = asked[second[used]] = True
+            count = lambda where, weight: np.bincount(where, weight, len(ids))  # noqa: B023, E731
+            about = [count(second, x > 0) for x in n] + [count(first, x) for x in n]
+            about += [count(first, hit) for x in n for hit in (x == 1, x == 2, x >= 3)]
+            about += [count(second, x) > 0 for x in seen] + [asked]
+            about = np.stack(about).astype(np.int64)
+            of = [int((x == k).sum()) for x in n for k in (1, 2, 3, 4)]
+            for k, start in enumerate(range(0, max(1, int(used.sum())), SLICE)):
+                own = np.flatnonzero(used)[start : start + SLICE]
+                names, spot = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
+                yield _blob(lang, bucket, GRAMS, _grams(names, spot[: len(own)], spot[len(own) :], [x[own] for x in n]), of=None if k else of)
+            for b, own in _ranges(ids, buckets):
+                yield _blob(lang, b, WORDS, [_squeeze(ids[own], True), _squeeze(about[:, own])], source=bucket)
+
+    return run
+
+
+#: rows of the numbers of a word
+M, TOTAL, SMALL, SEEN, ASKED = slice(0, 2), slice(2, 4), slice(4, 10), slice(10, 12), 12
 
 
-def _parts_of_words(cut: dict):
-    """Of each word of a slice of bigrams: continuations, and as a context the total and what is discounted, in both folds."""
-    names = ["m0", "m1", "t0", "t1", "k0", "k1"]
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Words of each bucket with the sums of their numbers: those that texts can meet (IDS), and answers to the buckets that asked (PARTS).
+
+    ``of``: numbers of words with 1 to 4 and 3 or more continuations and all continuations, of both folds; the words; the numbers of the start.
+    """
+    for lang, bucket, rows in _of_bucket(batches):
+        found = [(r["source"], _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int64).reshape(13, -1)) for r in rows]
+        ids, place = np.unique(np.concatenate([f[1] for f in found]), return_inverse=True)
+        parts = np.concatenate([f[2] for f in found], axis=1)
+        sums = np.stack([np.bincount(place, x, len(ids)) for x in parts]).astype(np.int64)
+        m, total, seen = sums[M], sums[TOTAL], sums[SEEN] > 0
+        of = [int(x) for k in m for x in (*((k == c).sum() for c in (1, 2, 3, 4)), (k >= 3).sum(), k.sum())] + [len(ids)]
+        of += sums[2:10, 0].tolist() if len(ids) and ids[0] == 0 else [0] * 8
+        met = ((m + total)[::-1] > 0) & seen
+        kept = met.any(axis=0) & (ids != 0)
+        yield _blob(lang, bucket, IDS, [_squeeze(ids[kept], True), _squeeze(sums[:10, kept])], of=of)
+        for source, own, numbers in found:
+            asked = own[numbers[ASKED] > 0]
+            if len(asked):
+                yield _blob(lang, source, PARTS, [_squeeze(asked, True), _squeeze(sums[:10, np.searchsorted(ids, asked)])])
+
+
+class Law(NamedTuple):
+    """Of a language and a fold: discounts of bigrams and of continuations, all continuations, the share of an unseen word, and the back-off of the start."""
+
+    grams: np.ndarray
+    words: np.ndarray
+    all: float
+    unseen: float
+    start: float
+
+
+def _laws(of_grams: dict, of_words: dict) -> dict:
+    """The laws of both folds of each language, from counts of counts."""
+    out = {}
+    for lang, of in of_words.items():
+        laws = []
+        for f in (0, 1):
+            d2 = discounts([float(x) for x in of_grams[lang][4 * f : 4 * f + 4]])
+            n1, n2, n3, n4, more, total = of[6 * f : 6 * f + 6]
+            d1 = discounts([float(x) for x in (n1, n2, n3, n4)])
+            rest = float(np.dot(d1[1:], [n1, n2, more]) / total) if total else 1.0
+            begun, small = of[13 + f], of[15 + 3 * f : 18 + 3 * f]
+            laws.append(Law(d2, d1, max(1.0, total), rest / (of[12] + 1), float(np.dot(d2[1:], small) / begun) if begun else 1.0))
+        out[lang] = laws
+    return out
+
+
+def _of_words(law: Law, numbers: np.ndarray, f: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Share of continuations with that of an unseen word, back-off weight and total of words in fold f."""
+    m, total = numbers[M][f], numbers[TOTAL][f]
+    low = (m - law.words[np.minimum(m, 3)]) / law.all + law.unseen
+    kept = law.grams[1:] @ numbers[SMALL][3 * f : 3 * f + 3]
+    return low, np.where(total > 0, kept / np.maximum(total, 1), 1.0), total
+
+
+def _finish(laws: dict, least: float):
+    """Gains in log-probability over an unseen word after an unseen context, for texts of both folds: of words, as the last one and as the context (WORDS), and of bigrams over their words (GRAMS); with the places of the frequent ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in _blobs(batches):
-            ids, first, second, *n = _ungrams(r)
-            sums = [np.bincount(second, x > 0, len(ids)) for x in n]
-            sums += [np.bincount(first, x, len(ids)) for x in n]
-            sums += [np.bincount(first, d[np.minimum(x, 3)], len(ids)) for x, d in zip(n, cut[r["lang"]], strict=True)]
-            size = len(ids)
-            for i in range(0, size, 1 << 16):
-                own = slice(i, i + (1 << 16))
-                length = len(ids[own])
-                yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * length, pa.string()), pa.array([r["bucket"]] * length, pa.int32()), pa.array(ids[own].view(np.int64)), *(pa.array(x[own].astype(np.float64)) for x in sums)], ["lang", "bucket", "id", *names])
+        for lang, bucket, rows in _of_bucket(batches):
+            by_kind = defaultdict(list)
+            for r in rows:
+                by_kind[r["kind"]].append(r)
+            for r in by_kind[IDS]:
+                ids, numbers = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int64).reshape(10, -1)
+                gains = np.zeros((4, len(ids)))
+                for f in (0, 1):  # a text of fold f is judged by the other
+                    law = laws[lang][1 - f]
+                    low, back, _ = _of_words(law, numbers, 1 - f)
+                    gains[f], gains[2 + f] = np.log(low / law.unseen), np.log(back)
+                hot = np.flatnonzero(numbers[TOTAL].sum(axis=0) >= least).astype(np.int32)
+                if len(ids):
+                    yield _blob(lang, bucket, WORDS, [_squeeze(ids, True), _squeeze(gains), _squeeze(hot)])
+            if not by_kind[PARTS]:
+                continue
+            ids = np.concatenate([_unsqueeze(r["a"], np.uint64, True) for r in by_kind[PARTS]])
+            numbers = np.concatenate([_unsqueeze(r["b"], np.int64).reshape(10, -1) for r in by_kind[PARTS]], axis=1)
+            by = np.argsort(ids)
+            ids, numbers = ids[by], numbers[:, by]
+            gram, before, word, *n = _ungrams(by_kind[GRAMS], 2)
+            context, last = np.searchsorted(ids, before), np.searchsorted(ids, word)
+            gains = np.zeros((2, len(gram)))
+            for f in (0, 1):
+                law = laws[lang][1 - f]
+                low, back, total = _of_words(law, numbers, 1 - f)
+                share = (n[1 - f] - law.grams[np.minimum(n[1 - f], 3)]) / np.maximum(total[context], 1)
+                gains[f] = np.log1p(share / (back[context] * low[last]))
+            hot = np.flatnonzero(n[0] + n[1] >= least).astype(np.int32)
+            yield _blob(lang, bucket, GRAMS, [_squeeze(gram, True), _squeeze(gains), _squeeze(hot)])
 
     return run
 
 
-def _pack_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (lang, bucket, id, six numbers) as blobs."""
-    held: list[pa.RecordBatch] = []
+def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The frequent words and bigrams of the finished blobs, one row for each."""
+    for r in _blobs(batches):
+        hot = _unsqueeze(r["c"], np.int32)
+        hashes, gains = _unsqueeze(r["a"], np.uint64, True)[hot], _unsqueeze(r["b"], np.float64)
+        gains = gains.reshape(-1, len(gains) // (4 if r["kind"] == WORDS else 2))[:, hot]
+        gains = np.concatenate([gains, np.zeros((4 - len(gains), len(hot)))])
+        yield pa.RecordBatch.from_arrays([pa.array([r["lang"]] * len(hot), pa.string()), pa.array([r["kind"]] * len(hot), pa.int32()), pa.array(hashes.view(np.int64)), *(pa.array(g) for g in gains)], ["lang", "kind", "hash", "g0", "g1", "g2", "g3"])
 
-    def flush() -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(held).to_pandas()
-        for (lang, bucket), own in rows.groupby(["lang", "bucket"], dropna=False, sort=False):
-            ids = own["id"].to_numpy(np.int64).view(np.uint64)
-            by = np.argsort(ids)
-            numbers = np.ascontiguousarray(own[["p0", "p1", "t0", "t1", "b0", "b1"]].to_numpy(np.float64)[by].T)
-            yield _blob([(lang if isinstance(lang, str) else None, int(bucket), IDS, _squeeze(ids[by], True), _squeeze(numbers.ravel()), b"", b"", b"")])
 
-    for batch in batches:
-        held.append(batch)
-        if sum(x.num_rows for x in held) >= 1 << 20:
-            yield from flush()
-            held = []
-    if held:
-        yield from flush()
+class Table(NamedTuple):
+    """Sorted hashes and their gains; a hash that is not there gains nothing."""
+
+    hashes: np.ndarray
+    gains: np.ndarray
+
+    def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the wanted are there, and their places."""
+        if not len(self.hashes):
+            return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
+        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        return self.hashes[at] == wanted, at
+
+
+class Model(NamedTuple):
+    """Gains of words and bigrams by language and bucket (BLOB), the frequent ones of each language and kind, laws of each language, number of buckets."""
+
+    gains: DataFrame
+    hot: dict
+    laws: dict
+    buckets: int
 
 
 def _written(df: DataFrame, name: str) -> DataFrame:
@@ -360,83 +483,140 @@ def _written(df: DataFrame, name: str) -> DataFrame:
         conf.set(key, before)
 
 
-def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
+def _added(df: DataFrame) -> dict:
+    """The sums of ``of`` by language."""
+    size = df.select(F.size("of")).where(F.col("of").isNotNull()).first()
+    if size is None:
+        return {}
+    rows = df.where(F.col("of").isNotNull()).groupBy("lang").agg(*(F.sum(F.col("of")[k]).alias(f"c{k}") for k in range(size[0]))).collect()
+    return {r["lang"]: [int(x) for x in r[1:]] for r in rows}
 
 
-def train(docs: DataFrame, bucket: int = BUCKET) -> Model:
-    """A model of the texts of ``docs`` that pass the base rules; it has the bigrams of all texts, to judge them."""
+def train(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> Model:
+    """A model of the texts of ``docs`` that pass the base rules; it has what the other texts of ``docs`` can meet of it."""
     total = docs.select(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(1, math.ceil(total / 6 / bucket))
-    packed = docs.select("text", "lang").mapInArrow(_packed(buckets, GRAMS, 0, buckets), BLOB)
-    grams = _written(_dealt(packed, buckets).mapInArrow(_merge, f"{BLOB}, of array<long>"), "bigrams")
-    cut = _by_lang(grams.groupBy("lang").agg(*(F.sum(F.col("of")[k]) for k in range(8))), 1)
-    names = ["m0", "m1", "t0", "t1", "k0", "k1"]
-    rows = grams.select(*"lang bucket kind a b c d e".split()).mapInArrow(_parts_of_words(cut), "lang string, bucket int, id long, " + ", ".join(f"{c} double" for c in names))
-    ids = _written(rows.groupBy("lang", "id").agg(*(F.sum(c).alias(c) for c in names), F.collect_set("bucket").alias("buckets")), "words")
-    counted = ids.groupBy("lang").agg(*(F.count_if(F.col(f"m{f}") == k) for f in (0, 1) for k in (1, 2, 3, 4)), F.sum("m0"), F.sum("m1"), F.count("*"), *(F.count_if(F.col(f"m{f}") >= 3) for f in (0, 1))).collect()
-    sides = []
-    for r in counted:
-        d = [discounts([float(x) for x in r[1 + 4 * f : 5 + 4 * f]]).tolist() for f in (0, 1)]
-        rest = [float(np.dot(d[f][1:], [r[1 + 4 * f], r[2 + 4 * f], r[12 + f]]) / r[9 + f]) if r[9 + f] else 1.0 for f in (0, 1)]
-        sides.append((r["lang"], d[0], d[1], *(max(1.0, r[9 + f]) for f in (0, 1)), *(x / (r[11] + 1) for x in rest)))
-    limits = docs.sparkSession.createDataFrame(sides, "__lang string, d0 array<double>, d1 array<double>, all0 double, all1 double, u0 double, u1 double")
-    joined = ids.join(small_side(limits), F.col("lang").eqNullSafe(F.col("__lang")))
-    p = [((F.col(f"m{f}") - F.col(f"d{f}")[F.least(F.col(f"m{f}"), F.lit(3)).cast("int")]) / F.col(f"all{f}") + F.col(f"u{f}")).alias(f"p{f}") for f in (0, 1)]
-    back = [F.when(F.col(f"t{f}") > 0, F.col(f"k{f}") / F.col(f"t{f}")).otherwise(1.0).alias(f"b{f}") for f in (0, 1)]
-    sent = joined.select("lang", F.explode("buckets").alias("bucket"), "id", *p, "t0", "t1", *back).mapInArrow(_pack_ids, BLOB)
-    return Model(grams.select(*"lang bucket kind a b c d e".split()), _written(sent, "word-parts"), cut, buckets)
-
-
-def _costs(rows: list[dict], cut: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted bigrams of a bucket and their negative log-probabilities for the documents of fold 0 and 1."""
-    parts = [r for r in rows if r["kind"] == IDS]
-    ids = np.concatenate([_unsqueeze(r["a"], np.uint64, True) for r in parts])
-    numbers = np.concatenate([_unsqueeze(r["b"], np.float64).reshape(6, -1) for r in parts], axis=1)
-    by = np.argsort(ids)
-    ids, numbers = ids[by], numbers[:, by]
-    gram, before, word, *counts = _all_grams([r for r in rows if r["kind"] == GRAMS])
-    context, last = np.searchsorted(ids, before), np.searchsorted(ids, word)
-    costs = []
-    for f in (1, 0):  # the other fold
-        share = (counts[f] - cut[f][np.minimum(counts[f], 3)]) / np.maximum(numbers[2 + f, context], 1)
-        costs.append(-np.log(share + numbers[4 + f, context] * numbers[f, last]))
-    return gram, np.stack(costs, axis=1)
-
-
-def _sums(cut: dict):
-    """Key of each document, sum of negative log-probabilities and number of its words in each bucket."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (lang, _), rows in groupby(_blobs(batches), lambda r: (r["lang"], r["bucket"])):
-            model, costs = [], None
-            for r in rows:
-                if r["kind"] != PAIRS:
-                    model.append(r)
-                    continue
-                if costs is None:
-                    gram, costs = _costs(model, cut[lang])
-                    model = []
-                keys = _unsqueeze(r["e"], np.uint64)
-                at = np.repeat(np.searchsorted(gram, _unsqueeze(r["a"], np.uint64, True)), _unsqueeze(r["b"], np.int32))
-                doc, n = _unsqueeze(r["c"], np.int32), _unsqueeze(r["d"], np.int32)
-                cost = costs[at, (keys & U64(1)).astype(np.int64)[doc]] * n
-                yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(np.bincount(doc, cost, len(keys))), pa.array(np.bincount(doc, n, len(keys)))], ["__own", "cost", "n"])
-
-    return run
+    laws: dict = {}
+
+    def finished() -> DataFrame:
+        packed = docs.select("text", "lang").mapInArrow(_counts(buckets), BLOB)
+        counted = _written(_dealt(packed, buckets).mapInArrow(_merge(buckets), BLOB), "bigram-counts")
+        words = _written(_dealt(counted.where(F.col("kind") == WORDS), buckets).mapInArrow(_merge_words, BLOB), "word-counts")
+        of_grams = _added(counted.where(F.col("kind") == GRAMS))
+        of_words = _added(words.where(F.col("kind") == IDS))
+        laws.update(_laws(of_grams, of_words))
+        tokens = sum(x[13] + x[14] for x in of_words.values()) and words.where(F.col("kind") == IDS).select(F.sum(F.col("of")[5] + F.col("of")[11])).first()[0]
+        least = max(64.0, (tokens or 0) / hot)
+        parts = words.unionByName(counted.where(F.col("kind") == GRAMS))
+        return _dealt(parts, buckets).mapInArrow(_finish(laws, least), BLOB)
+
+    gains = settled(finished, "gains")
+    rows = gains.mapInArrow(_hot_rows, "lang string, kind int, hash long, g0 double, g1 double, g2 double, g3 double").toArrow().to_pandas()
+    frequent = {}
+    for (lang, kind), own in rows.groupby(["lang", "kind"], dropna=False, sort=False):
+        hashes = own["hash"].to_numpy(np.int64).view(np.uint64)
+        by = np.argsort(hashes)
+        frequent[lang if isinstance(lang, str) else None, int(kind)] = Table(hashes[by], own[["g0", "g1", "g2", "g3"]].to_numpy().T[:, by])
+    return Model(gains, frequent, laws, buckets)
+
+
+NO_TABLE = Table(np.zeros(0, np.uint64), np.zeros((4, 0)))
+
+
+def _pairs(hot, buckets: int, low: int, high: int):
+    """Of texts by language: gains of frequent words and bigrams (DOCS, in the first round), and the other words (PLACES) and bigrams (PAIRS) of the buckets from ``low`` to before ``high`` with their texts."""
+
+    def of_chunk(chunk: Chunk, r: Read):
+        before, gram = _bigrams(r)
+        size = np.diff(r.words.rows)
+        row = np.repeat(np.arange(len(size)), size)
+        fold = (r.keys & U64(1)).astype(np.int64)
+        context = np.ones(len(row), bool)
+        context[r.words.rows[1:][size > 0] - 1] = False
+
+        def own(lang, rows: np.ndarray) -> tuple[np.ndarray, ...]:
+            at = np.flatnonzero(rows[row])
+            number = (np.cumsum(rows) - 1)[row[at]]
+            f, word, pair, follows = fold[row[at]], r.hashes[at], gram[at], context[at]
+            known, spot = hot.value.get((lang, WORDS), NO_TABLE).find(word)
+            known2, spot2 = hot.value.get((lang, GRAMS), NO_TABLE).find(pair)
+            gain = np.zeros(int(rows.sum()))
+            if low == 0:
+                for mask, g in ((known, hot.value.get((lang, WORDS), NO_TABLE).gains[f[known], spot[known]]), (known & follows, hot.value.get((lang, WORDS), NO_TABLE).gains[2 + f[known & follows], spot[known & follows]]), (known2, hot.value.get((lang, GRAMS), NO_TABLE).gains[f[known2], spot2[known2]])):
+                    gain += np.bincount(number[mask], g, len(gain))
+            inside = lambda x: (_bucket_of(x, buckets) >= U64(low)) & (_bucket_of(x, buckets) < U64(high))
+            rare, rare2 = ~known & inside(word), ~known2 & inside(pair)
+            return pair[rare2], number[rare2], word[rare], number[rare], follows[rare], r.keys[rows], gain
+
+        return own
+
+    def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
+        before = np.cumsum([0, *(len(p[5]) for p in parts)])
+        keys, gain = (np.concatenate([p[k] for p in parts]) for k in (5, 6))
+        if low == 0 and len(keys):
+            yield _blob(lang, int(_bucket_of(keys[:1], high)[0]), DOCS, [_squeeze(keys), _squeeze(gain)])
+        for kind, h, d in ((PAIRS, 0, 1), (PLACES, 2, 3)):
+            hashes = np.concatenate([p[h] for p in parts])
+            doc = np.concatenate([p[d] + n for p, n in zip(parts, before, strict=False)])
+            many = [np.ones(len(doc), np.int64)] if kind == PAIRS else [np.ones(len(doc), np.int64), np.concatenate([p[4] for p in parts]).astype(np.int64)]
+            by = np.lexsort([doc, hashes])
+            hashes, doc, many = hashes[by], doc[by], [x[by] for x in many]
+            at = _starts(hashes, doc)
+            if not len(at):
+                continue
+            many = np.stack([np.add.reduceat(x, at) for x in many]).astype(np.int32)
+            hashes, doc = hashes[at], doc[at]
+            for b, own in _ranges(hashes, buckets):
+                begin = _starts(hashes[own])
+                seen, local = np.unique(doc[own], return_inverse=True)
+                sizes = np.diff(np.append(begin, own.stop - own.start)).astype(np.int32)
+                head = (len(seen)).to_bytes(8, "little")
+                yield _blob(lang, b, kind, [_squeeze(hashes[own][begin], True), _squeeze(sizes), _squeeze(np.concatenate([local.astype(np.int32)[None], many[:, own]])), head + _squeeze(keys[seen])])
+
+    return lambda batches: _by_language(batches, of_chunk, flush)
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Key of each text, gain, and number of texts with that key."""
+
+    def out(keys: np.ndarray, gain: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(gain.astype(np.float64)), pa.array(copies.astype(np.int64))], ["__own", "gain", "copies"])
+
+    for _, _, rows in _of_bucket(batches):
+        tables = {GRAMS: NO_TABLE, WORDS: NO_TABLE}
+        for r in rows:
+            kind = r["kind"]
+            if kind in (WORDS, GRAMS):
+                hashes, gains = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.float64)
+                tables[kind] = Table(hashes, gains.reshape(4 if kind == WORDS else 2, -1))
+            elif kind == DOCS:
+                keys = _unsqueeze(r["a"], np.uint64)
+                yield out(keys, _unsqueeze(r["b"], np.float64), np.ones(len(keys)))
+            else:
+                table = tables[GRAMS if kind == PAIRS else WORDS]
+                keys = _unsqueeze(r["d"][8:], np.uint64)
+                doc, *many = _unsqueeze(r["c"], np.int32).reshape(2 if kind == PAIRS else 3, -1)
+                known, at = table.find(_unsqueeze(r["a"], np.uint64, True))
+                sizes = _unsqueeze(r["b"], np.int32)
+                known, at = np.repeat(known, sizes), np.repeat(at, sizes)
+                doc, at, many = doc[known], at[known], [x[known] for x in many]
+                f = (keys & U64(1)).astype(np.int64)[doc]
+                gain = sum((table.gains[2 * k + f, at] * x for k, x in enumerate(many)), np.zeros(len(doc)))
+                yield out(keys, np.bincount(doc, gain, len(keys)), np.zeros(len(keys)))
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """__own (key of a text and its language) and log_perplexity; ``docs`` must be those of the model. Copies add to both sums alike."""
+    """__own (key of a text and its language), gain and copies; ``docs`` must be those of the model."""
+    hot = docs.sparkSession.sparkContext.broadcast(model.hot)
     rounds, sums = min(ROUNDS, model.buckets), []
     for i in range(rounds):
         low, high = i * model.buckets // rounds, (i + 1) * model.buckets // rounds
-        pairs = docs.select("text", "lang").mapInArrow(_packed(model.buckets, PAIRS, low, high), BLOB)
-        own = model.ids.unionByName(model.grams).where(F.col("bucket").between(low, high - 1))
-        found = _dealt(own.unionByName(pairs), max(1, high - low)).mapInArrow(_sums(model.discounts), "__own long, cost double, n double")
-        sums.append(_written(found.groupBy("__own").agg(F.sum("cost").alias("cost"), F.sum("n").alias("n")), "document-sums"))
+        pairs = docs.select("text", "lang").mapInArrow(_pairs(hot, model.buckets, low, high), BLOB)
+        own = model.gains.where(F.col("bucket").between(low, high - 1))
+        found = _dealt(own.unionByName(pairs), max(1, high - low)).mapInArrow(_sums, "__own long, gain double, copies long")
+        sums.append(_written(found.groupBy("__own").agg(F.sum("gain").alias("gain"), F.sum("copies").alias("copies")), "document-sums"))
     whole = reduce(DataFrame.unionByName, sums).groupBy("__own")
-    return _written(whole.agg((F.sum("cost") / F.sum("n")).alias("log_perplexity")), "document-perplexities")
+    return whole.agg(F.sum("gain").alias("gain"), F.sum("copies").alias("copies"))
 
 
 SIGN = np.zeros(256, bool)
@@ -453,29 +633,36 @@ def base_features(chunk: Chunk) -> dict[str, np.ndarray]:
     begins_char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     chars = np.concatenate([[0], np.cumsum(begins_char[w.ends] - begins_char[w.starts])])
     signs = np.concatenate([[0], np.cumsum(SIGN[data])])
-    filled = np.concatenate([[0], np.cumsum(np.isin(np.arange(len(data)), w.starts, assume_unique=True))]) if len(data) else np.zeros(1, np.int64)
+    salt = mix(np.arange(rows, dtype=np.uint64) + U64(1))  # equal lines and windows of different rows are different
+    # lines with a word that equal an earlier one of their row
     breaks = np.flatnonzero(data == 10)
-    grams = gram_hashes(hashes, 3)
-    dup, repeated = np.zeros(rows, np.int64), np.zeros(rows, np.int64)
-    cuts = np.searchsorted(breaks, offsets)
-    for i in range(rows):
-        own = breaks[cuts[i] : cuts[i + 1]]
-        starts = np.concatenate([[offsets[i]], own + 1])
-        ends = np.concatenate([own, [offsets[i + 1]]])
-        full = filled[ends] > filled[starts]
-        k = int(full.sum())
-        if k > 1:
-            dup[i] = k - len(np.unique(span_hashes(sums, down, starts[full], ends[full])))
-        a, b = w.rows[i], w.rows[i + 1]
-        if b - a > 3:
-            _, inverse, count = np.unique(grams[a : b - 2], return_inverse=True, return_counts=True)
-            twice = np.flatnonzero(count[inverse] > 1)
-            if len(twice):
-                covered = np.zeros(b - a, bool)
-                for j in range(3):
-                    covered[twice + j] = True
-                repeated[i] = covered.sum()
-    return {"n_words": np.diff(w.rows), "word_chars": chars[w.rows[1:]] - chars[w.rows[:-1]], "n_symbols": signs[offsets[1:]] - signs[offsets[:-1]], "n_dup_lines": dup, "n_repeat_words": repeated}
+    starts = np.concatenate([offsets[:-1], breaks + 1])
+    row = np.concatenate([np.arange(rows), np.searchsorted(offsets, breaks, side="right") - 1])
+    by = np.lexsort([starts, row])
+    starts, row = starts[by], row[by]
+    last = np.append(row[1:] != row[:-1], True) if rows else np.zeros(0, bool)
+    ends = np.where(last, offsets[1:][row], np.append(starts[1:], 1) - 1)
+    full = np.searchsorted(w.starts, ends) > np.searchsorted(w.starts, starts)
+    row = row[full]
+    lines = span_hashes(sums, down, starts[full], ends[full]) + salt[row]
+    _, first = np.unique(lines, return_index=True)
+    dup = np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
+    # words in windows of three that their row has twice
+    size = np.diff(w.rows)
+    of = np.repeat(np.arange(rows), size)
+    covered = np.zeros(len(hashes), bool)
+    inside = np.flatnonzero(np.arange(len(hashes)) + 3 <= w.rows[1:][of]) if len(hashes) > 2 else np.zeros(0, np.int64)
+    if len(inside):
+        windows = gram_hashes(hashes, 3)[inside] + salt[of[inside]]
+        by = np.argsort(windows)
+        ordered = windows[by]
+        same = np.zeros(len(by) + 1, bool)
+        same[1:-1] = ordered[1:] == ordered[:-1]
+        twice = inside[by[same[1:] | same[:-1]]]
+        for j in range(3):
+            covered[twice + j] = True
+    repeated = np.bincount(of[covered], minlength=rows)
+    return {"n_words": size, "word_chars": chars[w.rows[1:]] - chars[w.rows[:-1]], "n_symbols": signs[offsets[1:]] - signs[offsets[:-1]], "n_dup_lines": dup, "n_repeat_words": repeated}
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -510,11 +697,21 @@ def features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     return docs.select(*(F.col(f"`{f.name}`") for f in passed)).mapInArrow(run, schema)
 
 
+def with_perplexity(found: DataFrame, docs: DataFrame, model: Model) -> DataFrame:
+    """``found`` (features of ``docs``, which are those of the model) plus log_perplexity; __key stays."""
+    named = [(lang, f, float(-np.log(laws[1 - f].unseen)), float(np.log(laws[1 - f].start))) for lang, laws in model.laws.items() for f in (0, 1)]
+    limits = docs.sparkSession.createDataFrame(named, "__lang string, __fold int, __unseen double, __start double")
+    gains = perplexities(docs, model)
+    fold = (F.col("__key").bitwiseAND(F.lit(1))).cast("int")
+    rows = found.join(gains, F.col("__key") == F.col("__own"), "left").join(small_side(limits), F.col("lang").eqNullSafe(F.col("__lang")) & (fold == F.col("__fold")), "left")
+    n = F.col("n_words")
+    cost = n * F.col("__unseen") - F.col("__start") - F.coalesce(F.col("gain") / F.col("copies"), F.lit(0.0))
+    return rows.withColumn("log_perplexity", F.when(n > 0, cost / n)).drop("__own", "gain", "copies", "__lang", "__fold", "__unseen", "__start")
+
+
 def score(docs: DataFrame, model: Model, keep_text: bool = False) -> DataFrame:
     """``docs`` (those of the model) plus the base features, base_failed and log_perplexity; without text unless ``keep_text``."""
-    own = perplexities(docs, model)
-    found = staged(features(docs, keep_text), "features")
-    return found.join(own, F.col("__key") == F.col("__own"), "left").drop("__key", "__own")
+    return with_perplexity(staged(features(docs, keep_text), "features"), docs, model).drop("__key")
 
 
 def bands(scored: DataFrame, width: float = 3.5, floor: float = 0.02, bins: int = 1000) -> DataFrame:
@@ -545,17 +742,32 @@ def with_verdict(scored: DataFrame, limits: DataFrame, short: int = 200, below:
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(False))).drop("__lang", "__middle", "__spread")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """__row, the columns of ``docs`` as one struct, and __key."""
+    rows = docs.select("text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    schema = T.StructType([rows.schema["__row"], T.StructField("__key", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column(1).to_pylist()
+            keys = [read(chunk, langs[chunk.start : chunk.stop]).keys.view(np.int64) for chunk in chunks(binary_column(batch, "text"), CHUNK)]
+            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["__row", "__key"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` (text, lang and any others) that pass base rules and perplexity bands."""
-    own = perplexities(docs, train(docs))
-    found = staged(features(docs.select("text", "lang")), "features")
-    scored = found.join(own, F.col("__key") == F.col("__own"), "left")
-    kept = staged(with_verdict(scored, bands(scored, **BAND), **SIDES).where("kept").select(F.col("__key").alias("__good")).distinct(), "kept")
-    whole = docs.select("text", "lang", F.struct(*(f"`{c}`" for c in docs.columns)).alias("__row"))
-    return features(whole).join(kept, F.col("__key") == F.col("__good"), "left_semi").select("__row.*")
+
+    def good() -> DataFrame:
+        scored = _written(with_perplexity(staged(features(docs.select("text", "lang")), "features"), docs, train(docs)), "perplexities")
+        return with_verdict(scored, bands(scored, **BAND), **SIDES).where("kept").select(F.col("__key").alias("__good")).distinct()
+
+    kept = settled(good, "kept")
+    return keyed(docs).join(kept, F.col("__key") == F.col("__good"), "left_semi").select("__row.*")
 
 
 def op5_ngram_perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    scored = _written(score(docs, train(docs)), "perplexities")
+    scored = settled(lambda: score(docs, train(docs)), "perplexities")
     return with_verdict(scored, bands(scored, **BAND), **SIDES).select("doc_id", *FEATURES, "base_failed", "kept", "log_perplexity")

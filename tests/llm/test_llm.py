@@ -359,13 +359,15 @@ def key_of(text, lang):
     return int(perplexity.read(chunk, [lang]).keys[0])
 
 
-def test_word_bigrams_equal_a_plain_model_of_the_other_fold(spark):
+def test_word_bigrams_equal_a_plain_model_of_the_other_fold(spark, monkeypatch):
     rows = [(prose(70 + i, 300 + i), "en" if i % 3 else None) for i in range(24)] + [("x y x", "en"), ("ab " * 80, "en"), (prose(90, 1), "xx"), (prose(70, 301), "en"), (None, "en"), ("#### **** %%% " + prose(60, 5), "en")]
     frame = spark.createDataFrame([(i, t, x, 0) for i, (t, x) in enumerate(rows)], SCHEMA).repartition(3)
     model = perplexity.train(frame)
     assert model.buckets == 1
     expected = plain_perplexities(rows)
-    for m in (model, perplexity.train(frame, bucket=200)):
+    assert not model.hot
+    monkeypatch.setattr(perplexity, "PACK", 300)
+    for m in (model, perplexity.train(frame, bucket=200), perplexity.train(frame, bucket=700, hot=1), perplexity.train(frame, bucket=200, hot=2**30)):
         found = {(r.text or "", r.lang): r.log_perplexity for r in perplexity.score(frame, m, keep_text=True).collect()}
         assert {k for k, v in found.items() if v is not None} == set(expected)
         assert all(found[k] == pytest.approx(v, rel=1e-9) for k, v in expected.items())
