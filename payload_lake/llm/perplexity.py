@@ -6,8 +6,8 @@ below or above, are rejected.
 
 The model is trained on the documents that pass the base rules, and no document
 is judged by itself: documents fall into two folds by their smallest hash of
-five words, so copies and most near copies are in one fold, and each fold is
-judged by the counts of the other. Words are 64-bit hashes without ASCII case.
+two words, so copies and most near copies are in one fold, and each fold is
+judged by the counts of the other. Words are 48-bit hashes without ASCII case.
 
 The model grows with the corpus. Bigrams are dealt by their hash to buckets of
 about ``BUCKET`` words of text and kept in Parquet as sorted arrays; each task
@@ -59,6 +59,8 @@ from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, s
 
 #: bytes looked at together
 CHUNK = 2 << 20
+#: words are 48 bits of a hash, and so are bigrams where texts meet them: that is what makes them short when sorted
+KEPT_BITS = U64(2**64 - 2**16)
 #: words that a task packs at once, and words of text for each bucket of bigrams
 PACK, BUCKET = 4 << 20, 4 << 20
 #: bigrams in a row of the table of bigrams
@@ -68,8 +70,8 @@ HOT = 1 << 17
 #: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their rare bigrams
 ROUNDS = 2
 #: band of the registered query and the pipeline
-BAND = {"width": 2.0}
-SIDES = {"below": 1.5, "short": 0}
+BAND = {"width": 2.25, "floor": 0.1}
+SIDES = {"below": 2.7, "short": 0}
 #: kinds of blobs, in the order in which a task wants them
 WORDS, IDS, PARTS, GRAMS, DOCS, PLACES, PAIRS = range(7)
 ZSTD = pa.Codec("zstd", compression_level=1)
@@ -143,15 +145,16 @@ class Read(NamedTuple):
 
 def read(chunk: Chunk, langs: list) -> Read:
     hashes, w = word_hashes(chunk, lower=True)
+    hashes &= KEPT_BITS
     rows, size = len(w.rows) - 1, np.diff(w.rows)
     row = np.repeat(np.arange(rows), size)
-    five = np.full(len(hashes), 2**64 - 1, np.uint64)
-    if len(hashes) > 4:
-        five[:-4] = gram_hashes(hashes, 5)
-    five = np.where(np.arange(len(hashes)) + 5 <= w.rows[1:][row], five, mix(hashes) | U64(1 << 63))
+    two = np.full(len(hashes), 2**64 - 1, np.uint64)
+    if len(hashes) > 1:
+        two[:-1] = gram_hashes(hashes, 2)
+    two = np.where(np.arange(len(hashes)) + 2 <= w.rows[1:][row], two, mix(hashes) | U64(1 << 63))
     least = np.zeros(rows, np.uint64)
     if len(hashes):
-        least[size > 0] = np.minimum.reduceat(five, w.rows[:-1][size > 0])
+        least[size > 0] = np.minimum.reduceat(two, w.rows[:-1][size > 0])
     sums, down = prefix_sums(chunk.data)
     whole = span_hashes(sums, down, chunk.offsets[:-1], chunk.offsets[1:])
     named = {x: _lang_hash(x) for x in set(langs)}
@@ -160,11 +163,11 @@ def read(chunk: Chunk, langs: list) -> Read:
 
 
 def _bigrams(r: Read) -> tuple[np.ndarray, np.ndarray]:
-    """The word before each word (0 before the first of a row) and the hash of both."""
+    """The word before each word (0 before the first of a row) and 48 bits of the hash of both."""
     before = np.zeros(len(r.hashes), np.uint64)
     before[1:] = r.hashes[:-1]
     before[r.words.rows[:-1][np.diff(r.words.rows) > 0]] = 0
-    return before, _joined(before, r.hashes)
+    return before, _joined(before, r.hashes) & KEPT_BITS
 
 
 def _starts(*columns: np.ndarray) -> np.ndarray:
@@ -231,18 +234,18 @@ def _dealt(df: DataFrame, buckets: int) -> DataFrame:
     return df.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
 
 
-def _grams(ids: np.ndarray, first: np.ndarray, second: np.ndarray, numbers: list[np.ndarray]) -> list[bytes]:
+def _grams(ids: np.ndarray, first: np.ndarray, second: np.ndarray, numbers: list[np.ndarray], kind: type = np.int64) -> list[bytes]:
     """Bigrams of sorted words: the words, places of both words in them, and numbers of each."""
     by = np.argsort(first << 32 | second)
-    return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(np.stack([x[by] for x in numbers]).astype(np.int64))]
+    return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(np.stack([x[by] for x in numbers]).astype(kind))]
 
 
-def _ungrams(rows: list[dict], numbers: int) -> list[np.ndarray]:
+def _ungrams(rows: list[dict], numbers: int, kind: type = np.int64) -> list[np.ndarray]:
     """First and second words of all blobs and their numbers, sorted by the hash of both words, which comes first."""
     parts = []
     for r in rows:
         ids, first, second = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int32, True), _unsqueeze(r["c"], np.int32)
-        parts.append((ids[first], ids[second], *_unsqueeze(r["d"], np.int64).reshape(numbers, -1)))
+        parts.append((ids[first], ids[second], *_unsqueeze(r["d"], kind).reshape(numbers, -1)))
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     gram = _joined(*columns[:2])
     by = np.argsort(gram)
@@ -272,10 +275,10 @@ def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator
 
 
 def _counts(buckets: int):
-    """Bigrams of texts by language and bucket, with training counts of both folds and whether a text of each fold has it."""
+    """Bigrams of texts by language and bucket: training counts of both folds, and bits for the folds of which a text has it."""
 
     def of_chunk(chunk: Chunk, r: Read):
-        before, gram = _bigrams(r)
+        before, _ = _bigrams(r)
         f = base_features(chunk)
         learned = ~base_failed(f["n_words"], f["n_repeat_words"])
         size = np.diff(r.words.rows)
@@ -284,23 +287,26 @@ def _counts(buckets: int):
 
         def own(_, rows: np.ndarray) -> tuple[np.ndarray, ...]:
             at = np.repeat(rows, size)
-            return before[at], r.hashes[at], gram[at], code[at]
+            return before[at], r.hashes[at], code[at]
 
         return own
 
     def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
-        before, word, gram, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        before, word, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        gram = _joined(before, word)
         by = np.argsort(gram)
         gram, code = gram[by], code[by]
         at = _starts(gram)
         if not len(at):
             return
-        numbers = [np.add.reduceat((code == k).astype(np.int64), at) for k in (1, 3)] + [np.maximum.reduceat((code >> 1 == f).astype(np.uint8), at) for f in (0, 1)]
-        before, word = before[by][at], word[by][at]
-        for b, own in _ranges(gram[at], buckets):
+        gram = gram[at]
+        numbers = [np.add.reduceat(code == k, at, dtype=np.int32) for k in (1, 3)] + [np.bitwise_or.reduceat(np.uint8(1) << (code >> 1), at).astype(np.int32)]
+        by = by[at]
+        before, word = before[by], word[by]
+        for b, own in _ranges(gram, buckets):
             ids, place = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
             half = own.stop - own.start
-            yield _blob(lang, b, GRAMS, _grams(ids, place[:half], place[half:], [x[own] for x in numbers]))
+            yield _blob(lang, b, GRAMS, _grams(ids, place[:half], place[half:], [x[own] for x in numbers], np.int32))
 
     return lambda batches: _by_language(batches, of_chunk, flush)
 
@@ -315,11 +321,12 @@ def _merge(buckets: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, bucket, rows in _of_bucket(batches):
-            gram, before, word, *numbers = _ungrams(list(rows), 4)
+            gram, before, word, n0, n1, folds = _ungrams(list(rows), 3, np.int32)
             at = _starts(gram)
             before, word = before[at], word[at]
-            n = [np.add.reduceat(x, at) for x in numbers[:2]]
-            seen = [np.maximum.reduceat(x, at) > 0 for x in numbers[2:]]
+            n = [np.add.reduceat(x, at, dtype=np.int64) for x in (n0, n1)]
+            folds = np.bitwise_or.reduceat(folds, at)
+            seen = [folds & 1 > 0, folds & 2 > 0]
             used = (n[0] > 0) & seen[1] | (n[1] > 0) & seen[0]
             ids, place = np.unique(np.concatenate([before, word]), return_inverse=True)
             first, second = place[: len(before)], place[len(before) :]
@@ -434,7 +441,7 @@ def _finish(laws: dict, least: float):
                 share = (n[1 - f] - law.grams[np.minimum(n[1 - f], 3)]) / np.maximum(total[context], 1)
                 gains[f] = np.log1p(share / (back[context] * low[last]))
             hot = np.flatnonzero(n[0] + n[1] >= least).astype(np.int32)
-            yield _blob(lang, bucket, GRAMS, [_squeeze(gram, True), _squeeze(gains), _squeeze(hot)])
+            yield _blob(lang, bucket, GRAMS, [_squeeze(gram & KEPT_BITS, True), _squeeze(gains), _squeeze(hot)])
 
     return run
 
