@@ -303,9 +303,9 @@ def _encoder(vocabulary: Vocabulary) -> Encoder:
     return Encoder(vocabulary)
 
 
-def _with_column(df: DataFrame, column: str, to: str, kind: T.DataType, convert) -> DataFrame:
-    """``df`` plus ``to``, made by ``convert`` of Arrow arrays of ``column``; a column of that name is replaced. Rows travel as one struct, so names do not matter."""
-    kept = [f for f in df.schema.fields if f.name != to]
+def _with_column(df: DataFrame, column: str, to: str, kind: T.DataType, convert, carry: list[str] | None = None) -> DataFrame:
+    """``df`` (or its columns ``carry``) plus ``to``, made by ``convert`` of Arrow arrays of ``column``; a column of that name is replaced. Rows travel as one struct, so names do not matter."""
+    kept = [f for f in df.schema.fields if f.name != to and (carry is None or f.name in carry)]
     row = F.struct(*(F.col(f"`{f.name}`") for f in kept)) if kept else F.struct(F.lit(None).alias("none"))
     rows = df.select(F.col(f"`{column}`").alias("x"), row.alias("row"))
 
@@ -354,8 +354,32 @@ def decode(rows: DataFrame, model: str = MODEL, column: str = "ids", to: str = "
     return _with_column(rows, column, to, T.StringType(), convert)
 
 
+def round_trips(docs: DataFrame, carry: list[str], model: str = MODEL, column: str = "text", to: str = "pieces") -> DataFrame:
+    """The columns ``carry`` of ``docs`` plus ``to``: the piece ids of ``column``, and whether decoding them gives its bytes back. Both ways in one pass."""
+    shared = docs.sparkSession.sparkContext.broadcast(load(model))
+
+    def convert():
+        encoder, decoder = _encoder(shared.value), Decoder(shared.value)
+
+        def work(part: pa.RecordBatch) -> pa.Array:
+            texts = binary_column(part, "x").to_pylist()
+            found = encoder.encoded([x.decode("utf-8", "surrogateescape") for x in texts])
+            counts = np.array([len(x) // 4 for x in found], np.int64)
+            flat = np.frombuffer(b"".join(found), np.int32)
+            data, offsets = decoder.texts(flat, counts)
+            body = data.tobytes()
+            same = [body[a:b] == x for x, a, b in zip(texts, offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
+            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)), pa.array(flat))
+            return pa.StructArray.from_arrays([ids, pa.array(same, pa.bool_())], ["ids", "round_trip"])
+
+        return work
+
+    kind = T.StructType([T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("round_trip", T.BooleanType())])
+    return _with_column(docs, column, to, kind, convert, carry)
+
+
 def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per document: n_ids, sha256 of the ids joined by commas, and whether decoding gives the text back."""
-    both = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    both = round_trips(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"]).select("doc_id", "pieces.*")
     digest = F.sha2(F.concat_ws(",", F.col("ids").cast("array<string>")).cast("binary"), 256)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_ids"), digest.alias("ids_sha256"), "round_trip")
