@@ -63,11 +63,13 @@ CHUNK = 2 << 20
 KEPT_BITS = U64(2**64 - 2**16)
 #: words that a task packs at once, and words of text for each bucket of bigrams
 PACK, BUCKET = 4 << 20, 4 << 20
+#: the fewest buckets, the fewest tasks that score a round of them, buckets of such a task beyond that, and sums that it holds
+BUCKETS, FEWEST, TOGETHER, HELD = 12, 6, 3, 1 << 20
 #: bigrams in a row of the table of bigrams
 SLICE = 1 << 20
 #: words and bigrams that make up more than 1 / HOT of all training words, of which there are fewer than HOT, are broadcast
 HOT = 1 << 17
-#: rounds of buckets in which documents are judged: each reads the texts again and shuffles a part of their rare bigrams
+#: rounds of buckets in which bigrams are counted, and in which documents are judged: each reads the texts again and shuffles a part of their bigrams
 ROUNDS = 2
 #: band of the registered query and the pipeline
 BAND = {"width": 2.25, "floor": 0.1}
@@ -230,8 +232,16 @@ def _of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None,
         yield lang, bucket, rows
 
 
-def _dealt(df: DataFrame, buckets: int) -> DataFrame:
-    return df.repartition(buckets, "lang", "bucket").sortWithinPartitions("lang", "bucket", "kind")
+def _dealt(df: DataFrame, low: int, high: int, tasks: int) -> DataFrame:
+    """The blobs of the buckets from ``low`` to before ``high``: neighbouring buckets to each task, sorted by language, bucket and kind."""
+    task = F.floor((F.col("bucket") - low) * tasks / (high - low)).cast("int")
+    return df.repartitionById(tasks, task).sortWithinPartitions("lang", "bucket", "kind")
+
+
+def _rounds(buckets: int) -> list[tuple[int, int]]:
+    """Ranges of buckets that are worked on one after the other."""
+    rounds = min(ROUNDS, buckets)
+    return [(i * buckets // rounds, (i + 1) * buckets // rounds) for i in range(rounds)]
 
 
 def _grams(ids: np.ndarray, first: np.ndarray, second: np.ndarray, numbers: list[np.ndarray], kind: type = np.int64) -> list[bytes]:
@@ -274,11 +284,13 @@ def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator
         yield from flush(lang, own)
 
 
-def _counts(buckets: int):
-    """Bigrams of texts by language and bucket: training counts of both folds, and bits for the folds of which a text has it."""
+def _counts(buckets: int, low: int, high: int):
+    """Bigrams of texts by language and bucket, from ``low`` to before ``high``: training counts of both folds, and bits for the folds of which a text has it."""
 
     def of_chunk(chunk: Chunk, r: Read):
-        before, _ = _bigrams(r)
+        before, gram = _bigrams(r)
+        bucket = _bucket_of(gram, buckets)
+        wanted = (bucket >= U64(low)) & (bucket < U64(high))
         f = base_features(chunk)
         learned = ~base_failed(f["n_words"], f["n_repeat_words"])
         size = np.diff(r.words.rows)
@@ -286,7 +298,7 @@ def _counts(buckets: int):
         code = np.repeat(fold << 1 | learned.astype(np.uint8), size)
 
         def own(_, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-            at = np.repeat(rows, size)
+            at = np.repeat(rows, size) & wanted
             return before[at], r.hashes[at], code[at]
 
         return own
@@ -502,20 +514,23 @@ def _added(df: DataFrame) -> dict:
 def train(docs: DataFrame, bucket: int = BUCKET, hot: int = HOT) -> Model:
     """A model of the texts of ``docs`` that pass the base rules; it has what the other texts of ``docs`` can meet of it."""
     total = docs.select(F.sum(F.length("text"))).first()[0] or 0
-    buckets = max(1, math.ceil(total / 6 / bucket))
+    buckets = max(BUCKETS, math.ceil(total / 6 / bucket))
     laws: dict = {}
 
     def finished() -> DataFrame:
-        packed = docs.select("text", "lang").mapInArrow(_counts(buckets), BLOB)
-        counted = _written(_dealt(packed, buckets).mapInArrow(_merge(buckets), BLOB), "bigram-counts")
-        words = _written(_dealt(counted.where(F.col("kind") == WORDS), buckets).mapInArrow(_merge_words, BLOB), "word-counts")
+        parts = []
+        for low, high in _rounds(buckets):
+            packed = docs.select("text", "lang").mapInArrow(_counts(buckets, low, high), BLOB)
+            parts.append(_written(_dealt(packed, low, high, high - low).mapInArrow(_merge(buckets), BLOB), "bigram-counts"))
+        counted = reduce(DataFrame.unionByName, parts)
+        words = _written(_dealt(counted.where(F.col("kind") == WORDS), 0, buckets, buckets).mapInArrow(_merge_words, BLOB), "word-counts")
         of_grams = _added(counted.where(F.col("kind") == GRAMS))
         of_words = _added(words.where(F.col("kind") == IDS))
         laws.update(_laws(of_grams, of_words))
         tokens = sum(x[13] + x[14] for x in of_words.values()) and words.where(F.col("kind") == IDS).select(F.sum(F.col("of")[5] + F.col("of")[11])).first()[0]
         least = max(64.0, (tokens or 0) / hot)
         parts = words.unionByName(counted.where(F.col("kind") == GRAMS))
-        return _dealt(parts, buckets).mapInArrow(_finish(laws, least), BLOB)
+        return _dealt(parts, 0, buckets, buckets).mapInArrow(_finish(laws, least), BLOB)
 
     gains = settled(finished, "gains")
     rows = gains.mapInArrow(_hot_rows, "lang string, kind int, hash long, g0 double, g1 double, g2 double, g3 double").toArrow().to_pandas()
@@ -577,17 +592,24 @@ def _pairs(hot, buckets: int, low: int, high: int):
                 begin = _starts(hashes[own])
                 seen, local = np.unique(doc[own], return_inverse=True)
                 sizes = np.diff(np.append(begin, own.stop - own.start)).astype(np.int32)
-                head = (len(seen)).to_bytes(8, "little")
-                yield _blob(lang, b, kind, [_squeeze(hashes[own][begin], True), _squeeze(sizes), _squeeze(np.concatenate([local.astype(np.int32)[None], many[:, own]])), head + _squeeze(keys[seen])])
+                yield _blob(lang, b, kind, [_squeeze(hashes[own][begin], True), _squeeze(sizes), _squeeze(np.concatenate([local.astype(np.int32)[None], many[:, own]])), _squeeze(keys[seen])])
 
     return lambda batches: _by_language(batches, of_chunk, flush)
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Key of each text, gain, and number of texts with that key."""
+    """Key of each text, gain, and number of texts with that key, summed over the buckets of a task as far as it holds them."""
+    waiting: list[tuple[np.ndarray, ...]] = []
 
-    def out(keys: np.ndarray, gain: np.ndarray, copies: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(gain.astype(np.float64)), pa.array(copies.astype(np.int64))], ["__own", "gain", "copies"])
+    def summed() -> tuple[np.ndarray, ...]:
+        keys, gain, copies = (np.concatenate(x) for x in zip(*waiting, strict=True))
+        keys, place = np.unique(keys, return_inverse=True)
+        return keys, np.bincount(place, gain, len(keys)).astype(np.float64), np.bincount(place, copies, len(keys)).astype(np.int64)
+
+    def out() -> pa.RecordBatch:
+        keys, gain, copies = summed()
+        waiting.clear()
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(gain), pa.array(copies)], ["__own", "gain", "copies"])
 
     for _, _, rows in _of_bucket(batches):
         tables = {GRAMS: NO_TABLE, WORDS: NO_TABLE}
@@ -596,31 +618,38 @@ def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind in (WORDS, GRAMS):
                 hashes, gains = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.float64)
                 tables[kind] = Table(hashes, gains.reshape(4 if kind == WORDS else 2, -1))
-            elif kind == DOCS:
+                continue
+            if kind == DOCS:
                 keys = _unsqueeze(r["a"], np.uint64)
-                yield out(keys, _unsqueeze(r["b"], np.float64), np.ones(len(keys)))
+                waiting.append((keys, _unsqueeze(r["b"], np.float64), np.ones(len(keys), np.int64)))
             else:
                 table = tables[GRAMS if kind == PAIRS else WORDS]
-                keys = _unsqueeze(r["d"][8:], np.uint64)
+                keys = _unsqueeze(r["d"], np.uint64)
                 doc, *many = _unsqueeze(r["c"], np.int32).reshape(2 if kind == PAIRS else 3, -1)
                 known, at = table.find(_unsqueeze(r["a"], np.uint64, True))
                 sizes = _unsqueeze(r["b"], np.int32)
                 known, at = np.repeat(known, sizes), np.repeat(at, sizes)
                 doc, at, many = doc[known], at[known], [x[known] for x in many]
                 f = (keys & U64(1)).astype(np.int64)[doc]
-                gain = sum((table.gains[2 * k + f, at] * x for k, x in enumerate(many)), np.zeros(len(doc)))
-                yield out(keys, np.bincount(doc, gain, len(keys)), np.zeros(len(keys)))
+                gain = np.bincount(doc, sum((table.gains[2 * k + f, at] * x for k, x in enumerate(many)), np.zeros(len(doc))), len(keys)).astype(np.float64)
+                met = gain != 0
+                waiting.append((keys[met], gain[met], np.zeros(int(met.sum()), np.int64)))
+            if sum(len(w[0]) for w in waiting) > 4 * HELD:
+                waiting[:] = [summed()]
+                if len(waiting[0][0]) > HELD:
+                    yield out()
+    if waiting:
+        yield out()
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
     """__own (key of a text and its language), gain and copies; ``docs`` must be those of the model."""
     hot = docs.sparkSession.sparkContext.broadcast(model.hot)
-    rounds, sums = min(ROUNDS, model.buckets), []
-    for i in range(rounds):
-        low, high = i * model.buckets // rounds, (i + 1) * model.buckets // rounds
+    sums = []
+    for low, high in _rounds(model.buckets):
         pairs = docs.select("text", "lang").mapInArrow(_pairs(hot, model.buckets, low, high), BLOB)
         own = model.gains.where(F.col("bucket").between(low, high - 1))
-        found = _dealt(own.unionByName(pairs), max(1, high - low)).mapInArrow(_sums, "__own long, gain double, copies long")
+        found = _dealt(own.unionByName(pairs), low, high, max(min(FEWEST, high - low), math.ceil((high - low) / TOGETHER))).mapInArrow(_sums, "__own long, gain double, copies long")
         sums.append(_written(found.groupBy("__own").agg(F.sum("gain").alias("gain"), F.sum("copies").alias("copies")), "document-sums"))
     whole = reduce(DataFrame.unionByName, sums).groupBy("__own")
     return whole.agg(F.sum("gain").alias("gain"), F.sum("copies").alias("copies"))

@@ -363,7 +363,8 @@ def test_word_bigrams_equal_a_plain_model_of_the_other_fold(spark, monkeypatch):
     rows = [(prose(70 + i, 300 + i), "en" if i % 3 else None) for i in range(24)] + [("x y x", "en"), ("ab " * 80, "en"), (prose(90, 1), "xx"), (prose(70, 301), "en"), (None, "en"), ("#### **** %%% " + prose(60, 5), "en")]
     frame = spark.createDataFrame([(i, t, x, 0) for i, (t, x) in enumerate(rows)], SCHEMA).repartition(3)
     model = perplexity.train(frame)
-    assert model.buckets == 1
+    assert model.buckets == perplexity.BUCKETS
+    monkeypatch.setattr(perplexity, "BUCKETS", 1)
     expected = plain_perplexities(rows)
     assert not model.hot
     monkeypatch.setattr(perplexity, "PACK", 300)
@@ -601,6 +602,8 @@ def test_odd_bytes_and_names_pass_the_line_and_piece_operators(spark):
 def test_round_trip(docs, empty, spark):
     both = sentencepieces.decode(sentencepieces.encode(docs))
     assert all(r.decoded == (r.text or "") for r in both.collect())
+    once = sentencepieces.round_trips(docs, ["doc_id", "text"]).select("doc_id", "text", "pieces.*").collect()
+    assert all(r.round_trip for r in once) and sorted((str(r.text), r.ids) for r in once) == sorted((str(r.text), r.ids) for r in both.collect())
     assert both.where("text is null or text = ''").where(F.size("ids") > 0).count() == 0
     assert sentencepieces.encode(empty).count() == 0
     odd = spark.createDataFrame([("▁a▁▁ b",), ("   ",), ("\U0001f9ff\u0378",), (" ▁",)], "text string")
