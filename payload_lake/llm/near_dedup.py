@@ -2,21 +2,21 @@
 
 Documents with equal shingle sets are one class from the start, whatever their
 number. The classes enter a forest of ``TREES`` trees; each tree orders them by
-their signature, read from another slot on, and candidates are those that share
-the first ``DEPTH`` slots. The depth adapts to the region:
-
-* where at most ``CROWD`` classes share them, all of these are candidates of
-  each other;
-* in crowded regions the order goes on through all slots, and the neighbours by
-  longest common prefix are candidates. Verified links then join most of a
-  region to one component. Regions around the same largest component are taken
-  together, and what is outside it is compared with all of them, block by block, so that no link that the
-  trees can see is lost and the members of one component are never paired off
-  with each other.
+their signature, read from another slot on. A region of a tree are the classes
+that share the first ``DEPTH`` slots. In every region the order goes on through
+the later slots, so neighbours have the longest prefixes in common, as deep as the
+region is dense, and those up to ``REACH`` places apart are candidates. In a
+region of up to ``REACH`` + 1 classes these are all pairs.
 
 Candidates whose sizes or signatures rule out the threshold are dropped (a pair
 at the threshold passes with a probability of 1 - 3e-9); the others are verified
-on the full sets. Components are built by joins on the shared folder.
+on the full sets, and verified links make components. In a larger region that is
+still of several components, what is outside its largest component is compared
+with the whole region by signatures, block by block (regions around one component
+are taken together). The closest candidates of each class and component are
+verified first, then those of all that is not yet one component. So no link that
+the trees can see is lost, and members of one component are never paired off with
+each other. Components are built by joins on the shared folder.
 
 A pair at the threshold of 0.8 is missed by all trees with a probability of
 (1 - 0.8^4)^32 < 1e-7.
@@ -30,6 +30,7 @@ own size, a null component and kept; an empty table stays empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -37,13 +38,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import staged, table
+from .stage import ids_as_long, settled, staged, table
 from .words import binary_column, chunks, mix, shingles, word_hashes
 
 TREES, DEPTH = 32, 4
 SLOTS = TREES * DEPTH
-CROWD = 32
-BLOCK = 256
+REACH = 3
+#: bytes of the signature by which a region is ordered, classes of a block, and candidates of a class and a component that are verified first
+ORDER, BLOCK, CLOSEST = 28, 256, 2
 AGREE = 76
 _RNG = np.random.default_rng(20_250_101)
 _SCALE = (_RNG.integers(1, 2**31, SLOTS, dtype=np.uint32) * np.uint32(2) + np.uint32(1))[:, None]
@@ -129,53 +131,43 @@ def _agreeing(percent: int):
     return run
 
 
-def _neighbours(percent: int, reach: int = 3):
-    """Of rows sorted by key and signature: candidates among those up to ``reach`` places apart."""
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows (key, id) in the order of the trees: ids of a region up to ``REACH`` places apart."""
+    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for batch in batches:
+        old = len(key)
+        key, ids = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+        a, b = [], []
+        for lag in range(1, REACH + 1):
+            right = np.arange(max(lag, old), len(key))
+            right = right[(key[right - lag] == key[right]) & (ids[right - lag] != ids[right])]
+            a.append(np.minimum(ids[right - lag], ids[right]))
+            b.append(np.maximum(ids[right - lag], ids[right]))
+        key, ids = key[-REACH:], ids[-REACH:]
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tail: pa.RecordBatch | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            new = batch.num_rows
-            rows = batch if tail is None else pa.concat_batches([tail, batch])
-            tail = rows.slice(max(0, rows.num_rows - reach))
-            key, ids, n, sign = rows.column(0).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_numpy(), _bytes(rows.column(1))
-            a, b = [], []
-            for lag in range(1, reach + 1):
-                right = np.arange(max(lag, len(key) - new), len(key))
-                left = right - lag
-                ok = (key[left] == key[right]) & _possible(sign[left], sign[right], n[left], n[right], percent)
-                a.append(np.minimum(ids[left[ok]], ids[right[ok]]))
-                b.append(np.maximum(ids[left[ok]], ids[right[ok]]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
-
-    return run
 
+def _across(percent: int):
+    """Of rows with a block of a region and a block of what is outside its largest component: candidates of different components, with their rank among those of the same class and component."""
 
-def _outside_links(percent: int):
-    """Of a block of a region and a block of what is outside its largest component: one link for each pair of components."""
-
-    def run(members: pa.Table, queries: pa.Table) -> pa.Table:
-        out: list[tuple[int, int]] = []
-        if members.num_rows and queries.num_rows:
-            get = lambda table, name: table[name].combine_chunks()
-            numbers = lambda table, name: table[name].to_numpy()
-            signs, sets = _bytes(get(members, "sign")), get(members, "shingles")
-            ids, n, roots = (numbers(members, c) for c in ("id", "n", "root"))
-            own_signs, own_sets = _bytes(get(queries, "sign")), get(queries, "shingles")
-            for i, (own_id, own_n, own_root) in enumerate(zip(*(numbers(queries, c).tolist() for c in ("id", "n", "root")), strict=True)):
-                near = np.flatnonzero(_possible(signs, own_signs[i : i + 1], n, own_n, percent) & (roots != own_root))
-                near = near[np.argsort(-(signs[near] == own_signs[i]).sum(axis=1), kind="stable")]
-                own, linked = own_sets[i].values.to_numpy(), set()
-                for k in near.tolist():
-                    if roots[k] not in linked:
-                        common = len(np.intersect1d(sets[k].values.to_numpy(), own, assume_unique=True))
-                        if 100 * common >= percent * (n[k] + own_n - common):
-                            linked.add(roots[k])
-                            out.append((min(ids[k], own_id), max(ids[k], own_id)))
-        a, b = zip(*out, strict=True) if out else ((), ())
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found: list[list[np.ndarray]] = [[], [], []]
+            for k in range(batch.num_rows):
+                members, queries = (batch.column(batch.schema.get_field_index(c))[k].values for c in ("members", "queries"))
+                get = lambda rows, name: rows.field(name).to_numpy(zero_copy_only=False)
+                signs, ids, n, roots = _bytes(members.field("sign")), get(members, "id"), get(members, "n"), get(members, "root")
+                own = [get(queries, c) for c in ("id", "n", "root")]
+                for sign, own_id, own_n, own_root in zip(_bytes(queries.field("sign")), *(x.tolist() for x in own), strict=True):
+                    near = np.flatnonzero(_possible(signs, sign[None], n, own_n, percent) & (roots != own_root))
+                    if not len(near):
+                        continue
+                    near = near[np.lexsort([-(signs[near] == sign).sum(axis=1), roots[near]])]
+                    new = np.flatnonzero(np.concatenate([[True], roots[near][1:] != roots[near][:-1]]))
+                    rank = np.arange(len(near)) - np.repeat(new, np.diff(np.append(new, len(near))))
+                    for part, x in zip(found, (np.minimum(ids[near], own_id), np.maximum(ids[near], own_id), rank), strict=True):
+                        part.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found], ["a", "b", "rank"])
 
     return run
 
@@ -194,13 +186,13 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     of at least ``percent`` / 100; component_id is the smallest doc_id that can be
     reached, and kept marks the document that has it.
     """
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = ids_as_long(docs.select("doc_id", "text"))
     signed = staged(docs.mapInArrow(_signatures(size), "doc_id long, n long, k1 long, k2 long, keys array<long>, sign binary"), "signatures")
     classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     first = classes.select(F.col("id").alias("doc_id"), "k1", "k2")
     heads = staged(signed.join(first, ["doc_id", "k1", "k2"]).dropDuplicates(["doc_id", "k1", "k2"]).select(F.col("doc_id").alias("id"), "n", "keys", "sign"), "heads")
     # a doc_id that stands on rows with different texts heads several classes; its rows are one node
-    roots = _forest_components(docs, heads, size, percent)
+    roots = settled(lambda: _forest_components(docs, heads, size, percent), "components")
     placed = signed.drop("keys", "sign").join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("doc_id"))
     return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
@@ -212,65 +204,72 @@ def _forest_components(docs: DataFrame, heads: DataFrame, size: int, percent: in
     leaves = heads.select("id", F.posexplode("keys").alias("tree", "key"))
     shared = staged(leaves.groupBy("key").agg(F.count("*").alias("members")).where("members > 1"), "shared-keys")
     live = staged(leaves.hint("merge").join(shared, "key"), "live-leaves")
-    # small regions: all pairs of at most CROWD members, equal regions of several trees once
-    lists = live.where(F.col("members") <= CROWD).groupBy("key").agg(F.sort_array(F.collect_list("id")).alias("ids")).select("ids").distinct()
-    pairs = lists.select("ids", F.posexplode("ids").alias("i", "a")).select("a", F.explode(F.expr("slice(ids, i + 2, size(ids))")).alias("b")).where("a < b").distinct()
+    order = F.expr(f"substring(concat(substring(sign, tree * {DEPTH} + {DEPTH} + 1), sign), 1, {ORDER})")
+    ordered = live.join(heads.select("id", "sign"), "id").select("key", "id", order.alias("order"), "members")
+    # a region of which all pairs are neighbours stays in one task; larger ones may be split, and what that loses is compared below
+    task = F.when(F.col("members") > REACH + 1, F.col("order"))
+    placed = ordered.repartitionByRange("key", task).sortWithinPartitions("key", "order", "id").select("key", "id")
+    pairs = placed.mapInArrow(_neighbours, "a long, b long").distinct()
     side = lambda name: heads.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sign").alias(f"sign_{name}"))
-    near = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(percent), "a long, b long")
-    # crowded regions: neighbours in the order of the whole signature
-    crowd = live.where(F.col("members") > CROWD)
-    order = F.expr(f"concat(substring(sign, tree * {DEPTH} + 1), substring(sign, 1, tree * {DEPTH}))")
-    ordered = crowd.join(heads.select("id", "n", "sign"), "id").select("key", order.alias("order"), "id", "n")
-    beside = ordered.repartitionByRange("key", "order").sortWithinPartitions("key", "order", "id").mapInArrow(_neighbours(percent), "a long, b long").where("a <> b")
-    candidates = staged(near.unionByName(beside).distinct(), "candidates")
-    crowded = staged(crowd.select("id").distinct(), "crowded")
-    wanted = candidates.select(F.col("a").alias("doc_id")).unionByName(candidates.select(F.col("b").alias("doc_id"))).unionByName(crowded.select(F.col("id").alias("doc_id"))).distinct()
-    texts = docs.hint("merge").join(wanted, "doc_id")
-    sets = staged(texts.mapInArrow(_sets(size), "id long, shingles array<long>"), "sets")
-    links = staged(_verified(candidates, sets, percent), "verified")
-    roots = components(links)
-    more = _links_outside(crowd.select("key", "members", "id"), roots, heads, sets, percent)
-    if more is None:
+    candidates = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(percent), "a long, b long"), "candidates")
+    crowd = live.where(F.col("members") > REACH + 1).select("key", "id")
+    wanted = reduce(DataFrame.unionByName, (df.select(F.col(c).alias("doc_id")) for df, c in ((candidates, "a"), (candidates, "b"), (crowd, "id")))).distinct()
+    sets = staged(docs.hint("merge").join(wanted, "doc_id").mapInArrow(_sets(size), "id long, shingles array<long>"), "sets")
+    roots = components(staged(_verified(candidates, sets, percent), "verified"))
+    rest = _candidates_outside(crowd, roots, heads, percent)
+    if rest is None:
         return roots
+    roots = _merged(roots, staged(_verified(rest.where(F.col("rank") < CLOSEST).select("a", "b").distinct(), sets, percent), "verified-closest"))
+    apart = _with_roots(rest.where(F.col("rank") >= CLOSEST).select("a", "b"), roots).where("a_root <> b_root").select("a", "b").distinct()
+    return _merged(roots, staged(_verified(apart, sets, percent), "verified-others"))
+
+
+def _with_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
+    """a, b, a_root and b_root of links; a node without a component is its own."""
     root_of = lambda name: roots.select(F.col("node").alias(name), F.col("root").alias(f"{name}_root"))
-    joined = more.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select(F.coalesce("a_root", "a").alias("a"), F.coalesce("b_root", "b").alias("b"))
-    upper = components(joined)
+    return links.join(root_of("a"), "a", "left").join(root_of("b"), "b", "left").select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root"))
+
+
+def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after further links."""
+    if links.isEmpty():
+        return roots
+    upper = components(_with_roots(links, roots).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
     lower = roots.unionByName(upper.select("node", F.col("node").alias("root")).join(roots.select("node"), "node", "left_anti"))
     step = upper.select(F.col("node").alias("root"), F.col("root").alias("next"))
     return staged(lower.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def _links_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, sets: DataFrame, percent: int) -> DataFrame | None:
-    """Verified links between what is outside the largest component of a crowded region and the region."""
+def _candidates_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, percent: int) -> DataFrame | None:
+    """Candidates (a, b, rank) between what is outside the largest component of a region of ``crowd`` (key, id) and the region."""
     if crowd.isEmpty():
         return None
-    placed = staged(crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "members", "id", F.coalesce("root", "id").alias("root")), "crowd")
-    shares = placed.groupBy("key", "root").agg(F.count("*").alias("share"), F.first("members").alias("members"))
-    largest = shares.groupBy("key").agg(F.max(F.struct("share", "root")).alias("top"), F.first("members").alias("members"))
+    placed = staged(crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "crowd")
+    shares = placed.groupBy("key", "root").agg(F.count("*").alias("share"))
+    largest = shares.groupBy("key").agg(F.max(F.struct("share", "root")).alias("top"), F.sum("share").alias("members"))
     open_keys = staged(largest.where("top.share < members").select("key", F.col("top.root").alias("top")), "open-regions")
     if open_keys.isEmpty():
         return None
     # the same members meet in many trees: regions around one component are one region, compared once
     once = staged(placed.join(open_keys, "key").select(F.col("top").alias("key"), "id", "root").distinct(), "regions")
     counts = staged(once.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("root") != F.col("key")).alias("outside")), "region-sizes")
-    full = heads.select("id", "n", "sign").join(sets, "id")
-    region = once.join(counts, "key")
+    region = once.join(counts, "key").join(heads.select("id", "n", "sign"), "id")
     block = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK)).cast("int")
     place = lambda count: F.pmod(F.xxhash64("id"), block(count)).cast("int")
-    span = lambda count: F.explode(F.sequence(F.lit(0), block(count) - 1))
-    members = region.select("key", "id", "root", place("members").alias("mine"), span("outside").alias("theirs")).join(full, "id")
-    outside = region.where("root <> key").select("key", "id", "root", span("members").alias("mine"), place("outside").alias("theirs")).join(full, "id")
-    grid = ["key", "mine", "theirs"]
-    outside = outside.select(*(F.col(c).alias(c) for c in outside.columns))  # both sides come from the same tables
-    found = members.groupBy(*grid).cogroup(outside.groupBy(*grid)).applyInArrow(_outside_links(percent), "a long, b long")
-    more = staged(found.distinct(), "links-outside")
-    return None if more.isEmpty() else more
+    grid, row = ["key", "mine", "theirs"], F.collect_list(F.struct("id", "n", "root", "sign"))
+    blocks = lambda df, name, *own: staged(df.groupBy("key", "block").agg(row.alias(name), F.first(own[0]).alias("others")), f"blocks-{name}")
+    members = blocks(region.withColumn("block", place("members")), "members", block("outside"))
+    outside = blocks(region.where("root <> key").withColumn("block", place("outside")), "queries", block("members"))
+    span = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
+    left = members.select("key", F.col("block").alias("mine"), span.alias("theirs"), "members")
+    right = outside.select("key", span.alias("mine"), F.col("block").alias("theirs"), "queries")
+    return staged(left.join(right, grid).select("members", "queries").mapInArrow(_across(percent), "a long, b long, rank long").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates-outside")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows and columns of ``docs`` without the near-duplicates of a smaller doc_id."""
-    gone = staged(near_duplicates(docs, size, percent).where("not kept").select("doc_id").distinct(), "near-duplicates")
-    return docs.hint("merge").join(gone, "doc_id", "left_anti").select(*(f"`{c}`" for c in docs.columns))
+    gone = settled(lambda: near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
+    return docs.hint("merge").join(gone, F.col("doc_id").cast("string").try_cast("bigint") == F.col("__gone"), "left_anti")
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -222,7 +222,7 @@ def test_near_duplicates_equal_brute_force(docs, size):
 
 
 def test_crowded_region_keeps_all_links(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "CROWD", 4)
+    monkeypatch.setattr(near_dedup, "REACH", 1)
     monkeypatch.setattr(near_dedup, "BLOCK", 16)
     base, rng, rows = prose(100, 3).split(" "), np.random.default_rng(9), []
     for i in range(150):
