@@ -10,16 +10,17 @@ first ``GRAM`` bytes have the smallest hash. Equal windows name equal suffixes a
 equal places, so it is enough to sort the named suffixes, about one in 35 bytes,
 and each stands for the whole run of windows that name it:
 
-1. Sampled splitters range-partition the named suffixes by their leading gram
-   and the string of their run; each bucket sorts them by multikey quicksort.
-   Neighbours with an equal run string are copies: all but the first are removed
-   as a whole. Runs with an equal leading gram but different strings are
-   contested, as they may share part of their windows.
+1. Sampled splitters range-partition the named suffixes by their leading bytes
+   into buckets of about ``BUCKET`` bytes of text; each bucket sorts them by
+   multikey quicksort, eight bytes at a time, those with equal leading bytes by the
+   hash of their run and their place. Neighbours with an equal run are copies: all
+   but the first are removed as a whole. Runs with equal leading bytes that differ
+   otherwise are contested, as they may share part of their windows.
 2. Contested suffixes, and those at the border of a bucket, are compared again
    across buckets.
-3. The windows of contested runs are range-partitioned by the leading gram and
-   sorted in their buckets; equal windows but the first are removed. A gram with
-   more than ``CROWD`` different runs is not kept together: its windows are
+3. The windows of contested runs are range-partitioned by the leading bytes and
+   sorted in their buckets; equal windows but the first are removed. Leading bytes
+   of more than ``CROWD`` different runs are not kept together: their windows are
    counted one by one, with the first found before the shuffle.
 
 Defined cases: null and empty texts, and those shorter than ``LENGTH``, lose
@@ -38,14 +39,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stage import staged, table
+from .stage import ids_as_long, staged, table
 from .words import binary_column, mix, prefix_sums, span_hashes
 
 LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 PIECE = 4 << 20
-CROWD = 5000
+CROWD = 500
+BUCKET = 16 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
 
@@ -61,7 +63,7 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def named_suffixes(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
-    """Runs of windows that name one suffix: gram hash, run hash, first window, windows, and the suffix's place in the first."""
+    """Runs of windows that name one suffix: its leading bytes, run hash, first window, windows, and the suffix's place in the first."""
     for begin in range(0, len(text) - LENGTH + 1, PIECE):
         data = text[begin : begin + PIECE + LENGTH - 1]
         sums, down = prefix_sums(data)
@@ -72,10 +74,23 @@ def named_suffixes(text: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
         last = np.append(first[1:], len(least)) - 1
         place = (least[first] & _PLACE).astype(np.int64)
         runs = mix(span_hashes(sums, down, first, last + LENGTH) + (place - first).astype(np.uint64))
-        yield grams[place], runs, first + begin, last - first + 1, place - first
+        yield np.lib.stride_tricks.sliding_window_view(data, GRAM)[place], runs, first + begin, last - first + 1, place - first
 
 
-SUFFIX_SCHEMA = "gram long, run long, doc_id long, start long, windows short, place short"
+SUFFIX_SCHEMA = "lead binary, run long, doc_id long, start long, windows short, place short"
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """Rows of ``GRAM`` bytes as an Arrow column."""
+    offsets = np.arange(0, GRAM * len(rows) + 1, GRAM, dtype=np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _leading_words(column: pa.Array) -> np.ndarray:
+    """The leading bytes as rows of 64-bit words that sort as the bytes do."""
+    first = int(np.frombuffer(column.buffers()[1], np.int32)[column.offset]) if len(column) else 0
+    body = np.frombuffer(column.buffers()[2] or b"", np.uint8)[first : first + GRAM * len(column)]
+    return body.reshape(-1, GRAM).view(">u8").astype(np.uint64)
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,13 +100,14 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for low in range(0, len(ids), 500):
             parts = []
             for doc_id, text in zip(ids[low : low + 500], texts[low : low + 500], strict=True):
-                for gram, run, start, n, place in named_suffixes(np.frombuffer(text.as_buffer(), np.uint8)):
-                    parts.append((gram.view(np.int64), run.view(np.int64), np.full(len(gram), doc_id), start, n.astype(np.int16), place.astype(np.int16)))
+                for lead, run, start, n, place in named_suffixes(np.frombuffer(text.as_buffer(), np.uint8)):
+                    parts.append((lead, run.view(np.int64), np.full(len(run), doc_id), start, n.astype(np.int16), place.astype(np.int16)))
             if parts:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*parts, strict=True)], ["gram", "run", "doc_id", "start", "windows", "place"])
+                lead, *rest = (np.concatenate(c) for c in zip(*parts, strict=True))
+                yield pa.RecordBatch.from_arrays([_binary(lead), *map(pa.array, rest)], ["lead", "run", "doc_id", "start", "windows", "place"])
 
 
-def multikey_order(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
+def multikey_order(keys: list[np.ndarray], small: int = 256) -> np.ndarray:
     """The order of rows by their key words: three-way partitions on one word, equal parts go on with the next."""
     order = np.arange(len(keys[0]))
     todo = [(0, len(order), 0)]
@@ -114,28 +130,28 @@ def multikey_order(keys: list[np.ndarray], small: int = 4096) -> np.ndarray:
     return order
 
 
-def _gathered(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.ndarray]:
-    parts = [[b.column(b.schema.get_field_index(n)).to_numpy() for n in names] for b in batches if b.num_rows]
-    return [np.concatenate(c) for c in zip(*parts, strict=True)] if parts else [np.zeros(0, np.int64) for _ in names]
-
-
 def _bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of one bucket: copies (is_copy), and the first of each contested run or run at the bucket's border."""
-    gram, run, doc, start, windows, place = columns = _gathered(batches, ["gram", "run", "doc_id", "start", "windows", "place"])
-    if not len(gram):
+    names = ["lead", "run", "doc_id", "start", "windows", "place"]
+    rows = [b.select(names) for b in batches if b.num_rows]
+    if not rows:
         return
-    order = multikey_order([gram, run, doc, start])
-    gram, run, doc, start, windows, place = (c[order] for c in columns)
-    new_gram = np.concatenate([[True], gram[1:] != gram[:-1]])
-    new_run = new_gram | np.concatenate([[True], run[1:] != run[:-1]])
+    leads = np.concatenate([_leading_words(b.column(0)) for b in rows])
+    run, doc, start, windows, place = (np.concatenate([b.column(k).to_numpy() for b in rows]) for k in range(1, 6))
+    rows.clear()
+    order = multikey_order([*leads.T, run, doc, start])
+    leads = leads[order]
+    run, doc, start, windows, place = (c[order] for c in (run, doc, start, windows, place))
+    new_lead = np.concatenate([[True], (leads[1:] != leads[:-1]).any(axis=1)])
+    new_run = new_lead | np.concatenate([[True], run[1:] != run[:-1]])
     head = np.flatnonzero(new_run)[np.cumsum(new_run) - 1]
     copy = (doc != doc[head]) | (start != start[head])
-    group = np.cumsum(new_gram) - 1
+    group = np.cumsum(new_lead) - 1
     contested = np.bincount(group[new_run])[group] > 1
-    border = (gram == gram[0]) | (gram == gram[-1])
-    shown = copy | new_run & (contested | border)
-    names = ["gram", "run", "doc_id", "start", "windows", "place"]
-    yield pa.RecordBatch.from_arrays([pa.array(c[shown]) for c in (gram, run, doc, start, windows, place)] + [pa.array(copy[shown])], [*names, "is_copy"])
+    border = (group == 0) | (group == group[-1])
+    shown = np.flatnonzero(copy | new_run & (contested | border))
+    lead = leads[shown].astype(">u8").view(np.uint8).reshape(-1, GRAM)
+    yield pa.RecordBatch.from_arrays([_binary(lead), *(pa.array(c[shown]) for c in (run, doc, start, windows, place, copy))], [*names, "is_copy"])
 
 
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,15 +242,18 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each maximal removed run) and kept (the bytes that stay) of every row."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = ids_as_long(docs.select("doc_id", "text"))
     suffixes = docs.where("doc_id is not null").mapInArrow(_suffixes, SUFFIX_SCHEMA)
-    buckets = suffixes.repartitionByRange("gram", "run", "doc_id", "start").mapInArrow(_bucket, f"{SUFFIX_SCHEMA}, is_copy boolean")
+    # buckets follow the size of the texts, so that a task holds as much at every size
+    total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET))
+    buckets = suffixes.repartitionByRange(number, "lead", "run", "doc_id", "start").mapInArrow(_bucket, f"{SUFFIX_SCHEMA}, is_copy boolean")
     marked = staged(buckets, "suffix-buckets")
     heads = marked.where("not is_copy")
-    firsts = staged(heads.groupBy("gram", "run").agg(F.min(F.struct("doc_id", "start", "windows", "place")).alias("first")), "suffix-firsts")
-    across = heads.join(firsts, ["gram", "run"]).where("doc_id <> first.doc_id or start <> first.start")
-    rivals = staged(firsts.groupBy("gram").agg(F.count("*").alias("rivals")).where("rivals > 1"), "suffix-rivals")
-    contested = firsts.join(rivals, "gram").select("first.*", "rivals")
+    firsts = staged(heads.groupBy("lead", "run").agg(F.min(F.struct("doc_id", "start", "windows", "place")).alias("first")), "suffix-firsts")
+    across = heads.join(firsts, ["lead", "run"]).where("doc_id <> first.doc_id or start <> first.start")
+    rivals = staged(firsts.groupBy("lead").agg(F.count("*").alias("rivals")).where("rivals > 1"), "suffix-rivals")
+    contested = firsts.join(rivals, "lead").select("first.*", "rivals")
     runs = contested.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows", "place", "rivals")).alias("runs"))
     contexts = docs.hint("merge").join(runs, "doc_id").mapInArrow(_contexts, "lead binary, doc_id long, start long, windows short, body binary, rivals long")
     contexts = staged(contexts, "suffix-contexts")
