@@ -46,7 +46,7 @@ LENGTH = 100
 GRAM = 32
 WINDOW = LENGTH - GRAM + 1
 PIECE = 4 << 20
-CROWD = 500
+CROWD = 5000
 BUCKET = 16 << 20
 _PLACE = np.uint64((1 << 28) - 1)
 
