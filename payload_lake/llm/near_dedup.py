@@ -12,9 +12,9 @@ Candidates whose sizes or signatures rule out the threshold are dropped (a pair
 at the threshold passes with a probability of 1 - 3e-9); the others are verified
 on the full sets, and verified links make components. In a larger region that is
 still of several components, what is outside its largest component is compared
-with the whole region by signatures, block by block (regions around one component
-are taken together). The closest candidates of each class and component are
-verified first, then those of all that is not yet one component. So no link that
+with the whole region, block by block (regions around one component are taken
+together): first by signatures, of which the closest of each class and component
+are verified, then by the sets of what is not yet one component. So no link that
 the trees can see is lost, and members of one component are never paired off with
 each other. Components are built by joins on the shared folder.
 
@@ -44,7 +44,7 @@ from .words import binary_column, chunks, mix, shingles, word_hashes
 TREES, DEPTH = 32, 4
 SLOTS = TREES * DEPTH
 REACH = 3
-#: bytes of the signature by which a region is ordered, classes of a block, and candidates of a class and a component that are verified first
+#: bytes of the signature by which a region is ordered, classes of a block, and candidates of a class and a component that are tried first
 ORDER, BLOCK, CLOSEST = 28, 256, 2
 AGREE = 76
 _RNG = np.random.default_rng(20_250_101)
@@ -148,26 +148,37 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _across(percent: int):
-    """Of rows with a block of a region and a block of what is outside its largest component: candidates of different components, with their rank among those of the same class and component."""
+    """Of rows with a block of a region and a block of what is outside its largest component: links between different components.
+
+    With signatures alone these are the closest candidates of each class and
+    component; with the sets it is one verified link of each, if there is one.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found: list[list[np.ndarray]] = [[], [], []]
+            out: list[tuple[int, int]] = []
             for k in range(batch.num_rows):
                 members, queries = (batch.column(batch.schema.get_field_index(c))[k].values for c in ("members", "queries"))
                 get = lambda rows, name: rows.field(name).to_numpy(zero_copy_only=False)
+                exact = members.type.get_field_index("shingles") >= 0
                 signs, ids, n, roots = _bytes(members.field("sign")), get(members, "id"), get(members, "n"), get(members, "root")
-                own = [get(queries, c) for c in ("id", "n", "root")]
-                for sign, own_id, own_n, own_root in zip(_bytes(queries.field("sign")), *(x.tolist() for x in own), strict=True):
+                own = zip(_bytes(queries.field("sign")), *(get(queries, c).tolist() for c in ("id", "n", "root")), strict=True)
+                for i, (sign, own_id, own_n, own_root) in enumerate(own):
                     near = np.flatnonzero(_possible(signs, sign[None], n, own_n, percent) & (roots != own_root))
-                    if not len(near):
-                        continue
-                    near = near[np.lexsort([-(signs[near] == sign).sum(axis=1), roots[near]])]
-                    new = np.flatnonzero(np.concatenate([[True], roots[near][1:] != roots[near][:-1]]))
-                    rank = np.arange(len(near)) - np.repeat(new, np.diff(np.append(new, len(near))))
-                    for part, x in zip(found, (np.minimum(ids[near], own_id), np.maximum(ids[near], own_id), rank), strict=True):
-                        part.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)) for x in found], ["a", "b", "rank"])
+                    near = near[np.argsort(-(signs[near] == sign).sum(axis=1), kind="stable")]
+                    done: dict[int, int] = {}
+                    shingles = queries.field("shingles")[i].values.to_numpy() if exact and len(near) else None
+                    for j, root in zip(near.tolist(), roots[near].tolist(), strict=True):
+                        if done.get(root, 0) >= (1 if exact else CLOSEST):
+                            continue
+                        if exact:
+                            common = len(np.intersect1d(members.field("shingles")[j].values.to_numpy(), shingles, assume_unique=True))
+                            if 100 * common < percent * (n[j] + own_n - common):
+                                continue
+                        done[root] = done.get(root, 0) + 1
+                        out.append((min(ids[j], own_id), max(ids[j], own_id)))
+            a, b = zip(*out, strict=True) if out else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return run
 
@@ -216,12 +227,12 @@ def _forest_components(docs: DataFrame, heads: DataFrame, size: int, percent: in
     wanted = reduce(DataFrame.unionByName, (df.select(F.col(c).alias("doc_id")) for df, c in ((candidates, "a"), (candidates, "b"), (crowd, "id")))).distinct()
     sets = staged(docs.hint("merge").join(wanted, "doc_id").mapInArrow(_sets(size), "id long, shingles array<long>"), "sets")
     roots = components(staged(_verified(candidates, sets, percent), "verified"))
-    rest = _candidates_outside(crowd, roots, heads, percent)
-    if rest is None:
+    closest = _links_outside(crowd, roots, heads.select("id", "n", "sign"), percent)
+    if closest is None:
         return roots
-    roots = _merged(roots, staged(_verified(rest.where(F.col("rank") < CLOSEST).select("a", "b").distinct(), sets, percent), "verified-closest"))
-    apart = _with_roots(rest.where(F.col("rank") >= CLOSEST).select("a", "b"), roots).where("a_root <> b_root").select("a", "b").distinct()
-    return _merged(roots, staged(_verified(apart, sets, percent), "verified-others"))
+    roots = _merged(roots, staged(_verified(closest, sets, percent), "verified-closest"))
+    others = _links_outside(crowd, roots, heads.select("id", "n", "sign").join(sets, "id"), percent)
+    return roots if others is None else _merged(roots, others)
 
 
 def _with_roots(links: DataFrame, roots: DataFrame) -> DataFrame:
@@ -240,8 +251,8 @@ def _merged(roots: DataFrame, links: DataFrame) -> DataFrame:
     return staged(lower.join(step, "root", "left").select("node", F.coalesce("next", "root").alias("root")), "roots")
 
 
-def _candidates_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, percent: int) -> DataFrame | None:
-    """Candidates (a, b, rank) between what is outside the largest component of a region of ``crowd`` (key, id) and the region."""
+def _links_outside(crowd: DataFrame, roots: DataFrame, rows: DataFrame, percent: int) -> DataFrame | None:
+    """Links (a, b) of ``_across`` between what is outside the largest component of a region of ``crowd`` (key, id) and the region; ``rows`` has what is known of each id."""
     if crowd.isEmpty():
         return None
     placed = staged(crowd.join(roots.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("root")), "crowd")
@@ -253,17 +264,17 @@ def _candidates_outside(crowd: DataFrame, roots: DataFrame, heads: DataFrame, pe
     # the same members meet in many trees: regions around one component are one region, compared once
     once = staged(placed.join(open_keys, "key").select(F.col("top").alias("key"), "id", "root").distinct(), "regions")
     counts = staged(once.groupBy("key").agg(F.count("*").alias("members"), F.count_if(F.col("root") != F.col("key")).alias("outside")), "region-sizes")
-    region = once.join(counts, "key").join(heads.select("id", "n", "sign"), "id")
+    region = once.join(counts, "key").join(rows, "id")
     block = lambda count: F.greatest(F.lit(1), F.ceil(F.col(count) / BLOCK)).cast("int")
     place = lambda count: F.pmod(F.xxhash64("id"), block(count)).cast("int")
-    grid, row = ["key", "mine", "theirs"], F.collect_list(F.struct("id", "n", "root", "sign"))
+    grid, row = ["key", "mine", "theirs"], F.collect_list(F.struct("root", *rows.columns))
     blocks = lambda df, name, *own: staged(df.groupBy("key", "block").agg(row.alias(name), F.first(own[0]).alias("others")), f"blocks-{name}")
     members = blocks(region.withColumn("block", place("members")), "members", block("outside"))
     outside = blocks(region.where("root <> key").withColumn("block", place("outside")), "queries", block("members"))
     span = F.explode(F.sequence(F.lit(0), F.col("others") - 1))
     left = members.select("key", F.col("block").alias("mine"), span.alias("theirs"), "members")
     right = outside.select("key", span.alias("mine"), F.col("block").alias("theirs"), "queries")
-    return staged(left.join(right, grid).select("members", "queries").mapInArrow(_across(percent), "a long, b long, rank long").groupBy("a", "b").agg(F.min("rank").alias("rank")), "candidates-outside")
+    return staged(left.join(right, grid).select("members", "queries").mapInArrow(_across(percent), "a long, b long").distinct(), "links-outside")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
