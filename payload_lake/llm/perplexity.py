@@ -57,12 +57,12 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from .stage import settled, small_side, staged, table
 from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes, words
 
-#: bytes looked at together
-CHUNK = 2 << 20
+#: bytes looked at together, and rows that are passed on together
+CHUNK, ROWS = 2 << 20, 1000
 #: words are 48 bits of a hash, and so are bigrams where texts meet them: that is what makes them short when sorted
 KEPT_BITS = U64(2**64 - 2**16)
 #: words that a task packs at once, and words of text for each bucket of bigrams
-PACK, BUCKET = 4 << 20, 4 << 20
+PACK, BUCKET = 3 << 19, 3 << 20
 #: the fewest buckets, the fewest tasks that score a round of them, buckets of such a task beyond that, and sums that it holds
 BUCKETS, FEWEST, TOGETHER, HELD = 12, 6, 3, 1 << 20
 #: bigrams in a row of the table of bigrams
@@ -780,14 +780,17 @@ def with_verdict(scored: DataFrame, limits: DataFrame, short: int = 200, below:
 
 def keyed(docs: DataFrame) -> DataFrame:
     """__row, the columns of ``docs`` as one struct, and __key."""
-    rows = docs.select("text", "lang", F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     schema = T.StructType([rows.schema["__row"], T.StructField("__key", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            langs = batch.column(1).to_pylist()
-            keys = [read(chunk, langs[chunk.start : chunk.stop]).keys.view(np.int64) for chunk in chunks(binary_column(batch, "text"), CHUNK)]
-            yield pa.RecordBatch.from_arrays([batch.column(2), pa.array(np.concatenate(keys) if keys else np.zeros(0, np.int64))], ["__row", "__key"])
+        for whole in batches:
+            for start in range(0, whole.num_rows, ROWS):  # the texts of few rows are held twice
+                row = whole.column(0).slice(start, ROWS)
+                batch = pa.RecordBatch.from_arrays(row.flatten(), [f.name for f in row.type])
+                langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
+                keys = [read(chunk, langs[chunk.start : chunk.stop]).keys.view(np.int64) for chunk in chunks(binary_column(batch, "text"), CHUNK)]
+                yield pa.RecordBatch.from_arrays([row, pa.array(np.concatenate(keys))], ["__row", "__key"])
 
     return rows.mapInArrow(run, schema)
 
