@@ -1,8 +1,8 @@
 """Benchmark decontamination: BM25 over the test items, searched with block-max pruning.
 
-The test items are the indexed side, question and answer as entries of their own:
-postings by term, cut into blocks of entries with the largest impact of the term
-in each block. Every document is cut into passages of ``2 L`` words every ``L``
+The test items are the indexed side. An item is found by its question, which any
+leak has to hold (by its answer, if the question has no words): postings by term,
+cut into blocks of entries with the largest impact of the term in each block. Every document is cut into passages of ``2 L`` words every ``L``
 words, L being the longest entry, so that each entry that stands in a document
 stands wholly in some passage. Every passage is a query, and all entries are
 retrieved whose BM25 score reaches ``threshold`` times the score of the entry for
@@ -15,12 +15,12 @@ its own text:
   impacts plus all that was not expanded stay below the threshold;
 * the entries of the blocks that are left get their exact score.
 
-An item of which every part was retrieved, wherever in the document, counts as
+A retrieved item counts as
 leaked if at least ``overlap`` of the five-word shingles of its question and of
 its answer stand in the document. The answer is the last sentence of an item, the
 question what comes before; an item of one sentence is all question. A part of
-fewer than five words is one shingle, a part without words counts as found. The
-score of a leak is the least share of a part.
+fewer than five words is one shingle, a part without words counts as found. Both
+parts may stand anywhere in the document, far from each other or not.
 
 Words are split at white space and ASCII signs, A-Z lower-cased. The index is
 made by Spark and broadcast in shards of at most ``SHARD_POSTINGS`` postings;
@@ -55,7 +55,7 @@ UNEXPANDED = 0.3
 #: blocks scored, and words searched, at once: bounds the memory of a task
 SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
-THRESHOLD = 0.4
+THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
 SENTENCE_END = re.compile(r"[.!?]\s+|\n+")
@@ -99,8 +99,9 @@ PART_SCHEMA = "row long, item_id long, kind int, terms array<long>, tfs array<lo
 class Index(NamedTuple):
     """One shard. Terms are numbered by rising largest impact; impacts are shares of an entry's score for its own text.
 
-    Entries stand in the order of their items; ``items`` says of each to which it
-    belongs, ``first`` where the entries of an item begin.
+    Entries are the parts of items in the order of the items, of which the first has
+    postings; ``items`` says of each to which item it belongs, ``first`` where the
+    entries of an item begin.
     """
 
     vocabulary: np.ndarray
@@ -237,8 +238,6 @@ def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tupl
     last = -1
     for (r, i), parts in sorted(best.items()):
         entries = range(index.first[i], index.first[i + 1])
-        if len(parts) < len(entries):
-            continue
         if r != last:
             cache, last = {}, r
         own = hashes[rows[r] : rows[r + 1]]
@@ -269,19 +268,22 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
 
 
 def indexes(items: DataFrame, postings: int = SHARD_POSTINGS) -> Iterator[Index]:
-    """The items (item_id, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all entries."""
+    """The items (item_id, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all of them."""
     numbered = staged(ids_as_long(items.select("item_id", "text"), "item_id").withColumn("row", F.monotonically_increasing_id()), "items")
     rows = staged(numbered.select("row", "item_id", "text").mapInArrow(_item_rows, PART_SCHEMA).withColumn("size", F.size("words")), "item-parts")
-    n, mean, total = rows.agg(F.count("*"), F.avg("size"), F.sum(F.size("terms"))).first()
+    # the parts by which items are found; df and lengths are of these
+    leading = rows.join(rows.groupBy("row").agg(F.min("kind").alias("kind")), ["row", "kind"])
+    n, mean, total = leading.agg(F.count("*"), F.avg("size"), F.sum(F.size("terms"))).first()
     if not n:
         return
-    posts = rows.select("row", "kind", "size", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("row", "kind", "size", "p.terms", "p.tfs")
+    posts = leading.select("row", "kind", "size", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select("row", "kind", "size", "p.terms", "p.tfs")
     df = posts.groupBy("terms").agg(F.count("*").alias("df"))
     tf = F.col("tfs") * (K1 + 1) / (F.col("tfs") + K1 * (1 - B + B * F.col("size") / mean))
     weighed = posts.join(df, "terms").select("row", "kind", "terms", (F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5)) * tf).alias("weight"))
     share = weighed.select("row", "kind", "terms", (F.col("weight") / F.sum("weight").over(W.partitionBy("row", "kind"))).alias("impact"))
     lists = share.groupBy("row", "kind").agg(F.sort_array(F.collect_list(F.struct("terms", "impact"))).alias("posts"))
-    full = staged(rows.select("row", "kind", "item_id", "words").join(lists, ["row", "kind"]), "index")
+    none = F.array().cast(lists.schema["posts"].dataType)
+    full = staged(rows.select("row", "kind", "item_id", "words").join(lists, ["row", "kind"], "left").withColumn("posts", F.coalesce("posts", none)), "index")
     shards = max(1, -(-int(total) // postings))
     for k in range(shards):
         found = full.where(F.pmod(F.xxhash64("row"), F.lit(shards)) == k).toArrow().sort_by([("row", "ascending"), ("kind", "ascending")])
