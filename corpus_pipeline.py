@@ -2,19 +2,28 @@
 
 ``STAGES`` lists the stages in order; each takes (spark, docs, sf_dir) and
 returns a DataFrame. ``run`` writes the result of each as Parquet in the shared
-folder and reads it back as the documents of the next.
+folder and reads it back as the documents of the next; what a stage staged on its
+way is removed then.
+
+Defined cases, of each stage by its operator: null and empty texts fail the quality
+rules; rows with a null doc_id pass the later stages untouched, as they are no copy
+and hold no line of another; repeated rows are kept or dropped alike; very long
+texts are read whole; further columns, whatever their names, are passed on; an
+empty table stays empty.
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from payload_lake.llm.decontaminate import without_leaks
-from payload_lake.llm.line_dedup import dedup_lines
+from payload_lake.llm.line_dedup import dedup_texts
 from payload_lake.llm.near_dedup import keep_one
 from payload_lake.llm.perplexity import keep_good
 from payload_lake.llm.sentencepieces import encode
-from payload_lake.llm.stage import staged, table
+from payload_lake.llm.stage import settled, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +33,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that many documents share stay in one of them."""
-    return dedup_lines(docs).select(*docs.columns)
+    return dedup_texts(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,5 +66,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = settled(functools.partial(stage, spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
