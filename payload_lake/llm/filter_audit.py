@@ -27,7 +27,7 @@ from collections.abc import Iterator
 from itertools import permutations
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -38,7 +38,10 @@ from .words import binary_column
 
 LETTERS = "ABCDE"
 DUPLICATE = 1 << LETTERS.index("E")
-SPACES = " \t\n\x0b\x0c\r"
+CAPITALS, SIGNS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|"
+#: bytes that begin no code point
+CONTINUATION = bytes(range(0x80, 0xC0))
+WORDS_AT_ONCE = 100_000
 #: bytes of texts that a task holds in a trie before it hands them on
 HELD = 24 << 20
 FIRST_DEPTH, DEEPER = 8, 8
@@ -204,23 +207,35 @@ def first_holders(docs: DataFrame, held: int = HELD) -> DataFrame:
     return merged.where("text is null").select("doc_id", "h").unionByName(_merge(again, schema).select("doc_id", "h"))
 
 
-def _mask(text: Column) -> Column:
-    """Bits A to D of the filters that the text fails."""
-    trimmed = F.btrim(text, F.lit(SPACES))
-    words = F.split(trimmed, r"[\x20\x09-\x0D]+")
-    n, distinct = (F.when(trimmed == "", 0).otherwise(F.size(x)) for x in (words, F.array_distinct(words)))
-    capitals = F.length(text) - F.length(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))
-    fails = (n < 200, distinct * 100 < n * 50, capitals.cast("long") * 100 > F.length(text).cast("long") * 3, text.rlike(r"[#$%&*|]"))
-    bits = [F.when(f, F.lit(1 << i)).otherwise(0) for i, f in enumerate(fails)]
-    return bits[0] + bits[1] + bits[2] + bits[3]
+def text_mask(text: bytes) -> int:
+    """Bits A to D of the filters that the text fails; words are taken some at a time."""
+    n, distinct, rest = 0, set(), text
+    while rest:
+        words = rest.split(None, WORDS_AT_ONCE)
+        rest = words.pop() if len(words) > WORDS_AT_ONCE else b""
+        n += len(words)
+        distinct.update(words)
+    without = lambda some: len(text.translate(None, some))
+    capitals, points = len(text) - without(CAPITALS), without(CONTINUATION)
+    fails = (n < 200, 100 * len(distinct) < 50 * n, 100 * capitals > 3 * points, without(SIGNS) < len(text))
+    return sum(1 << i for i, f in enumerate(fails) if f)
+
+
+def _masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        at = batch.schema.get_field_index
+        mask = pa.array([text_mask(t.as_py()) for t in binary_column(batch, "text")], pa.int32())
+        yield pa.RecordBatch.from_arrays([*(batch.column(at(c)) for c in ("doc_id", "h", "part")), mask], ["doc_id", "h", "part", "mask"])
 
 
 def failure_masks(docs: DataFrame, labels: DataFrame, held: int = HELD) -> DataFrame:
     """part, mask, good and toxic of every row of ``docs``; each bit of mask is a filter that the text fails."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("h"), F.coalesce("lang", F.lit("")).alias("part"))
-    firsts = first_holders(rows.select("doc_id", F.col("text").cast("binary").alias("text"), "h"), held)
-    judged = staged(rows.select("doc_id", "h", "part", _mask(F.col("text")).alias("mask")), "masks")
+    binary = rows.select("doc_id", F.col("text").cast("binary").alias("text"), "h", "part")
+    firsts = first_holders(binary.select("doc_id", "text", "h"), held)
+    schema = T.StructType([rows.schema["doc_id"], *T.StructType.fromDDL("h long, part string, mask int").fields])
+    judged = staged(binary.mapInArrow(_masks, schema), "masks")
     marks = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.col("quality") == 1).alias("good"), F.max(F.col("toxic") == 1).alias("toxic"))
     known = judged.join(firsts.withColumn("first", F.lit(True)), ["doc_id", "h"], "left").join(marks, "doc_id", "left")
     copy = F.when(F.col("doc_id").isNotNull() & F.col("first").isNull(), F.lit(DUPLICATE)).otherwise(0)
