@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 
 def known_ids(pages: DataFrame) -> DataFrame:
     """Distinct ids of a stored listing; ``pages`` has uid and the array ``ids``."""
@@ -30,9 +32,10 @@ def merge_listing(fresh: DataFrame, stored: DataFrame) -> DataFrame:
 
     Both have uid, page_no and ids; the result adds ``is_stored`` and ``ord``. A
     page that is dropped brings nothing new, so the first place of each id decides.
+    Pages of one account are numbered by many tasks.
     """
     both = fresh.select("uid", "page_no", "ids", F.lit(0).alias("is_stored")).unionByName(stored.select("uid", "page_no", "ids", F.lit(1).alias("is_stored")))
-    ordered = both.withColumn("ord", F.row_number().over(W.partitionBy("uid").orderBy("is_stored", "page_no")))
+    ordered = numbered(both, ["uid"], ["is_stored", "page_no"], "ord")
     ids = ordered.select("uid", "ord", F.explode("ids").alias("id"))
     first = ids.groupBy("uid", "id").agg(F.min("ord").alias("ord"))
     bring = first.select("uid", "ord").distinct()

@@ -5,11 +5,11 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
 from ..functions.scalars import safe_double
+from .numbering import numbered
 
 
 def upsert(base: DataFrame, changes: DataFrame, keys: list[str], seq: str = "seq") -> DataFrame:
@@ -41,10 +41,9 @@ def seed_missing(base: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFra
 
 
 def append_with_ids(log: DataFrame, rows: DataFrame, order_by: list[str], by: str = "uid") -> DataFrame:
-    """``rows`` with ids that go on, per account, from the largest in the log."""
+    """``rows`` with ids that go on, per account, from the largest in the log; an account of any size is numbered by many tasks."""
     top = log.groupBy(by).agg(F.max("id").alias("__top"))
-    numbered = rows.drop("id").withColumn("__place", F.row_number().over(W.partitionBy(by).orderBy(*order_by)))
-    return numbered.join(top, by, "left").withColumn("id", F.coalesce("__top", F.lit(0)) + F.col("__place")).drop("__top", "__place")
+    return numbered(rows.drop("id"), [by], order_by, "__place").join(top, by, "left").withColumn("id", F.coalesce("__top", F.lit(0)) + F.col("__place")).drop("__top", "__place")
 
 
 def apply_run_updates(runs: DataFrame, updates: DataFrame) -> DataFrame:
@@ -151,6 +150,53 @@ def merge_meta(meta: DataFrame, legacy_meta: DataFrame) -> DataFrame:
     return meta.select("uid", "key", "value").join(new, ["uid", "key"], "left_anti").unionByName(new)
 
 
+#: fixed values: tables that a legacy store is merged into, their keys, and the condition on rows that are carried over
+MERGED: dict[str, tuple[list[str], str]] = {
+    "audio_transcription": (["uid", "item_id"], "true"),
+    "audio_transcription_page": (["uid", "item_id", "page_no"], "true"),
+    "audio_transcription_segment": (["uid", "item_id", "page_no", "segment_no"], "true"),
+    "stage_run": (["run_id"], "true"),
+    "stage_error": (["uid", "id"], "true"),
+    "fetch_endpoint_state": (["uid", "endpoint"], "true"),
+    "stage_task": (["uid", "stage"], "stage <> 'parsing'"),
+    "stage_event": (["uid", "id"], "stage <> 'parsing'"),
+}
+
+
+def merge_store(current: dict[str, DataFrame], legacy: dict[str, DataFrame]) -> tuple[dict[str, DataFrame], DataFrame, DataFrame]:
+    """(rows to add to each table, marks, report) of a merge of legacy stores into current ones, account by account.
+
+    Both hold ``meta`` and any of the tables of ``MERGED``. An account is merged whole or
+    not at all: ``merge_blockers`` decides, for its rows as for its marks and its
+    version. Of legacy rows with one key the one that orders first is taken.
+    The report has, for each account and table, the legacy rows that were copied, are
+    there already, were dropped (a retired stage) or refused (the account is blocked),
+    and ``blocked``, why.
+    """
+    gate = merge_blockers(current["meta"], legacy["meta"])
+    fine = gate.where("blocked is null").select("uid", F.lit(True).alias("__fine"))
+    added, reports = {}, []
+    for name, (keys, carried) in MERGED.items():
+        if name not in legacy:
+            continue
+        rows = legacy[name].join(fine, "uid", "left").withColumn("__carried", F.coalesce(F.expr(carried), F.lit(True)))
+        there = current[name].select(*keys).distinct().withColumn("__there", F.lit(True)) if name in current else None
+        rows = rows.join(there, keys, "left") if there is not None else rows.withColumn("__there", F.lit(None).cast("boolean"))
+        merged, known = F.col("__fine").isNotNull(), F.col("__there").isNotNull()
+        rest = [c for c in legacy[name].columns if c not in keys]
+        new = rows.where(merged & F.col("__carried") & ~known)
+        added[name] = new.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__row")).select(*keys, "__row.*").select(*legacy[name].columns) if rest else new.select(*keys).distinct()
+        counts = rows.groupBy("uid").agg(
+            F.count_distinct(F.when(merged & F.col("__carried") & ~known, F.struct(*keys))).alias("copied"), F.count_if(merged & F.col("__carried") & known).alias("existing"),
+            F.count_if(merged & ~F.col("__carried")).alias("dropped"), F.count_if(~merged).alias("refused"),
+        )
+        reports.append(counts.select("uid", F.lit(name).alias("table"), "copied", "existing", "dropped", "refused"))
+    report = reduce(DataFrame.unionByName, reports).join(gate, "uid", "left")
+    # an account that neither store has marks of cannot be merged either
+    why = F.when(F.col("refused") > 0, F.coalesce("blocked", F.lit("no current store")))
+    return added, merge_meta(current["meta"], legacy["meta"]), report.withColumn("blocked", why)
+
+
 def merge_report(current: DataFrame, legacy: DataFrame, keys: list[str], keep: Column) -> DataFrame:
     """copied, existing and dropped counts of a legacy merge."""
     marked = legacy.withColumn("__keep", keep).join(current.select(*keys, F.lit(True).alias("__there")).distinct(), keys, "left")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions import jsonx, scalars
 from ..operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts
 from ..operators import work_items as nested
-from ..sources import registry, tables
+from ..sources import commits, registry, tables
+from ..sources.scratch import scratch
 from .stand_ins import oracle, stand_in
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -1185,6 +1186,48 @@ def merge_report(t):
     return upserts.merge_report(*_legacy(t), ["uid", "id"], F.col("error_type") != "AuthError")
 
 
+def _account_stores(t) -> tuple[dict[str, DataFrame], dict[str, DataFrame]]:
+    """A current and a legacy store of several tables; some accounts are blocked, some rows are of a retired stage, some are in both."""
+    own, old = _stores(t)
+    errors = t("fx_error").select("uid", "id", F.when(F.col("id") % 7 == 0, "parsing").otherwise(F.col("stage")).alias("stage"), "error_type")
+    results = t("fx_result").select("uid", "item_id", "status", "seconds")
+    current = {"meta": own, "stage_event": errors.where("id % 3 = 0"), "audio_transcription": results.where("seconds % 3 = 0")}
+    legacy = {"meta": old, "stage_event": errors.where("id % 2 = 0 or id % 5 = 0"), "audio_transcription": results.where("seconds % 2 = 0").withColumn("status", F.lit("legacy"))}
+    return current, legacy
+
+
+GATED = f"""g AS (SELECT c_custkey AS uid, {BLOCKED} AS blocked FROM customer), fine AS (SELECT uid FROM g WHERE blocked IS NULL AND uid % 7 <> 0),
+ev AS (SELECT e.uid, e.id, f.uid IS NOT NULL AS merged, g.blocked, e.id % 7 <> 0 AS carried, e.id % 3 = 0 AS own, e.id % 2 = 0 OR e.id % 5 = 0 AS old FROM fx_error e LEFT JOIN fine f ON f.uid = e.uid LEFT JOIN g ON g.uid = e.uid),
+rs AS (SELECT r.uid, r.item_id, f.uid IS NOT NULL AS merged, g.blocked, true AS carried, r.seconds % 3 = 0 AS own, r.seconds % 2 = 0 AS old FROM fx_result r LEFT JOIN fine f ON f.uid = r.uid LEFT JOIN g ON g.uid = r.uid),
+both_of AS (SELECT 'stage_event' AS tab, uid, merged, blocked, carried, own, old FROM ev UNION ALL SELECT 'audio_transcription', uid, merged, blocked, carried, own, old FROM rs)"""
+
+
+@query("fx_error fx_result", f"""WITH {GATED} SELECT uid, tab AS "table", count(*) FILTER (WHERE merged AND carried AND NOT own) AS copied, count(*) FILTER (WHERE merged AND carried AND own) AS existing,
+ count(*) FILTER (WHERE merged AND NOT carried) AS dropped, count(*) FILTER (WHERE NOT merged) AS refused, max(CASE WHEN NOT merged THEN CASE WHEN blocked = 'absent' OR blocked IS NULL THEN 'no current store' ELSE blocked END END) AS blocked
+FROM both_of WHERE old GROUP BY uid, tab""")
+def merge_store_report(t):
+    return upserts.merge_store(*_account_stores(t))[2]
+
+
+@query("fx_error fx_result", f"""WITH {GATED}, kept AS (SELECT tab, uid FROM both_of WHERE own OR old AND merged AND carried), marks AS (
+ SELECT c_custkey AS k, {BLOCKED} AS blocked FROM customer)
+SELECT 2 AS version, uid, tab AS "table", count(*) AS n FROM kept GROUP BY uid, tab
+UNION ALL SELECT 2, k, 'meta', CASE WHEN k % 4 = 0 THEN 2 ELSE 1 END FROM marks WHERE k % 7 <> 0""")
+def merge_store(t):
+    """Stores committed as version 1; a merge is committed as version 2, a second one made from version 1 fails and leaves nothing to see."""
+    current, legacy = _account_stores(t)
+    spark = current["meta"].sparkSession
+    root = scratch(spark, "store")
+    first = commits.commit_tables(spark, root, 0, current)
+    added, meta, _ = upserts.merge_store(commits.read_tables(spark, root, first), legacy)
+    newest = commits.commit_tables(spark, root, first, {"meta": meta}, added)
+    try:
+        commits.commit_tables(spark, root, first, {"meta": current["meta"].limit(0)})
+    except commits.CommitConflict:
+        pass
+    return commits.account_rows(commits.read_tables(spark, root)).select(F.lit(newest).alias("version"), "uid", "table", "n")
+
+
 CHANGE_RULES = {"v_small": "v <= 45", "status_known": "status in ('A', 'N')", "maybe_even": "maybe_null % 2 = 0"}
 
 
