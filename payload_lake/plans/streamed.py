@@ -86,19 +86,67 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 CLOSING = "closing"
 
 
-@query("fx_event", "SELECT run_id, max(epoch_us(ts)) // 1000 AS last_ts_ms FROM fx_event GROUP BY run_id")
+@query("fx_event", """WITH e AS (SELECT uid AS run_id, (epoch_us(ts) // 24) AS us, event = 'asr.discovery.completed' AS ended FROM fx_event),
+s AS (SELECT *, sum(starts) OVER (PARTITION BY run_id ORDER BY us RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS session FROM (
+ SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY run_id ORDER BY us) < 900000000 THEN 0 ELSE 1 END AS starts FROM e))
+SELECT run_id, max(us) // 1000 AS last_ts_ms FROM s GROUP BY run_id, session HAVING NOT bool_or(ended)""")
 def stream_stale_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every run is stale in the end: a closing event a day after the last one, read after all others, makes all alerts due."""
+    """All silences of 15 minutes in which a run has not ended; a user's events at 24 times their pace are its run.
+
+    Files are read in any order, so the watermark waits for years, and a closing event
+    beyond that makes all alerts due.
+    """
     out = scratch(spark, "stale")
-    columns = ("run_id", "event", "ts")
+    faster = F.timestamp_micros(F.floor(F.unix_micros("ts") / 24).cast("bigint"))
+    events = event_stream(spark, sf_dir).select(F.col("uid").cast("string").alias("run_id"), F.when(F.col("event") == "asr.discovery.completed", "run.completed").otherwise(F.col("event")).alias("event"), faster.alias("ts"))
     newest = spark.read.parquet(f"{sf_dir}/events.parquet").agg(F.max(F.col("ts").cast("timestamp")).alias("ts"))
-    closing = newest.where("ts is not null").select(F.lit(CLOSING).alias("run_id"), F.lit("run.completed").alias("event"), (F.col("ts") + F.expr("interval 1 day")).alias("ts"))
+    closing = newest.where("ts is not null").select(F.lit(CLOSING).alias("run_id"), F.lit("run.completed").alias("event"), (F.col("ts") + F.expr("interval 4000 days")).alias("ts"))
     closing.write.parquet(f"{out}/closing")
-    rows = event_stream(spark, sf_dir).select(*columns).unionByName(spark.readStream.schema(closing.schema).parquet(f"{out}/closing"))
-    alerts = streams.stream_stale_runs(rows)
+    alerts = streams.stream_stale_runs(events.unionByName(spark.readStream.schema(closing.schema).parquet(f"{out}/closing")), watermark="3650 days")
     finished(alerts.writeStream.format("parquet").option("path", f"{out}/data").option("checkpointLocation", f"{out}/checkpoint").trigger(availableNow=True).start())
     found = spark.read.schema(alerts.schema).parquet(f"{out}/data").where(F.col("run_id") != CLOSING)
-    return found.groupBy("run_id").agg(F.max("last_ts_ms").alias("last_ts_ms"))
+    return found.select(F.col("run_id").cast("bigint").alias("run_id"), "last_ts_ms")
+
+
+@query("fx_run", """WITH r AS (SELECT run_id, uid, command, epoch_us(started_at) // 1000 AS s, CASE WHEN uid % 8 = 1 THEN epoch_us(started_at) // 1000 + 3 * 86400000 ELSE epoch_us(ended_at) // 1000 END AS e FROM fx_run)
+SELECT run_id, CASE WHEN uid % 8 <> 2 THEN uid END AS uid, CASE WHEN uid % 8 <> 2 THEN command END AS command, CASE WHEN uid % 8 <> 2 THEN s END AS started_at_ms,
+ CASE WHEN uid % 8 > 1 THEN 'SUCCESS' END AS status, CASE WHEN uid % 8 > 1 THEN e END AS ended_at_ms FROM r
+UNION ALL SELECT run_id, NULL, NULL, NULL, 'SUCCESS', e FROM r WHERE uid % 8 = 1""")
+def stream_run_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A run log that grows file by file, read as a stream: ends that come later, too late (two rows) or never, and starts that were lost."""
+    path = scratch(spark, "growing-log")
+    runs = stand_in(spark, sf_dir, "fx_run").withColumn("k", F.col("uid") % 8)
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    late = F.when(F.col("k") == 1, ms("started_at") + 3 * 86_400_000).otherwise(ms("ended_at"))
+    started = runs.where("k <> 2").select(F.lit("run.started").alias("type"), "run_id", "uid", "command", ms("started_at").alias("ts_ms"))
+    ended = runs.where("k <> 0").select(F.lit("run.completed").alias("type"), "run_id", late.alias("ts_ms"), F.lit("SUCCESS").alias("status"))
+    # a record of either type long after all others: what is still open is given out
+    newest = runs.agg(F.max(ms("ended_at")).alias("ts_ms")).where("ts_ms is not null")
+    closing = newest.select(F.explode(F.array(F.lit("run.started"), F.lit("run.completed"))).alias("type"), F.lit(CLOSING).alias("run_id"), (F.col("ts_ms") + 200 * 86_400_000).alias("ts_ms"))
+    for part in (started, ended, closing):
+        part.write.mode("append").json(path)
+    found = streams.stream_runs(tables.read_run_log(spark, path, streaming=True, files_at_once=4), watermark="60 days")
+    out = scratch(spark, "runs")
+    finished(streams.ingest_events(found, f"{out}/data", f"{out}/checkpoint"))
+    return spark.read.schema(found.schema).parquet(f"{out}/data").where(F.col("run_id") != CLOSING).drop("summary")
+
+
+@query("fx_event", """SELECT 'event' AS kind, id, run_id, level FROM fx_event WHERE id % 11 <> 0 AND id % 13 <> 0
+UNION ALL SELECT 'reject', id, NULL, NULL FROM fx_event WHERE id % 11 = 0 OR id % 13 = 0""")
+def stream_event_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of JSON lines with broken lines, lines of unknown type and repeated ones, ingested as a stream into events and rejects."""
+    path, out = scratch(spark, "event-log"), scratch(spark, "event-table")
+    rows = stand_in(spark, sf_dir, "fx_event").withColumn("ts_ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    kind = F.when(F.col("id") % 13 == 0, "noise").otherwise("event").alias("type")
+    line = F.to_json(F.struct(kind, "id", "run_id", "uid", "ts_ms", "level", "event", F.col("data_json").alias("data")))
+    lines = rows.select("id", F.when(F.col("id") % 11 == 0, F.concat(F.lit('{"type":"event","id":'), F.col("id").cast("string"))).otherwise(line).alias("value"))
+    lines.select("value").write.mode("append").text(path)
+    lines.where("id % 5 = 0 and id % 11 <> 0 and id % 13 <> 0").select("value").write.mode("append").text(path)
+    for started in streams.ingest_event_log(tables.read_run_log(spark, path, streaming=True, broken=True, files_at_once=8), out, f"{out}/checkpoint", watermark="3650 days"):
+        finished(started)
+    events = spark.read.parquet(f"{out}/events").select(F.lit("event").alias("kind"), "id", "run_id", "level")
+    rejects = spark.read.schema("line string").parquet(f"{out}/rejects").select(F.lit("reject").alias("kind"), F.regexp_extract("line", r'"id":(\d+)', 1).cast("bigint").alias("id"))
+    return events.unionByName(rejects, allowMissingColumns=True)
 
 
 @query("fx_event", f"SELECT 'all' AS sink, count(*) AS n FROM fx_event UNION ALL SELECT 'attention', count(*) FROM fx_event WHERE {ATTENTION}")

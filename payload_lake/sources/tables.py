@@ -29,6 +29,17 @@ def read_table(spark: SparkSession, root: str, table: str, uid: int | None = Non
     return scoped(df, uid)
 
 
+def read_accounts(spark: SparkSession, root: str, table: str, accounts: DataFrame, small: int = 100_000) -> DataFrame:
+    """A table of the accounts in column ``uid`` of ``accounts``, wherever that list comes from.
+
+    A list of at most ``small`` ids is broadcast, and Spark prunes the partitions of the
+    scan by it at run time; a longer one is joined by shuffling.
+    """
+    wanted = list_uids(accounts)
+    short = wanted.limit(small + 1).count() <= small
+    return read_table(spark, root, table).join(F.broadcast(wanted) if short else wanted, "uid", "left_semi")
+
+
 def scoped(df: DataFrame, uid: int | None) -> DataFrame:
     return df if uid is None else df.where(F.col("uid") == uid)
 
@@ -48,9 +59,22 @@ def list_uids(df: DataFrame, name: str = "uid") -> DataFrame:
     return found.distinct()
 
 
-def read_run_log(spark: SparkSession, path: str, streaming: bool = False) -> DataFrame:
-    """Records of a run log of JSON lines; ``type`` is run.started, event or run.completed."""
-    return (spark.readStream if streaming else spark.read).schema(LOG_SCHEMA).json(path)
+#: column for a line of a log that is no JSON
+BROKEN = "broken"
+
+
+def read_run_log(spark: SparkSession, path: str, streaming: bool = False, broken: bool = False, files_at_once: int | None = None) -> DataFrame:
+    """Records of a run log of JSON lines; ``type`` is run.started, event or run.completed.
+
+    With ``broken``, a line that is no JSON stands in the column of that name;
+    without, such a line is a row of nulls. A stream takes ``files_at_once`` new files in a batch.
+    """
+    reader = (spark.readStream if streaming else spark.read).schema(f"{LOG_SCHEMA}, {BROKEN} string" if broken else LOG_SCHEMA)
+    if broken:
+        reader = reader.option("columnNameOfCorruptRecord", BROKEN)
+    if streaming and files_at_once:
+        reader = reader.option("maxFilesPerTrigger", files_at_once)
+    return reader.json(path)
 
 
 def split_run_log(log: DataFrame) -> tuple[DataFrame, DataFrame]:
