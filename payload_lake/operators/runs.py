@@ -23,11 +23,13 @@ def latest_run(runs: DataFrame, run_id: str | None = None) -> DataFrame:
     return latest_per_key(runs, ["uid"], [F.desc("started_at"), F.desc("seq")])
 
 
-def recent_events(events: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
-    """The last n events by id, of each group of ``by`` or of all; none if n is not positive.
+def recent_events(events: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
+    """The last n events by id, of each group of ``by`` or of all; none if n is not positive, every one if it is None.
 
     Spark keeps n rows of a group in each task before it shuffles, so a hot group sends little.
     """
+    if n is None:
+        return events
     if n <= 0:
         return events.limit(0)
     if not by:
@@ -35,7 +37,7 @@ def recent_events(events: DataFrame, n: int, by: list[str] | None = None) -> Dat
     return events.withColumn("__place", F.row_number().over(W.partitionBy(*by).orderBy(F.desc("id")))).where(F.col("__place") <= n).drop("__place")
 
 
-def recent_attention(events: DataFrame, n: int, by: list[str] | None = None) -> DataFrame:
+def recent_attention(events: DataFrame, n: int | None, by: list[str] | None = None) -> DataFrame:
     return recent_events(attention_events(events), n, by)
 
 
@@ -106,7 +108,7 @@ def coverage_applies(command: Column, args_json: Column, summary_json: Column) -
 
 
 def run_summary(
-    runs: DataFrame, events: DataFrame, tasks: DataFrame, states: DataFrame, coverage: DataFrame, n: int = 5, uid: int | None = None, run_id: str | None = None, only_run: bool = True, count_key: str = "candidate_count",
+    runs: DataFrame, events: DataFrame, tasks: DataFrame, states: DataFrame, coverage: DataFrame, n: int | None = 5, uid: int | None = None, run_id: str | None = None, only_run: bool = True, count_key: str = "candidate_count",
 ) -> DataFrame:
     """One row per account, also for those without a run: the chosen run, tasks, endpoint states, coverage, candidates and events.
 
@@ -135,12 +137,91 @@ def run_summary(
     return out.withColumns(nothing | {"coverage_applicable": F.coalesce("coverage_applicable", F.lit(True))})
 
 
-def dashboard(manifest: DataFrame, summary: DataFrame, active: DataFrame, broken: DataFrame) -> DataFrame:
-    """One row per account; an account whose rows could not be read has ``read_error`` and no failure follows."""
+#: columns of an event in a run report
+EVENT_COLUMNS = ("id", "ts_ms", "level", "stage", "event", "endpoint", "item_id", "message", "data_json")
+#: states of an item by its result; an item without one is missing
+ITEM_STATES = ("success", "failed", "skipped", "pending", "running")
+
+
+def item_states(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """uid, item_id and state of each expected item: the status of its result, or missing."""
+    known = results.select("uid", "item_id", "status")
+    return expected.select("uid", "item_id").distinct().join(known, ["uid", "item_id"], "left").select("uid", "item_id", F.coalesce("status", F.lit("missing")).alias("state"))
+
+
+def open_items(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """The missing and failed items of each account, a row for each: an account may have any number."""
+    return item_states(expected, results).where("state in ('missing', 'failed')")
+
+
+def item_coverage(expected: DataFrame, results: DataFrame) -> DataFrame:
+    """Items of each account by state, and ``status_counts`` of all of its results, expected or not."""
+    states = item_states(expected, results)
+    counted = states.groupBy("uid").agg(F.count("*").alias("expected"), *(F.count_if(F.col("state") == x).alias(x) for x in (*ITEM_STATES, "missing")))
+    each = results.groupBy("uid", "status").agg(F.count("*").alias("n"))
+    by_status = each.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct("status", "n"))).alias("status_counts"))
+    numbers = {c: F.coalesce(c, F.lit(0)) for c in ("expected", *ITEM_STATES, "missing")}
+    return counted.join(by_status, "uid", "full").withColumns(numbers)
+
+
+def run_report(
+    runs: DataFrame, events: DataFrame, tasks: DataFrame, states: DataFrame, expected: DataFrame, results: DataFrame, n: int | None = 20, uid: int | None = None, run_id: str | None = None, only_run: bool = True,
+    count_key: str = "candidate_count",
+) -> DataFrame:
+    """One row per account with all that a run summary shows; missing and failed items by ``open_items``.
+
+    ``run`` is the newest run of the account, or the named one, and null if there is none:
+    an account is there also without a run, and ``uid`` is there whatever is stored.
+    ``tasks`` and ``endpoints`` are lists by stage and by endpoint with their times, tries and
+    progress; ``fetch_status`` is that of the fetching task, ``asr_status`` that of
+    the audio pipeline in the recogniser task's payload. ``recent_events`` and
+    ``attention_events`` are the last ``n`` of the run, oldest first, or of all runs
+    of the account unless ``only_run``. Columns that an input lacks are null.
+    """
+    if uid is not None:
+        tasks, states, expected, results = (df.where(F.col("uid") == uid) for df in (tasks, states, expected, results))
+    known = runs if uid is None else runs.where(F.col("uid") == uid)
+    if run_id is not None:
+        found = runs.where(F.col("run_id") == run_id)
+        chosen = found if uid is None else found.withColumn("uid", F.lit(uid).cast(runs.schema["uid"].dataType))
+    else:
+        chosen = latest_run(known)
+    if uid is not None:
+        accounts = runs.sparkSession.range(1).select(F.lit(uid).cast(runs.schema["uid"].dataType).alias("uid"))
+    else:
+        accounts = reduce(DataFrame.unionByName, [df.select("uid") for df in ((chosen,) if run_id is not None else (runs, tasks, states, expected, results))]).distinct()
+    own_run = ("run_id", "command", "status", "started_at", "ended_at", "args_json", "summary_json")
+    run = chosen.select("uid", F.struct(*_given(chosen, own_run)).alias("run"), coverage_applies(F.col("command"), F.col("args_json"), F.col("summary_json")).alias("applies"))
+    listed = lambda df, columns, name: df.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(*_given(df, columns)))).alias(name))
+    stage = lambda name: F.col("stage") == name
+    payload = _given(tasks, ("payload",))[0]
+    audio = jsonx.at(jsonx.parsed(payload.cast("string")), "pipelines.audio.status", "string")
+    statuses = tasks.groupBy("uid").agg(F.max(F.when(stage("fetching"), F.col("status"))).alias("fetch_status"), F.max(F.when(stage("asr"), audio)).alias("asr_status"))
+    own = events.drop("uid").join((chosen if only_run else known).select("uid", "run_id"), "run_id")
+    parts = (
+        run, listed(tasks, ("stage", "status", "created_at_ms", "updated_at_ms"), "tasks"), statuses,
+        listed(states, ("endpoint", "status", "retry_count", "last_error_id", "item_progress", "progress", "updated_at_ms"), "endpoints"), item_coverage(expected, results), candidate_count(own, ["uid"], count_key),
+        listed(recent_events(own, n, ["uid"]), EVENT_COLUMNS, "recent_events"), listed(recent_attention(own, n, ["uid"]), EVENT_COLUMNS, "attention_events"),
+    )
+    out = accounts
+    for part in parts:
+        out = out.join(part, "uid", "left")
+    lists = {c: F.coalesce(c, F.array().cast(out.schema[c].dataType)) for c in ("tasks", "endpoints", "status_counts", "recent_events", "attention_events")}
+    numbers = {c: F.coalesce(c, F.lit(0)) for c in ("expected", *ITEM_STATES, "missing")}
+    return out.withColumns(lists | numbers | {"coverage_applicable": F.coalesce("applies", F.lit(True))}).drop("applies")
+
+
+def _given(df: DataFrame, columns) -> list[Column]:
+    """The columns by name; null where ``df`` lacks one."""
+    return [F.col(c) if c in df.columns else F.lit(None).cast("string").alias(c) for c in columns]
+
+
+def dashboard(manifest: DataFrame, latest: DataFrame, active: DataFrame, broken: DataFrame) -> DataFrame:
+    """One row per account with its newest run (``latest``: uid, run_id, command); an account whose rows could not be read has ``read_error`` and no failure follows."""
     numbers = [c for c in manifest.columns if c.endswith("_at_ms")]
     typed = manifest.select(*(F.col(c).try_cast("bigint").alias(c) if c in numbers else F.col(c) for c in manifest.columns))
     rows = typed.join(broken.select("uid", F.col("reason").alias("read_error")), "uid", "full")
-    rows = rows.join(summary.select("uid", "run_id", "command"), "uid", "left").join(active, "uid", "left")
+    rows = rows.join(latest.select("uid", "run_id", "command"), "uid", "left").join(active, "uid", "left")
     return rows.withColumn("active_stages", F.coalesce("active_stages", F.array().cast("array<string>")))
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import reduce
 
 import pandas as pd
@@ -66,55 +65,55 @@ def plan_splits(clips: DataFrame, regions: DataFrame, max_seg: float, min_seg: f
     return rows.where("duration_s > 0").select("clip", F.posexplode(folded).alias("part", "span")).select("clip", "part", "span.start_s", "span.end_s")
 
 
-def joint(left: str, right: str, probe: int = 200, min_overlap: int = 20) -> str:
-    """What follows the transcript ``left`` when ``right`` is joined: right without all up to the end of the longest text that both share there, else a space and right."""
-    tail, head = left[-probe:], right[:probe]
-    best = SequenceMatcher(None, tail, head, autojunk=False).find_longest_match()
-    return right[best.b + best.size :] if best.size >= min_overlap else f" {right}"
+#: all that ``str.strip`` takes off, as a regular expression
+BLANK = r"[\s\x1c-\x1f]"
 
 
-def join_texts(left: str, right: str, probe: int = 200, min_overlap: int = 20) -> str:
-    """Two transcripts as one; the left one stays whole."""
-    if not left or not right:
-        return (left or right).strip()
-    return (left + joint(left, right, probe, min_overlap)).strip()
+def stripped(text: Column) -> Column:
+    """``text`` without white space at both ends; null is empty."""
+    return F.regexp_replace(F.coalesce(text, F.lit("")), rf"(?U)\A{BLANK}+|{BLANK}+\z", "")
+
+
+def joint(tail: Column, right: Column, probe: int = 200, min_overlap: int = 20) -> Column:
+    """What follows a transcript that ends in ``tail`` when ``right`` is joined to it: right without
+    all up to the end of the longest text that both share there, else a space and right.
+
+    Only a place of the tail whose next ``min_overlap`` characters stand in the head can
+    begin a match that counts. Its longest match is found by halving: if a text
+    stands in the head, so do all that it begins with. Of equally long matches the one that is
+    first in the tail, then in the head, is taken.
+    """
+    head = F.left(right, F.lit(probe))
+    steps = F.array(*(F.lit(1 << b) for b in reversed(range(probe.bit_length()))))
+    there = lambda at, n: F.instr(head, F.substr(tail, at, n)) > 0
+
+    def longest(at: Column) -> Column:
+        fits = lambda n: (at + n - 1 <= F.length(tail)) & there(at, n)
+        return F.aggregate(steps, F.lit(0), lambda n, step: F.when(fits(n + step), n + step).otherwise(n))
+
+    starts = F.filter(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(tail) - min_overlap + 1)), lambda at: (F.length(tail) >= at + min_overlap - 1) & there(at, F.lit(min_overlap)))
+    best = F.array_max(F.transform(starts, lambda at: F.struct(longest(at).alias("n"), (-at).alias("before"))))
+    place = F.instr(head, F.substr(tail, -best["before"], best["n"]))
+    return F.when(best.isNull(), F.concat(F.lit(" "), right)).otherwise(F.substr(right, place + best["n"]))
 
 
 def stitch(segments: DataFrame, by: list[str], probe: int = 200, min_overlap: int = 20) -> DataFrame:
-    """The texts of each page stitched in the order of ``pos``.
+    """The texts of each page stitched in the order of ``pos``, blank ones left out.
 
-    Spark sorts the segments of each partition by page and place; a task folds them
-    as they come and holds the parts of one page, which are its output row.
+    A fold in the JVM over the texts of one page, whose stitched text is its output row;
+    it keeps what each text adds and the last ``probe`` characters.
     """
-    keys = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for name in by for f in segments.schema.fields if f.name == name)
+    texts = F.filter(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: stripped(x["text"])), lambda x: x != "")
+    pages = segments.groupBy(*by).agg(texts.alias("texts"))
+    start = F.struct(F.array().cast("array<string>").alias("parts"), F.lit("").alias("tail"))
+    # the part is worked out once, then used twice: ``transform`` over one element names it
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        page, parts = None, []
-        for pdf in batches:
-            done = []
-            for *key, text in pdf[[*by, "text"]].itertuples(index=False, name=None):
-                key = [None if k != k else k for k in key]
-                if key != page:
-                    if page is not None:
-                        done.append((*page, "".join(parts)))
-                    page, parts = key, []
-                text = (text or "").strip()
-                if text:
-                    _append(parts, text, probe, min_overlap)
-            yield pd.DataFrame(done, columns=[*by, "text"])
-        if page is not None:
-            yield pd.DataFrame([(*page, "".join(parts))], columns=[*by, "text"])
-
-    return segments.select(*by, "pos", "text").repartition(*by).sortWithinPartitions(*by, "pos", "text").mapInPandas(run, f"{keys}, text string")
-
-
-def _append(parts: list[str], text: str, probe: int, min_overlap: int) -> None:
-    """Join ``text`` to the parts; only their last ``probe`` characters are looked at."""
-    tail, at = "", len(parts)
-    while at and len(tail) < probe:
-        at -= 1
-        tail = parts[at] + tail
-    parts.append(joint(tail, text, probe, min_overlap) if parts else text)
+    def add(state: Column, text: Column) -> Column:
+        part = F.when(F.size(state["parts"]) == 0, text).otherwise(joint(state["tail"], text, probe, min_overlap))
+        grown = lambda p: F.struct(F.array_append(state["parts"], p).alias("parts"), F.right(F.concat(state["tail"], p), F.lit(probe)).alias("tail"))
+        return F.element_at(F.transform(F.array(part), grown), 1)
+
+    return pages.select(*by, F.aggregate("texts", start, add, lambda state: F.array_join(state["parts"], "")).alias("text"))
 
 
 def refine_round(outcomes: DataFrame, split_s: float = 30.0, min_s: float = 10.0, empty_s: float = 5.0) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, scalars
@@ -68,10 +68,27 @@ def listing_pages(t) -> DataFrame:
 # ---------------------------------------------------------------- sources, filters, top-k
 
 
+def _stored_details(t, uid: Column) -> tuple[SparkSession, str]:
+    """Item details written as a table partitioned by account; ``payload`` is the title."""
+    rows = t("fx_detail").select(uid.alias("uid"), F.lit("video_detail").alias("endpoint"), "item_id", F.col("title").alias("payload"), F.lit(NOW_MS).alias("fetched_at_ms"), F.lit(1).cast("bigint").alias("seq"))
+    root = scratch(rows.sparkSession, "lake")
+    tables.write_table(rows, root, "raw_payload")
+    return rows.sparkSession, root
+
+
 @query("fx_detail", "SELECT uid, item_id, title FROM fx_detail WHERE uid = (SELECT max(uid) FROM fx_detail)")
 def store_scan(t):
-    detail = t("fx_detail")
-    return tables.scoped(detail, detail.agg(F.max("uid")).first()[0]).select("uid", "item_id", "title")
+    spark, root = _stored_details(t, F.col("uid"))
+    newest = t("fx_detail").agg(F.max("uid")).first()[0]
+    return tables.read_table(spark, root, "raw_payload", newest).select("uid", "item_id", F.col("payload").alias("title"))
+
+
+@query("fx_detail", "SELECT uid % 97 + 1 AS uid, count(*) AS items, min(title) AS title FROM fx_detail WHERE uid % 97 + 1 IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1) GROUP BY uid % 97")
+def store_scan_accounts(t):
+    """Items of the accounts of a short list, whose partitions alone are read."""
+    spark, root = _stored_details(t, F.col("uid") % 97 + 1)
+    wanted = t("nation").where("n_regionkey = 1").select(F.col("n_nationkey").alias("uid"))
+    return tables.read_accounts(spark, root, "raw_payload", wanted).groupBy("uid").agg(F.count("*").alias("items"), F.min("payload").alias("title"))
 
 
 @query("fx_detail", "SELECT DISTINCT uid FROM fx_detail WHERE uid > 0")
@@ -726,10 +743,65 @@ def run_summary_of_run(t):
     none = found.limit(0)
     states = none.select("uid", F.lit("").alias("endpoint"), "status")
     coverage = none.select("uid", F.lit(0).alias("expected"), F.lit(0).alias("success"), F.lit(True).alias("complete"))
-    out = runs.run_summary(found, events, none.select("uid", F.col("command").alias("stage"), "status"), states, coverage, n=1_000_000, run_id=named)
+    out = runs.run_summary(found, events, none.select("uid", F.col("command").alias("stage"), "status"), states, coverage, n=None, run_id=named)
     return out.select("uid", "run_id", "command", F.size("recent_events").cast("bigint").alias("events"))
 
 
+def _report_inputs(t) -> dict[str, DataFrame]:
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    tasks = _tasks(t).groupBy("uid", F.when(F.col("stage") == "fetch", "fetching").otherwise("asr").alias("stage")).agg(F.max_by("status", "run_id").alias("status"), F.max_by("updated_at_ms", "run_id").alias("updated_at_ms"))
+    audio = F.to_json(F.struct(F.struct(F.struct(F.lower("status").alias("status")).alias("audio")).alias("pipelines")))
+    states = t("orders").groupBy(F.col("o_custkey").alias("uid"), F.col("o_orderpriority").alias("endpoint")).agg(F.min(F.expr(STATE)).alias("status"), F.count("*").alias("retry_count"), F.to_json(F.struct(F.max("o_orderkey").alias("k"))).alias("item_progress"))
+    events = t("fx_event").select("id", "run_id", ms("ts").alias("ts_ms"), "level", F.substring_index("event", ".", 1).alias("stage"), "event", F.concat(F.lit("e"), F.col("id") % 7).alias("endpoint"), F.col("id").cast("string").alias("item_id"), F.concat(F.lit("m"), "id").alias("message"), "data_json")
+    return {"runs": _runs(t), "events": events, "tasks": tasks.withColumn("payload", audio), "states": states, "expected": t("fx_detail"), "results": t("fx_result")}
+
+
+def _report_texts(report: DataFrame) -> DataFrame:
+    """The nested parts of a run report as text."""
+    part = lambda c, sep, *names: F.array_join(F.transform(c, lambda x: F.concat_ws(sep, *(F.coalesce(x[n].cast("string"), F.lit("-")) for n in names))), ",")
+    texts = {
+        "tasks": part("tasks", ":", "stage", "status", "updated_at_ms"), "endpoints": part("endpoints", ":", "endpoint", "status", "retry_count", "item_progress"), "status_counts": part("status_counts", ":", "status", "n"),
+        "recent_events": part("recent_events", " ", *runs.EVENT_COLUMNS), "attention_events": part("attention_events", " ", "id", "ts_ms", "level", "stage", "event"),
+    }
+    return report.withColumns(texts | {"run": F.concat_ws(" ", "run.run_id", "run.command", "run.status")})
+
+
+RUN_REPORT = f"""latest AS {LATEST}, tk AS (SELECT uid, CASE stage WHEN 'fetch' THEN 'fetching' ELSE 'asr' END AS stage, arg_max(status, run_id) AS status, list(updated ORDER BY run_id DESC)[1] AS updated FROM tasks GROUP BY ALL),
+tks AS (SELECT uid, string_agg(stage || ':' || status || ':' || coalesce(CAST(updated AS VARCHAR), '-'), ',' ORDER BY stage) AS tasks, max(status) FILTER (WHERE stage = 'fetching') AS fetch_status, max(lower(status)) FILTER (WHERE stage = 'asr') AS asr_status FROM tk GROUP BY uid),
+st AS (SELECT o_custkey AS uid, o_orderpriority AS endpoint, min({STATE}) AS s, count(*) AS n, max(o_orderkey) AS k FROM orders GROUP BY ALL),
+sts AS (SELECT uid, string_agg(endpoint || ':' || s || ':' || n || ':' || '{{"k":' || k || '}}', ',' ORDER BY endpoint) AS endpoints FROM st GROUP BY uid),
+items AS (SELECT d.uid, coalesce(r.status, 'missing') AS state FROM fx_detail d LEFT JOIN fx_result r ON d.uid = r.uid AND d.item_id = r.item_id),
+cov AS (SELECT uid, count(*) AS expected, count(*) FILTER (WHERE state = 'success') AS success, count(*) FILTER (WHERE state = 'failed') AS failed, count(*) FILTER (WHERE state = 'skipped') AS skipped, count(*) FILTER (WHERE state = 'pending') AS pending,
+ count(*) FILTER (WHERE state = 'running') AS running, count(*) FILTER (WHERE state = 'missing') AS missing FROM items GROUP BY uid),
+sc AS (SELECT uid, string_agg(status || ':' || n, ',' ORDER BY status) AS status_counts FROM (SELECT uid, status, count(*) AS n FROM fx_result GROUP BY ALL) GROUP BY uid),
+ev AS (SELECT e.*, r.uid AS luid, epoch_us(e.ts) // 1000 AS ts_ms, split_part(e.event, '.', 1) AS stage FROM fx_event e JOIN chosen r ON r.run_id = e.run_id),
+cand AS (SELECT luid, arg_max(CAST(json_extract(data_json, '$.k') AS BIGINT), id) AS candidate_count FROM ev WHERE event = 'asr.discovery.completed' GROUP BY luid),
+rec AS (SELECT luid, string_agg(concat_ws(' ', id, ts_ms, level, stage, event, 'e' || id % 7, id, 'm' || id, data_json), ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM ev) WHERE n <= 3 GROUP BY luid),
+att AS (SELECT luid, string_agg(concat_ws(' ', id, ts_ms, level, stage, event), ',' ORDER BY id) AS ids FROM (SELECT *, row_number() OVER (PARTITION BY luid ORDER BY id DESC) AS n FROM ev WHERE {ATTENTION}) WHERE n <= 3 GROUP BY luid),
+every AS (SELECT uid FROM latest UNION SELECT uid FROM st UNION SELECT uid FROM items UNION SELECT uid FROM tk UNION SELECT uid FROM fx_result)
+SELECT y.uid, coalesce(l.run_id || ' ' || l.command || ' SUCCESS', '') AS run, coalesce(tks.tasks, '') AS tasks, tks.fetch_status, tks.asr_status, coalesce(sts.endpoints, '') AS endpoints,
+ coalesce(cov.expected, 0) AS expected, coalesce(cov.success, 0) AS success, coalesce(cov.failed, 0) AS failed, coalesce(cov.skipped, 0) AS skipped, coalesce(cov.pending, 0) AS pending, coalesce(cov.running, 0) AS running,
+ coalesce(cov.missing, 0) AS missing, coalesce(sc.status_counts, '') AS status_counts, cand.candidate_count, coalesce(rec.ids, '') AS recent_events, coalesce(att.ids, '') AS attention_events,
+ l.command IS NULL OR l.command <> 'asr' OR NOT (y.uid % 6 IN (0, 2, 3, 4) OR y.uid % 4 = 1) AS coverage_applicable
+FROM every y LEFT JOIN latest l ON l.uid = y.uid LEFT JOIN tks ON tks.uid = y.uid LEFT JOIN sts ON sts.uid = y.uid LEFT JOIN cov ON cov.uid = y.uid LEFT JOIN sc ON sc.uid = y.uid LEFT JOIN cand ON cand.luid = y.uid LEFT JOIN rec ON rec.luid = y.uid LEFT JOIN att ON att.luid = y.uid"""
+
+
+@query("fx_run fx_event fx_detail fx_result", f"WITH {TASKS}, chosen AS {LATEST}, {RUN_REPORT}")
+def run_report(t):
+    return _report_texts(runs.run_report(**_report_inputs(t), n=3, count_key="k"))
+
+
+@query("fx_run fx_event fx_detail fx_result", f"WITH {TASKS}, chosen AS (SELECT run_id, uid FROM fx_run), {RUN_REPORT}")
+def run_report_of_all_runs(t):
+    """The same with the events of all runs of an account."""
+    return _report_texts(runs.run_report(**_report_inputs(t), n=3, only_run=False, count_key="k"))
+
+
+@query("fx_detail fx_result", "SELECT d.uid, d.item_id, coalesce(r.status, 'missing') AS state FROM fx_detail d LEFT JOIN fx_result r ON d.uid = r.uid AND d.item_id = r.item_id WHERE r.status IS NULL OR r.status = 'failed'")
+def run_report_items(t):
+    return runs.open_items(t("fx_detail"), t("fx_result"))
+
+
 @query("fx_detail fx_result fx_error fx_run fx_event", f"""WITH {MANIFEST}, {TASKS}, latest AS {LATEST},
 act AS (SELECT uid, string_agg(DISTINCT stage, ',' ORDER BY stage) AS active FROM guarded WHERE guard = 'blocked' GROUP BY uid)
 SELECT m.uid, m.raw_payload_count, m.transcribed_count, TRY_CAST(m.last_fetched_at_ms AS BIGINT) AS last_fetched_at_ms, l.run_id, l.command, coalesce(a.active, '') AS active_stages,
@@ -737,7 +809,7 @@ SELECT m.uid, m.raw_payload_count, m.transcribed_count, TRY_CAST(m.last_fetched_
 def dashboard(t):
     active = runs.active_stages(runs.run_guard(_tasks(t), GUARD_NOW, 864_000_000))
     broken = rules.check_version(_meta(t), "3").select("uid", F.concat(F.lit("schema version "), "schema_version").alias("reason"))
-    rows = runs.dashboard(_manifest(t), _summary(t), active, broken)
+    rows = runs.dashboard(_manifest(t), runs.latest_run(_runs(t)), active, broken)
     return rows.select("uid", "raw_payload_count", "transcribed_count", "last_fetched_at_ms", "run_id", "command", F.array_join("active_stages", ",").alias("active_stages"), "read_error")
 
 
@@ -1025,7 +1097,13 @@ def parse_responses(t):
 # ---------------------------------------------------------------- sequences and recogniser
 
 
-@query()
+@query("fx_segment", """WITH RECURSIVE seg AS (SELECT item, row_number() OVER (PARTITION BY item ORDER BY pos, t) AS k, t FROM (SELECT item, pos, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS t FROM fx_segment) WHERE t <> ''),
+f AS (SELECT item, k, t AS text FROM seg WHERE k = 1 UNION ALL
+ SELECT item, k, text || CASE WHEN size IS NULL THEN ' ' || t ELSE t[strpos(r, l[list_position(sizes, size):list_position(sizes, size) + size - 1]) + size:] END FROM (
+  SELECT *, list_max(sizes) AS size FROM (
+   SELECT *, list_transform(range(1, length(l) - 18), lambda i: list_max(list_filter(range(20, length(l) - i + 2), lambda n: contains(r, l[i:i + n - 1])))) AS sizes FROM (
+    SELECT f.item, s.k, f.text, s.t, right(f.text, 200) AS l, left(s.t, 200) AS r FROM f JOIN seg s ON s.item = f.item AND s.k = f.k + 1))))
+SELECT i.item, coalesce((SELECT arg_max(text, k) FROM f WHERE f.item = i.item), '') AS text FROM (SELECT DISTINCT item FROM fx_segment) i""")
 def stitch(t):
     return sequences.stitch(t("fx_segment"), ["item"])
 

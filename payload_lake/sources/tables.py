@@ -24,9 +24,14 @@ LOG_SCHEMA = "type string, run_id string, uid long, command string, ts_ms long,
 
 
 def read_table(spark: SparkSession, root: str, table: str, uid: int | None = None) -> DataFrame:
-    """A table of all accounts, or of one: then only that account's partition is read."""
-    df = spark.read.schema(f"{SCHEMAS[table]}, uid long").parquet(f"{root}/{table}")
-    return scoped(df, uid)
+    """A table of all accounts, or of one: then only that account's folder is listed and read."""
+    reader, path = spark.read.schema(f"{SCHEMAS[table]}, uid long"), f"{root}/{table}"
+    if uid is None:
+        return reader.parquet(path)
+    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/uid={uid}")
+    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
+        return scoped(reader.option("basePath", path).parquet(own.toString()), uid)
+    return spark.createDataFrame([], f"{SCHEMAS[table]}, uid long")
 
 
 def read_accounts(spark: SparkSession, root: str, table: str, accounts: DataFrame, small: int = 100_000) -> DataFrame:

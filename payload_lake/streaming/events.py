@@ -80,7 +80,8 @@ def stream_stale_runs(events: DataFrame, threshold_ms: int = STALE_MS, watermark
     the run ends gives no alert, and a run that goes on after a pause may give more than one.
     """
     ended = F.coalesce(F.col("event").endswith("run.completed"), F.lit(False))
-    session = F.session_window("ts", f"{threshold_ms} milliseconds")
+    # a window joins events that are the gap apart, so the gap is one microsecond less
+    session = F.session_window("ts", f"{threshold_ms * 1000 - 1} microseconds")
     sessions = events.withWatermark("ts", watermark).groupBy("run_id", session).agg(F.max("ts").alias("last"), F.max(ended).alias("ended"))
     return sessions.where("not ended").select("run_id", F.unix_millis("last").alias("last_ts_ms"))
 

@@ -1,6 +1,7 @@
 """Edge cases of the operators, against plain expectations."""
 
 import os
+from difflib import SequenceMatcher
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,17 +131,43 @@ def test_islands(spark):
     assert [(r["first"], r["last"]) for r in found] == [(0, 4)]
 
 
+def join_texts(left, right, probe=200, least=20):
+    """Two transcripts as one, by the longest text that the end of the left and the beginning of the right share."""
+    if not left or not right:
+        return (left or right).strip()
+    best = SequenceMatcher(None, left[-probe:], right[:probe], autojunk=False).find_longest_match()
+    return (left + (right[best.b + best.size :] if best.size >= least else f" {right}")).strip()
+
+
+def stitched(spark, *texts):
+    rows = spark.createDataFrame([(1, i, t) for i, t in enumerate(texts)], "item long, pos long, text string")
+    return sequences.stitch(rows, ["item"]).first().text
+
+
 @pytest.mark.parametrize(("size", "joined"), [(19, False), (20, True)])
-def test_stitch_overlap(size, joined):
+def test_stitch_overlap(spark, size, joined):
     shared = "abcdefghijklmnopqrstuvwxyz"[:size]
-    out = sequences.join_texts("left " + shared, shared + " right")
+    out = stitched(spark, "left " + shared, shared + " right")
     assert out == (f"left {shared} right" if joined else f"left {shared} {shared} right")
 
 
-def test_stitch_keeps_all_of_the_left_text():
+def test_stitch_keeps_all_of_the_left_text(spark):
     shared = "LEFT END of twenty and more"
-    assert sequences.join_texts(f"start {shared}, tail", f"noise {shared}; right rest") == f"start {shared}, tail; right rest"
-    assert sequences.join_texts("", " b ") == "b" and sequences.join_texts("a", "") == "a"
+    assert stitched(spark, f"start {shared}, tail", f"noise {shared}; right rest") == f"start {shared}, tail; right rest"
+    assert stitched(spark, "", " b ") == "b" and stitched(spark, "a", "") == "a" and stitched(spark, "\u2003a\x1c\n", "\u3000b\x85") == "a b"
+
+
+def test_stitch_takes_the_first_of_equal_matches(spark):
+    """Few letters, long repeats and characters beyond 16 bits: many matches are equally long."""
+    import random
+
+    rng = random.Random(11)
+    for alphabet in ("ab", "a", "ab\U0001f600", "abc "):
+        for _ in range(12):
+            core = "".join(rng.choice(alphabet) for _ in range(rng.randint(15, 60)))
+            left = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 260))) + core + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30)))
+            right = "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) + core + "".join(rng.choice(alphabet) for _ in range(rng.randint(0, 260)))
+            assert stitched(spark, left.strip() or "x", right.strip() or "y") == join_texts(left.strip() or "x", right.strip() or "y")
 
 
 def test_stitch_is_a_fold_of_pairs(spark):
@@ -154,7 +181,7 @@ def test_stitch_is_a_fold_of_pairs(spark):
         rows += [(item if item else None, pos, text) for pos, text in enumerate(parts)]
         out = ""
         for text in (p.strip() for p in parts):
-            out = sequences.join_texts(out, text) if text else out
+            out = join_texts(out, text) if text else out
         expected[item if item else None] = out
     frame = spark.createDataFrame(rows, "item long, pos long, text string").repartition(5)
     assert {r.item: r.text for r in sequences.stitch(frame, ["item"]).collect()} == expected
