@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 #: fixed values: rules by table, as name: SQL condition; null passes
@@ -46,16 +46,34 @@ def table_rules(table: str) -> dict[str, str]:
 
 def check_rules(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """rule and number of violations, all rules in one pass; null passes as in a CHECK."""
-    counts = rows.agg(*(F.count_if(~F.coalesce(F.expr(rule), F.lit(True))).alias(name) for name, rule in rules.items()))
+    counts = rows.agg(*(F.count_if(_breaks(rule)).alias(name) for name, rule in rules.items()))
     return counts.select(F.explode(F.map_from_entries(F.array(*(F.struct(F.lit(n).alias("rule"), F.col(n).alias("violations")) for n in rules)))).alias("rule", "violations"))
 
 
 def violations(rows: DataFrame, rules: dict[str, str]) -> DataFrame:
     """The rows that break a rule, once for each rule that they break."""
-    broken = F.array_compact(F.array(*(F.when(~F.coalesce(F.expr(rule), F.lit(True)), F.lit(name)) for name, rule in rules.items())))
+    broken = F.array_compact(F.array(*(F.when(_breaks(rule), F.lit(name)) for name, rule in rules.items())))
     return rows.select("*", F.explode(broken).alias("rule"))
 
 
+def write_checked(rows: DataFrame, path: str, table: str, mode: str = "errorifexists") -> DataFrame:
+    """Write rows of a declared table and return rule and violations of all its rules, counted in the pass that writes.
+
+    Rows that break a rule are written like the others; ``violations`` over the written
+    table lists them.
+    """
+    rules, observed = table_rules(table), Observation()
+    counted = rows.observe(observed, *(F.count_if(_breaks(rule)).alias(name) for name, rule in rules.items()))
+    counted.write.mode(mode).parquet(path)
+    counts = observed.get
+    return rows.sparkSession.createDataFrame([(name, int(counts.get(name) or 0)) for name in rules], "rule string, violations long")
+
+
+def _breaks(rule: str) -> Column:
+    """Whether a row breaks a rule; null passes as in a CHECK."""
+    return ~F.coalesce(F.expr(rule), F.lit(True))
+
+
 def check_primary_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     """Keys on more than one row, with their number."""
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")

@@ -1338,6 +1338,65 @@ def check_tables(t):
     return reduce(DataFrame.unionByName, found).where("violations > 0")
 
 
+#: rows of each declared table made of orders (k is the order's key), some of which break rules
+RULED = {
+    "meta": "k as uid, 'x' as key, if(k % 5 = 0, null, 'v') as value",
+    "raw_payload": "if(k % 5 = 0, null, 'e') as endpoint, if(k % 7 = 0, null, 'i') as item_id, if(k % 11 = 0, null, '{{}}') as payload, case k % 13 when 0 then null when 1 then -1 else k end as fetched_at_ms",
+    "fetch_progress": "case k % 5 when 0 then null when 1 then -2 else 10 end as total, case k % 7 when 0 then -1 when 1 then 11 when 2 then null else 3 end as fetched, case k % 9 when 0 then null when 1 then -5 else 1 end as updated_at_ms",
+    "audio_transcription": "case k % 6 when 0 then null when 1 then 'odd' else 'failed' end as status, if(k % 5 = 0, -1, 0) as audio_tokens, if(k % 7 = 0, -0.5D, null) as seconds, if(k % 8 = 0, -1, 1) as cache_hits, if(k % 9 = 0, null, '{{}}') as payload, case k % 10 when 0 then null when 1 then -1 else 1 end as processed_at_ms",
+    "audio_transcription_page": "case k % 5 when 0 then null when 1 then 0 else 1 end as page_no, case k % 6 when 0 then null when 1 then -1 else 0 end as page_index, if(k % 7 = 0, -1, null) as cid, if(k % 8 = 0, -1D, 0D) as duration_s, if(k % 9 = 0, null, '') as transcript_text, case k % 10 when 0 then null when 1 then -1 else 5 end as transcript_char_count, case k % 11 when 0 then null when 1 then -1 else 5 end as segment_count, if(k % 12 = 0, null, 'i') as item_id",
+    "audio_transcription_segment": "case k % 5 when 0 then null when 1 then 0 else 1 end as segment_no, case k % 6 when 0 then -1D when 1 then null else 5D end as start_seconds, case k % 7 when 0 then 4D when 1 then null else 6D end as end_seconds, if(k % 8 = 0, -0.1D, 1D) as duration_s, case k % 9 when 0 then null when 1 then 2 else 0 end as is_empty_transcript_skip, case k % 10 when 0 then null when 1 then -1 else 1 end as is_high_risk_audio_skip, if(k % 11 = 0, null, '') as transcript_text, if(k % 12 = 0, null, 'i') as item_id, if(k % 13 = 0, null, 1) as page_no",
+    "stage_task": "if(k % 5 = 0, 'parsing', 'asr') as stage, case k % 6 when 0 then null when 1 then 'DONE' else 'PARTIAL' end as status, if(k % 7 = 0, null, '{{}}') as payload, case k % 8 when 0 then null when 1 then -1 else 5 end as created_at_ms, case k % 9 when 0 then null when 1 then 4 else 6 end as updated_at_ms",
+    "fetch_endpoint_state": "case k % 5 when 0 then null when 1 then 'PARTIAL' else 'PARTIAL_ITEM' end as status, case k % 6 when 0 then null when 1 then -1 else 0 end as retry_count, case k % 7 when 0 then null when 1 then -1 else 0 end as updated_at_ms",
+    "stage_error": "case k % 5 when 0 then null when 1 then 'x' else 'fetching' end as stage, if(k % 6 = 0, null, 'E') as error_type, if(k % 7 = 0, null, '') as message, case k % 8 when 0 then 2 when 1 then null else 1 end as retryable, case k % 9 when 0 then null when 1 then -1 else 0 end as occurred_at_ms",
+    "stage_run": "if(k % 5 = 0, null, k) as uid, if(k % 6 = 0, null, 'asr') as command, case k % 7 when 0 then null when 1 then 'DONE' else 'DRY_RUN' end as status, case k % 8 when 0 then null when 1 then -1 else 10 end as started_at_ms, case k % 9 when 0 then 9 when 1 then null else 11 end as ended_at_ms, if(k % 10 = 0, null, '{{}}') as args_json",
+    "stage_event": "if(k % 5 = 0, null, 'r') as run_id, case k % 6 when 0 then null when 1 then -1 else 0 end as ts_ms, case k % 7 when 0 then null when 1 then 'LOUD' else 'CRITICAL' end as level, if(k % 8 = 0, null, 'asr') as stage, if(k % 9 = 0, null, '') as event",
+}
+#: for each rule, which orders break it
+BROKEN_BY = {
+    "meta.value_given": "k % 5 = 0",
+    "raw_payload.fetched_at": "k % 13 = 1", "raw_payload.endpoint_given": "k % 5 = 0", "raw_payload.item_id_given": "k % 7 = 0", "raw_payload.payload_given": "k % 11 = 0", "raw_payload.fetched_at_ms_given": "k % 13 = 0",
+    "fetch_progress.total": "k % 5 = 1", "fetch_progress.fetched": "k % 7 = 0", "fetch_progress.fetched_in_total": "k % 5 = 1 AND k % 7 <> 2 OR k % 5 > 1 AND k % 7 = 1", "fetch_progress.updated_at": "k % 9 = 1", "fetch_progress.updated_at_ms_given": "k % 9 = 0",
+    "audio_transcription.status": "k % 6 = 1", "audio_transcription.tokens": "k % 5 = 0", "audio_transcription.seconds": "k % 7 = 0", "audio_transcription.cache_hits": "k % 8 = 0", "audio_transcription.processed_at": "k % 10 = 1",
+    "audio_transcription.status_given": "k % 6 = 0", "audio_transcription.payload_given": "k % 9 = 0", "audio_transcription.processed_at_ms_given": "k % 10 = 0",
+    "audio_transcription_page.page_no": "k % 5 = 1", "audio_transcription_page.page_index": "k % 6 = 1", "audio_transcription_page.cid": "k % 7 = 0", "audio_transcription_page.duration": "k % 8 = 0", "audio_transcription_page.chars": "k % 10 = 1", "audio_transcription_page.segments": "k % 11 = 1",
+    "audio_transcription_page.item_id_given": "k % 12 = 0", "audio_transcription_page.page_no_given": "k % 5 = 0", "audio_transcription_page.page_index_given": "k % 6 = 0", "audio_transcription_page.transcript_text_given": "k % 9 = 0",
+    "audio_transcription_page.transcript_char_count_given": "k % 10 = 0", "audio_transcription_page.segment_count_given": "k % 11 = 0",
+    "audio_transcription_segment.segment_no": "k % 5 = 1", "audio_transcription_segment.start": "k % 6 = 0", "audio_transcription_segment.end_after_start": "k % 6 > 1 AND k % 7 = 0", "audio_transcription_segment.duration": "k % 8 = 0", "audio_transcription_segment.empty_flag": "k % 9 = 1",
+    "audio_transcription_segment.risk_flag": "k % 10 = 1", "audio_transcription_segment.item_id_given": "k % 12 = 0", "audio_transcription_segment.page_no_given": "k % 13 = 0", "audio_transcription_segment.segment_no_given": "k % 5 = 0", "audio_transcription_segment.transcript_text_given": "k % 11 = 0",
+    "audio_transcription_segment.is_empty_transcript_skip_given": "k % 9 = 0", "audio_transcription_segment.is_high_risk_audio_skip_given": "k % 10 = 0",
+    "stage_task.stage": "k % 5 = 0", "stage_task.status": "k % 6 = 1", "stage_task.created_at": "k % 8 = 1", "stage_task.times": "k % 8 > 1 AND k % 9 = 1", "stage_task.status_given": "k % 6 = 0", "stage_task.payload_given": "k % 7 = 0", "stage_task.created_at_ms_given": "k % 8 = 0", "stage_task.updated_at_ms_given": "k % 9 = 0",
+    "fetch_endpoint_state.status": "k % 5 = 1", "fetch_endpoint_state.retry_count": "k % 6 = 1", "fetch_endpoint_state.updated_at": "k % 7 = 1", "fetch_endpoint_state.status_given": "k % 5 = 0", "fetch_endpoint_state.retry_count_given": "k % 6 = 0", "fetch_endpoint_state.updated_at_ms_given": "k % 7 = 0",
+    "stage_error.stage": "k % 5 = 1", "stage_error.retryable": "k % 8 = 0", "stage_error.occurred_at": "k % 9 = 1", "stage_error.stage_given": "k % 5 = 0", "stage_error.error_type_given": "k % 6 = 0", "stage_error.message_given": "k % 7 = 0", "stage_error.occurred_at_ms_given": "k % 9 = 0",
+    "stage_run.status": "k % 7 = 1", "stage_run.started_at": "k % 8 = 1", "stage_run.times": "k % 8 > 1 AND k % 9 = 0", "stage_run.uid_given": "k % 5 = 0", "stage_run.command_given": "k % 6 = 0", "stage_run.status_given": "k % 7 = 0", "stage_run.started_at_ms_given": "k % 8 = 0", "stage_run.args_json_given": "k % 10 = 0",
+    "stage_event.level": "k % 7 = 1", "stage_event.ts": "k % 6 = 1", "stage_event.run_id_given": "k % 5 = 0", "stage_event.ts_ms_given": "k % 6 = 0", "stage_event.level_given": "k % 7 = 0", "stage_event.stage_given": "k % 8 = 0", "stage_event.event_given": "k % 9 = 0",
+}
+RULE_COUNTS = "WITH o AS (SELECT o_orderkey AS k FROM orders) " + " UNION ALL ".join(f"SELECT '{rule}' AS rule, count(*) FILTER (WHERE {which}) AS violations FROM o" for rule, which in BROKEN_BY.items())
+
+
+def _ruled(t, name: str) -> DataFrame:
+    orders = t("orders").select(F.col("o_orderkey").alias("k"))
+    return orders.sparkSession.sql(f"select {RULED[name]} from {{orders}}", orders=orders)
+
+
+@query("", RULE_COUNTS)
+def check_on_write(t):
+    """Every rule of all declared tables, also those that nothing breaks, counted while the tables are written."""
+    counts = []
+    for name in RULED:
+        rows = _ruled(t, name)
+        found = rules.write_checked(rows, scratch(rows.sparkSession, "checked"), name)
+        counts.append(found.withColumn("rule", F.concat(F.lit(f"{name}."), "rule")))
+    return reduce(DataFrame.unionByName, counts)
+
+
+@query("", f"SELECT rule, violations FROM ({RULE_COUNTS}) WHERE violations > 0")
+def rule_violations(t):
+    """The frames of rows that break rules, counted by rule."""
+    frames = [rules.violations(_ruled(t, name), rules.table_rules(name)).select(F.concat(F.lit(f"{name}."), "rule").alias("rule")) for name in RULED]
+    return reduce(DataFrame.unionByName, frames).groupBy("rule").agg(F.count("*").alias("violations"))
+
+
 @query("fx_change", "SELECT k1, k2, count(*) AS n FROM fx_change GROUP BY k1, k2 HAVING count(*) > 1")
 def check_pk(t):
     return rules.check_primary_key(t("fx_change"), ["k1", "k2"])
