@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from ..sources.views import LISTINGS, OF_ENDPOINT, SINGLE, parse_fields
+from ..sources.views import LISTINGS, OF_ENDPOINT, SINGLE, Field
 
 KEYS = ["uid", "item_id"]
 
@@ -49,8 +49,8 @@ def subtitle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cues.select(*KEYS, "page_index", "lan", "cue", get("from", "double").alias("from_s"), get("to", "double").alias("to_s"), get("content", "string").alias("content")), named.where("error is not null").select(*KEYS, "page_index", "lan", "error")
 
 
-def _fields(value: Column, fields: str) -> list[Column]:
-    return [F.coalesce(*(_scalar(value, p, to) for p in paths)).alias(name) for name, paths, to in parse_fields(fields)]
+def _fields(value: Column, fields: list[Field]) -> list[Column]:
+    return [F.coalesce(*(_scalar(value, p, f.type) for p in f.paths)).alias(f.name) for f in fields]
 
 
 def _scalar(value: Column, path: str, to: str) -> Column:

@@ -229,15 +229,82 @@ def fanout_skips(t):
     return out[0].unionByName(out[1])
 
 
-@query("", """WITH r AS (SELECT *, row_number() OVER () - 1 AS place FROM (VALUES {rows}) v(name, scope, source)),
-n AS (SELECT name, scope, source, place FROM r), o AS (SELECT CAST(o_orderkey % 63 AS INTEGER) AS place, count(*) AS rows FROM orders GROUP BY 1)
-SELECT n.name, n.scope, n.source AS source_endpoint, CAST(n.place AS INTEGER) AS place, coalesce(o.rows, 0) AS rows FROM n LEFT JOIN o ON o.place = n.place""".format(
-    rows=", ".join(f"('{r[0]}', '{r[1]}', {repr(r[3]) if r[3] else 'NULL'})" for r in registry.endpoint_rows())))
+#: the catalogue as the contract has it: name, scope, paging, endpoint that lists the items, credential, place
+CONTRACT = """
+ ('user_info', 'account', 'none', NULL, FALSE, 0),
+ ('videos', 'account', 'page', NULL, FALSE, 1),
+ ('access_id', 'account', 'none', NULL, FALSE, 2),
+ ('relation_info', 'account', 'none', NULL, FALSE, 3),
+ ('up_stat', 'account', 'none', NULL, FALSE, 4),
+ ('overview_stat', 'account', 'none', NULL, FALSE, 5),
+ ('articles', 'account', 'page', NULL, FALSE, 6),
+ ('subscribed_bangumi', 'account', 'page', NULL, FALSE, 7),
+ ('opus', 'account', 'cursor', NULL, FALSE, 8),
+ ('dynamics', 'account', 'cursor', NULL, FALSE, 9),
+ ('audios', 'account', 'page', NULL, FALSE, 10),
+ ('channel_list', 'account', 'page', NULL, FALSE, 11),
+ ('channels', 'account', 'none', NULL, FALSE, 12),
+ ('media_list', 'account', 'oid', NULL, FALSE, 13),
+ ('video_detail', 'item', 'none', 'videos', FALSE, 14),
+ ('video_pages', 'item', 'none', 'videos', FALSE, 15),
+ ('video_detail_full', 'item', 'none', 'videos', FALSE, 16),
+ ('video_ai_conclusion', 'item', 'none', 'videos', FALSE, 17),
+ ('video_danmaku_snapshot', 'item', 'none', 'videos', FALSE, 18),
+ ('video_danmaku_view', 'item', 'none', 'videos', FALSE, 19),
+ ('video_danmaku_xml', 'item', 'none', 'videos', FALSE, 20),
+ ('video_danmakus', 'item', 'none', 'videos', FALSE, 21),
+ ('video_online', 'item', 'none', 'videos', FALSE, 22),
+ ('video_pay_coins', 'item', 'none', 'videos', TRUE, 23),
+ ('video_pbp', 'item', 'none', 'videos', FALSE, 24),
+ ('video_player_info', 'item', 'none', 'videos', TRUE, 25),
+ ('video_private_notes', 'item', 'none', 'videos', TRUE, 26),
+ ('video_public_notes', 'item', 'none', 'videos', TRUE, 27),
+ ('video_related', 'item', 'none', 'videos', FALSE, 28),
+ ('video_relation', 'item', 'none', 'videos', TRUE, 29),
+ ('video_special_dms', 'item', 'none', 'videos', FALSE, 30),
+ ('video_subtitle', 'item', 'none', 'videos', TRUE, 31),
+ ('video_up_mid', 'item', 'none', 'videos', FALSE, 32),
+ ('video_snapshot', 'item', 'none', 'videos', FALSE, 33),
+ ('video_download_url', 'item', 'none', 'videos', FALSE, 34),
+ ('video_is_episode', 'item', 'none', 'videos', FALSE, 35),
+ ('video_is_forbid_note', 'item', 'none', 'videos', TRUE, 36),
+ ('video_chargers', 'item', 'none', 'videos', FALSE, 37),
+ ('article_detail', 'item', 'none', 'articles', FALSE, 38),
+ ('opus_detail', 'item', 'none', 'opus', FALSE, 39),
+ ('article_list_detail', 'item', 'none', 'article_list', FALSE, 40),
+ ('user_medal', 'account', 'none', NULL, TRUE, 41),
+ ('live_info', 'account', 'none', NULL, FALSE, 42),
+ ('user_relation', 'account', 'none', NULL, TRUE, 43),
+ ('reservation', 'account', 'none', NULL, FALSE, 44),
+ ('uplikeimg', 'account', 'none', NULL, TRUE, 45),
+ ('top_followers', 'account', 'none', NULL, FALSE, 46),
+ ('space_notice', 'account', 'none', NULL, FALSE, 47),
+ ('all_followings', 'account', 'none', NULL, TRUE, 48),
+ ('followings', 'account', 'page', NULL, TRUE, 49),
+ ('followers', 'account', 'page', NULL, TRUE, 50),
+ ('same_followers', 'account', 'page', NULL, TRUE, 51),
+ ('top_videos', 'account', 'none', NULL, FALSE, 52),
+ ('masterpiece', 'account', 'none', NULL, FALSE, 53),
+ ('article_list', 'account', 'none', NULL, FALSE, 54),
+ ('cheese', 'account', 'none', NULL, FALSE, 55),
+ ('elec_monthly', 'account', 'none', NULL, TRUE, 56),
+ ('user_fav_tag', 'account', 'page', NULL, FALSE, 57),
+ ('album', 'account', 'page', NULL, FALSE, 58),
+ ('channel_videos_season', 'item', 'none', 'channel_list', FALSE, 59),
+ ('channel_videos_series', 'item', 'none', 'channel_list', FALSE, 60),
+ ('upower_qa', 'account', 'anchor', NULL, TRUE, 61),
+ ('upower_qa_detail', 'item', 'none', 'upower_qa', TRUE, 62)
+"""
+
+
+@query("", f"""WITH n AS (SELECT * FROM (VALUES {CONTRACT}) v(name, scope, paging, source_endpoint, needs_credential, place)), o AS (SELECT CAST(o_orderkey % 63 AS INTEGER) AS place, count(*) AS rows FROM orders GROUP BY 1)
+SELECT n.name, n.scope, n.paging, n.source_endpoint, n.needs_credential, CAST(n.place AS INTEGER) AS place, coalesce(o.rows, 0) AS rows FROM n LEFT JOIN o ON o.place = n.place""")
 def endpoint_registry(t):
     """The catalogue in its order, with how many of the stored rows fall to each endpoint."""
     orders = t("orders")
     rows = orders.groupBy((F.col("o_orderkey") % 63).cast("int").alias("place")).agg(F.count("*").alias("rows"))
-    return registry.endpoint_registry(orders.sparkSession).select("name", "scope", "source_endpoint", "place").join(rows, "place", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
+    catalogue = registry.endpoint_registry(orders.sparkSession).select("name", "scope", "paging", "source_endpoint", "needs_credential", "place")
+    return catalogue.join(rows, "place", "left").withColumn("rows", F.coalesce("rows", F.lit(0)))
 
 
 @query("", """SELECT endpoint, count(*) AS rows FROM (SELECT CASE o_orderkey % 7 WHEN 0 THEN 'user_info' WHEN 1 THEN 'videos' WHEN 2 THEN 'articles' WHEN 3 THEN 'opus' WHEN 4 THEN 'dynamics' END AS endpoint FROM orders) WHERE endpoint IS NOT NULL GROUP BY endpoint""")

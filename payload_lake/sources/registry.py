@@ -2,87 +2,94 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import DataFrame, SparkSession
 
 SCHEMA = "name string, scope string, paging string, source_endpoint string, needs_credential boolean, id_paths array<string>, items_path string, place int"
 
-#: fixed values in catalogue order: name, scope, paging strategy, endpoint that gives the items, credential, path of the list, id paths
-CATALOGUE = """
-user_info account none - - - -
-videos account page - - list.vlist list.vlist[*].bvid
-access_id account none - - - -
-relation_info account none - - - -
-up_stat account none - - - -
-overview_stat account none - - - -
-articles account page - - articles articles[*].id
-subscribed_bangumi account page - - list list[*].season_id
-opus account cursor - - items items[*].opus_id
-dynamics account cursor - - items items[*].id_str
-audios account page - - data data[*].id
-channel_list account page - - items_lists items_lists.seasons_list[*].meta.season_id,items_lists.series_list[*].meta.series_id
-channels account none - - - -
-media_list account oid - - media_list media_list[*].bvid,list[*].bvid,items[*].bvid
-video_detail item none videos - - -
-video_pages item none videos - - -
-video_detail_full item none videos - - -
-video_ai_conclusion item none videos - - -
-video_danmaku_snapshot item none videos - - -
-video_danmaku_view item none videos - - -
-video_danmaku_xml item none videos - - -
-video_danmakus item none videos - - -
-video_online item none videos - - -
-video_pay_coins item none videos credential - -
-video_pbp item none videos - - -
-video_player_info item none videos credential - -
-video_private_notes item none videos credential - -
-video_public_notes item none videos credential - -
-video_related item none videos - - -
-video_relation item none videos credential - -
-video_special_dms item none videos - - -
-video_subtitle item none videos credential - -
-video_up_mid item none videos - - -
-video_snapshot item none videos - - -
-video_download_url item none videos - - -
-video_is_episode item none videos - - -
-video_is_forbid_note item none videos credential - -
-video_chargers item none videos - - -
-article_detail item none articles - - -
-opus_detail item none opus - - -
-article_list_detail item none article_list - - -
-user_medal account none - credential - -
-live_info account none - - - -
-user_relation account none - credential - -
-reservation account none - - - -
-uplikeimg account none - credential - -
-top_followers account none - - - -
-space_notice account none - - - -
-all_followings account none - credential - -
-followings account page - credential list list[*].mid
-followers account page - credential list list[*].mid
-same_followers account page - credential list list[*].mid
-top_videos account none - - - -
-masterpiece account none - - - -
-article_list account none - - - -
-cheese account none - - - -
-elec_monthly account none - credential - -
-user_fav_tag account page - - - -
-album account page - - biz_list -
-channel_videos_season item none channel_list - - -
-channel_videos_series item none channel_list - - -
-upower_qa account anchor - credential list list[*].qa_id
-upower_qa_detail item none upower_qa credential - -
-"""
+
+class Endpoint(NamedTuple):
+    """``scope`` is account or item; an item endpoint is asked for every item that ``source`` lists."""
+
+    name: str
+    scope: str
+    paging: str
+    source: str | None = None
+    needs_credential: bool = False
+    id_paths: tuple[str, ...] = ()
+    items_path: str | None = None
 
 
-def endpoint_rows() -> list[tuple]:
-    given = lambda x: None if x == "-" else x
-    rows = []
-    for place, line in enumerate(CATALOGUE.split("\n")[1:-1]):
-        name, scope, paging, source, credential, items, paths = line.split()
-        rows.append((name, scope, paging, given(source), credential == "credential", paths.split(",") if given(paths) else [], given(items), place))
-    return rows
+#: fixed values, in catalogue order
+CATALOGUE = [
+    Endpoint("user_info", "account", "none"),
+    Endpoint("videos", "account", "page", id_paths=("list.vlist[*].bvid",), items_path="list.vlist"),
+    Endpoint("access_id", "account", "none"),
+    Endpoint("relation_info", "account", "none"),
+    Endpoint("up_stat", "account", "none"),
+    Endpoint("overview_stat", "account", "none"),
+    Endpoint("articles", "account", "page", id_paths=("articles[*].id",), items_path="articles"),
+    Endpoint("subscribed_bangumi", "account", "page", id_paths=("list[*].season_id",), items_path="list"),
+    Endpoint("opus", "account", "cursor", id_paths=("items[*].opus_id",), items_path="items"),
+    Endpoint("dynamics", "account", "cursor", id_paths=("items[*].id_str",), items_path="items"),
+    Endpoint("audios", "account", "page", id_paths=("data[*].id",), items_path="data"),
+    Endpoint("channel_list", "account", "page", id_paths=("items_lists.seasons_list[*].meta.season_id", "items_lists.series_list[*].meta.series_id"), items_path="items_lists"),
+    Endpoint("channels", "account", "none"),
+    Endpoint("media_list", "account", "oid", id_paths=("media_list[*].bvid", "list[*].bvid", "items[*].bvid"), items_path="media_list"),
+    Endpoint("video_detail", "item", "none", source="videos"),
+    Endpoint("video_pages", "item", "none", source="videos"),
+    Endpoint("video_detail_full", "item", "none", source="videos"),
+    Endpoint("video_ai_conclusion", "item", "none", source="videos"),
+    Endpoint("video_danmaku_snapshot", "item", "none", source="videos"),
+    Endpoint("video_danmaku_view", "item", "none", source="videos"),
+    Endpoint("video_danmaku_xml", "item", "none", source="videos"),
+    Endpoint("video_danmakus", "item", "none", source="videos"),
+    Endpoint("video_online", "item", "none", source="videos"),
+    Endpoint("video_pay_coins", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_pbp", "item", "none", source="videos"),
+    Endpoint("video_player_info", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_private_notes", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_public_notes", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_related", "item", "none", source="videos"),
+    Endpoint("video_relation", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_special_dms", "item", "none", source="videos"),
+    Endpoint("video_subtitle", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_up_mid", "item", "none", source="videos"),
+    Endpoint("video_snapshot", "item", "none", source="videos"),
+    Endpoint("video_download_url", "item", "none", source="videos"),
+    Endpoint("video_is_episode", "item", "none", source="videos"),
+    Endpoint("video_is_forbid_note", "item", "none", source="videos", needs_credential=True),
+    Endpoint("video_chargers", "item", "none", source="videos"),
+    Endpoint("article_detail", "item", "none", source="articles"),
+    Endpoint("opus_detail", "item", "none", source="opus"),
+    Endpoint("article_list_detail", "item", "none", source="article_list"),
+    Endpoint("user_medal", "account", "none", needs_credential=True),
+    Endpoint("live_info", "account", "none"),
+    Endpoint("user_relation", "account", "none", needs_credential=True),
+    Endpoint("reservation", "account", "none"),
+    Endpoint("uplikeimg", "account", "none", needs_credential=True),
+    Endpoint("top_followers", "account", "none"),
+    Endpoint("space_notice", "account", "none"),
+    Endpoint("all_followings", "account", "none", needs_credential=True),
+    Endpoint("followings", "account", "page", needs_credential=True, id_paths=("list[*].mid",), items_path="list"),
+    Endpoint("followers", "account", "page", needs_credential=True, id_paths=("list[*].mid",), items_path="list"),
+    Endpoint("same_followers", "account", "page", needs_credential=True, id_paths=("list[*].mid",), items_path="list"),
+    Endpoint("top_videos", "account", "none"),
+    Endpoint("masterpiece", "account", "none"),
+    Endpoint("article_list", "account", "none"),
+    Endpoint("cheese", "account", "none"),
+    Endpoint("elec_monthly", "account", "none", needs_credential=True),
+    Endpoint("user_fav_tag", "account", "page"),
+    Endpoint("album", "account", "page", items_path="biz_list"),
+    Endpoint("channel_videos_season", "item", "none", source="channel_list"),
+    Endpoint("channel_videos_series", "item", "none", source="channel_list"),
+    Endpoint("upower_qa", "account", "anchor", needs_credential=True, id_paths=("list[*].qa_id",), items_path="list"),
+    Endpoint("upower_qa_detail", "item", "none", source="upower_qa", needs_credential=True),
+]
 
 
 def endpoint_registry(spark: SparkSession) -> DataFrame:
     """One row per endpoint; ``place`` is its place in the catalogue."""
-    return spark.createDataFrame(endpoint_rows(), SCHEMA)
+    rows = [(e.name, e.scope, e.paging, e.source, e.needs_credential, list(e.id_paths), e.items_path, place) for place, e in enumerate(CATALOGUE)]
+    return spark.createDataFrame(rows, SCHEMA)

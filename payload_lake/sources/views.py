@@ -1,30 +1,19 @@
 """Fields of the typed views of the documented payloads (fixed values).
 
-A field is ``name:type``, or ``name=path|other:type`` where the first path that
-has a value counts. Times ending in ``_s`` are seconds since the epoch.
+Times ending in ``_s`` are seconds since the epoch.
 """
 
 from __future__ import annotations
 
 from typing import NamedTuple
 
-TYPES = {"str": "string", "int": "bigint", "real": "double", "bool": "boolean"}
-VIDEO_ROW = "aid:int bvid:str title:str description:str author:str mid:int created_s=created:int length:str play:int video_review:int comment:int favorites:int typeid:int"
-STATS = "views=stats.view:int likes=stats.like:int replies=stats.reply:int favorites=stats.favorite:int shares=stats.share:int coins=stats.coin:int"
-COLLECTION = "id:int mid:int name:str summary:str article_count:int read_count:int words:int state:int created_s=ctime:int updated_s=update_time:int published_s=publish_time:int"
 
-#: one row for each payload
-SINGLE = {
-    "user_info": "mid:int name:str sex:str face:str sign:str birthday:str level:int joined_s=jointime:int vip_type=vip.type:int vip_status=vip.status:int vip_label=vip.label.text|vip.label:str",
-    "relation_info": "mid:int following:int follower:int whisper:int black:int",
-    "up_stat": "archive_views=archive.view|archive:int article_views=article.view|article:int likes:int",
-    "overview_stat": "videos=video.video_count|video_count|video:int articles=article.article_count|article_count|article:int opus=opus.opus_count|opus_count|opus:int album:int fav:int bangumi:int season:int series:int",
-    "elec_monthly": "show_info:int total:int count:int",
-    "space_notice": "text=:str",
-    "video_detail": "bvid=info.bvid:str title=info.title:str duration_s=info.duration:int published_s=info.pubdate:int owner_mid=info.owner.mid:int owner_name=info.owner.name:str views=info.stat.view:int",
-    "article_detail": "id=info.id:int title=info.title:str published_s=info.publish_time:int words=info.words:int summary=info.summary:str author_mid=info.author.mid:int markdown:str",
-    "opus_detail": "comment_id=info.item.basic.comment_id_str:str comment_type=info.item.basic.comment_type:int rid=info.item.basic.rid_str:str markdown:str",
-}
+class Field(NamedTuple):
+    """A column of a view: the first of its paths that has a value counts."""
+
+    name: str
+    type: str
+    paths: tuple[str, ...]
 
 
 class Listing(NamedTuple):
@@ -32,39 +21,285 @@ class Listing(NamedTuple):
 
     paged: bool
     path: str
-    fields: str
+    fields: list[Field]
+
+
+def field(name: str, kind: str, *paths: str) -> Field:
+    """A field at the path of its own name if no other is given."""
+    return Field(name, kind, paths or (name,))
+
 
+VIDEO_ROW = [
+    field("aid", "bigint"),
+    field("bvid", "string"),
+    field("title", "string"),
+    field("description", "string"),
+    field("author", "string"),
+    field("mid", "bigint"),
+    field("created_s", "bigint", "created"),
+    field("length", "string"),
+    field("play", "bigint"),
+    field("video_review", "bigint"),
+    field("comment", "bigint"),
+    field("favorites", "bigint"),
+    field("typeid", "bigint"),
+]
+STATS = [
+    field("views", "bigint", "stats.view"),
+    field("likes", "bigint", "stats.like"),
+    field("replies", "bigint", "stats.reply"),
+    field("favorites", "bigint", "stats.favorite"),
+    field("shares", "bigint", "stats.share"),
+    field("coins", "bigint", "stats.coin"),
+]
+COLLECTION = [
+    field("id", "bigint"),
+    field("mid", "bigint"),
+    field("name", "string"),
+    field("summary", "string"),
+    field("article_count", "bigint"),
+    field("read_count", "bigint"),
+    field("words", "bigint"),
+    field("state", "bigint"),
+    field("created_s", "bigint", "ctime"),
+    field("updated_s", "bigint", "update_time"),
+    field("published_s", "bigint", "publish_time"),
+]
+
+#: one row for each payload
+SINGLE = {
+    "user_info": [
+        field("mid", "bigint"),
+        field("name", "string"),
+        field("sex", "string"),
+        field("face", "string"),
+        field("sign", "string"),
+        field("birthday", "string"),
+        field("level", "bigint"),
+        field("joined_s", "bigint", "jointime"),
+        field("vip_type", "bigint", "vip.type"),
+        field("vip_status", "bigint", "vip.status"),
+        field("vip_label", "string", "vip.label.text", "vip.label"),
+    ],
+    "relation_info": [
+        field("mid", "bigint"),
+        field("following", "bigint"),
+        field("follower", "bigint"),
+        field("whisper", "bigint"),
+        field("black", "bigint"),
+    ],
+    "up_stat": [
+        field("archive_views", "bigint", "archive.view", "archive"),
+        field("article_views", "bigint", "article.view", "article"),
+        field("likes", "bigint"),
+    ],
+    "overview_stat": [
+        field("videos", "bigint", "video.video_count", "video_count", "video"),
+        field("articles", "bigint", "article.article_count", "article_count", "article"),
+        field("opus", "bigint", "opus.opus_count", "opus_count", "opus"),
+        field("album", "bigint"),
+        field("fav", "bigint"),
+        field("bangumi", "bigint"),
+        field("season", "bigint"),
+        field("series", "bigint"),
+    ],
+    "elec_monthly": [
+        field("show_info", "bigint"),
+        field("total", "bigint"),
+        field("count", "bigint"),
+    ],
+    "space_notice": [
+        field("text", "string", ""),
+    ],
+    "video_detail": [
+        field("bvid", "string", "info.bvid"),
+        field("title", "string", "info.title"),
+        field("duration_s", "bigint", "info.duration"),
+        field("published_s", "bigint", "info.pubdate"),
+        field("owner_mid", "bigint", "info.owner.mid"),
+        field("owner_name", "string", "info.owner.name"),
+        field("views", "bigint", "info.stat.view"),
+    ],
+    "article_detail": [
+        field("id", "bigint", "info.id"),
+        field("title", "string", "info.title"),
+        field("published_s", "bigint", "info.publish_time"),
+        field("words", "bigint", "info.words"),
+        field("summary", "string", "info.summary"),
+        field("author_mid", "bigint", "info.author.mid"),
+        field("markdown", "string"),
+    ],
+    "opus_detail": [
+        field("comment_id", "string", "info.item.basic.comment_id_str"),
+        field("comment_type", "bigint", "info.item.basic.comment_type"),
+        field("rid", "string", "info.item.basic.rid_str"),
+        field("markdown", "string"),
+    ],
+}
 
 LISTINGS = {
     "videos": Listing(True, "list.vlist", VIDEO_ROW),
-    "articles": Listing(True, "articles", f"id:int title:str summary:str published_s=publish_time:int created_s=ctime:int template_id:int kind=type:int author_mid=author.mid:int {STATS}"),
-    "opus": Listing(True, "items", f"id=opus_id:str title:str summary:str published_s=pub_time:int created_s=ctime:int kind=type:str {STATS}"),
-    "dynamics": Listing(True, "items", "id=id_str:str kind=type:str visible:bool author_mid=modules.module_author.mid|modules[0].module_author.mid:int published_s=modules.module_author.pub_ts|modules[0].module_author.pub_ts:int text=modules.module_dynamic.desc.text:str major=modules.module_dynamic.major.type:str bvid=modules.module_dynamic.major.archive.bvid:str"),
-    "audios": Listing(True, "data", "id:int uid_of=uid:int author:str title:str intro:str duration_s=duration:int created_s=ctime:int play=statistic.play:int comment=statistic.comment:int"),
-    "channel_list_seasons": Listing(True, "items_lists.seasons_list", "season_id=meta.season_id:str mid=meta.mid:int name=meta.name:str total=meta.total:int published_s=meta.ptime:int archive_count:int"),
-    "channel_list_series": Listing(True, "items_lists.series_list", "series_id=meta.series_id:str mid=meta.mid:int name=meta.name:str total=meta.total:int created_s=meta.ctime:int changed_s=meta.mtime:int archive_count:int"),
-    "subscribed_bangumi": Listing(True, "list", "season_id:int media_id:int season_type:int title:str total_count:int is_finish:int subtitle:str progress:str follow_status:int"),
-    "album": Listing(True, "biz_list", "doc_id:int poster_uid:int title:str description:str category:str uploaded_s=upload_time:int like_num:int comment_num:int view_num:int"),
-    "user_fav_tag": Listing(True, "list", "tag_id:int name:str kind=type:int count:int created_s=ctime:int is_activity:bool is_atten:int"),
-    "upower_qa": Listing(True, "list", "qa_id:str question:str answer:str created_s=ctime:int changed_s=mtime:int state:int order_num:int"),
+    "articles": Listing(
+        True, "articles", [
+            field("id", "bigint"),
+            field("title", "string"),
+            field("summary", "string"),
+            field("published_s", "bigint", "publish_time"),
+            field("created_s", "bigint", "ctime"),
+            field("template_id", "bigint"),
+            field("kind", "bigint", "type"),
+            field("author_mid", "bigint", "author.mid"),
+            *STATS,
+        ]
+    ),
+    "opus": Listing(
+        True, "items", [
+            field("id", "string", "opus_id"),
+            field("title", "string"),
+            field("summary", "string"),
+            field("published_s", "bigint", "pub_time"),
+            field("created_s", "bigint", "ctime"),
+            field("kind", "string", "type"),
+            *STATS,
+        ]
+    ),
+    "dynamics": Listing(
+        True, "items", [
+            field("id", "string", "id_str"),
+            field("kind", "string", "type"),
+            field("visible", "boolean"),
+            field("author_mid", "bigint", "modules.module_author.mid", "modules[0].module_author.mid"),
+            field("published_s", "bigint", "modules.module_author.pub_ts", "modules[0].module_author.pub_ts"),
+            field("text", "string", "modules.module_dynamic.desc.text"),
+            field("major", "string", "modules.module_dynamic.major.type"),
+            field("bvid", "string", "modules.module_dynamic.major.archive.bvid"),
+        ]
+    ),
+    "audios": Listing(
+        True, "data", [
+            field("id", "bigint"),
+            field("uid_of", "bigint", "uid"),
+            field("author", "string"),
+            field("title", "string"),
+            field("intro", "string"),
+            field("duration_s", "bigint", "duration"),
+            field("created_s", "bigint", "ctime"),
+            field("play", "bigint", "statistic.play"),
+            field("comment", "bigint", "statistic.comment"),
+        ]
+    ),
+    "channel_list_seasons": Listing(
+        True, "items_lists.seasons_list", [
+            field("season_id", "string", "meta.season_id"),
+            field("mid", "bigint", "meta.mid"),
+            field("name", "string", "meta.name"),
+            field("total", "bigint", "meta.total"),
+            field("published_s", "bigint", "meta.ptime"),
+            field("archive_count", "bigint"),
+        ]
+    ),
+    "channel_list_series": Listing(
+        True, "items_lists.series_list", [
+            field("series_id", "string", "meta.series_id"),
+            field("mid", "bigint", "meta.mid"),
+            field("name", "string", "meta.name"),
+            field("total", "bigint", "meta.total"),
+            field("created_s", "bigint", "meta.ctime"),
+            field("changed_s", "bigint", "meta.mtime"),
+            field("archive_count", "bigint"),
+        ]
+    ),
+    "subscribed_bangumi": Listing(
+        True, "list", [
+            field("season_id", "bigint"),
+            field("media_id", "bigint"),
+            field("season_type", "bigint"),
+            field("title", "string"),
+            field("total_count", "bigint"),
+            field("is_finish", "bigint"),
+            field("subtitle", "string"),
+            field("progress", "string"),
+            field("follow_status", "bigint"),
+        ]
+    ),
+    "album": Listing(
+        True, "biz_list", [
+            field("doc_id", "bigint"),
+            field("poster_uid", "bigint"),
+            field("title", "string"),
+            field("description", "string"),
+            field("category", "string"),
+            field("uploaded_s", "bigint", "upload_time"),
+            field("like_num", "bigint"),
+            field("comment_num", "bigint"),
+            field("view_num", "bigint"),
+        ]
+    ),
+    "user_fav_tag": Listing(
+        True, "list", [
+            field("tag_id", "bigint"),
+            field("name", "string"),
+            field("kind", "bigint", "type"),
+            field("count", "bigint"),
+            field("created_s", "bigint", "ctime"),
+            field("is_activity", "boolean"),
+            field("is_atten", "bigint"),
+        ]
+    ),
+    "upower_qa": Listing(
+        True, "list", [
+            field("qa_id", "string"),
+            field("question", "string"),
+            field("answer", "string"),
+            field("created_s", "bigint", "ctime"),
+            field("changed_s", "bigint", "mtime"),
+            field("state", "bigint"),
+            field("order_num", "bigint"),
+        ]
+    ),
     "article_list": Listing(False, "lists", COLLECTION),
-    "all_followings": Listing(False, "", "mid:int name=uname:str attribute:int special:int sign:str"),
+    "all_followings": Listing(
+        False, "", [
+            field("mid", "bigint"),
+            field("name", "string", "uname"),
+            field("attribute", "bigint"),
+            field("special", "bigint"),
+            field("sign", "string"),
+        ]
+    ),
     "top_videos": Listing(False, "list", VIDEO_ROW),
-    "masterpiece": Listing(False, "list", "aid:int bvid:str title:str description:str play:int video_review:int comment:int reason:str reason_type:int"),
-    "cheese": Listing(False, "items", "season_id:int title:str"),
-    "article_list_detail": Listing(False, "articles", f"id:int title:str summary:str published_s=publish_time:int created_s=ctime:int words:int {STATS}"),
+    "masterpiece": Listing(
+        False, "list", [
+            field("aid", "bigint"),
+            field("bvid", "string"),
+            field("title", "string"),
+            field("description", "string"),
+            field("play", "bigint"),
+            field("video_review", "bigint"),
+            field("comment", "bigint"),
+            field("reason", "string"),
+            field("reason_type", "bigint"),
+        ]
+    ),
+    "cheese": Listing(
+        False, "items", [
+            field("season_id", "bigint"),
+            field("title", "string"),
+        ]
+    ),
+    "article_list_detail": Listing(
+        False, "articles", [
+            field("id", "bigint"),
+            field("title", "string"),
+            field("summary", "string"),
+            field("published_s", "bigint", "publish_time"),
+            field("created_s", "bigint", "ctime"),
+            field("words", "bigint"),
+            *STATS,
+        ]
+    ),
     "channel_videos_season": Listing(False, "archives", VIDEO_ROW),
     "channel_videos_series": Listing(False, "archives", VIDEO_ROW),
 }
 #: listings that are views of another endpoint's payload
 OF_ENDPOINT = {"channel_list_seasons": "channel_list", "channel_list_series": "channel_list"}
-
-
-def parse_fields(text: str) -> list[tuple[str, list[str], str]]:
-    """(name, paths, Spark type) of each field."""
-    out = []
-    for field in text.split():
-        left, kind = field.rsplit(":", 1)
-        name, _, paths = left.partition("=")
-        out.append((name, paths.split("|") if "=" in left else [name], TYPES[kind]))
-    return out
