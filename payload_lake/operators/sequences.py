@@ -158,30 +158,6 @@ def cache_evict(cache: DataFrame, results: DataFrame, version: int = 1) -> DataF
     return cache.where(F.col("version") == version).join(done, ["uid", "item_id"], "left_anti")
 
 
-def transcribe(audio: DataFrame, backend: str = "mock", language: str = "auto") -> DataFrame:
-    """``audio`` (key columns and binary content) with the recogniser's answer; the built-in mock gives fixed text and a length."""
-    if backend not in BACKENDS:
-        raise ValueError(f"unknown backend: {backend}")
-    keys = [f for f in audio.schema.fields if f.name != "content"]
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in keys), "text string, language string, duration double, model string, tokens long"])
-    answer = BACKENDS[backend]
-
-    def run(batches):
-        for pdf in batches:
-            found = [answer(bytes(x) if x is not None else b"", language) for x in pdf["content"]]
-            yield pd.concat([pdf[[f.name for f in keys]].reset_index(drop=True), pd.DataFrame(found, columns=["text", "language", "duration", "model", "tokens"])], axis=1)
-
-    return audio.mapInPandas(run, schema)
-
-
-def _mock(content: bytes, language: str) -> tuple[str, str, float, str, int]:
-    return "mock transcription", "zh" if language == "auto" else language, len(content) / 16000, "mock", 0
-
-
-#: recognisers by name: (bytes, language) -> (text, language, duration, model, tokens)
-BACKENDS = {"mock": _mock}
-
-
 def parse_responses(responses: DataFrame, refusal: str) -> tuple[DataFrame, DataFrame]:
     """(results, rejects) of raw recogniser responses in ``payload``."""
     value = jsonx.parsed(F.col("payload"))

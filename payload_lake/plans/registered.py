@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx, scalars
-from ..operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts
+from ..operators import aggregates, joins, listing, recognise, rules, runs, selects, sequences, upserts
 from ..operators import work_items as nested
 from ..sources import commits, registry, tables
 from ..sources.scratch import scratch
@@ -1205,7 +1205,18 @@ def cache_evict(t):
 
 @query("", "SELECT conv_id, turn, 'mock transcription' AS text, 'zh' AS language, strlen(text) / 16000.0 AS duration, 'mock' AS model, CAST(0 AS BIGINT) AS tokens FROM conversations")
 def transcribe_mock(t):
-    return sequences.transcribe(t("conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content")))
+    return recognise.transcribe(t("conversations").select("conv_id", "turn", F.col("text").cast("binary").alias("content")))
+
+
+@query("", "SELECT conv_id, turn, strlen(text) + 1 AS length, 'mock transcription' AS text, 'zh' AS language, (strlen(text) + 1) / 16000.0 AS duration, 'mock' AS model, CAST(0 AS BIGINT) AS tokens, NULL::VARCHAR AS error FROM conversations")
+def transcribe_files(t):
+    """Turns of conversations written as files of their own (each ends in a line break), then read and recognised."""
+    rows = t("conversations").select("conv_id", "turn", "text")
+    folder = scratch(rows.sparkSession, "audio")
+    rows.repartition("conv_id").write.partitionBy("conv_id", "turn").text(folder)
+    found = recognise.transcribe_files(rows.sparkSession, folder, pattern="*.txt")
+    number = lambda name: F.regexp_extract("path", f"{name}=(\\d+)/", 1).cast(rows.schema[name].dataType).alias(name)
+    return found.select(number("conv_id"), number("turn"), *found.columns[1:])
 
 
 # ---------------------------------------------------------------- upserts, merges, rules

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import upserts
-from ..sources import tables
+from ..sources import commits, tables
 from ..sources.scratch import scratch
 from ..streaming import events as streams
+from ..streaming import upserted
 from .registered import ATTENTION
 from .stand_ins import STAND_INS, oracle, stand_in
 
@@ -56,12 +57,32 @@ def stream_attention(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.schema(rows.schema).parquet(f"{out}/data")
 
 
-@query("fx_event", "SELECT uid, event, arg_max(id, id) AS id, arg_max(level, id) AS level, max(id) AS seq FROM fx_event GROUP BY uid, event")
+LAST_EVENTS = "SELECT uid, event, arg_max(id, id) AS id, arg_max(level, id) AS level, max(id) AS seq FROM fx_event GROUP BY uid, event"
+
+
+@query("fx_event", LAST_EVENTS)
 def stream_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = scratch(spark, "upsert")
     rows = event_stream(spark, sf_dir).select("uid", "event", "id", "level", F.col("id").alias("seq"))
-    finished(streams.stream_upsert(rows, f"{out}/data", ["uid", "event"], f"{out}/checkpoint"))
-    return streams.read_upserts(spark, f"{out}/data", ["uid", "event"])
+    finished(upserted.stream_upsert(rows, f"{out}/table", ["uid", "event"], f"{out}/checkpoint"))
+    return upserted.read_upserts(spark, f"{out}/table", ["uid", "event"])
+
+
+@query("fx_event", f"SELECT *, true AS seen_before FROM ({LAST_EVENTS})")
+def stream_upsert_compacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten batches, merged three at a time, then into one set, under a reader of the version before; ``seen_before``: that reader has the row too."""
+    out, keys = scratch(spark, "levels"), ["uid", "event"]
+    rows = stand_in(spark, sf_dir, "fx_event").select("uid", "event", "id", "level", F.col("id").alias("seq"))
+    for part in range(10):
+        rows.where(F.pmod("id", F.lit(10)) == part).coalesce(1).write.mode("append").parquet(f"{out}/changes")
+    changes = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/changes")
+    finished(upserted.stream_upsert(changes, f"{out}/table", keys, f"{out}/checkpoint", fan_in=3))
+    reader = upserted.read_upserts(spark, f"{out}/table", keys)
+    upserted.compact(spark, f"{out}/table", keys)
+    commits.vacuum(spark, f"{out}/table", keep=2)
+    before = reader.select(*keys, F.col("seq").alias("seq_before"))
+    newest = upserted.read_upserts(spark, f"{out}/table", keys).join(before, keys, "left")
+    return newest.select("uid", "event", "id", "level", "seq", F.coalesce(F.col("seq_before") == F.col("seq"), F.lit(False)).alias("seen_before"))
 
 
 @query("fx_event", """SELECT run_id, endpoint, CAST(day AS VARCHAR) AS day, count(*) AS total, count(*) FILTER (WHERE event LIKE '%.saved' OR event LIKE '%.completed') AS completed, count(*) FILTER (WHERE event LIKE '%.failed') AS failed, count(*) FILTER (WHERE event LIKE '%.skipped') AS skipped

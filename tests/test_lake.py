@@ -1,13 +1,15 @@
 """Numbering, commits, gated merges, pruned scans, streamed logs and run reports, against plain expectations."""
 
 import random
+import shutil
 
 import pytest
 from pyspark.sql import functions as F
 
-from payload_lake.operators import listing, numbering, runs, upserts
+from payload_lake.operators import listing, numbering, recognise, runs, upserts
 from payload_lake.sources import commits, tables
 from payload_lake.streaming import events as streams
+from payload_lake.streaming import upserted
 
 # ---------------------------------------------------------------- numbering
 
@@ -225,6 +227,87 @@ def test_broken_and_repeated_lines(spark, tmp_path):
     assert "{broken" in lines and '{"type":"noise"}' in lines and any('"id":3' in x for x in lines) and len(lines) == 3  # an empty list is no record
 
 
+def test_levels_are_merged_under_a_reader(spark, tmp_path):
+    root, keys = str(tmp_path / "table"), ["k"]
+    frame = lambda rows: spark.createDataFrame(rows, "k long, v string, seq long")
+    for batch in range(7):
+        frame([(k, f"{batch}", 10 * batch + k) for k in range(batch % 3, 5)] + [(0, "lost", -1)]).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    schema = frame([]).schema
+    start = lambda fan_in: upserted.stream_upsert(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in"), root, keys, f"{tmp_path}/checkpoint", fan_in)
+    started = start(3)
+    started.awaitTermination(120)
+    assert started.exception() is None
+    found = lambda df: sorted((r.k, r.v) for r in df.collect())
+    expected = sorted({k: str(max(b for b in range(7) if b % 3 <= k)) for k in range(5)}.items())
+    sets = commits.read_manifest(spark, root)["tables"]["rows"]["paths"]
+    assert sorted(upserted._level(p) for p in sets) == [0, 1, 1]  # seven batches: two merges of three and one left
+    reader = upserted.read_upserts(spark, root, keys)
+    upserted.compact(spark, root, keys)
+    assert len(commits.read_manifest(spark, root)["tables"]["rows"]["paths"]) == 1
+    assert found(reader) == expected == found(upserted.read_upserts(spark, root, keys))
+    gone = commits.vacuum(spark, root, keep=1)
+    assert set(sets) <= set(gone) and found(upserted.read_upserts(spark, root, keys)) == expected
+    version = commits.newest_version(spark, root)
+    again = start(3)  # nothing new
+    again.awaitTermination(120)
+    assert commits.newest_version(spark, root) == version
+
+
+def test_a_batch_is_committed_once_and_merges_give_way(spark, tmp_path):
+    root, keys = str(tmp_path / "table"), ["k"]
+    rows = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "k long, v string, seq long")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/in")
+    for _ in range(2):  # the second time with an empty checkpoint of the same name: the manifest knows the batch
+        started = upserted.stream_upsert(spark.readStream.schema(rows.schema).parquet(f"{tmp_path}/in"), root, keys, f"{tmp_path}/checkpoint")
+        started.awaitTermination(120)
+        assert started.exception() is None
+        shutil.rmtree(f"{tmp_path}/checkpoint")
+    manifest = commits.read_manifest(spark, root)
+    assert len(manifest["tables"]["rows"]["paths"]) == 1
+    sets = manifest["tables"]["rows"]["paths"]
+    upserted._merge(spark, root, keys, sets, 1)
+    upserted._merge(spark, root, keys, sets, 1)  # these are merged already: nothing is committed
+    assert commits.newest_version(spark, root) == manifest["version"] + 1
+    assert sorted((r.k, r.v) for r in upserted.read_upserts(spark, root, keys).collect()) == [(1, "a"), (2, "b")]
+
+
+# ---------------------------------------------------------------- recognisers
+
+
+def test_one_recogniser_for_each_worker_and_errors_as_rows(spark, tmp_path):
+    (tmp_path / "a/b").mkdir(parents=True)
+    for i in range(20):
+        (tmp_path / f"a/b/{i}.mp3").write_bytes(bytes(16000 * (i % 4 + 1)))
+    (tmp_path / "a/notes.txt").write_text("no audio")
+    (tmp_path / "a/empty.mp3").write_bytes(b"")
+    calls = str(tmp_path / "made")
+
+    def make():
+        import os
+        import uuid
+
+        with open(f"{calls}-{os.getpid()}-{uuid.uuid4().hex}", "w"):
+            pass
+
+        def answer(content, language):
+            if len(content) == 16000:
+                raise ValueError("short")
+            return recognise.Answer(f"{len(content)}", language, len(content) / 16000, "own", 3)
+
+        return answer
+
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = recognise.transcribe_files(spark, str(tmp_path / "a"), make, "fr", "*.mp3").collect()
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert len(rows) == 20 and {(r.length, r.duration, r.error) for r in rows} == {(16000, None, "ValueError: short"), *((16000 * i, float(i), None) for i in (2, 3, 4))}
+    made = [p.name.split("-")[1] for p in tmp_path.glob("made-*")]
+    assert len(made) == len(set(made))  # at most one in each process
+    with pytest.raises(ValueError, match="unknown backend"):
+        recognise.transcribe(spark.createDataFrame([(1, bytearray(b""))], "id long, content binary"), "nope")
+
+
 # ---------------------------------------------------------------- run reports
 
 

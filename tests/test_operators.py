@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from payload_lake.functions import jsonx, scalars
-from payload_lake.operators import aggregates, joins, listing, rules, runs, selects, sequences, upserts, work_items
+from payload_lake.operators import aggregates, joins, listing, recognise, rules, runs, selects, sequences, upserts, work_items
 from payload_lake.sources import registry, tables
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -430,7 +430,7 @@ def test_table_round_trip_replaces_one_account(spark, tmp_path):
 
 def test_mock_recogniser(spark):
     rows = spark.createDataFrame([(1, bytearray(32000)), (2, None)], "id long, content binary")
-    assert {r.id: (r.duration, r.language, r.tokens) for r in sequences.transcribe(rows).collect()} == {1: (2.0, "zh", 0), 2: (0.0, "zh", 0)}
+    assert {r.id: (r.duration, r.language, r.tokens) for r in recognise.transcribe(rows).collect()} == {1: (2.0, "zh", 0), 2: (0.0, "zh", 0)}
 
 
 VIEW_CASES = [
