@@ -5,8 +5,8 @@ number. The classes enter a forest of ``TREES`` trees; each tree orders them by
 their signature, read from another slot on. A region of a tree are the classes
 that share the first ``DEPTH`` slots. In every region the order goes on through
 the later slots, so neighbours have the longest prefixes in common, as deep as the
-region is dense, and those up to ``REACH`` places apart are candidates. In a
-region of up to ``REACH`` + 1 classes these are all pairs.
+region is dense. Next neighbours are candidates, and in a region of up to ``REACH`` + 1
+classes all pairs are.
 
 Candidates whose sizes or signatures rule out the threshold are dropped (a pair
 at the threshold passes with a probability of 1 - 3e-9); the others are verified
@@ -132,18 +132,19 @@ def _agreeing(percent: int):
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows (key, id) in the order of the trees: ids of a region up to ``REACH`` places apart."""
-    key, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    """Of rows (key, id, small) in the order of the trees: neighbours of a region, and all pairs of a small one."""
+    key, ids, small = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
     for batch in batches:
         old = len(key)
         key, ids = np.concatenate([key, batch.column(0).to_numpy()]), np.concatenate([ids, batch.column(1).to_numpy()])
+        small = np.concatenate([small, batch.column(2).to_numpy(zero_copy_only=False)])
         a, b = [], []
         for lag in range(1, REACH + 1):
             right = np.arange(max(lag, old), len(key))
-            right = right[(key[right - lag] == key[right]) & (ids[right - lag] != ids[right])]
+            right = right[(key[right - lag] == key[right]) & (ids[right - lag] != ids[right]) & (small[right] | (lag == 1))]
             a.append(np.minimum(ids[right - lag], ids[right]))
             b.append(np.maximum(ids[right - lag], ids[right]))
-        key, ids = key[-REACH:], ids[-REACH:]
+        key, ids, small = key[-REACH:], ids[-REACH:], small[-REACH:]
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
@@ -219,7 +220,7 @@ def _forest_components(docs: DataFrame, heads: DataFrame, size: int, percent: in
     ordered = live.join(heads.select("id", "sign"), "id").select("key", "id", order.alias("order"), "members")
     # a region of which all pairs are neighbours stays in one task; larger ones may be split, and what that loses is compared below
     task = F.when(F.col("members") > REACH + 1, F.col("order"))
-    placed = ordered.repartitionByRange("key", task).sortWithinPartitions("key", "order", "id").select("key", "id")
+    placed = ordered.repartitionByRange("key", task).sortWithinPartitions("key", "order", "id").select("key", "id", (F.col("members") <= REACH + 1).alias("small"))
     pairs = placed.mapInArrow(_neighbours, "a long, b long").distinct()
     side = lambda name: heads.select(F.col("id").alias(name), F.col("n").alias(f"n_{name}"), F.col("sign").alias(f"sign_{name}"))
     candidates = staged(pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(percent), "a long, b long"), "candidates")
