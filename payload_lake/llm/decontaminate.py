@@ -4,9 +4,12 @@ The test items are the indexed side. An item is found by its question, which any
 leak has to hold (by its answer, if the question has no words): postings by term,
 cut into blocks of entries with the largest impact of the term in each block. Every document is cut into passages of ``2 L`` words every ``L``
 words, L being the longest entry, so that each entry that stands in a document
-stands wholly in some passage. Every passage is a query, and all entries are
-retrieved whose BM25 score reaches ``threshold`` times the score of the entry for
-its own text:
+stands wholly in some passage. Every passage is a query, and so is every document of
+more than one passage as a whole, in which an entry may stand in pieces. An entry is
+retrieved if its BM25 score reaches its limit, a share of its score for its own text:
+the least that is left of it if a part of its shingles as large as verification
+allows is missing, whichever these are, and ``THRESHOLD`` at most for a passage. So
+nothing is lost that verification would confirm:
 
 * the terms of a passage are ordered by their largest impact anywhere; those at
   the low end that can only give a fraction of the threshold together are not
@@ -44,8 +47,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import ids_as_long, staged, table
+from .stage import numbered_ids, staged, table
 from .words import SIGNS_AND_SPACE, Chunk, binary_column, chunks, gram_hashes, word_hashes
 
 SHARD_POSTINGS = 2_000_000
@@ -55,6 +60,7 @@ UNEXPANDED = 0.3
 #: blocks scored, and words searched, at once: bounds the memory of a task
 SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
+#: most of an entry's limit for a passage
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
@@ -100,7 +106,7 @@ class Index(NamedTuple):
     """One shard. Terms are numbered by rising largest impact; impacts are shares of an entry's score for its own text.
 
     Entries are the parts of items in the order of the items, of which the first has
-    postings; ``items`` says of each to which item it belongs, ``first`` where the
+    postings; ``need`` is the least score of each that ``OVERLAP`` of its shingles leave; ``items`` says of each to which item it belongs, ``first`` where the
     entries of an item begin.
     """
 
@@ -119,6 +125,28 @@ class Index(NamedTuple):
     kinds: np.ndarray
     words: list[np.ndarray]
     span: int
+    need: np.ndarray
+
+
+def least_score(words: np.ndarray, terms: np.ndarray, impacts: np.ndarray) -> float:
+    """The least share of its own score that is left of an entry when no more than ``1 - OVERLAP`` of its shingles are missing.
+
+    A term that is absent takes all shingles along in which it stands. A missing shingle is
+    shared out among its words, so absent terms cost no more than the shingles that
+    are missing; the dearest terms for that cost, the last one in part, bound the loss.
+    """
+    n = min(SHINGLE, len(words))
+    grams, first = np.unique(gram_hashes(words, n), return_index=True)
+    if not len(terms):
+        return 0.0
+    by_term = np.argsort(terms)
+    terms, impacts = terms[by_term], impacts[by_term]
+    at = np.searchsorted(terms, words[first[:, None] + np.arange(n)])
+    cost = np.bincount(at.ravel(), minlength=len(terms)) / n
+    free = cost == 0
+    order = np.argsort(-(impacts[~free] / cost[~free]), kind="stable")
+    budget = np.clip((1 - OVERLAP) * len(grams) + 1e-9 - np.concatenate([[0.0], np.cumsum(cost[~free][order])[:-1]]), 0, cost[~free][order])
+    return float(max(0.0, impacts.sum() - impacts[free].sum() - (impacts[~free][order] * budget / cost[~free][order]).sum()))
 
 
 def build_index(rows: np.ndarray, ids: np.ndarray, kinds: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarray], words: list[np.ndarray]) -> Index:
@@ -139,7 +167,8 @@ def build_index(rows: np.ndarray, ids: np.ndarray, kinds: np.ndarray, terms: lis
     block_from = np.searchsorted(pairs // blocks_in_all, np.arange(len(vocabulary) + 1))
     new = np.concatenate([[True], rows[1:] != rows[:-1]])
     first = np.flatnonzero(new)
-    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, np.cumsum(new) - 1, np.append(first, len(rows)), ids[first], kinds, words, max(map(len, words)))
+    need = np.array([least_score(w, t, x) for w, t, x in zip(words, terms, impacts, strict=True)])
+    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, np.cumsum(new) - 1, np.append(first, len(rows)), ids[first], kinds, words, max(map(len, words)), need)
 
 
 def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,11 +178,16 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + starts[origin], origin
 
 
-def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, entry and score of all passages of the rows that reach the threshold for an entry.
+def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: float | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, entry and score of all passages of the rows that reach an entry's limit, or ``threshold`` if it is given.
 
     ``hashes`` are the words of the rows, those of row i from ``rows[i]`` to ``rows[i + 1]``.
+    With ``whole``, the rows of more than one passage are queries as a whole.
     """
+    limit = np.full(len(index.need), threshold) if threshold is not None else index.need if whole else np.minimum(index.need, THRESHOLD)
+    # what a row of several entries can reach, and a block of entries
+    threshold = float(limit[np.diff(index.entry_from) > 0].min(initial=1.0))
+    least = np.minimum.reduceat(np.where(np.diff(index.entry_from) > 0, limit, np.inf), np.arange(0, len(limit), BLOCK))
     none = np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
     place = np.flatnonzero(index.vocabulary[at] == hashes)
@@ -162,6 +196,12 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     term = index.number[at[place]]
     row = np.searchsorted(rows, place, side="right") - 1
     step = max(index.span, 1)
+    if whole:
+        long = np.diff(rows) > step
+        place, term = place[long[row]], term[long[row]]
+        row, step = row[long[row]], max(1, int(np.diff(rows).max(initial=1)))
+        if not len(place):
+            return none, none, np.zeros(0)
     pieces = np.maximum(1, -(-np.diff(rows) // step))
     first = np.cumsum(pieces) - pieces
     piece = (place - rows[row]) // step
@@ -186,7 +226,7 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     n_blocks = int(index.blocks.max()) + 1
     pair, where = np.unique(group[chosen][origin] * n_blocks + index.blocks[entry], return_inverse=True)
     bound = np.bincount(where, index.block_impact[entry], len(pair)) + unexpanded[pair // n_blocks]
-    group_left, block_left = np.divmod(pair[bound >= threshold - 1e-9], n_blocks)
+    group_left, block_left = np.divmod(pair[bound >= least[pair % n_blocks] - 1e-9], n_blocks)
     out = []
     for cut in range(0, len(block_left), SLICE):
         blocks = block_left[cut : cut + SLICE]
@@ -196,7 +236,7 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
         wanted = passage_of[origin] * len(index.vocabulary) + index.entry_terms[post]
         spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         score = np.bincount(origin, np.where(key[spot] == wanted, index.entry_impact[post], 0.0), len(entry))
-        hit = score >= threshold - 1e-9
+        hit = score >= limit[entry] - 1e-9
         out.append((np.searchsorted(first, passage_of[hit], side="right") - 1, entry[hit], score[hit]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0))
 
@@ -212,25 +252,28 @@ def part_overlap(part: np.ndarray, document: np.ndarray, cache: dict[int, np.nda
     return len(own), int(np.isin(own, cache[n], assume_unique=True).sum())
 
 
-def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
-    """Runs of rows of at most ``STRETCH`` words: the first row and the borders. A longer row comes in
-    stretches of its own that overlap by two spans, so that no passage is lost."""
+def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, bool]]:
+    """Runs of rows of at most ``STRETCH`` words, once for their passages and once as a whole: the first row, the borders, and whether it is as a whole.
+
+    For its passages a longer row comes in stretches of its own that overlap by two spans, so that no passage is lost.
+    """
     i, n = 0, len(rows) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(rows, rows[i] + STRETCH, side="right")) - 1)
         if rows[j] - rows[i] <= STRETCH:
-            yield i, rows[i : j + 1]
+            yield i, rows[i : j + 1], False
         else:
             for start in range(int(rows[i]), int(rows[j]), STRETCH):
-                yield i, np.array([start, min(start + STRETCH + 2 * span, int(rows[j]))])
+                yield i, np.array([start, min(start + STRETCH + 2 * span, int(rows[j]))]), False
+        yield i, rows[i : j + 1], True
         i = j
 
 
 def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """Row, item number, score, question overlap and answer overlap of verified leaks."""
     best: dict[tuple[int, int], dict[int, float]] = {}
-    for first, borders in _stretches(rows, index.span):
-        row, entry, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0])
+    for first, borders, whole in _stretches(rows, index.span):
+        row, entry, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0], whole=whole)
         for r, i, e, s in zip((row + first).tolist(), index.items[entry].tolist(), entry.tolist(), score.tolist(), strict=True):
             parts = best.setdefault((r, i), {})
             parts[e] = max(s, parts.get(e, 0.0))
@@ -251,6 +294,8 @@ def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tupl
 
 def _scan(docs: DataFrame, index: Index) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(index)
+    schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
+    arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,15 +306,14 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
                 hashes, w = word_hashes(chunk, lower=True, separators=SIGNS_AND_SPACE)
                 out += [(ids[chunk.start + r], int(index.ids[i]), *rest) for r, i, *rest in _search(index, hashes, w.rows)]
             columns = list(zip(*out, strict=True)) or [[]] * 5
-            kinds = [pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, arrow, strict=True)], schema=arrow)
 
-    return ids_as_long(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+    return docs.select("doc_id", "text").mapInArrow(run, schema)
 
 
 def indexes(items: DataFrame, postings: int = SHARD_POSTINGS) -> Iterator[Index]:
-    """The items (item_id, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all of them."""
-    numbered = staged(ids_as_long(items.select("item_id", "text"), "item_id").withColumn("row", F.monotonically_increasing_id()), "items")
+    """The items (item_id as long, text) as indexes of about ``postings`` postings, one at a time; df and lengths are of all of them."""
+    numbered = staged(items.select(F.col("item_id").cast("long").alias("item_id"), "text").withColumn("row", F.monotonically_increasing_id()), "items")
     rows = staged(numbered.select("row", "item_id", "text").mapInArrow(_item_rows, PART_SCHEMA).withColumn("size", F.size("words")), "item-parts")
     # the parts by which items are found; df and lengths are of these
     leading = rows.join(rows.groupBy("row").agg(F.min("kind").alias("kind")), ["row", "kind"])
@@ -297,18 +341,20 @@ def indexes(items: DataFrame, postings: int = SHARD_POSTINGS) -> Iterator[Index]
 def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """One row for each document and item that leaked into it, with score and overlaps."""
     found: DataFrame | None = None
+    items, back = numbered_ids(items.select("item_id", "text"), "item_id")
     for index in indexes(items):
         part = _scan(docs, index)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
-    return found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap")))
+        empty = docs.select("doc_id", F.lit(0).cast("long").alias("item_id"), *(F.lit(0.0).alias(c) for c in ("score", "question_overlap", "answer_overlap"))).where("false")
+        return back(empty, "item_id")
+    return back(found.groupBy("doc_id", "item_id").agg(*(F.max(c).alias(c) for c in ("score", "question_overlap", "answer_overlap"))), "item_id")
 
 
 def without_leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents into which an item leaked; rows without a doc_id stay."""
     marked = staged(leaks(docs, items).select(F.col("doc_id").alias("__leaked")).distinct(), "leaked")
-    return docs.hint("merge").join(marked, F.col("doc_id").cast("string").try_cast("bigint") == F.col("__leaked"), "left_anti")
+    return docs.hint("merge").join(marked, F.col("doc_id") == F.col("__leaked"), "left_anti")
 
 
 def op10_bm25_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,8 +23,9 @@ counts in inverse proportion to how often the sample has it, to the power of
 Defined cases: an empty or null text has no direction and gets the share of
 label 1 in the sample; equal texts get equal scores (cosines are rounded, as their
 last bits depend on the block); neighbours tied with the last one all vote;
-without labelled rows every score is 0.5; a doc_id that is null or no integer is
-shown as null, is not learned from, and the query holds such a row out; repeated
+without labelled rows every score is 0.5; a row with a null doc_id
+is scored and not learned from, and the query holds it out, like any whose doc_id has no
+remainder; doc_id may be of any type and stays as it is; texts are read whole; repeated
 rows are scored one by one; an empty table stays empty; further columns are ignored.
 """
 
@@ -38,9 +39,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_features import bounded_sample, counts, dense, remainder, row_blocks, sparse_rows
-from .stage import ids_as_long, staged, table
+from .stage import staged, table
 from .words import Chunk, binary_column, chunks, gram_hashes, prefix_sums, span_hashes, words
 
 MAX_LABELLED = 4000
@@ -160,9 +162,9 @@ def vote(model: Model, vectors: np.ndarray, neighbours: int = NEIGHBOURS, power:
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model | None:
     """A model of labelled rows; ``labels`` has doc_id and the 0/1 column ``label``."""
-    known = ids_as_long(labels.where(F.col(label).isNotNull()).select(F.col("doc_id"), F.col(label).cast("int").alias("label"))).groupBy("doc_id").agg(F.max("label").alias("label"))
+    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id"), F.col(label).cast("int").alias("label")).groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = staged(bounded_sample(known, MAX_LABELLED, F.struct(F.xxhash64("doc_id"), "doc_id")), "labelled")
-    rows = ids_as_long(docs.select("doc_id", "text")).join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(F.max("text").alias("text"), F.max("label").alias("label"))
     found = sparse_rows(rows, terms).toArrow().sort_by("doc_id")
     return fit(dense(found, TERMS), found["label"].to_numpy(), document_frequencies(docs)) if found.num_rows else None
 
@@ -184,7 +186,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
 
-    return ids_as_long(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("score", T.DoubleType())]))
 
 
 def op1_knn_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,9 +11,9 @@ Predicting is a map without a shuffle over whole texts.
 
 Defined cases: a null text or one without a letter (``str.isalpha``) gets ``und``
 and score 0; rows whose lang is null are not learned from; with nothing to learn
-from, every prediction is ``und``; equal texts get equal predictions; a doc_id
-that is null or no integer is shown as null, and the query holds such a row out;
-an empty table stays empty; further columns are ignored.
+from, every prediction is ``und``; equal texts get equal predictions; the
+query holds rows out whose doc_id is null; doc_id may be of any type and stays as it is;
+texts are read whole; an empty table stays empty; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,9 +26,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .ngram_features import bounded_sample, char_counts, dense, remainder, row_blocks, sparse_rows
-from .stage import ids_as_long, small_side, staged, table
+from .stage import small_side, staged, table
 from .words import binary_column, chunks
 
 PER_LANGUAGE = 1000
@@ -143,7 +144,7 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
             ids = batch.column(batch.schema.get_field_index("doc_id"))
             yield pa.RecordBatch.from_arrays([ids, pa.array(names, pa.string()), pa.array(np.where(ok, scores, 0.0).astype(np.float64))], ["doc_id", "lang_pred", "score"])
 
-    return ids_as_long(docs.select("doc_id", "text")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(run, T.StructType([docs.schema["doc_id"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]))
 
 
 def has_letter(text: str) -> bool:

@@ -12,8 +12,9 @@ that holds it.
 Defined cases: a null or empty text is one empty line and stays (a null text
 becomes ``""``); rows that share a doc_id count as one document; a row with a
 null doc_id is passed on untouched and is not counted; bytes that are no UTF-8
-stay as they are, and each counts as one code point; an empty table gives an empty
-table; further columns, whatever their names, are passed on.
+stay as they are, and each counts as one code point; very long texts are split whole;
+doc_id may be of any type that orders and stays as it is; an empty table gives an
+empty table; further columns, whatever their names, are passed on.
 
 Only hashes are shuffled for the count, aggregated before the shuffle, so a line
 in a third of all documents costs each task one row. Both joins are plain
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import ids_as_long, staged, table
+from .stage import staged, table
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -55,7 +56,7 @@ def _halves(key: bytes) -> tuple[int, int]:
     return _signed(h >> 64), _signed(h & (1 << 64) - 1)
 
 
-def _line_hashes(min_chars: int):
+def _line_hashes(min_chars: int, schema: pa.Schema):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, highs, lows = [], [], []
@@ -65,7 +66,7 @@ def _line_hashes(min_chars: int):
                     ids.append(doc_id)
                     highs.append(high)
                     lows.append(low)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, highs, lows)], ["doc_id", "high", "low"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((ids, highs, lows), schema, strict=True)], schema=schema)
 
     return run
 
@@ -93,7 +94,7 @@ def _reassemble(min_chars: int, out_schema: pa.Schema):
 def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> DataFrame:
     """``docs`` with ``text`` rebuilt from the lines that stay, plus n_lines and n_dropped.
 
-    ``docs`` has doc_id (integer) and text; its other columns are passed on, and
+    ``docs`` has doc_id and text; its other columns are passed on, and
     columns named n_lines or n_dropped are replaced.
     """
     rest = [c for c in docs.columns if c not in ("doc_id", "text", "n_lines", "n_dropped")]
@@ -116,8 +117,8 @@ def _row(columns: list[str]) -> Column:
 
 def lines_judged(docs: DataFrame, min_chars: int, min_docs: int) -> DataFrame:
     """doc_id, text, __row, n_lines and n_dropped of ``docs`` (doc_id, text, __row)."""
-    docs = ids_as_long(docs)
-    lines = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_line_hashes(min_chars), "doc_id long, high long, low long")
+    hashes = T.StructType([docs.schema["doc_id"], T.StructField("high", T.LongType()), T.StructField("low", T.LongType())])
+    lines = docs.where("doc_id is not null").select("doc_id", "text").mapInArrow(_line_hashes(min_chars, to_arrow_schema(hashes)), hashes)
     per_doc = staged(lines.distinct(), "lines")
     counted = per_doc.groupBy("high", "low").agg(F.count("*").alias("n"), F.max("doc_id").alias("keeper"))
     common = staged(counted.where(F.col("n") >= min_docs).select("high", "low", "keeper"), "common-lines")

@@ -24,7 +24,9 @@ A pair at the threshold of 0.8 is missed by all trees with a probability of
 Defined cases: a document without words (null or empty text) has an empty set
 and is linked with nothing; fewer words than a shingle make one shingle; rows
 that share a doc_id are one node; a row with a null doc_id is passed on with its
-own size, a null component and kept; an empty table stays empty.
+own size, a null component and kept; doc_id may be of any type that orders and stays as
+it is; very long texts are read whole; further columns are not read (``keep_one``
+passes them on, whatever their names); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -38,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import ids_as_long, settled, staged, table
+from .stage import numbered_ids, settled, staged, table
 from .words import binary_column, chunks, mix, shingles, word_hashes
 
 TREES, DEPTH = 32, 4
@@ -198,7 +200,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     of at least ``percent`` / 100; component_id is the smallest doc_id that can be
     reached, and kept marks the document that has it.
     """
-    docs = ids_as_long(docs.select("doc_id", "text"))
+    docs, back = numbered_ids(docs.select("doc_id", "text"))
     signed = staged(docs.mapInArrow(_signatures(size), "doc_id long, n long, k1 long, k2 long, keys array<long>, sign binary"), "signatures")
     classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("k1", "k2").agg(F.min("doc_id").alias("id")), "classes")
     first = classes.select(F.col("id").alias("doc_id"), "k1", "k2")
@@ -207,9 +209,8 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFr
     roots = settled(lambda: _forest_components(docs, heads, size, percent), "components")
     placed = signed.drop("keys", "sign").join(classes, ["k1", "k2"], "left").join(roots.withColumnRenamed("node", "id"), "id", "left")
     component = F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.coalesce("root", "id")).otherwise(F.col("doc_id"))
-    return placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
-        "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
-    )
+    kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept")
+    return back(placed.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).select("*", kept), "doc_id", "component_id")
 
 
 def _forest_components(docs: DataFrame, heads: DataFrame, size: int, percent: int) -> DataFrame:
@@ -281,7 +282,7 @@ def _links_outside(crowd: DataFrame, roots: DataFrame, rows: DataFrame, percent:
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     """The rows and columns of ``docs`` without the near-duplicates of a smaller doc_id."""
     gone = settled(lambda: near_duplicates(docs, size, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-duplicates")
-    return docs.hint("merge").join(gone, F.col("doc_id").cast("string").try_cast("bigint") == F.col("__gone"), "left_anti")
+    return docs.hint("merge").join(gone, F.col("doc_id") == F.col("__gone"), "left_anti")
 
 
 def op3_minhash_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,15 +2,25 @@
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..sources.scratch import scratch
 
-#: for each ``settled`` call that is open, the paths staged in it
-_open: list[list[str]] = []
+
+
+class _Open(threading.local):
+    """For each ``settled`` call that is open in this thread, the paths staged in it."""
+
+    def __init__(self) -> None:
+        self.calls: list[list[str]] = []
+
+
+_open = _Open()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,22 +36,22 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch(spark, name)
     df.write.parquet(path)
-    if _open:
-        _open[-1].append(path)
+    if _open.calls:
+        _open.calls[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def settled(build: Callable[[], DataFrame], name: str) -> DataFrame:
     """``staged(build(), name)``; what ``build`` staged on the way is removed once the result is written."""
-    _open.append([])
+    _open.calls.append([])
     try:
         df = build()
         out = staged(df, name)
     finally:
-        inner = _open.pop()
+        inner = _open.calls.pop()
     remove(df.sparkSession, inner[:-1])
-    if _open:
-        _open[-1].append(inner[-1])
+    if _open.calls:
+        _open.calls[-1].append(inner[-1])
     return out
 
 
@@ -58,6 +68,23 @@ def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
-def ids_as_long(df: DataFrame, name: str = "doc_id") -> DataFrame:
-    """``df`` with its integer id as long; what is no integer becomes null."""
-    return df.withColumn(name, F.col(name).cast("string").try_cast("bigint"))
+def numbered_ids(df: DataFrame, name: str = "doc_id") -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``df`` with long ids in the order of its ids, and what puts the given ids back into named columns.
+
+    Integers are their own numbers. Ids of any other type that orders (texts, decimals, ...)
+    are numbered in sampled ranges, written once, and joined by the id; null stays null.
+    """
+    kind = df.schema[name].dataType
+    if isinstance(kind, T.IntegralType):
+        return df.withColumn(name, F.col(name).cast("long")), lambda out, *columns: out.withColumns({c: F.col(c).cast(kind) for c in columns})
+    given = df.select(F.col(name).alias("__id")).where("__id is not null").distinct()
+    known = staged(given.repartitionByRange("__id").sortWithinPartitions("__id").withColumn("__number", F.monotonically_increasing_id()), "ids")
+    numbered = df.hint("merge").join(known, F.col(name) == F.col("__id"), "left").withColumn(name, F.col("__number")).select(*df.columns)
+
+    def back(out: DataFrame, *columns: str) -> DataFrame:
+        names = out.columns
+        for c in columns:
+            out = out.hint("merge").join(known, F.col(c) == F.col("__number"), "left").withColumn(c, F.col("__id")).select(*names)
+        return out
+
+    return numbered, back

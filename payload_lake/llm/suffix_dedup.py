@@ -27,7 +27,8 @@ Defined cases: null and empty texts, and those shorter than ``LENGTH``, lose
 nothing; equal texts lose all in all but the smallest doc_id; rows that share a
 doc_id are one document, judged each on its own text, and equal places of it are
 no copies of each other; a row with a null doc_id loses nothing and counts for
-nothing; an empty table stays empty.
+nothing; doc_id may be of any type that orders and stays as it is; very long texts are
+read whole; further columns are not read; an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -39,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .stage import ids_as_long, staged, table
+from .stage import numbered_ids, staged, table
 from .words import binary_column, mix, prefix_sums, span_hashes
 
 LENGTH = 100
@@ -242,7 +243,7 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def dedup_substrings(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, spans (start and end of each maximal removed run) and kept (the bytes that stay) of every row."""
-    docs = ids_as_long(docs.select("doc_id", "text"))
+    docs, back = numbered_ids(docs.select("doc_id", "text"))
     suffixes = docs.where("doc_id is not null").mapInArrow(_suffixes, SUFFIX_SCHEMA)
     # buckets follow the size of the texts, so that a task holds as much at every size
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -264,7 +265,7 @@ def dedup_substrings(docs: DataFrame) -> DataFrame:
     gone.append(singles.join(staged(first, "crowded-windows"), "word").where("doc_id <> first.doc_id or start <> first.start").select("doc_id", "start", F.lit(1).cast("long").alias("windows")))
     ranges = gone[0].unionByName(gone[1]).unionByName(gone[2]).unionByName(gone[3])
     lists = ranges.groupBy("doc_id").agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
-    return docs.hint("merge").join(lists, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return back(docs.hint("merge").join(lists, "doc_id", "left").mapInArrow(_cut, "doc_id long, n_bytes long, spans array<struct<start:long,end:long>>, kept binary"), "doc_id")
 
 
 def op4_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:

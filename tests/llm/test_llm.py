@@ -699,6 +699,37 @@ def test_parts_of_a_leak_may_stand_apart(spark):
     assert ours == theirs and {r[0] for r in ours} == {1, 2, 4}
 
 
+def test_questions_in_pieces_are_found(spark):
+    """Pieces far apart, and rare words replaced, as long as 0.8 of the shingles stand: as the SQL has it."""
+    import duckdb
+
+    rng = np.random.default_rng(31)
+    questions = {7: 60, 8: 100, 9: 25}
+    texts = {i: (" ".join(f"q{i}w{k}" if k % 7 == 0 else str(rng.choice(VOCABULARY)) for k in range(n)), prose(12, 70 + i)) for i, n in questions.items()}
+    docs, number = [], 0
+    for i, n in questions.items():
+        words_ = texts[i][0].split(" ")
+        for pieces in (1, 2, 3, 4, 5, 6):
+            cuts = [round(n * k / pieces) for k in range(pieces + 1)]
+            body = [prose(150, number), texts[i][1]]
+            for a, b in zip(cuts, cuts[1:]):  # noqa: B905
+                body += [" ".join(words_[a:b]), prose(int(rng.integers(100, 900)), 500 + number + a)]
+            docs.append((number, " ".join(body)))
+            number += 1
+        for lost in range(1, 8):
+            changed = [f"new{k}" if w.startswith("q") and k // 7 < lost else w for k, w in enumerate(words_)]
+            docs.append((number, f"{prose(300, number)} {' '.join(changed[: n // 2])} {prose(400, number + 1)} {texts[i][1]} {prose(60, 3)} {' '.join(changed[n // 2 :])}"))
+            number += 1
+    documents, benchmark = spark.createDataFrame(docs, "doc_id long, text string").repartition(3), spark.createDataFrame([(i, f"{q}. {a}") for i, (q, a) in texts.items()], "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents_", documents.toPandas())
+    con.register("benchmark_", benchmark.toPandas())
+    con.execute("create view documents as select * from documents_; create view benchmark as select * from benchmark_")
+    theirs = {(r[0], r[1], round(r[2], 9), round(r[3], 9)) for r in con.execute(decontaminate.ORACLE).fetchall()}
+    ours = {(r.doc_id, r.item_id, round(r.question_overlap, 9), round(r.answer_overlap, 9)) for r in decontaminate.leaks(documents, benchmark).collect()}
+    assert ours == theirs and 10 < len(ours) < len(docs)
+
+
 def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "STRETCH", 200)
     leaked = [(101, prose(300, 7) + " THE QUICK brown fox, jumps over the lazy dog near the river! It was on a Monday " + prose(9, 8)), (102, "The quick brown fox jumps over the lazy dog near the river."), (103, "##one two three four five six seven eight nine ten##"), (103, "again: one two three four five six seven eight nine ten")]
@@ -716,6 +747,46 @@ def test_leaks_equal_brute_force(spark, docs, empty, monkeypatch):
 # ---------------------------------------------------------------- the pipeline
 
 
+def text_ids(spark, docs):
+    """The awkward table with text ids that order otherwise than their numbers, a column of clashing names, and the ids by number."""
+    named = docs.withColumn("doc_id", F.when(F.col("doc_id").isNotNull(), F.concat(F.lit("u-"), F.format_string("%03d", 999 - F.col("doc_id")), F.lit("x"))))
+    return named.withColumns({"id": F.lit("i"), "key": F.lit("k"), "__id": F.lit("o"), "n": F.lit("m")})
+
+
+def test_ids_of_any_type_stay_as_they_are(spark, docs):
+    named = text_ids(spark, docs)
+    rows = [(r.doc_id, r.text) for r in named.collect()]
+    given = Counter(d for d, _ in rows)
+    near = near_dedup.near_duplicates(named, size=2).collect()
+    assert Counter(r.doc_id for r in near) == given
+    expected, _ = brute_components(rows, 2)
+    assert {(r.doc_id, r.component_id) for r in near if r.doc_id is not None} == {(d, expected[d]) for d, _ in rows if d is not None}
+    kept = near_dedup.keep_one(named, size=2)
+    assert set(kept.columns) == set(named.columns) and {r.doc_id for r in kept.collect()} == {r.doc_id for r in near if r.kept}
+    cut = suffix_dedup.dedup_substrings(named).collect()
+    assert Counter(r.doc_id for r in cut) == given
+    lines = line_dedup.dedup_texts(named)
+    assert set(lines.columns) == set(named.columns) and Counter(r.doc_id for r in lines.collect()) == given
+    numbers = line_dedup.dedup_lines(named).agg(F.sum("n_dropped")).first()[0]
+    assert numbers == line_dedup.dedup_lines(docs).agg(F.sum("n_dropped")).first()[0] > 0
+    items = spark.createDataFrame([("item a", prose(60, 100)), ("item b", prose(50, 203))], "item_id string, text string")
+    found = decontaminate.leaks(named, items).collect()
+    assert found and {r.item_id for r in found} == {"item a", "item b"} and {r.doc_id for r in found} <= set(given)
+    left = decontaminate.without_leaks(named, items)
+    assert {r.doc_id for r in left.collect()} == set(given) - {r.doc_id for r in found}
+    labels = named.select("doc_id", F.lit(1).alias("quality")).where("doc_id is not null")
+    assert Counter(r.doc_id for r in knn_quality.classify(named, knn_quality.train(named, labels)).collect()) == given
+    assert Counter(r.doc_id for r in language_id.predict(named, language_id.train(named)).collect()) == given
+
+
+def test_two_threads_do_not_share_their_stages(spark, docs):
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(2) as pool:
+        both = list(pool.map(lambda size: sorted(map(str, near_dedup.near_duplicates(docs, size=size).collect())), (2, 5)))
+    assert both == [sorted(map(str, near_dedup.near_duplicates(docs, size=size).collect())) for size in (2, 5)]
+
+
 def test_pipeline_stages_take_effect(spark, tmp_path):
     import corpus_pipeline
 
