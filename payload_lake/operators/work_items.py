@@ -49,8 +49,48 @@ def subtitle_rows(payloads: DataFrame) -> tuple[DataFrame, DataFrame]:
     return cues.select(*KEYS, "page_index", "lan", "cue", get("from", "double").alias("from_s"), get("to", "double").alias("to_s"), get("content", "string").alias("content")), named.where("error is not null").select(*KEYS, "page_index", "lan", "error")
 
 
-def _fields(value: Column, fields: list[Field]) -> list[Column]:
-    return [F.coalesce(*(_scalar(value, p, f.type) for p in f.paths)).alias(f.name) for f in fields]
+def _record(fields: list[Field]) -> tuple[str | None, dict[str, str]]:
+    """Schema of the struct that holds the first paths of the fields, and where each field is in it.
+
+    Paths with an index, without a name, or through what another field takes whole are left out.
+    """
+    tree: dict = {}
+    placed: dict[str, str] = {}
+    for f in fields:
+        parts = f.paths[0].split(".")
+        if "[" in f.paths[0] or not all(parts):
+            continue
+        node = tree
+        for part in parts[:-1]:
+            node = node.setdefault(part, {}) if isinstance(node, dict) else None
+        if isinstance(node, dict) and parts[-1] not in node:
+            node[parts[-1]] = f.type
+            placed[f.name] = ".".join(f"`{x}`" for x in parts)
+    ddl = lambda node: node if isinstance(node, str) else "struct<" + ",".join(f"`{k}`:{ddl(v)}" for k, v in node.items()) + ">"
+    return (ddl(tree) if placed else None), placed
+
+
+def _typed(rows: DataFrame, value: str, fields: list[Field]) -> DataFrame:
+    """``rows`` with the fields of the variant column ``value`` in its place.
+
+    One cast to a struct reads the first paths of all fields, wrong types as null; the
+    other paths are looked up only in rows where that gave nothing, and whether a text is
+    an object or a list only where it begins like one.
+    """
+    schema, placed = _record(fields)
+    others = [c for c in rows.columns if c != value]
+    read = rows.withColumn("__record", F.try_variant_get(F.col(value), "$", schema)) if schema else rows
+
+    def column(f: Field) -> Column:
+        slow = [_scalar(F.col(value), p, f.type) for p in f.paths]
+        if f.name not in placed:
+            return F.coalesce(*slow).alias(f.name)
+        first = F.col(f"__record.{placed[f.name]}")
+        if f.type == "string":
+            first = F.when(~first.startswith("{") & ~first.startswith("["), first).when(first.isNotNull(), slow[0])
+        return F.coalesce(first, *slow[1:]).alias(f.name)
+
+    return read.select(*others, *map(column, fields))
 
 
 def _scalar(value: Column, path: str, to: str) -> Column:
@@ -66,8 +106,8 @@ def typed_view(payloads: DataFrame, view: str) -> DataFrame:
     """
     own = payloads.where(F.col("endpoint") == OF_ENDPOINT.get(view, view)).select(*KEYS, jsonx.parsed(F.col("payload")).alias("v"))
     if view in SINGLE:
-        return own.select(*KEYS, *_fields(F.col("v"), SINGLE[view]))
+        return _typed(own, "v", SINGLE[view])
     listing = LISTINGS[view]
     pages = F.posexplode(jsonx.array_at(F.col("v"), "pages")) if listing.paged else F.posexplode(F.array("v"))
     rows = own.select(*KEYS, pages.alias("page", "p")).select(*KEYS, "page", F.posexplode(jsonx.array_at(F.col("p"), listing.path)).alias("pos", "r"))
-    return rows.select(*KEYS, "page", "pos", *_fields(F.col("r"), listing.fields))
+    return _typed(rows, "r", listing.fields)

@@ -175,6 +175,46 @@ def test_one_account_lists_one_folder(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "meta", 3).collect() == []
 
 
+# ---------------------------------------------------------------- typed views
+
+
+def odd_values(rng, depth):
+    """Any JSON value, often of a shape that no field expects."""
+    kinds = ["1", "-7", "1.5", "true", "null", '"12"', '"x"', '"{no object"', '"[no list"', "12345678901234567890", '""']
+    if depth and rng.random() < 0.3:
+        return "[" + ", ".join(odd_values(rng, depth - 1) for _ in range(rng.randint(0, 2))) + "]"
+    if depth and rng.random() < 0.3:
+        return "{" + ", ".join(f'"{k}": {odd_values(rng, depth - 1)}' for k in rng.sample(["text", "view", "mid", "type"], 2)) + "}"
+    return rng.choice(kinds)
+
+
+def test_one_cast_reads_what_single_paths_read(spark):
+    from payload_lake.operators import work_items
+    from payload_lake.sources.views import LISTINGS, SINGLE
+
+    rng = random.Random(17)
+
+    def entry(fields):
+        tree = {}
+        for f in fields:
+            path = rng.choice(f.paths)
+            if rng.random() < 0.85 and path and "[" not in path:
+                node, parts = tree, path.split(".")
+                for part in parts[:-1]:
+                    node = node.setdefault(part, {}) if isinstance(node, dict) else {}
+                if isinstance(node, dict):
+                    node[parts[-1]] = odd_values(rng, 2)
+        text = lambda node: node if isinstance(node, str) else "{" + ", ".join(f'"{k}": {text(v)}' for k, v in node.items()) + "}"
+        return text(tree)
+
+    for view in ("user_info", "overview_stat", "up_stat", "video_detail", "videos", "dynamics"):
+        fields = SINGLE[view] if view in SINGLE else LISTINGS[view].fields
+        values = [entry(fields) for _ in range(120)] + ["[]", "3", '"t"', "null", "{}"]
+        rows = spark.createDataFrame(list(enumerate(values)), "i long, p string").select("i", F.try_parse_json("p").alias("v"))
+        plain = rows.select("i", *(F.coalesce(*(work_items._scalar(F.col("v"), path, f.type) for path in f.paths)).alias(f.name) for f in fields))
+        assert sorted(map(str, work_items._typed(rows, "v", fields).collect())) == sorted(map(str, plain.collect()))
+
+
 # ---------------------------------------------------------------- streams
 
 
