@@ -21,11 +21,39 @@ ORACLES: dict[str, str] = {}
 NOW_MS = 946_684_800_000  # 2000-01-01
 
 
+class Reader:
+    """Tables by name, given ones and stand-ins, of one folder."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str) -> None:
+        self.spark, self.sf_dir = spark, sf_dir
+
+    def __call__(self, name: str) -> DataFrame:
+        return stand_in(self.spark, self.sf_dir, name)
+
+    def payloads(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        """A payload table as ``prepare`` has written it, or made on the spot."""
+        path = _prepared.get((self.spark.sparkContext.applicationId, self.sf_dir, name))
+        return self.spark.read.parquet(path) if path else build()
+
+
+#: payload tables that ``prepare`` has written, by application, folder and name
+_prepared: dict[tuple[str, str, str], str] = {}
+
+
+def prepare(spark: SparkSession, sf_dir: str) -> None:
+    """Write the payload tables of a folder, so that queries read them as a lake has them and do not make them first."""
+    t = Reader(spark, sf_dir)
+    for name, build in (("details", _made_details), ("listings", _made_listings)):
+        path = scratch(spark, name)
+        build(t).write.parquet(path)
+        _prepared[spark.sparkContext.applicationId, sf_dir, name] = path
+
+
 def query(names: str = "", sql: str | None = None) -> Callable[[Callable], Callable]:
     """Register a function of a table reader under its own name; ``sql`` is its DuckDB form over the stand-ins ``names``."""
 
     def add(f: Callable[[Callable[[str], DataFrame]], DataFrame]) -> Callable:
-        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: stand_in(spark, sf_dir, name))
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(Reader(spark, sf_dir))
         if sql is not None:
             ORACLES[f.__name__] = oracle(names, sql)
         return f
@@ -38,6 +66,10 @@ def query(names: str = "", sql: str | None = None) -> Callable[[Callable], Calla
 
 def detail_payloads(t) -> DataFrame:
     """Item details as stored: one JSON payload per item, with its pages in order."""
+    return t.payloads("details", lambda: _made_details(t))
+
+
+def _made_details(t) -> DataFrame:
     pages = t("fx_page").groupBy("uid", "item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_index", "cid", F.col("duration_s").alias("duration"), "part"))), lambda p: F.struct(p.cid, p.duration, p.part)).alias("pages"))
     rows = t("fx_detail").join(pages, ["uid", "item_id"], "left")
     info = F.struct(F.col("item_id").alias("bvid"), F.col("uid").alias("cid"), "title", F.col("duration_s").alias("duration"), F.unix_timestamp(F.col("published_at").cast("timestamp")).alias("pubdate"), F.struct(F.col("uid").alias("mid")).alias("owner"), "pages")
@@ -46,6 +78,10 @@ def detail_payloads(t) -> DataFrame:
 
 def listing_payloads(t) -> DataFrame:
     """Stored listings: one JSON payload per account with pages of five items."""
+    return t.payloads("listings", lambda: _made_listings(t))
+
+
+def _made_listings(t) -> DataFrame:
     rows = t("fx_listing")
     pages = rows.groupBy("uid", "page_no").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "item_id"))), lambda x: F.struct(x.item_id.alias("bvid"), x.pos.alias("created"))).alias("vlist"))
     counts = rows.groupBy("uid").agg(F.count("*").alias("count"))
