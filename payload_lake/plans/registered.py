@@ -1333,6 +1333,11 @@ def task_status_marks(t):
     return upserts.update_task_status(tasks, _meta(t), rows)[1]
 
 
+@query("", "SELECT c_custkey AS uid, CAST(c_nationkey AS VARCHAR) AS value FROM customer")
+def meta_value(t):
+    return selects.meta_value(_meta(t), "last_fetched_at_ms")
+
+
 def _stores(t) -> tuple[DataFrame, DataFrame]:
     """Marks of the current and the legacy store; some versions are not known, some accounts have one store only."""
     rows = t("customer").select(F.col("c_custkey").alias("uid"), F.col("c_nationkey").cast("string").alias("mark"))
