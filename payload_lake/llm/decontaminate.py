@@ -4,12 +4,9 @@ The test items are the indexed side. An item is found by its question, which any
 leak has to hold (by its answer, if the question has no words): postings by term,
 cut into blocks of entries with the largest impact of the term in each block. Every document is cut into passages of ``2 L`` words every ``L``
 words, L being the longest entry, so that each entry that stands in a document
-stands wholly in some passage. Every passage is a query, and so is every document of
-more than one passage as a whole, in which an entry may stand in pieces. An entry is
-retrieved if its BM25 score reaches its limit, a share of its score for its own text:
-the least that is left of it if a part of its shingles as large as verification
-allows is missing, whichever these are, and ``THRESHOLD`` at most for a passage. So
-nothing is lost that verification would confirm:
+stands wholly in some passage. Every passage is a query, and all entries are
+retrieved whose BM25 score reaches ``threshold`` times the score of the entry for
+its own text:
 
 * the terms of a passage are ordered by their largest impact anywhere; those at
   the low end that can only give a fraction of the threshold together are not
@@ -18,6 +15,12 @@ nothing is lost that verification would confirm:
   impacts plus all that was not expanded stay below the threshold;
 * the entries of the blocks that are left get their exact score.
 
+A question may also stand in pieces of which no passage holds enough, or without its
+rarest words. Documents therefore are looked up by shingles too: entries of which
+``overlap`` of the five-word shingles stand in the document, wherever, are
+retrieved beside those of the passages, with the score of the whole document, so
+nothing is lost that verification would confirm.
+
 A retrieved item counts as
 leaked if at least ``overlap`` of the five-word shingles of its question and of
 its answer stand in the document. The answer is the last sentence of an item, the
@@ -60,10 +63,11 @@ UNEXPANDED = 0.3
 #: blocks scored, and words searched, at once: bounds the memory of a task
 SLICE, STRETCH = 4_000, 50_000
 K1, B = 1.2, 0.75
-#: most of an entry's limit for a passage
 THRESHOLD = 0.5
 OVERLAP = 0.8
 SHINGLE = 5
+#: bits of a table that tells most shingles of documents from those of entries
+SIEVE = 20
 SENTENCE_END = re.compile(r"[.!?]\s+|\n+")
 
 
@@ -106,7 +110,7 @@ class Index(NamedTuple):
     """One shard. Terms are numbered by rising largest impact; impacts are shares of an entry's score for its own text.
 
     Entries are the parts of items in the order of the items, of which the first has
-    postings; ``need`` is the least score of each that ``OVERLAP`` of its shingles leave; ``items`` says of each to which item it belongs, ``first`` where the
+    postings; ``grams`` are their five-word shingles, in entries ``gram_entries`` from ``gram_from`` on, ``gram_counts`` for each entry; ``items`` says of each to which item it belongs, ``first`` where the
     entries of an item begin.
     """
 
@@ -125,28 +129,11 @@ class Index(NamedTuple):
     kinds: np.ndarray
     words: list[np.ndarray]
     span: int
-    need: np.ndarray
-
-
-def least_score(words: np.ndarray, terms: np.ndarray, impacts: np.ndarray) -> float:
-    """The least share of its own score that is left of an entry when no more than ``1 - OVERLAP`` of its shingles are missing.
-
-    A term that is absent takes all shingles along in which it stands. A missing shingle is
-    shared out among its words, so absent terms cost no more than the shingles that
-    are missing; the dearest terms for that cost, the last one in part, bound the loss.
-    """
-    n = min(SHINGLE, len(words))
-    grams, first = np.unique(gram_hashes(words, n), return_index=True)
-    if not len(terms):
-        return 0.0
-    by_term = np.argsort(terms)
-    terms, impacts = terms[by_term], impacts[by_term]
-    at = np.searchsorted(terms, words[first[:, None] + np.arange(n)])
-    cost = np.bincount(at.ravel(), minlength=len(terms)) / n
-    free = cost == 0
-    order = np.argsort(-(impacts[~free] / cost[~free]), kind="stable")
-    budget = np.clip((1 - OVERLAP) * len(grams) + 1e-9 - np.concatenate([[0.0], np.cumsum(cost[~free][order])[:-1]]), 0, cost[~free][order])
-    return float(max(0.0, impacts.sum() - impacts[free].sum() - (impacts[~free][order] * budget / cost[~free][order]).sum()))
+    grams: np.ndarray
+    gram_from: np.ndarray
+    gram_entries: np.ndarray
+    gram_counts: np.ndarray
+    sieve: np.ndarray
 
 
 def build_index(rows: np.ndarray, ids: np.ndarray, kinds: np.ndarray, terms: list[np.ndarray], impacts: list[np.ndarray], words: list[np.ndarray]) -> Index:
@@ -167,8 +154,15 @@ def build_index(rows: np.ndarray, ids: np.ndarray, kinds: np.ndarray, terms: lis
     block_from = np.searchsorted(pairs // blocks_in_all, np.arange(len(vocabulary) + 1))
     new = np.concatenate([[True], rows[1:] != rows[:-1]])
     first = np.flatnonzero(new)
-    need = np.array([least_score(w, t, x) for w, t, x in zip(words, terms, impacts, strict=True)])
-    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, np.cumsum(new) - 1, np.append(first, len(rows)), ids[first], kinds, words, max(map(len, words)), need)
+    # entries that are found (those with postings) and are no shorter than a shingle
+    own = [np.unique(gram_hashes(w, SHINGLE)) if n and len(w) >= SHINGLE else np.zeros(0, np.uint64) for w, n in zip(words, sizes, strict=True)]
+    gram_counts = np.array([len(x) for x in own])
+    every, holder = np.concatenate(own), np.repeat(np.arange(len(own)), gram_counts)
+    by = np.argsort(every, kind="stable")
+    grams, gram_from = np.unique(every[by], return_index=True)
+    sieve = np.zeros(1 << SIEVE, bool)
+    sieve[(grams >> np.uint64(64 - SIEVE)).astype(np.int64)] = True
+    return Index(vocabulary, number, largest[order], block_from, pairs % blocks_in_all, block_impact, np.concatenate([[0], np.cumsum(sizes)]), term, weight, np.cumsum(new) - 1, np.append(first, len(rows)), ids[first], kinds, words, max(map(len, words)), grams, np.append(gram_from, len(every)), holder[by], gram_counts, sieve)
 
 
 def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -178,16 +172,11 @@ def _expand(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n) + starts[origin], origin
 
 
-def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: float | None = None, whole: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, entry and score of all passages of the rows that reach an entry's limit, or ``threshold`` if it is given.
+def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: float = THRESHOLD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, entry and score of all passages of the rows that reach the threshold for an entry.
 
     ``hashes`` are the words of the rows, those of row i from ``rows[i]`` to ``rows[i + 1]``.
-    With ``whole``, the rows of more than one passage are queries as a whole.
     """
-    limit = np.full(len(index.need), threshold) if threshold is not None else index.need if whole else np.minimum(index.need, THRESHOLD)
-    # what a row of several entries can reach, and a block of entries
-    threshold = float(limit[np.diff(index.entry_from) > 0].min(initial=1.0))
-    least = np.minimum.reduceat(np.where(np.diff(index.entry_from) > 0, limit, np.inf), np.arange(0, len(limit), BLOCK))
     none = np.zeros(0, np.int64)
     at = np.minimum(np.searchsorted(index.vocabulary, hashes), len(index.vocabulary) - 1)
     place = np.flatnonzero(index.vocabulary[at] == hashes)
@@ -196,12 +185,6 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     term = index.number[at[place]]
     row = np.searchsorted(rows, place, side="right") - 1
     step = max(index.span, 1)
-    if whole:
-        long = np.diff(rows) > step
-        place, term = place[long[row]], term[long[row]]
-        row, step = row[long[row]], max(1, int(np.diff(rows).max(initial=1)))
-        if not len(place):
-            return none, none, np.zeros(0)
     pieces = np.maximum(1, -(-np.diff(rows) // step))
     first = np.cumsum(pieces) - pieces
     piece = (place - rows[row]) // step
@@ -226,7 +209,7 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
     n_blocks = int(index.blocks.max()) + 1
     pair, where = np.unique(group[chosen][origin] * n_blocks + index.blocks[entry], return_inverse=True)
     bound = np.bincount(where, index.block_impact[entry], len(pair)) + unexpanded[pair // n_blocks]
-    group_left, block_left = np.divmod(pair[bound >= least[pair % n_blocks] - 1e-9], n_blocks)
+    group_left, block_left = np.divmod(pair[bound >= threshold - 1e-9], n_blocks)
     out = []
     for cut in range(0, len(block_left), SLICE):
         blocks = block_left[cut : cut + SLICE]
@@ -236,11 +219,30 @@ def retrieve(index: Index, hashes: np.ndarray, rows: np.ndarray, threshold: floa
         wanted = passage_of[origin] * len(index.vocabulary) + index.entry_terms[post]
         spot = np.minimum(np.searchsorted(key, wanted), len(key) - 1)
         score = np.bincount(origin, np.where(key[spot] == wanted, index.entry_impact[post], 0.0), len(entry))
-        hit = score >= limit[entry] - 1e-9
+        hit = score >= threshold - 1e-9
         out.append((np.searchsorted(first, passage_of[hit], side="right") - 1, entry[hit], score[hit]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True)) if out else (none, none, np.zeros(0))
 
 
+def by_shingles(index: Index, hashes: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and entry of all entries of which ``OVERLAP`` of the shingles stand in a row."""
+    none = np.zeros(0, np.int64)
+    if len(hashes) < SHINGLE or not len(index.grams):
+        return none, none
+    grams = gram_hashes(hashes, SHINGLE)
+    at = np.flatnonzero(index.sieve[(grams >> np.uint64(64 - SIEVE)).astype(np.int64)])
+    row = np.searchsorted(rows, at, side="right") - 1
+    at, row = at[at + SHINGLE <= rows[row + 1]], row[at + SHINGLE <= rows[row + 1]]
+    spot = np.minimum(np.searchsorted(index.grams, grams[at]), len(index.grams) - 1)
+    known = index.grams[spot] == grams[at]
+    row, spot = np.divmod(np.unique(row[known] * len(index.grams) + spot[known]), len(index.grams))
+    place, origin = _expand(index.gram_from[spot], index.gram_from[spot + 1])
+    pairs, hits = np.unique(row[origin] * len(index.gram_counts) + index.gram_entries[place], return_counts=True)
+    row, entry = np.divmod(pairs, len(index.gram_counts))
+    enough = hits >= OVERLAP * index.gram_counts[entry] - 1e-9
+    return row[enough], entry[enough]
+
+
 def part_overlap(part: np.ndarray, document: np.ndarray, cache: dict[int, np.ndarray]) -> tuple[int, int]:
     """How many distinct shingles the part has, and how many stand in the document."""
     if not len(part):
@@ -252,31 +254,33 @@ def part_overlap(part: np.ndarray, document: np.ndarray, cache: dict[int, np.nda
     return len(own), int(np.isin(own, cache[n], assume_unique=True).sum())
 
 
-def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray, bool]]:
-    """Runs of rows of at most ``STRETCH`` words, once for their passages and once as a whole: the first row, the borders, and whether it is as a whole.
-
-    For its passages a longer row comes in stretches of its own that overlap by two spans, so that no passage is lost.
-    """
+def _stretches(rows: np.ndarray, span: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Runs of rows of at most ``STRETCH`` words: the first row and the borders. A longer row comes in
+    stretches of its own that overlap by two spans, so that no passage is lost."""
     i, n = 0, len(rows) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(rows, rows[i] + STRETCH, side="right")) - 1)
         if rows[j] - rows[i] <= STRETCH:
-            yield i, rows[i : j + 1], False
+            yield i, rows[i : j + 1]
         else:
             for start in range(int(rows[i]), int(rows[j]), STRETCH):
-                yield i, np.array([start, min(start + STRETCH + 2 * span, int(rows[j]))]), False
-        yield i, rows[i : j + 1], True
+                yield i, np.array([start, min(start + STRETCH + 2 * span, int(rows[j]))])
         i = j
 
 
 def _search(index: Index, hashes: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, float, float, float]]:
     """Row, item number, score, question overlap and answer overlap of verified leaks."""
     best: dict[tuple[int, int], dict[int, float]] = {}
-    for first, borders, whole in _stretches(rows, index.span):
-        row, entry, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0], whole=whole)
+    for first, borders in _stretches(rows, index.span):
+        row, entry, score = retrieve(index, hashes[borders[0] : borders[-1]], borders - borders[0])
         for r, i, e, s in zip((row + first).tolist(), index.items[entry].tolist(), entry.tolist(), score.tolist(), strict=True):
             parts = best.setdefault((r, i), {})
             parts[e] = max(s, parts.get(e, 0.0))
+    for r, e in zip(*(x.tolist() for x in by_shingles(index, hashes, rows)), strict=True):
+        if e not in best.get((r, int(index.items[e])), {}):
+            post = slice(index.entry_from[e], index.entry_from[e + 1])
+            terms = np.isin(index.vocabulary[np.argsort(index.number)[index.entry_terms[post]]], hashes[rows[r] : rows[r + 1]])
+            best.setdefault((r, int(index.items[e])), {})[e] = float(index.entry_impact[post][terms].sum())
     cache: dict[int, np.ndarray] = {}
     last = -1
     for (r, i), parts in sorted(best.items()):
