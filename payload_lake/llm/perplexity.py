@@ -62,7 +62,7 @@ CHUNK, ROWS = 2 << 20, 1000
 #: words are 48 bits of a hash, and so are bigrams where texts meet them: that is what makes them short when sorted
 KEPT_BITS = U64(2**64 - 2**16)
 #: words that a task packs at once, and words of text for each bucket of bigrams
-PACK, BUCKET = 3 << 19, 3 << 20
+PACK, BUCKET = 3 << 19, 2 << 20
 #: the fewest buckets, the fewest tasks that score a round of them, buckets of such a task beyond that, and sums that it holds
 BUCKETS, FEWEST, TOGETHER, HELD = 12, 6, 3, 1 << 20
 #: bigrams in a row of the table of bigrams
