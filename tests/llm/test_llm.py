@@ -802,3 +802,21 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert sum(shared in t for t in kept.values()) == 1 and shared in kept[29]
     decoder = sentencepieces.Decoder(sentencepieces.load())
     assert all(decoder.decode(r.ids) == r.text for r in out)
+
+
+def test_pipeline_keeps_ids_of_any_type_and_takes_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    shared = "this very same licence line stands in a great many of the documents here"
+    rows = [(f"u-{i:02d}", f"{prose(120, i)}\n{shared}", "en", "s", 0, f"x{i}") for i in range(12)]
+    rows += [("v-1", rows[3][1], "en", "t", 1, "copy"), ("v-2", rows[3][1], "en", "t", 1, "copy"), (None, f"{prose(120, 50)}\n{shared}", "en", None, None, None)]
+    schema = "doc_id string, text string, lang string, source string, n_chars long, `key` string"
+    spark.createDataFrame([(1, prose(30, 60))], "item_id long, text string").write.parquet(f"{tmp_path}/a/benchmark.parquet")
+    spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/a/documents.parquet")
+    kept = corpus_pipeline.run(spark, f"{tmp_path}/a").collect()
+    assert {r.doc_id for r in kept} == {*(f"u-{i:02d}" for i in range(12)), None} and {(r.doc_id, r.key) for r in kept if r.doc_id} == {(f"u-{i:02d}", f"x{i}") for i in range(12)}
+    # the line stayed in the largest id, a copy that went, and in the row without an id, which is not judged
+    assert [r.doc_id for r in kept if shared in r.text] == [None]
+    spark.createDataFrame([], schema).write.parquet(f"{tmp_path}/b/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/b/benchmark.parquet")
+    assert corpus_pipeline.run(spark, f"{tmp_path}/b").collect() == []
