@@ -13,7 +13,7 @@ at the threshold passes with a probability of 1 - 3e-9); the others are verified
 on the full sets, and verified links make components. In a larger region that is
 still of several components, what is outside its largest component is compared
 with the whole region, block by block (regions around one component are taken
-together): first by signatures, of which the closest of each class and component
+together): first by signatures, of which the closest of each class in a block
 are verified, then by the sets of what is not yet one component. So no link that
 the trees can see is lost, and members of one component are never paired off with
 each other. Components are built by joins on the shared folder.
@@ -46,7 +46,7 @@ from .words import binary_column, chunks, mix, shingles, word_hashes
 TREES, DEPTH = 32, 4
 SLOTS = TREES * DEPTH
 REACH = 3
-#: bytes of the signature by which a region is ordered, classes of a block, and candidates of a class and a component that are tried first
+#: bytes of the signature by which a region is ordered, classes of a block, and candidates of a class in a block that are tried first
 ORDER, BLOCK, CLOSEST = 28, 256, 2
 AGREE = 76
 _RNG = np.random.default_rng(20_250_101)
@@ -153,8 +153,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _across(percent: int):
     """Of rows with a block of a region and a block of what is outside its largest component: links between different components.
 
-    With signatures alone these are the closest candidates of each class and
-    component; with the sets it is one verified link of each, if there is one.
+    With signatures alone these are the closest candidates of each class; with the
+    sets it is one verified link of each class and component, if there is one.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,17 +169,18 @@ def _across(percent: int):
                 for i, (sign, own_id, own_n, own_root) in enumerate(own):
                     near = np.flatnonzero(_possible(signs, sign[None], n, own_n, percent) & (roots != own_root))
                     near = near[np.argsort(-(signs[near] == sign).sum(axis=1), kind="stable")]
-                    done: dict[int, int] = {}
-                    shingles = queries.field("shingles")[i].values.to_numpy() if exact and len(near) else None
+                    if not exact:
+                        out += [(min(ids[j], own_id), max(ids[j], own_id)) for j in near[:CLOSEST].tolist()]
+                        continue
+                    linked: set[int] = set()
+                    shingles = queries.field("shingles")[i].values.to_numpy() if len(near) else None
                     for j, root in zip(near.tolist(), roots[near].tolist(), strict=True):
-                        if done.get(root, 0) >= (1 if exact else CLOSEST):
+                        if root in linked:
                             continue
-                        if exact:
-                            common = len(np.intersect1d(members.field("shingles")[j].values.to_numpy(), shingles, assume_unique=True))
-                            if 100 * common < percent * (n[j] + own_n - common):
-                                continue
-                        done[root] = done.get(root, 0) + 1
-                        out.append((min(ids[j], own_id), max(ids[j], own_id)))
+                        common = len(np.intersect1d(members.field("shingles")[j].values.to_numpy(), shingles, assume_unique=True))
+                        if 100 * common >= percent * (n[j] + own_n - common):
+                            linked.add(root)
+                            out.append((min(ids[j], own_id), max(ids[j], own_id)))
             a, b = zip(*out, strict=True) if out else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
