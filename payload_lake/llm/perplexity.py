@@ -257,9 +257,14 @@ def _ungrams(rows: list[dict], numbers: int, kind: type = np.int64) -> list[np.n
         ids, first, second = _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int32, True), _unsqueeze(r["c"], np.int32)
         parts.append((ids[first], ids[second], *_unsqueeze(r["d"], kind).reshape(numbers, -1)))
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
+    parts.clear()  # each column is held once from here on
     gram = _joined(*columns[:2])
     by = np.argsort(gram)
-    return [gram[by], *(c[by] for c in columns)]
+    columns.insert(0, gram)
+    del gram
+    for k, c in enumerate(columns):
+        columns[k] = c[by]
+    return columns
 
 
 def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator[pa.RecordBatch]:
@@ -305,6 +310,7 @@ def _counts(buckets: int, low: int, high: int):
 
     def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
         before, word, code = (np.concatenate(x) for x in zip(*parts, strict=True))
+        parts.clear()  # the columns are held once from here on
         gram = _joined(before, word)
         by = np.argsort(gram)
         gram, code = gram[by], code[by]

@@ -8,7 +8,6 @@ are cut between rows, never inside one.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -57,15 +56,22 @@ def chunks(values: pa.Array, limit: int = 1 << 19) -> Iterator[Chunk]:
         start = stop
 
 
-@lru_cache(maxsize=4)
+#: the longest powers so far, of up to 2^21 bytes; shorter ones are their beginning, and those of a longer text are not kept
+_longest: list[np.ndarray] = []
+
+
 def _powers(bits: int) -> tuple[np.ndarray, np.ndarray]:
     n = 1 << bits
+    if _longest and len(_longest[0]) >= n:
+        return _longest[0][:n], _longest[1][:n]
     up, down = np.empty(n, np.uint64), np.empty(n, np.uint64)
     up[0] = down[0] = 1
     for b in range(bits):
         k = 1 << b
         up[k : 2 * k] = up[:k] * U64(pow(_BASE, k, 2**64))
         down[k : 2 * k] = down[:k] * U64(pow(_BASE_INVERSE, k, 2**64))
+    if bits <= 21:
+        _longest[:] = [up, down]
     return up, down
 
 
