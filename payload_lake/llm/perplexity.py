@@ -44,7 +44,7 @@ import math
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import reduce
-from itertools import groupby
+from itertools import groupby, pairwise
 from typing import NamedTuple
 
 import numpy as np
@@ -55,7 +55,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .stage import settled, small_side, staged, table
-from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes, words
+from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes
 
 #: bytes looked at together, and rows that are passed on together
 CHUNK, ROWS = 2 << 20, 1000
@@ -65,6 +65,8 @@ KEPT_BITS = U64(2**64 - 2**16)
 PACK, BUCKET = 3 << 19, 2 << 20
 #: the fewest buckets, the fewest tasks that score a round of them, buckets of such a task beyond that, and sums that it holds
 BUCKETS, FEWEST, TOGETHER, HELD = 12, 6, 3, 1 << 20
+#: texts whose numbers fit below the 48 bits of a hash and above one bit
+TEXTS = 1 << 15
 #: bigrams in a row of the table of bigrams
 SLICE = 1 << 20
 #: words and bigrams that make up more than 1 / HOT of all training words, of which there are fewer than HOT, are broadcast
@@ -137,31 +139,35 @@ def _lang_hash(lang: str | None) -> int:
 
 
 class Read(NamedTuple):
-    """Words of a chunk as hashes, and of each row its language and key; the last bit of a key is the fold."""
+    """Words of a chunk as hashes, and of each row its language and fold."""
 
+    chunk: Chunk
     hashes: np.ndarray
     words: Words
     langs: list
-    keys: np.ndarray
+    folds: np.ndarray
+
+    @property
+    def keys(self) -> np.ndarray:
+        """Of each row a key of text and language; its last bit is the fold."""
+        data, offsets = self.chunk.data, self.chunk.offsets.tolist()
+        whole = b"".join(hashlib.blake2b(data[a:b], digest_size=8).digest() for a, b in pairwise(offsets))
+        named = {x: _lang_hash(x) for x in set(self.langs)}
+        return mix(np.frombuffer(whole, np.uint64) + np.array([named[x] for x in self.langs], np.uint64)) & ~U64(1) | self.folds
 
 
 def read(chunk: Chunk, langs: list) -> Read:
     hashes, w = word_hashes(chunk, lower=True)
     hashes &= KEPT_BITS
-    rows, size = len(w.rows) - 1, np.diff(w.rows)
-    row = np.repeat(np.arange(rows), size)
-    two = np.full(len(hashes), 2**64 - 1, np.uint64)
-    if len(hashes) > 1:
-        two[:-1] = gram_hashes(hashes, 2)
-    two = np.where(np.arange(len(hashes)) + 2 <= w.rows[1:][row], two, mix(hashes) | U64(1 << 63))
-    least = np.zeros(rows, np.uint64)
+    full = np.diff(w.rows) > 0
+    least = np.zeros(len(full), np.uint64)
     if len(hashes):
-        least[size > 0] = np.minimum.reduceat(two, w.rows[:-1][size > 0])
-    sums, down = prefix_sums(chunk.data)
-    whole = span_hashes(sums, down, chunk.offsets[:-1], chunk.offsets[1:])
-    named = {x: _lang_hash(x) for x in set(langs)}
-    keys = mix(whole + np.array([named[x] for x in langs], np.uint64)) & ~U64(1) | mix(least) & U64(1)
-    return Read(hashes, w, langs, keys)
+        two = np.empty(len(hashes), np.uint64)
+        two[:-1] = gram_hashes(hashes, 2)
+        last = w.rows[1:][full] - 1
+        two[last] = mix(hashes[last]) | U64(1 << 63)
+        least[full] = np.minimum.reduceat(two, w.rows[:-1][full])
+    return Read(chunk, hashes, w, langs, mix(least) & U64(1))
 
 
 def _bigrams(r: Read) -> tuple[np.ndarray, np.ndarray]:
@@ -181,18 +187,46 @@ def _starts(*columns: np.ndarray) -> np.ndarray:
     return np.flatnonzero(new)
 
 
+def _order(x: np.ndarray) -> np.ndarray:
+    """The places of 64-bit numbers in ascending order: their leading bits are sorted with the places below them, then what that left open."""
+    low = U64((1 << len(x).bit_length()) - 1)
+    by = x & ~low | np.arange(len(x), dtype=np.uint64)
+    by.sort()
+    by = (by & low).view(np.int64)
+    ordered = x[by]
+    return by[np.argsort(ordered, kind="stable")] if (ordered[1:] < ordered[:-1]).any() else by
+
+
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct 64-bit numbers in ascending order, and the place of each number among them."""
+    by = _order(x)
+    x = x[by]
+    at = _starts(x)
+    place = np.empty(len(x), np.int64)
+    place[by] = np.repeat(np.arange(len(at)), np.diff(at, append=len(x)))
+    return x[at], place
+
+
 def _squeeze(x: np.ndarray, ascending: bool = False) -> bytes:
-    """The array in few bytes: differences if it ascends, bytes of the same place together, compressed."""
-    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x
-    raw = x.ravel().view(np.uint8).reshape(-1, x.dtype.itemsize).T.tobytes()
-    return len(raw).to_bytes(8, "little") + ZSTD.compress(raw, asbytes=True)
+    """The array in few bytes: differences if it ascends, integers (none below 0) as wide as the greatest, bytes of the same place together, compressed."""
+    x = np.diff(x, prepend=x.dtype.type(0)) if ascending else x.ravel()
+    if x.dtype.kind != "f":
+        x = x.astype(np.min_scalar_type(int(x.max(initial=0))), copy=False)
+    single = x.view(np.uint8).reshape(-1, x.itemsize)
+    raw = np.empty(single.shape[::-1], np.uint8)
+    for k in range(x.itemsize):
+        raw[k] = single[:, k]
+    return x.nbytes.to_bytes(8, "little") + x.itemsize.to_bytes(1, "little") + ZSTD.compress(raw, asbytes=True)
 
 
 def _unsqueeze(body: bytes, kind: type, ascending: bool = False) -> np.ndarray:
-    size = int.from_bytes(body[:8], "little")
-    raw = np.frombuffer(ZSTD.decompress(body[8:], size, asbytes=True), np.uint8)
-    x = np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-    return np.cumsum(x, dtype=kind) if ascending else x
+    size, wide = int.from_bytes(body[:8], "little"), body[8]
+    raw = np.frombuffer(ZSTD.decompress(memoryview(body)[9:], size, asbytes=True), np.uint8).reshape(wide, -1)
+    single = np.empty(raw.shape[::-1], np.uint8)
+    for k in range(wide):
+        single[:, k] = raw[k]
+    x = single.view(kind if np.dtype(kind).kind == "f" else f"u{wide}").ravel()
+    return np.cumsum(x, dtype=kind) if ascending else x.astype(kind, copy=False)
 
 
 def _joined(before: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -204,6 +238,12 @@ def _bucket_of(hashes: np.ndarray, buckets: int) -> np.ndarray:
     return (hashes >> U64(32)) * U64(buckets) >> U64(32)
 
 
+def _inside(hashes: np.ndarray, buckets: int, low: int, high: int) -> np.ndarray:
+    """Which hashes are of the buckets from ``low`` to before ``high``."""
+    first, end = (-(-(b << 32) // buckets) << 32 for b in (low, high))
+    return hashes - U64(first) <= U64(end - first - 1)
+
+
 def _ranges(hashes: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
     """Bucket and place of each range of sorted hashes."""
     cuts = np.searchsorted(_bucket_of(hashes, buckets), np.arange(buckets + 1).astype(np.uint64))
@@ -216,15 +256,32 @@ BLOB = "lang string, bucket int, kind int, source int, a binary, b binary, c bin
 ARROW_BLOB = pa.schema([("lang", pa.string()), *((c, pa.int32()) for c in ("bucket", "kind", "source")), *((c, pa.binary()) for c in "abcd"), ("of", pa.list_(pa.int64()))])
 
 
-def _blob(lang: str | None, bucket: int, kind: int, bodies: list[bytes], source: int = 0, of: list[int] | None = None) -> pa.RecordBatch:
-    row = {"lang": lang, "bucket": bucket, "kind": kind, "source": source, "of": of} | dict(zip("abcd", bodies, strict=False))
-    return pa.RecordBatch.from_pylist([row], schema=ARROW_BLOB)
+def _blob(lang: str | None, bucket: int, kind: int, bodies: list[bytes], source: int = 0, of: list[int] | None = None) -> dict:
+    return {"lang": lang, "bucket": bucket, "kind": kind, "source": source, "of": of} | dict(zip("abcd", bodies, strict=False))
+
+
+def _passed_on(make):
+    """``make``, with its blobs in batches of some megabytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for blob in make(batches):
+            waiting.append(blob)
+            size += sum(len(blob.get(c) or b"") for c in "abcd")
+            if len(waiting) >= ROWS or size >= CHUNK:
+                yield pa.RecordBatch.from_pylist(waiting, schema=ARROW_BLOB)
+                waiting, size = [], 0
+        if waiting:
+            yield pa.RecordBatch.from_pylist(waiting, schema=ARROW_BLOB)
+
+    return run
 
 
 def _blobs(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     for batch in batches:
+        columns = dict(zip(batch.schema.names, batch.columns, strict=True))
         for i in range(batch.num_rows):
-            yield {c: batch.column(k)[i].as_py() for k, c in enumerate(batch.schema.names)}
+            yield {c: x[i].as_py() for c, x in columns.items()}
 
 
 def _of_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str | None, int, Iterator[dict]]]:
@@ -246,7 +303,8 @@ def _rounds(buckets: int) -> list[tuple[int, int]]:
 
 def _grams(ids: np.ndarray, first: np.ndarray, second: np.ndarray, numbers: list[np.ndarray], kind: type = np.int64) -> list[bytes]:
     """Bigrams of sorted words: the words, places of both words in them, and numbers of each."""
-    by = np.argsort(first << 32 | second)
+    wide = len(ids).bit_length()
+    by = _order((first << wide | second).astype(np.uint64) << U64(64 - 2 * wide))
     return [_squeeze(ids, True), _squeeze(first[by].astype(np.int32), True), _squeeze(second[by].astype(np.int32)), _squeeze(np.stack([x[by] for x in numbers]).astype(kind))]
 
 
@@ -259,7 +317,7 @@ def _ungrams(rows: list[dict], numbers: int, kind: type = np.int64) -> list[np.n
     columns = [np.concatenate(c) for c in zip(*parts, strict=True)]
     parts.clear()  # each column is held once from here on
     gram = _joined(*columns[:2])
-    by = np.argsort(gram)
+    by = _order(gram)
     columns.insert(0, gram)
     del gram
     for k, c in enumerate(columns):
@@ -267,7 +325,7 @@ def _ungrams(rows: list[dict], numbers: int, kind: type = np.int64) -> list[np.n
     return columns
 
 
-def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator[pa.RecordBatch]:
+def _by_language(batches: Iterator[pa.RecordBatch], of_chunk, flush) -> Iterator[dict]:
     """``flush`` of what ``of_chunk`` gives for the rows of each language, once about ``PACK`` words have come together."""
     parts, waiting = defaultdict(list), 0
     for batch in batches:
@@ -294,25 +352,21 @@ def _counts(buckets: int, low: int, high: int):
 
     def of_chunk(chunk: Chunk, r: Read):
         before, gram = _bigrams(r)
-        bucket = _bucket_of(gram, buckets)
-        wanted = (bucket >= U64(low)) & (bucket < U64(high))
-        f = base_features(chunk)
-        learned = ~base_failed(f["n_words"], f["n_repeat_words"])
+        wanted = _inside(gram, buckets, low, high)
         size = np.diff(r.words.rows)
-        fold = (r.keys & U64(1)).astype(np.uint8)
-        code = np.repeat(fold << 1 | learned.astype(np.uint8), size)
+        code = np.repeat(r.folds.astype(np.uint8) << 1 | passing(r).astype(np.uint8), size)
 
         def own(_, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-            at = np.repeat(rows, size) & wanted
+            at = np.flatnonzero(np.repeat(rows, size) & wanted)
             return before[at], r.hashes[at], code[at]
 
         return own
 
-    def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
+    def flush(lang, parts: list) -> Iterator[dict]:
         before, word, code = (np.concatenate(x) for x in zip(*parts, strict=True))
         parts.clear()  # the columns are held once from here on
         gram = _joined(before, word)
-        by = np.argsort(gram)
+        by = _order(gram)
         gram, code = gram[by], code[by]
         at = _starts(gram)
         if not len(at):
@@ -322,11 +376,11 @@ def _counts(buckets: int, low: int, high: int):
         by = by[at]
         before, word = before[by], word[by]
         for b, own in _ranges(gram, buckets):
-            ids, place = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
+            ids, place = _distinct(np.concatenate([before[own], word[own]]))
             half = own.stop - own.start
             yield _blob(lang, b, GRAMS, _grams(ids, place[:half], place[half:], [x[own] for x in numbers], np.int32))
 
-    return lambda batches: _by_language(batches, of_chunk, flush)
+    return _passed_on(lambda batches: _by_language(batches, of_chunk, flush))
 
 
 def _merge(buckets: int):
@@ -337,7 +391,7 @@ def _merge(buckets: int):
     counts as a context for both folds, folds seen, and whether the bucket asks back.
     """
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for lang, bucket, rows in _of_bucket(batches):
             gram, before, word, n0, n1, folds = _ungrams(list(rows), 3, np.int32)
             at = _starts(gram)
@@ -346,7 +400,7 @@ def _merge(buckets: int):
             folds = np.bitwise_or.reduceat(folds, at)
             seen = [folds & 1 > 0, folds & 2 > 0]
             used = (n[0] > 0) & seen[1] | (n[1] > 0) & seen[0]
-            ids, place = np.unique(np.concatenate([before, word]), return_inverse=True)
+            ids, place = _distinct(np.concatenate([before, word]))
             first, second = place[: len(before)], place[len(before) :]
             asked = np.zeros(len(ids), bool)
             asked[first[used]] = asked[second[used]] = True
@@ -358,26 +412,27 @@ def _merge(buckets: int):
             of = [int((x == k).sum()) for x in n for k in (1, 2, 3, 4)]
             for k, start in enumerate(range(0, max(1, int(used.sum())), SLICE)):
                 own = np.flatnonzero(used)[start : start + SLICE]
-                names, spot = np.unique(np.concatenate([before[own], word[own]]), return_inverse=True)
+                names, spot = _distinct(np.concatenate([before[own], word[own]]))
                 yield _blob(lang, bucket, GRAMS, _grams(names, spot[: len(own)], spot[len(own) :], [x[own] for x in n]), of=None if k else of)
             for b, own in _ranges(ids, buckets):
                 yield _blob(lang, b, WORDS, [_squeeze(ids[own], True), _squeeze(about[:, own])], source=bucket)
 
-    return run
+    return _passed_on(run)
 
 
 #: rows of the numbers of a word
 M, TOTAL, SMALL, SEEN, ASKED = slice(0, 2), slice(2, 4), slice(4, 10), slice(10, 12), 12
 
 
-def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+@_passed_on
+def _merge_words(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
     """Words of each bucket with the sums of their numbers: those that texts can meet (IDS), and answers to the buckets that asked (PARTS).
 
     ``of``: numbers of words with 1 to 4 and 3 or more continuations and all continuations, of both folds; the words; the numbers of the start.
     """
     for lang, bucket, rows in _of_bucket(batches):
         found = [(r["source"], _unsqueeze(r["a"], np.uint64, True), _unsqueeze(r["b"], np.int64).reshape(13, -1)) for r in rows]
-        ids, place = np.unique(np.concatenate([f[1] for f in found]), return_inverse=True)
+        ids, place = _distinct(np.concatenate([f[1] for f in found]))
         parts = np.concatenate([f[2] for f in found], axis=1)
         sums = np.stack([np.bincount(place, x, len(ids)) for x in parts]).astype(np.int64)
         m, total, seen = sums[M], sums[TOTAL], sums[SEEN] > 0
@@ -429,7 +484,7 @@ def _of_words(law: Law, numbers: np.ndarray, f: int) -> tuple[np.ndarray, np.nda
 def _finish(laws: dict, least: float):
     """Gains in log-probability over an unseen word after an unseen context, for texts of both folds: of words, as the last one and as the context (WORDS), and of bigrams over their words (GRAMS); with the places of the frequent ones."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for lang, bucket, rows in _of_bucket(batches):
             by_kind = defaultdict(list)
             for r in rows:
@@ -448,7 +503,7 @@ def _finish(laws: dict, least: float):
                 continue
             ids = np.concatenate([_unsqueeze(r["a"], np.uint64, True) for r in by_kind[PARTS]])
             numbers = np.concatenate([_unsqueeze(r["b"], np.int64).reshape(10, -1) for r in by_kind[PARTS]], axis=1)
-            by = np.argsort(ids)
+            by = _order(ids)
             ids, numbers = ids[by], numbers[:, by]
             gram, before, word, *n = _ungrams(by_kind[GRAMS], 2)
             context, last = np.searchsorted(ids, before), np.searchsorted(ids, word)
@@ -461,7 +516,7 @@ def _finish(laws: dict, least: float):
             hot = np.flatnonzero(n[0] + n[1] >= least).astype(np.int32)
             yield _blob(lang, bucket, GRAMS, [_squeeze(gram & KEPT_BITS, True), _squeeze(gains), _squeeze(hot)])
 
-    return run
+    return _passed_on(run)
 
 
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -475,16 +530,31 @@ def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Table(NamedTuple):
-    """Sorted hashes and their gains; a hash that is not there gains nothing."""
+    """Sorted hashes and their gains; a hash that is not there gains nothing. ``leads``: the places of the first hash with each leading bits, for hashes that are looked up in no order."""
 
     hashes: np.ndarray
     gains: np.ndarray
+    leads: np.ndarray | None = None
+
+    def with_leads(self) -> Table:
+        bits = len(self.hashes).bit_length() + 1
+        leads = np.searchsorted(self.hashes, np.arange(1 << bits, dtype=np.uint64) << U64(64 - bits))
+        return self._replace(leads=np.minimum(leads, len(self.hashes) - 1))
 
     def find(self, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Which of the wanted are there, and their places."""
         if not len(self.hashes):
             return np.zeros(len(wanted), bool), np.zeros(len(wanted), np.int64)
-        at = np.minimum(np.searchsorted(self.hashes, wanted), len(self.hashes) - 1)
+        end = len(self.hashes) - 1
+        if self.leads is None:
+            at = np.minimum(np.searchsorted(self.hashes, wanted), end)
+            return self.hashes[at] == wanted, at
+        at = self.leads[wanted >> U64(65 - len(self.leads).bit_length())]
+        behind = np.flatnonzero(self.hashes[at] < wanted)
+        while len(behind):
+            behind = behind[at[behind] < end]
+            at[behind] += 1
+            behind = behind[self.hashes[at[behind]] < wanted[behind]]
         return self.hashes[at] == wanted, at
 
 
@@ -554,31 +624,39 @@ NO_TABLE = Table(np.zeros(0, np.uint64), np.zeros((4, 0)))
 def _pairs(hot, buckets: int, low: int, high: int):
     """Of texts by language: gains of frequent words and bigrams (DOCS, in the first round), and the other words (PLACES) and bigrams (PAIRS) of the buckets from ``low`` to before ``high`` with their texts."""
 
+    tables: dict = {}
+
     def of_chunk(chunk: Chunk, r: Read):
-        before, gram = _bigrams(r)
+        if not tables:
+            tables.update({k: t.with_leads() for k, t in hot.value.items()})
+        _, gram = _bigrams(r)
         size = np.diff(r.words.rows)
         row = np.repeat(np.arange(len(size)), size)
-        fold = (r.keys & U64(1)).astype(np.int64)
         context = np.ones(len(row), bool)
         context[r.words.rows[1:][size > 0] - 1] = False
+        inside = [_inside(x, buckets, low, high) for x in (gram, r.hashes)]
+        keys = r.keys
 
         def own(lang, rows: np.ndarray) -> tuple[np.ndarray, ...]:
-            at = np.flatnonzero(rows[row])
-            number = (np.cumsum(rows) - 1)[row[at]]
-            f, word, pair, follows = fold[row[at]], r.hashes[at], gram[at], context[at]
-            known, spot = hot.value.get((lang, WORDS), NO_TABLE).find(word)
-            known2, spot2 = hot.value.get((lang, GRAMS), NO_TABLE).find(pair)
-            gain = np.zeros(int(rows.sum()))
-            if low == 0:
-                for mask, g in ((known, hot.value.get((lang, WORDS), NO_TABLE).gains[f[known], spot[known]]), (known & follows, hot.value.get((lang, WORDS), NO_TABLE).gains[2 + f[known & follows], spot[known & follows]]), (known2, hot.value.get((lang, GRAMS), NO_TABLE).gains[f[known2], spot2[known2]])):
-                    gain += np.bincount(number[mask], g, len(gain))
-            inside = lambda x: (_bucket_of(x, buckets) >= U64(low)) & (_bucket_of(x, buckets) < U64(high))
-            rare, rare2 = ~known & inside(word), ~known2 & inside(pair)
-            return pair[rare2], number[rare2], word[rare], number[rare], follows[rare], r.keys[rows], gain
+            mine, number = rows[row], np.cumsum(rows) - 1
+            gain, out = np.zeros(int(rows.sum())), []
+            for kind, hashes, here in ((GRAMS, gram, inside[0]), (WORDS, r.hashes, inside[1])):
+                table = tables.get((lang, kind), NO_TABLE)
+                at = np.flatnonzero(mine if low == 0 else mine & here)
+                known, spot = table.find(hashes[at])
+                if low == 0:
+                    hit, spot = at[known], spot[known]
+                    f, doc = r.folds[row[hit]].astype(np.int64), number[row[hit]]
+                    gain += np.bincount(doc, table.gains[f, spot], len(gain))
+                    if kind == WORDS:
+                        gain += np.bincount(doc, table.gains[2 + f, spot] * context[hit], len(gain))
+                rare = at[~known & here[at]]
+                out += [hashes[rare], number[row[rare]]]
+            return *out, context[rare], keys[rows], gain
 
         return own
 
-    def flush(lang, parts: list) -> Iterator[pa.RecordBatch]:
+    def flush(lang, parts: list) -> Iterator[dict]:
         before = np.cumsum([0, *(len(p[5]) for p in parts)])
         keys, gain = (np.concatenate([p[k] for p in parts]) for k in (5, 6))
         if low == 0 and len(keys):
@@ -586,21 +664,28 @@ def _pairs(hot, buckets: int, low: int, high: int):
         for kind, h, d in ((PAIRS, 0, 1), (PLACES, 2, 3)):
             hashes = np.concatenate([p[h] for p in parts])
             doc = np.concatenate([p[d] + n for p, n in zip(parts, before, strict=False)])
-            many = [np.ones(len(doc), np.int64)] if kind == PAIRS else [np.ones(len(doc), np.int64), np.concatenate([p[4] for p in parts]).astype(np.int64)]
-            by = np.lexsort([doc, hashes])
-            hashes, doc, many = hashes[by], doc[by], [x[by] for x in many]
-            at = _starts(hashes, doc)
-            if not len(at):
-                continue
-            many = np.stack([np.add.reduceat(x, at) for x in many]).astype(np.int32)
-            hashes, doc = hashes[at], doc[at]
-            for b, own in _ranges(hashes, buckets):
-                begin = _starts(hashes[own])
-                seen, local = np.unique(doc[own], return_inverse=True)
-                sizes = np.diff(np.append(begin, own.stop - own.start)).astype(np.int32)
-                yield _blob(lang, b, kind, [_squeeze(hashes[own][begin], True), _squeeze(sizes), _squeeze(np.concatenate([local.astype(np.int32)[None], many[:, own]])), _squeeze(keys[seen])])
-
-    return lambda batches: _by_language(batches, of_chunk, flush)
+            follows = np.concatenate([p[4] for p in parts]) if kind == PLACES else np.zeros(len(doc), bool)
+            for first in range(0, len(keys), TEXTS):  # a hash of 48 bits, its text and whether a word follows are sorted as one number
+                of = slice(None) if len(keys) <= TEXTS else np.flatnonzero((doc >= first) & (doc < first + TEXTS))
+                packed = hashes[of] | (doc[of] - first).astype(np.uint64) << U64(1) | follows[of].astype(np.uint64)
+                packed.sort()
+                at = _starts(packed >> U64(1))
+                if not len(at):
+                    continue
+                many = [np.diff(at, append=len(packed))]
+                if kind == PLACES:
+                    many.append(np.add.reduceat((packed & U64(1)).astype(np.int64), at))
+                packed = packed[at]
+                found, text = packed & KEPT_BITS, (packed >> U64(1)).astype(np.int64) & TEXTS - 1
+                for b, own in _ranges(found, buckets):
+                    begin = _starts(found[own])
+                    sizes = np.diff(begin, append=own.stop - own.start)
+                    met = np.zeros(min(TEXTS, len(keys)), bool)
+                    met[text[own]] = True
+                    local = (np.cumsum(met) - 1)[text[own]]
+                    yield _blob(lang, b, kind, [_squeeze(found[own][begin], True), _squeeze(sizes), _squeeze(np.stack([local, *(x[own] for x in many)])), _squeeze(keys[first + np.flatnonzero(met)])])
+
+    return _passed_on(lambda batches: _by_language(batches, of_chunk, flush))
 
 
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -665,17 +750,49 @@ SIGN = np.zeros(256, bool)
 SIGN[list(b"#*$%&|<>")] = True
 
 
-def base_features(chunk: Chunk) -> dict[str, np.ndarray]:
+def _repeated(hashes: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Of each row, how many words are in windows of three that it has twice; ``rows`` says where the words of each begin."""
+    size = np.diff(rows)
+    if len(hashes) < 3:
+        return np.zeros(len(size), np.int64)
+    inside = np.ones(len(hashes), bool)
+    inside[rows[1:][size > 0] - 1] = False
+    inside[rows[1:][size > 1] - 2] = False
+    of = np.repeat(np.arange(len(size)), size)
+    inside = np.flatnonzero(inside)
+    windows = gram_hashes(hashes, 3)[inside] + mix(np.arange(len(size), dtype=np.uint64) + U64(1))[of[inside]]  # equal windows of different rows are different
+    by = _order(windows)
+    ordered = windows[by]
+    same = np.zeros(len(by) + 1, bool)
+    same[1:-1] = ordered[1:] == ordered[:-1]
+    twice = inside[by[same[1:] | same[:-1]]]
+    covered = np.zeros(len(hashes), bool)
+    for j in range(3):
+        covered[twice + j] = True
+    return np.bincount(of[covered], minlength=len(size))
+
+
+def passing(r: Read) -> np.ndarray:
+    """Which rows pass the base rules. No row has fewer repeated words without case, so only those that fail so are looked at as they are written."""
+    size = np.diff(r.words.rows)
+    failed = base_failed(size, _repeated(r.hashes, r.words.rows))
+    doubted = np.flatnonzero(failed & (size >= 50))
+    if len(doubted):
+        own = [r.chunk.data[a:b] for a, b in zip(r.chunk.offsets[doubted], r.chunk.offsets[doubted + 1], strict=True)]
+        hashes, w = word_hashes(Chunk(0, len(own), np.concatenate(own), np.cumsum([0, *map(len, own)])))
+        failed[doubted] = base_failed(size[doubted], _repeated(hashes, w.rows))
+    return ~failed
+
+
+def base_features(chunk: Chunk, w: Words) -> dict[str, np.ndarray]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of each row."""
     data, offsets = chunk.data, chunk.offsets
     rows = len(offsets) - 1
-    w = words(chunk)
     sums, down = prefix_sums(data)
-    hashes = span_hashes(sums, down, w.starts, w.ends)
     begins_char = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
     chars = np.concatenate([[0], np.cumsum(begins_char[w.ends] - begins_char[w.starts])])
     signs = np.concatenate([[0], np.cumsum(SIGN[data])])
-    salt = mix(np.arange(rows, dtype=np.uint64) + U64(1))  # equal lines and windows of different rows are different
+    salt = mix(np.arange(rows, dtype=np.uint64) + U64(1))  # equal lines of different rows are different
     # lines with a word that equal an earlier one of their row
     breaks = np.flatnonzero(data == 10)
     starts = np.concatenate([offsets[:-1], breaks + 1])
@@ -689,22 +806,8 @@ def base_features(chunk: Chunk) -> dict[str, np.ndarray]:
     lines = span_hashes(sums, down, starts[full], ends[full]) + salt[row]
     _, first = np.unique(lines, return_index=True)
     dup = np.bincount(row, minlength=rows) - np.bincount(row[first], minlength=rows)
-    # words in windows of three that their row has twice
-    size = np.diff(w.rows)
-    of = np.repeat(np.arange(rows), size)
-    covered = np.zeros(len(hashes), bool)
-    inside = np.flatnonzero(np.arange(len(hashes)) + 3 <= w.rows[1:][of]) if len(hashes) > 2 else np.zeros(0, np.int64)
-    if len(inside):
-        windows = gram_hashes(hashes, 3)[inside] + salt[of[inside]]
-        by = np.argsort(windows)
-        ordered = windows[by]
-        same = np.zeros(len(by) + 1, bool)
-        same[1:-1] = ordered[1:] == ordered[:-1]
-        twice = inside[by[same[1:] | same[:-1]]]
-        for j in range(3):
-            covered[twice + j] = True
-    repeated = np.bincount(of[covered], minlength=rows)
-    return {"n_words": size, "word_chars": chars[w.rows[1:]] - chars[w.rows[:-1]], "n_symbols": signs[offsets[1:]] - signs[offsets[:-1]], "n_dup_lines": dup, "n_repeat_words": repeated}
+    repeated = _repeated(span_hashes(sums, down, w.starts, w.ends), w.rows)
+    return {"n_words": np.diff(w.rows), "word_chars": chars[w.rows[1:]] - chars[w.rows[:-1]], "n_symbols": signs[offsets[1:]] - signs[offsets[:-1]], "n_dup_lines": dup, "n_repeat_words": repeated}
 
 
 FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
@@ -727,8 +830,8 @@ def features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
             parts: dict[str, list[np.ndarray]] = {c: [] for c in (*FEATURES, "__key")}
             langs = batch.column(batch.schema.get_field_index("lang")).to_pylist()
             for chunk in chunks(binary_column(batch, "text"), CHUNK):
-                keys = read(chunk, langs[chunk.start : chunk.stop]).keys.view(np.int64)
-                for c, values in (base_features(chunk) | {"__key": keys}).items():
+                r = read(chunk, langs[chunk.start : chunk.stop])
+                for c, values in (base_features(chunk, r.words) | {"__key": r.keys.view(np.int64)}).items():
                     parts[c].append(values)
             found = {c: np.concatenate(v) if v else np.zeros(0, np.int64) for c, v in parts.items()}
             found["base_failed"] = base_failed(found["n_words"], found["n_repeat_words"])

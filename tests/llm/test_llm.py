@@ -375,6 +375,79 @@ def test_word_bigrams_equal_a_plain_model_of_the_other_fold(spark, monkeypatch):
     assert m.buckets > 5
 
 
+def texts_batch():
+    rows = [(prose(70 + i % 7, 500 + i), ["en", "de", None][i % 3]) for i in range(40)] + [(None, "en"), ("", None), ("x", "en"), ("Ab cD ef " * 30, "en"), ("Ab cD ef aB Cd eF ab cd EF " + prose(60, 9), "de")]
+    return pa.RecordBatch.from_pydict({"text": [t for t, _ in rows], "lang": [x for _, x in rows]}, schema=pa.schema([("text", pa.string()), ("lang", pa.string())]))
+
+
+def test_passes_over_texts_hash_their_bytes_once(monkeypatch):
+    batch, hashed = texts_batch(), []
+    size = sum(len((t or "").encode()) for t in batch.column(0).to_pylist())
+    plain = words.prefix_sums
+    for module in (words, perplexity):
+        monkeypatch.setattr(module, "prefix_sums", lambda data, *a, **k: hashed.append(len(data)) or plain(data, *a, **k))
+    hot = type("Hot", (), {"value": {}})
+    for run in (perplexity._counts(12, 0, 6), perplexity._pairs(hot, 12, 6, 12)):
+        hashed.clear()
+        assert list(run(iter([batch])))
+        assert size <= sum(hashed) < 1.3 * size  # the few texts that fail without case are looked at again
+
+
+def test_base_rules_of_training_tell_case():
+    rows = [" ".join(f"w{i}" for i in range(60)), "a b c d " * 20, " ".join(f"{'aA'[i >> k & 1]}" for i in range(32) for k in range(5)), "Ab cD ef " * 16 + "aB", "x y", "", "q w E " + "q w e Q W e q W e " * 18]
+    chunk = next(words.chunks(pa.array([t.encode() for t in rows], pa.large_binary())))
+    r = perplexity.read(chunk, ["en"] * len(rows))
+    f = perplexity.base_features(chunk, r.words)
+    assert perplexity.passing(r).tolist() == (~perplexity.base_failed(f["n_words"], f["n_repeat_words"])).tolist()
+    case = " ".join(f"{a}{b} {b}{a} {c}{a}" for a, b, c in zip("abcdefghijklmnopqrst" * 2, "abcdefghijklmnopqrst" + "ABCDEFGHIJKLMNOPQRST", "xy" * 20, strict=True))
+    chunk = next(words.chunks(pa.array([case.encode(), case.lower().encode()], pa.large_binary())))
+    assert perplexity.passing(perplexity.read(chunk, ["en", "en"])).tolist() == [not failed(WORD.findall(x)) for x in (case, case.lower())] == [True, False]
+
+
+def test_order_and_lookup_of_hashes():
+    rng = np.random.default_rng(12)
+    close = np.uint64(7 << 60) + rng.integers(0, 200, 3000).astype(np.uint64)
+    wide = rng.integers(0, 2**64, 3000, dtype=np.uint64)
+    for x in (close, wide, np.concatenate([close, wide, wide[:50]]), close[:1], close[:0], np.full(9, 2**64 - 1, np.uint64)):
+        assert (x[perplexity._order(x)] == np.sort(x)).all() and sorted(perplexity._order(x).tolist()) == list(range(len(x)))
+        distinct, place = perplexity._distinct(x)
+        assert (distinct == np.unique(x)).all() and (distinct[place] == x).all()
+        known = perplexity.Table(distinct[::2], np.zeros((4, len(distinct[::2]))))
+        if len(known.hashes):
+            wanted = np.concatenate([x, x + np.uint64(1), np.array([0, 2**64 - 1], np.uint64)])
+            assert all((a == b).all() for a, b in zip(known.find(wanted), known.with_leads().find(wanted), strict=True))
+
+
+def test_squeezed_arrays_come_back():
+    rng = np.random.default_rng(13)
+    for kind in (np.uint64, np.int64, np.int32):
+        for top in (1, 200, 2**16, 2**31 - 1):
+            x = np.sort(rng.integers(0, top, 100)).astype(kind)
+            for ascending in (False, True):
+                for y in (x, x[:0]):
+                    back = perplexity._unsqueeze(perplexity._squeeze(y, ascending), kind, ascending)
+                    assert back.dtype == y.dtype and (back == y).all()
+    x = rng.standard_normal((2, 50))
+    assert (perplexity._unsqueeze(perplexity._squeeze(x), np.float64) == x.ravel()).all()
+
+
+def test_texts_of_a_pack_are_met_in_groups(monkeypatch):
+    hot = type("Hot", (), {"value": {}})
+    sums = []
+    for texts in (1 << 15, 4):
+        monkeypatch.setattr(perplexity, "TEXTS", texts)
+        found = Counter()
+        for batch in perplexity._pairs(hot, 12, 0, 12)(iter([texts_batch()])):
+            for r in batch.to_pylist():
+                if r["kind"] in (perplexity.PAIRS, perplexity.PLACES):
+                    hashes, sizes, keys = (perplexity._unsqueeze(r[c], k, a) for c, k, a in (("a", np.uint64, True), ("b", np.int32, False), ("d", np.uint64, False)))
+                    doc, *many = perplexity._unsqueeze(r["c"], np.int32).reshape(3 if r["kind"] == perplexity.PLACES else 2, -1)
+                    for h, k, *n in zip(np.repeat(hashes, sizes), keys[doc], *many, strict=True):
+                        found[r["lang"], r["kind"], h, k] += 1000 * n[0] + n[-1]
+        sums.append(found)
+    assert sums[0] == sums[1] and len(sums[0]) > 1000
+
+
 def test_bands_are_quartiles_of_each_language(spark):
     rng = np.random.default_rng(4)
     rows = [(i, ["en", "de", None][i % 3], 400, False, float(2 + (i % 3) + 0.03 * rng.standard_normal())) for i in range(300)]
