@@ -53,7 +53,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import numbered_ids, staged, table
+from .stage import numbered_ids, staged, table, trimmed
 from .words import SIGNS_AND_SPACE, Chunk, binary_column, chunks, gram_hashes, word_hashes
 
 SHARD_POSTINGS = 2_000_000
@@ -83,6 +83,7 @@ def _hashes(text: str) -> np.ndarray:
     return word_hashes(Chunk(0, 1, data, np.array([0, len(data)])), lower=True, separators=SIGNS_AND_SPACE)[0]
 
 
+@trimmed
 def _item_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         rows, items, kinds, terms, tfs, words = [], [], [], [], [], []
@@ -301,6 +302,7 @@ def _scan(docs: DataFrame, index: Index) -> DataFrame:
     schema = T.StructType([docs.schema["doc_id"], T.StructField("item_id", T.LongType()), *(T.StructField(c, T.DoubleType()) for c in ("score", "question_overlap", "answer_overlap"))])
     arrow = to_arrow_schema(schema)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             index = shared.value

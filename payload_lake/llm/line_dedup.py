@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import staged, table
+from .stage import staged, table, trimmed
 
 SPACES = b" \t\n\x0b\x0c\r"
 
@@ -57,6 +57,7 @@ def _halves(key: bytes) -> tuple[int, int]:
 
 
 def _line_hashes(min_chars: int, schema: pa.Schema):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, highs, lows = [], [], []
@@ -72,6 +73,7 @@ def _line_hashes(min_chars: int, schema: pa.Schema):
 
 
 def _reassemble(min_chars: int, out_schema: pa.Schema):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             at = batch.schema.get_field_index

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import components
-from .stage import numbered_ids, settled, staged, table
+from .stage import numbered_ids, settled, staged, table, trimmed
 from .words import binary_column, chunks, mix, shingles, word_hashes
 
 TREES, DEPTH = 32, 4
@@ -76,6 +76,7 @@ def tree_keys(sign: np.ndarray) -> np.ndarray:
 
 
 def _signatures(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, k1, k2, keys, signs = [], [], [], [], []
@@ -97,6 +98,7 @@ def _signatures(size: int):
 
 
 def _sets(size: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sets = []
@@ -123,6 +125,7 @@ def _possible(sign_a: np.ndarray, sign_b: np.ndarray, n_a: np.ndarray, n_b: np.n
 
 
 def _agreeing(percent: int):
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             get = lambda name: batch.column(batch.schema.get_field_index(name))  # noqa: B023, E731
@@ -133,6 +136,7 @@ def _agreeing(percent: int):
     return run
 
 
+@trimmed
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Of rows (key, id, small) in the order of the trees: neighbours of a region, and all pairs of a small one."""
     key, ids, small = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, bool)
@@ -157,6 +161,7 @@ def _across(percent: int):
     sets it is one verified link of each class and component, if there is one.
     """
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[tuple[int, int]] = []

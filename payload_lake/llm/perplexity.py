@@ -54,7 +54,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .stage import settled, small_side, staged, table
+from .stage import settled, small_side, staged, table, trimmed
 from .words import U64, Chunk, Words, binary_column, chunks, gram_hashes, mix, span_hashes, prefix_sums, word_hashes
 
 #: bytes looked at together, and rows that are passed on together
@@ -263,6 +263,7 @@ def _blob(lang: str | None, bucket: int, kind: int, bodies: list[bytes], source:
 def _passed_on(make):
     """``make``, with its blobs in batches of some megabytes."""
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, size = [], 0
         for blob in make(batches):
@@ -519,6 +520,7 @@ def _finish(laws: dict, least: float):
     return _passed_on(run)
 
 
+@trimmed
 def _hot_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The frequent words and bigrams of the finished blobs, one row for each."""
     for r in _blobs(batches):
@@ -688,6 +690,7 @@ def _pairs(hot, buckets: int, low: int, high: int):
     return _passed_on(lambda batches: _by_language(batches, of_chunk, flush))
 
 
+@trimmed
 def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Key of each text, gain, and number of texts with that key, summed over the buckets of a task as far as it holds them."""
     waiting: list[tuple[np.ndarray, ...]] = []
@@ -825,6 +828,7 @@ def features(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     schema = T.StructType([*shown, *own])
     arrow = to_arrow_schema(schema)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts: dict[str, list[np.ndarray]] = {c: [] for c in (*FEATURES, "__key")}
@@ -892,6 +896,7 @@ def keyed(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"))
     schema = T.StructType([rows.schema["__row"], T.StructField("__key", T.LongType())])
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, ROWS):  # the texts of few rows are held twice

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .stage import table
+from .stage import table, trimmed
 from .words import binary_column
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
@@ -309,6 +309,7 @@ def _with_column(df: DataFrame, column: str, to: str, kind: T.DataType, convert,
     row = F.struct(*(F.col(f"`{f.name}`") for f in kept)) if kept else F.struct(F.lit(None).alias("none"))
     rows = df.select(F.col(f"`{column}`").alias("x"), row.alias("row"))
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = convert()
         for batch in batches:

@@ -1,10 +1,13 @@
-"""Reading tables, cutting lineage and size-checked broadcasts for the llm operators."""
+"""Reading tables, cutting lineage, size-checked broadcasts and the memory of Python workers for the llm operators."""
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import threading
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -68,6 +71,33 @@ def small_side(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     return F.broadcast(df) if df.limit(max_rows + 1).count() <= max_rows else df
 
 
+def trim() -> None:
+    """Give free memory of this process back to the system."""
+    pa.default_memory_pool().release_unused()
+    if of_glibc := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        of_glibc(0)
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` (of mapInArrow), after which the worker gives its free memory back: it waits for the next task beside a JVM that needs it."""
+
+    @functools.wraps(run)
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return runs
+
+
+def small_batches(spark: SparkSession, size: int) -> None:
+    """From now on rows of about ``size`` bytes, one at least, go to Python at once in this session; a smaller setting stays."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > size:
+        spark.conf.set(key, size)
+
+
 def numbered_ids(df: DataFrame, name: str = "doc_id") -> tuple[DataFrame, Callable[..., DataFrame]]:
     """``df`` with long ids in the order of its ids, and what puts the given ids back into named columns.
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from payload_lake.llm import components, decontaminate, knn_quality, language_id, line_dedup, near_dedup, perplexity, sentencepieces, shards, suffix_dedup, url_filter, words
+from payload_lake.llm import components, decontaminate, knn_quality, language_id, line_dedup, near_dedup, perplexity, sentencepieces, shards, stage, suffix_dedup, url_filter, words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, n_words long"
@@ -877,6 +877,53 @@ def test_pipeline_stages_take_effect(spark, tmp_path):
     assert all(decoder.decode(r.ids) == r.text for r in out)
 
 
+def test_pipeline_stages_send_texts_in_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    docs = spark.createDataFrame([(i, f"{i} " + "a longer text " * 10_000, "en") for i in range(80)], SCHEMA.rpartition(",")[0]).coalesce(1)
+    sizes = lambda: [r.n for r in docs.mapInArrow(lambda batches: (pa.RecordBatch.from_pydict({"n": [b.nbytes]}) for b in batches), "n long").collect()]
+    before = spark.conf.get(key)
+    try:
+        for name, stage in corpus_pipeline.STAGES[1:3]:
+            spark.conf.set(key, "64m")
+            stage(spark, docs, "")
+            assert sum(sizes()) > 10e6 and max(sizes()) < 2 * corpus_pipeline.BATCH, name
+        spark.conf.set(key, "1m")  # a lower setting stays
+        corpus_pipeline.lines(spark, docs, "")
+        assert spark.conf.get(key) == "1m"
+    finally:
+        spark.conf.set(key, before)
+
+
+def _resident():
+    with open("/proc/self/statm") as f:
+        return int(f.read().split()[1]) * 4096 / 1e6
+
+
+def test_workers_give_free_memory_back():
+    def leaves_holes(batches):
+        for batch in batches:
+            parts = [bytes(60_000) for _ in range(4000)]
+            held.append(parts[-1])
+            yield batch
+
+    held = []
+    stage.trim()
+    before = _resident()
+    batch = pa.RecordBatch.from_pydict({"n": [1]})
+    assert list(stage.trimmed(leaves_holes)(iter([batch, batch]))) == [batch, batch]
+    assert _resident() < before + 60
+
+
+@pytest.mark.parametrize("run", [near_dedup._signatures(5), near_dedup._sets(5), line_dedup._line_hashes(40, pa.schema([("doc_id", pa.int64()), ("high", pa.int64()), ("low", pa.int64())])), perplexity._counts(12, 0, 6)])
+def test_steps_of_the_pipeline_trim_their_workers(run, monkeypatch):
+    calls = []
+    monkeypatch.setattr(stage, "trim", lambda: calls.append(1))
+    batch = pa.RecordBatch.from_pydict({"doc_id": pa.array([1]), "text": pa.array([prose(80, 1)]), "lang": pa.array(["en"])})
+    assert list(run(iter([batch, batch]))) and calls == [1]
+
+
 def test_pipeline_keeps_ids_of_any_type_and_takes_empty_tables(spark, tmp_path):
     import corpus_pipeline
 
