@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, DataFrameReader, SparkSession
 from pyspark.sql import functions as F
 
-#: columns of the tables; uid is the partition column of each
+#: columns of the tables besides uid
 SCHEMAS = {
     "meta": "key string, value string",
     "raw_payload": "endpoint string, item_id string, payload string, fetched_at_ms long, seq long",
@@ -22,15 +22,32 @@ SCHEMAS = {
 }
 LOG_SCHEMA = "type string, run_id string, uid long, command string, ts_ms long, id long, level string, stage string, event string, endpoint string, message string, data string, status string, summary string"
 
+#: partition column of the tables, and how many folders a table has at most: a folder for each account costs more than its rows once there are many.
+#: A prime, so that ids with a common factor spread; accounts with ids below it have folders of their own.
+BUCKET, BUCKETS = "bucket_of_uid", 251
+
+
+def _with_bucket(df: DataFrame) -> DataFrame:
+    return df.withColumn(BUCKET, F.pmod(F.col("uid").cast("bigint"), F.lit(BUCKETS)).cast("int"))
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    found = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(found)
+
+
+def _reader(spark: SparkSession, table: str) -> DataFrameReader:
+    return spark.read.schema(f"{SCHEMAS[table]}, uid long, {BUCKET} int")
+
 
 def read_table(spark: SparkSession, root: str, table: str, uid: int | None = None) -> DataFrame:
-    """A table of all accounts, or of one: then only that account's folder is listed and read."""
-    reader, path = spark.read.schema(f"{SCHEMAS[table]}, uid long"), f"{root}/{table}"
+    """A table of all accounts, or of one: then only the folder it lies in is listed, and row groups of other accounts are passed over."""
+    path = f"{root}/{table}"
     if uid is None:
-        return reader.parquet(path)
-    own = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/uid={uid}")
-    if own.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(own):
-        return scoped(reader.option("basePath", path).parquet(own.toString()), uid)
+        return _reader(spark, table).parquet(path).drop(BUCKET)
+    own = f"{path}/{BUCKET}={uid % BUCKETS}"
+    if _exists(spark, own):
+        return scoped(_reader(spark, table).option("basePath", path).parquet(own), uid).drop(BUCKET)
     return spark.createDataFrame([], f"{SCHEMAS[table]}, uid long")
 
 
@@ -40,9 +57,9 @@ def read_accounts(spark: SparkSession, root: str, table: str, accounts: DataFram
     A list of at most ``small`` ids is broadcast, and Spark prunes the partitions of the
     scan by it at run time; a longer one is joined by shuffling.
     """
-    wanted = list_uids(accounts)
+    wanted = _with_bucket(list_uids(accounts))
     short = wanted.limit(small + 1).count() <= small
-    return read_table(spark, root, table).join(F.broadcast(wanted) if short else wanted, "uid", "left_semi")
+    return _reader(spark, table).parquet(f"{root}/{table}").join(F.broadcast(wanted) if short else wanted, [BUCKET, "uid"], "left_semi").drop(BUCKET)
 
 
 def scoped(df: DataFrame, uid: int | None) -> DataFrame:
@@ -52,10 +69,18 @@ def scoped(df: DataFrame, uid: int | None) -> DataFrame:
 def write_table(df: DataFrame, root: str, table: str) -> None:
     """Replace the accounts that ``df`` has, and only those; rows are sorted for row-group pruning.
 
-    Tasks take sampled ranges of account and key, so a large account is written by several of them.
+    Tasks take sampled ranges of account and key, so a large account is written by several
+    of them. Accounts share ``BUCKETS`` folders; what other accounts have in the folders of
+    ``df`` is written again, so two jobs must not write one table at once (``commits`` is for that).
     """
+    spark, path = df.sparkSession, f"{root}/{table}"
     order = [c for c in ("endpoint", "item_id", "run_id", "id", "key") if c in df.columns]
-    df.repartitionByRange("uid", *order).sortWithinPartitions("uid", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("uid").parquet(f"{root}/{table}")
+    rows = _with_bucket(df)
+    if _exists(spark, path):
+        folders, own = [r[0] for r in rows.select(BUCKET).distinct().collect()], df.select(F.col("uid").alias("own_uid")).distinct()
+        beside = _reader(spark, table).parquet(path).where(F.col(BUCKET).isin([b for b in folders if b is not None]) | (F.lit(None in folders) & F.col(BUCKET).isNull()))
+        rows = rows.unionByName(beside.join(own, F.col("uid").eqNullSafe(F.col("own_uid")), "left_anti"), allowMissingColumns=True)
+    rows.repartitionByRange(BUCKET, "uid", *order).sortWithinPartitions(BUCKET, "uid", *order).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(BUCKET).parquet(path)
 
 
 def list_uids(df: DataFrame, name: str = "uid") -> DataFrame:

@@ -175,6 +175,32 @@ def test_one_account_lists_one_folder(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path), "meta", 3).collect() == []
 
 
+def test_many_accounts_share_a_bounded_number_of_folders(spark, tmp_path):
+    n, schema = tables.BUCKETS, "uid long, key string, value string"
+    write = lambda rows: tables.write_table(spark.createDataFrame(rows, schema), str(tmp_path), "meta")
+    everything = lambda: sorted((str(r.uid), r.key, r.value) for r in tables.read_table(spark, str(tmp_path), "meta").collect())
+    rows = [(u, k, f"{k}{u}") for u in [*range(1, 4 * n), -5, None] for k in "ab"]
+    write(rows)
+    assert len([p for p in (tmp_path / "meta").iterdir() if p.is_dir()]) == n + 1  # of null, one more
+    assert everything() == sorted((str(u), k, v) for u, k, v in rows)
+    for uid in (7, 7 + n, -5):
+        assert sorted(tuple(r) for r in tables.read_table(spark, str(tmp_path), "meta", uid).select("uid", "key", "value").collect()) == [(uid, k, f"{k}{uid}") for k in "ab"]
+    assert tables.read_table(spark, str(tmp_path), "meta", 7 + 9 * n).collect() == []  # its folder is there
+    wanted = spark.createDataFrame([(7,), (7 + n,), (7 + 9 * n,)], "uid long")
+    for small in (100_000, 1):
+        assert sorted((r.uid, r.value) for r in tables.read_accounts(spark, str(tmp_path), "meta", wanted, small=small).collect()) == [(u, f"{k}{u}") for u in (7, 7 + n) for k in "ab"]
+    # accounts that share a folder with those replaced stay as they are
+    fresh = [(7, "c", "new"), (None, "c", "new"), (5 * n, "c", "new")]
+    write(fresh)
+    expected = sorted((str(u), k, v) for u, k, v in [*(r for r in rows if r[0] not in (7, None)), *fresh])
+    assert everything() == expected
+    own = tables.read_table(spark, str(tmp_path), "meta", 7)  # read from the table that it goes to
+    tables.write_table(own.withColumn("value", F.lit("again")), str(tmp_path), "meta")
+    assert everything() == sorted((u, k, "again" if u == "7" else v) for u, k, v in expected)
+    write([])
+    assert len(everything()) == len(expected)
+
+
 # ---------------------------------------------------------------- typed views
 
 
