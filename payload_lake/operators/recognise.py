@@ -8,6 +8,7 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -84,12 +85,42 @@ def transcribe(audio: DataFrame, backend: str | Callable[[], Recogniser] = "mock
     return audio.mapInArrow(run, schema)
 
 
+#: folder of packs in a folder of files; its name keeps it out of the listing of loose files
+PACKS = "_packs"
+
+#: a row group of a pack, and so a batch read from it, has about 16 MB or one file: sizes are looked at from the first row on and are those of the contents (sound does not compress)
+GROUPS = {"parquet.block.size": str(16 << 20), "parquet.page.size.row.check.min": "1", "compression": "none"}
+
+
+def pack_files(files: DataFrame, folder: str) -> None:
+    """Add files to the packs of ``folder``: ``path`` below it and ``content``; Parquet tables of many files each.
+
+    To make, list and open a file costs more than the few bytes of a short clip, so clips
+    that come in great numbers are packed. A path added twice is read twice.
+    """
+    content = F.coalesce("content", F.lit(b""))
+    files.select("path", F.octet_length(content).cast("long").alias("length"), content.alias("content")).write.mode("append").options(**GROUPS).parquet(f"{folder}/{PACKS}")
+
+
+def _packed(spark: SparkSession, folder: str, pattern: str) -> DataFrame | None:
+    """path, length and content of the packed files, as Spark's source of loose ones gives them; None if there are no packs."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    root = hadoop.Path(folder)
+    fs = root.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(hadoop.Path(root, PACKS)):
+        return None
+    fits = F.substring_index("path", "/", -1).rlike(f"^(?:{hadoop.GlobPattern.compile(pattern).pattern()})$")
+    files = spark.read.schema("path string, length long, content binary").parquet(f"{folder}/{PACKS}").where(fits & (F.col("length") > 0))
+    return files.withColumn("path", F.concat(F.lit(f"{fs.makeQualified(root).toString().rstrip('/')}/"), "path"))
+
+
 def transcribe_files(spark: SparkSession, folder: str, backend: str | Callable[[], Recogniser] = "mock", language: str = "auto", pattern: str = "*") -> DataFrame:
-    """path, length, answer and error of every file under ``folder`` whose name fits ``pattern``; files without a byte give no row.
+    """path, length, answer and error of every file under ``folder``, loose or in a pack, whose name fits ``pattern``; files without a byte give no row.
 
-    Spark lists the files and packs them into tasks by size, up to
+    Spark lists the loose files and packs and deals them into tasks by size, up to
     ``spark.sql.files.maxPartitionBytes``, so a batch holds no more than that or one file;
     no other columns of the source are read, and contents do not leave their task.
     """
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder)
-    return transcribe(files.select("path", "length", "content"), backend, language, keep_errors=True)
+    loose = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(folder).select("path", "length", "content")
+    packed = _packed(spark, folder, pattern)
+    return transcribe(loose if packed is None else loose.unionByName(packed), backend, language, keep_errors=True)

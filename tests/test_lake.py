@@ -2,11 +2,14 @@
 
 import random
 import shutil
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from payload_lake.operators import listing, numbering, recognise, runs, upserts
+from payload_lake.plans import registered
 from payload_lake.sources import commits, tables
 from payload_lake.streaming import events as streams
 from payload_lake.streaming import upserted
@@ -374,6 +377,38 @@ def test_one_recogniser_for_each_worker_and_errors_as_rows(spark, tmp_path):
         recognise.transcribe(spark.createDataFrame([(1, bytearray(b""))], "id long, content binary"), "nope")
 
 
+def test_files_in_packs_are_read_as_loose_ones(spark, tmp_path):
+    folder = tmp_path / "a"
+    (folder / "b").mkdir(parents=True)
+    (folder / "b/1.mp3").write_bytes(bytes(16000))
+    loose = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(str(folder)).select(F.lit("c/2.mp3").alias("path"), "content")  # what was found loose
+    recognise.pack_files(loose, str(folder))
+    rows = [("3.mp3", bytearray(32000)), ("d=1/4.wav", bytearray(5)), ("d=1/5.mp3x", bytearray(5)), ("6.mp3", bytearray()), ("7.mp3", None), ("6xmp3", bytearray(5))]
+    recognise.pack_files(spark.createDataFrame(rows, "path string, content binary"), str(folder))
+    base = f"file:{folder}/"
+    read = lambda pattern: sorted((r.path.removeprefix(base), r.length, r.duration, r.error) for r in recognise.transcribe_files(spark, f"{folder}/", pattern=pattern).collect())
+    assert read("*.mp3") == [("3.mp3", 32000, 2.0, None), ("b/1.mp3", 16000, 1.0, None), ("c/2.mp3", 16000, 1.0, None)]
+    assert read("?.{mp3,wav}") == [*read("*.mp3")[:3], ("d=1/4.wav", 5, 5 / 16000, None)]
+    assert len(read("*")) == 6
+    # large files stand in row groups of a few, so that no batch holds many of them
+    large = spark.range(0, 40, 1, 1).select(F.col("id").cast("string").alias("path"), F.repeat(F.lit("ab"), 1_000_000).cast("binary").alias("content"))
+    recognise.pack_files(large, f"{tmp_path}/large")
+    (pack,) = (tmp_path / "large" / recognise.PACKS).glob("*.parquet")
+    groups = pq.ParquetFile(pack).metadata
+    assert max(groups.row_group(i).num_rows for i in range(groups.num_row_groups)) <= 10
+
+
+def test_turns_do_not_become_files_of_their_own(spark, tmp_path):
+    rows = [(c, t, "user", f"é{c}\n" * t) for c in range(-2, 20) for t in range(5)] + [(3, 1, "user", "the same turn again")]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(1).write.parquet(f"{tmp_path}/conversations.parquet")
+    shared = Path(spark.conf.get("spark.checkpoint.dir")) / "payload-lake"
+    before = set(shared.glob("audio-*"))
+    got = sorted((r.conv_id, r.turn, r.length, r.text, r.duration, r.error) for r in registered.QUERIES["transcribe_files"](spark, str(tmp_path)).collect())
+    assert got == sorted((c, t, n, "mock transcription", n / 16000, None) for c, t, _, text in rows for n in [len(text.encode()) + 1])
+    (folder,) = set(shared.glob("audio-*")) - before
+    assert len([p for p in folder.rglob("*") if p.suffix != ".crc" and p.is_file()]) <= 3
+
+
 # ---------------------------------------------------------------- run reports
 
 
