@@ -71,7 +71,8 @@ def write_table(df: DataFrame, root: str, table: str) -> None:
 
     Tasks take sampled ranges of account and key, so a large account is written by several
     of them. Accounts share ``BUCKETS`` folders; what other accounts have in the folders of
-    ``df`` is written again, so two jobs must not write one table at once (``commits`` is for that).
+    ``df`` is written again, so two jobs must not write one table at once, and a replacement
+    that breaks off in its commit can lose them too (``commits`` is for that). ``df`` then is computed three times.
     """
     spark, path = df.sparkSession, f"{root}/{table}"
     order = [c for c in ("endpoint", "item_id", "run_id", "id", "key") if c in df.columns]
